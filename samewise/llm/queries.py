@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from samewise.llm import langid, lexicon, packing, quality, secrets
+from samewise.llm import langid, lexicon, packing, quality, secrets, vectors
 from samewise.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_predictions(table(spark, sf_dir, "documents"))
 
@@ -31,5 +35,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op5_bpe, op7_langid, op9_quality, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_secrets, op5_bpe, op6_embeddings, op7_langid, op9_quality, op10_packing)}
 ORACLES: dict[str, str] = {}
