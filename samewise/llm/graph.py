@@ -14,7 +14,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round takes the least label among neighbours, then that label's label, so that long paths halve; each is written, so
     that a lost executor costs one round. Null ends and loops are ignored."""
-    links = edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    links = edges.where("a <> b").select("a", "b")
     both = cut(links.union(links.select("b", "a")).distinct(), "edges")
     now = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("component")), "labels")
     for _ in range(most_rounds):
