@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from samewise.llm import jaccard, langid, lexicon, packing, quality, secrets, vectors
+from samewise.llm import jaccard, langid, lexicon, packing, quality, secrets, templates, vectors
 from samewise.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -15,6 +15,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.clean(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines_dropped")
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -39,5 +43,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op4_jaccard, op5_bpe, op6_embeddings, op7_langid, op9_quality, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_secrets, op3_lines, op4_jaccard, op5_bpe, op6_embeddings, op7_langid, op9_quality, op10_packing)}
 ORACLES: dict[str, str] = {}
