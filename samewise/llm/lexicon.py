@@ -139,13 +139,20 @@ class Encoder:
         self.bpe, self.automaton, self.most, self.memo = bpe, automaton, most, {}
         names = sorted(bpe.specials, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
-        self.merged = 0
+        try:
+            self.core = byte_bpe.as_tiktoken(bpe)
+        except ValueError:  # its merges are of another order
+            self.core = None
 
     def merge(self, word: str) -> bytes:
-        self.merged += 1
-        ids: list[int] = []
-        for w in self.bpe.words.findall(word):
-            ids += self.bpe.merge(w.encode())
+        """The ids of a word that the automaton doesn't hold: split by the pattern, each part merged by least rank."""
+        try:
+            if self.core and len(word) < 10_000:  # the library's pattern gives up on very long runs of white space
+                ids = self.core.encode_ordinary(word)
+                return struct.pack(f"<{len(ids)}I", *ids)
+        except ValueError:
+            pass
+        ids = [i for w in self.bpe.words.findall(word) for i in self.bpe.merge(w.encode())]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def learn(self, words: list[str]) -> None:
@@ -207,6 +214,9 @@ def frequent_words(docs: DataFrame, size: int, most: int = 200_000) -> DataFrame
     return counts.where("n > 1").orderBy(F.desc("n"), "word").limit(size)
 
 
+_sent: set[tuple[str, str]] = set()
+
+
 def compile_lexicon(docs: DataFrame, tokenizer: str, size: int) -> str:
     """Compiles the frequent words of docs; returns the file's name for SparkFiles."""
     bpe = byte_bpe.load(tokenizer)
@@ -218,7 +228,10 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, size: int) -> str:
     with open(f"{own}/new", "rb") as f:
         name = f"lexicon-{hashlib.file_digest(f, 'sha256').hexdigest()[:24]}.bin"
     os.rename(f"{own}/new", f"{own}/{name}")
-    docs.sparkSession.sparkContext.addFile(f"{own}/{name}")
+    sc = docs.sparkSession.sparkContext
+    if (sc.applicationId, name) not in _sent:  # a file of this name has these contents
+        sc.addFile(f"{own}/{name}")
+        _sent.add((sc.applicationId, name))
     return name
 
 
