@@ -1,14 +1,14 @@
 """Embedding near-duplicates: coarse inverted lists, residual product-quantisation codes, exact rerank, components.
 
 Every vector is filed under its nearest coarse centre with a code of its residual and that code's error. A vector probes
-each list that can hold a neighbour: one within r (the chord of the threshold) that is filed under another centre has crossed
-the plane halfway between that centre and the vector's own, so lists whose plane is farther off than r can't hold any. In a list, asymmetric table distances less the filed vector's error are lower bounds, so that what they
-leave out is no link; the rest is reranked by exact cosine in double precision. Equal vectors are joined first and counted
-by multiplicity. Links are counted in place, and only a star of each block's links leaves it, so that a group of m vectors
-sends m rows a block, not its m * m pairs.
+each list that a neighbour can well be in: one filed under another centre has crossed the plane halfway between that centre
+and the vector's own. In a list, asymmetric table distances less the filed vector's error are lower bounds, so that what
+they leave out is no link; the rest is reranked by exact cosine in double precision. Equal vectors are joined first and
+counted by multiplicity. Links are counted in place, and only a star of each block's links leaves it, so that a group of m
+vectors sends m rows a block, not its m * m pairs.
 
 Vectors that are null, zero, or hold null or non-finite components, link with nothing and stand alone; vectors of other
-lengths are compared among their own length; repeated rows count as vectors of their own; extra columns are ignored; an empty table gives no rows."""
+lengths are compared among their own length; a null vec_id stands alone; repeated rows count as vectors of their own; extra columns are ignored; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samewise.llm.common import cut
@@ -26,7 +26,9 @@ from samewise.llm.graph import components, local_roots
 SUBSPACES = 8
 CODES = 64
 #: Rows of a block: a list longer than this is compared block against block, in tasks of their own.
-BLOCK = 1024
+BLOCK = 4096
+#: Queries that a block meets at once.
+TURN = 32768
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -75,25 +77,21 @@ class Index:
         return out
 
 
-def _numbers(vectors: DataFrame) -> DataFrame:
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
+def _linkable(vectors: DataFrame) -> Column:
+    v = F.col("embedding")
+    fine = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
+    return F.coalesce(fine & F.exists(v, lambda e: e != 0), F.lit(False))
 
 
-def _links_at_all():
-    fine = F.forall("e", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    return F.coalesce(fine & (F.array_max(F.transform("e", F.abs)) > 0), F.lit(False))
+def units(column) -> np.ndarray:
+    """Vectors of length 1 in double precision."""
+    x = np.stack([np.asarray(v, float) for v in column])
+    x = x / np.abs(x).max(1)[:, None]  # so that no square over- or underflows
+    return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, unit (array<double> of length 1) of the vectors that can link."""
-    top = F.array_max(F.transform("e", F.abs))  # so that no square over- or underflows
-    own = _numbers(vectors).where(_links_at_all()).withColumn("top", top).select("vec_id", F.transform("e", lambda e: e / F.col("top")).alias("e"))
-    own = own.withColumn("norm", F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, e: s + e * e)))
-    return own.select("vec_id", F.transform("e", lambda e: e / F.col("norm")).alias("unit"))
-
-
-def _filed(classes: DataFrame, index, threshold: float) -> DataFrame:
-    """rep, unit, copies, with their list, code, the code's error and the lists to probe."""
+def _filed(classes: DataFrame, index, threshold: float, slack: float) -> DataFrame:
+    """rep, embedding, copies, with their list, code, the code's error and the lists to probe."""
     r = math.sqrt(2 - 2 * threshold) + 1e-9  # chord of the threshold
 
     def run(batches):
@@ -101,24 +99,62 @@ def _filed(classes: DataFrame, index, threshold: float) -> DataFrame:
             if not b.num_rows:
                 continue
             ix = index.value
-            x = np.stack([np.array(u, float) for u in b.column("unit").to_pylist()])
+            x = units(b.column("embedding").to_pylist())
             square = (ix.centres**2).sum(1)
             apart = np.sqrt(np.maximum(0, square[:, None] + square[None] - 2 * ix.centres @ ix.centres.T))
             own, probes = np.zeros(len(x), np.int64), []
             for i in range(0, len(x), 1024):
                 d2 = ix.far(x[i : i + 1024]) ** 2
                 own[i : i + 1024] = near = d2.argmin(1)
-                # what lies within r of x and nearer to another centre than to x's own is across the plane between the two
                 margin = (d2 - d2.min(1)[:, None]) / 2
-                probes += [np.flatnonzero(m <= r * apart[k] + 1e-9) for m, k in zip(margin, near)]
+                probes += [np.flatnonzero(m <= slack * r * apart[k] + 1e-9) for m, k in zip(margin, near)]
             codes, error = ix.code(x, own)
-            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("unit"), b.column("copies"), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(probes, pa.list_(pa.int32()))], names=["rep", "unit", "copies", "cell", "code", "error", "probes"])
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("embedding"), b.column("copies"), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(probes, pa.list_(pa.int32()))], names=["rep", "embedding", "copies", "cell", "code", "error", "probes"])
+
+    own = classes.select("rep", "embedding", "copies")
+    return own.mapInArrow(run, f"rep long, embedding {own.schema['embedding'].dataType.simpleString()}, copies long, cell int, code binary, error double, probes array<int>")
+
+
+class Tasks:
+    """Lists dealt to groups of about BLOCK vectors; a longer list is a group of its own, in blocks. A group's queries come in turns."""
+
+    def __init__(self, members: dict[int, int], asked: dict[int, int], vectors: int, lists: int):
+        self.group, self.blocks, self.turns = np.full(lists, -1, np.int64), [], []
+        held, asks = 0, 0
+        for k in sorted(members):
+            if not self.blocks or held + members[k] > BLOCK:
+                self.blocks.append(1)
+                self.turns.append(1)
+                held, asks = 0, 0
+            self.group[k] = len(self.blocks) - 1
+            held, asks = held + members[k], asks + asked.get(k, 0)
+            self.blocks[-1] = math.ceil(held / BLOCK)
+            self.turns[-1] = math.ceil(min(asks, vectors) / TURN) or 1
+
+    def queries(self, batches):
+        """Rows of (grp, block, turn, asker, asked, lists): a vector for each group in which it probes a list."""
+        for b in batches:
+            reps, probes = b.column("rep").to_pylist(), b.column("probes").to_pylist()
+            rows = []
+            for i, (rep, lists) in enumerate(zip(reps, probes)):
+                lists = np.array([k for k in lists if self.group[k] >= 0], np.int64)
+                of = self.group[lists]
+                for g in np.unique(of).tolist():
+                    turn = _dealt(rep, self.turns[g])
+                    own = lists[of == g].tolist()
+                    rows += [(g, block, turn, rep, i, own) for block in range(self.blocks[g])]
+                if len(rows) >= 4096 or i == len(reps) - 1:
+                    g, block, turn, rep_, at, own = zip(*rows) if rows else [()] * 6
+                    yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(block, pa.int32()), pa.array(turn, pa.int32()), pa.array(rep_, pa.int64()), b.column("embedding").take(pa.array(at, pa.int32())), pa.array(own, pa.list_(pa.int32()))], names=["grp", "block", "turn", "asker", "asked", "lists"])
+                    rows = []
+
 
-    return classes.select("rep", "unit", "copies").mapInArrow(run, "rep long, unit array<double>, copies long, cell int, code binary, error double, probes array<int>")
+def _dealt(rep: int, parts: int) -> int:
+    return (rep * 0x9E3779B97F4A7C15 % (1 << 64) >> 33) % parts
 
 
 def _compare(index, threshold: float):
-    """A function from a block of queries and one of filed vectors of a list to (rep, n, root) rows."""
+    """A function from a turn of queries and a block of filed vectors to (rep, n, root) rows."""
     r = math.sqrt(2 - 2 * threshold) + 1e-9
 
     def run(queries: pd.DataFrame, filed: pd.DataFrame) -> pd.DataFrame:
@@ -126,21 +162,25 @@ def _compare(index, threshold: float):
         if not len(queries) or not len(filed):
             return none
         ix = index.value
-        x, y = np.stack(queries["asked"].to_numpy()), np.stack(filed["unit"].to_numpy())
+        x, y = units(queries["asked"]), units(filed["embedding"])
         codes = np.stack([np.frombuffer(c, np.uint8) for c in filed["code"]])
-        most = (r + filed["error"].to_numpy()) ** 2 + 1e-9
-        qid, fid, copies = queries["asker"].to_numpy(), filed["rep"].to_numpy(), filed["copies"].to_numpy()
+        most = ((r + filed["error"].to_numpy()) ** 2 + 1e-4).astype(np.float32)
+        qid, fid, copies, cell = queries["asker"].to_numpy(), filed["rep"].to_numpy(), filed["copies"].to_numpy(), filed["cell"].to_numpy()
+        size = queries["lists"].map(len).to_numpy()
+        asks, asker = np.concatenate(queries["lists"].to_numpy()), np.repeat(np.arange(len(x)), size)
         left, right = [], []
-        for i in range(0, len(x), 128):
-            t = ix.tables(x[i : i + 128], int(filed["cell"].iloc[0]))
-            far = sum(t[:, j][:, codes[:, j]] for j in range(codes.shape[1]))
-            q, f = np.nonzero(far <= most[None])
-            for k in range(0, len(q), 65536):
-                a, b = q[k : k + 65536] + i, f[k : k + 65536]
-                cos = np.einsum("ij,ij->i", x[a], y[b])
-                ok = (cos >= threshold) & (qid[a] != fid[b])
-                left.append(a[ok])
-                right.append(b[ok])
+        for c in np.unique(cell):
+            those, own = asker[asks == c], np.flatnonzero(cell == c)
+            for i in range(0, len(those), 512):
+                q = those[i : i + 512]
+                t = ix.tables(x[q], int(c)).astype(np.float32)
+                far = sum(t[:, j][:, codes[own, j]] for j in range(codes.shape[1]))
+                a, b = np.nonzero(far <= most[own][None])
+                for k in range(0, len(a), 65536):
+                    u, v = q[a[k : k + 65536]], own[b[k : k + 65536]]
+                    ok = (np.einsum("ij,ij->i", x[u], y[v]) >= threshold) & (qid[u] != fid[v])
+                    left.append(u[ok])
+                    right.append(v[ok])
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
         if not len(a):
             return none
@@ -153,40 +193,46 @@ def _compare(index, threshold: float):
     return run
 
 
-def _linked(classes: DataFrame, index, threshold: float) -> DataFrame:
+def _linked(classes: DataFrame, n: int, index, lists: int, threshold: float, slack: float) -> DataFrame:
     """rep, n, root: links counted on the side of the query, block by block, and a star of each block's linked vectors."""
-    filed = cut(_filed(classes, index, threshold), "filed")
-    asked = filed.select(F.col("rep").alias("asker"), F.col("unit").alias("asked"), F.explode("probes").alias("cell"))
-    sizes = filed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    asks = filed.select(F.explode("probes").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / (4 * BLOCK)).cast("int").alias("asks"))
-    grid = F.broadcast(cut(sizes.join(asks, "cell"), "grid"))  # a row for each list: 4,096 at most
-    one = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    part = lambda of, n: F.pmod(F.xxhash64(of), F.col(n)).cast("int")
-    members = filed.join(grid, "cell").select("cell", part("rep", "blocks").alias("block"), F.explode(one("asks")).alias("ask"), "rep", "unit", "copies", "code", "error")
-    queries = asked.join(grid, "cell").select(F.col("cell").alias("list"), F.explode(one("blocks")).alias("part"), part("asker", "asks").alias("turn"), "asker", "asked")
-    return queries.groupBy("list", "part", "turn").cogroup(members.groupBy("cell", "block", "ask")).applyInPandas(_compare(index, threshold), "rep long, n long, root long")
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, sample_rows: int = 20_000) -> DataFrame:
+    filed = cut(_filed(classes, index, threshold, slack), "filed")
+    members = {r["cell"]: r["count"] for r in filed.groupBy("cell").count().collect()}  # a row for each list: 4,096 at most
+    asked = {r["k"]: r["count"] for r in filed.select(F.explode("probes").alias("k")).groupBy("k").count().collect()}
+    tasks = Tasks(members, asked, n, lists)
+    queries = filed.select("rep", "embedding", "probes").mapInArrow(tasks.queries, f"grp int, block int, turn int, asker long, asked {filed.schema['embedding'].dataType.simpleString()}, lists array<int>")
+    of = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("grp") + 1)
+    group = F.element_at(F.lit([int(g) for g in tasks.group]), F.col("cell") + 1)
+    dealt = filed.select("rep", "embedding", "copies", "cell", "code", "error", group.alias("grp"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), of(tasks.blocks)).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), of(tasks.turns) - 1)))
+    return queries.groupBy("grp", "block", "turn").cogroup(dealt.groupBy("grp", "block", "turn")).applyInPandas(_compare(index, threshold), "rep long, n long, root long")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, sample_rows: int = 20_000, slack: float = 0.5) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding).
 
-    sample_rows: about how many vectors the index is fitted on at most; all are filed."""
+    sample_rows: about how many vectors the index is fitted on at most; all are filed. slack: how far beyond a plane lists are
+    probed, as a share of the farthest that a neighbour can be; 1 finds every link, and less those of neighbours that
+    don't lie straight across a plane, which in many dimensions is next to all."""
     spark = vectors.sparkSession
-    ready = cut(usable(vectors), "unit")
-    classes = cut(ready.groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    sizes = {r["d"]: r["n"] for r in classes.groupBy(F.size("unit").alias("d")).agg(F.count("*").alias("n")).collect()}  # a row for each length of vectors
+    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    if own.schema["embedding"].dataType.simpleString() != "array<float>":
+        own = own.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    links = _linkable(own) & F.col("vec_id").isNotNull()
+    ready = own.where(links)
+    classes = cut(ready.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    sizes = {r["d"]: r["n"] for r in classes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).collect()}  # a row for each length of vectors
     found = spark.createDataFrame([], "rep long, n long, root long")
     for d, n in sorted(sizes.items()):
-        own = classes.where(F.size("unit") == d)
-        drawn = own.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < math.ceil(min(1.0, sample_rows / n) * (1 << 20)))
-        sample = np.array([r["unit"] for r in drawn.orderBy("rep").collect()] or [r["unit"] for r in own.limit(1).collect()], float)
+        of_length = classes.where(F.size("embedding") == d)
+        drawn = of_length.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < math.ceil(min(1.0, sample_rows / n) * (1 << 20)))
+        sample = units([r["embedding"] for r in drawn.orderBy("rep").collect() or of_length.limit(1).collect()])
         index = Index(sample, min(4096, len(sample), math.ceil(2 * math.sqrt(n))))
-        found = found.unionByName(_linked(own, spark.sparkContext.broadcast(index), threshold))
+        found = found.unionByName(_linked(of_length, n, spark.sparkContext.broadcast(index), len(index.centres), threshold, slack))
     found = cut(found, "links")
     counted = found.groupBy("rep").agg(F.sum("n").alias("n"))
     linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     by_class = classes.join(counted, "rep", "left").join(linked.withColumnRenamed("id", "rep"), "rep", "left")
-    by_class = cut(by_class.select("unit", F.coalesce("n", F.lit(0)).alias("n"), "copies", F.coalesce("component", "rep").alias("component")), "classes")
-    of_row = ready.join(by_class, "unit").select("vec_id", (F.col("n") + F.col("copies") - 1).cast("long").alias("n_links"), F.col("component").alias("component_id"))
-    alone = _numbers(vectors).where(~_links_at_all()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return of_row.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    by_class = cut(by_class.select("embedding", F.coalesce("n", F.lit(0)).alias("n"), "copies", F.coalesce("component", "rep").alias("component")), "classes")
+    of_row = ready.join(by_class, "embedding").select("vec_id", (F.col("n") + F.col("copies") - 1).cast("long").alias("n_links"), F.col("component").alias("component_id"))
+    alone = own.where(~links).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return of_row.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
