@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from samewise.llm import jaccard, langid, lexicon, packing, quality, secrets, templates, vectors
+from samewise.llm import jaccard, langid, lexicon, packing, pii, quality, secrets, templates, vectors
 from samewise.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,6 +35,10 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_predictions(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality.STATS, "base_failed", "kept", "distance")
 
@@ -43,5 +47,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op3_lines, op4_jaccard, op5_bpe, op6_embeddings, op7_langid, op9_quality, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_secrets, op3_lines, op4_jaccard, op5_bpe, op6_embeddings, op7_langid, op8_pii, op9_quality, op10_packing)}
 ORACLES: dict[str, str] = {}
