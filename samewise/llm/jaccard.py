@@ -174,7 +174,9 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9995, most_b
     classes = cut(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
     in_band = classes.select("key", F.explode("bands").alias("band"))
     crowded = cut(in_band.groupBy("band").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least"), "bands")
-    near = components(in_band.join(crowded, "band").select(F.col("key").alias("a"), F.col("least").alias("b")))
+    # a class is joined to the least of its bands' least classes, and that one to the others: no more edges than classes, and few
+    leasts = cut(in_band.join(crowded, "band").groupBy("key").agg(F.collect_set("least").alias("of")).select("key", F.array_min("of").alias("low"), "of"), "leasts")
+    near = components(leasts.select(F.col("key").alias("a"), F.col("low").alias("b")).union(leasts.select("low", F.explode("of")).distinct()))
     # a group of at most BLOCK classes is compared whole, with others of its kind; a larger one block against block
     sized = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     grouped = cut(near.withColumnRenamed("id", "key").join(sized, "component").join(classes, "key"), "groups")
