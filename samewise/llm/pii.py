@@ -97,9 +97,10 @@ def _gazetteer(kind: str, m: Column) -> Column:
     return F.when(F.lower(F.element_at(F.split(m, r"[\x20.]+"), 2)).isin(*GIVEN), 1).otherwise(0)
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, spans: array of (s, k, e, base, shape, list, words) of all candidates, by start and kind."""
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def candidates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns `keep`, spans: array of (s, k, e, base, shape, list, words) of all candidates, by start and kind."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, *(F.col(c).alias(f"keep_{c}") for c in keep))
     for kind in KINDS:
         some = F.when(F.col("text").rlike(HOLDS[kind]), F.regexp_extract_all("text", F.lit(PATTERNS[kind]), F.lit(0))).otherwise(F.array().cast("array<string>"))
         out = out.withColumn(f"m_{kind}", some)
@@ -116,7 +117,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         return F.transform(f"s_{kind}", one)
 
     every = F.sort_array(F.concat(*[voted(kind, k) for k, kind in enumerate(KINDS)]))
-    return out.select("doc_id", "text", every.alias("spans"))
+    return out.select("doc_id", *(F.col(f"keep_{c}").alias(c) for c in keep), every.alias("spans"))
 
 
 VOTES = ("shape", "list", "words")
@@ -160,10 +161,9 @@ def fit(counts: list[tuple[tuple[int, ...], int, int]], post: list[float], round
     return w
 
 
-def detect(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, spans: array of (s, k, e, base) of the base spans and the accepted candidates, by start and kind; text if asked for."""
-    found = candidates(docs)
-    found = cut(found if with_text else found.drop("text"), "candidates")
+def detect(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns `keep`, spans: array of (s, k, e, base) of the base spans and the accepted candidates, by start and kind."""
+    found = cut(candidates(docs, keep), "candidates")
     one = found.select(F.explode("spans").alias("c")).select("c.*")
     counts = [(tuple(r[v] for v in VOTES), r["k"], r["count"]) for r in one.groupBy(*VOTES, "k").count().orderBy(*VOTES, "k").collect()]  # at most 27 rows a kind
     w = fit(counts, reliabilities(counts)) if counts else [0.0] * (len(VOTES) + len(KINDS))
@@ -175,7 +175,7 @@ def detect(docs: DataFrame, with_text: bool = False) -> DataFrame:
     near = lambda x: F.exists("spans", lambda y: y["base"] & (y["s"] < x["e"]) & (x["s"] < y["e"]))
     stays = F.filter("spans", lambda x: x["base"] | ((score(x) > 0) & (x["words"] > 0) & (x["shape"] > 0) & ~near(x)))
     slim = F.transform(stays, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["base"].alias("base")))
-    return found.select("doc_id", *(["text"] if with_text else []), slim.alias("spans"))
+    return found.select("doc_id", *keep, slim.alias("spans"))
 
 
 def _joined(spans: Column) -> Column:

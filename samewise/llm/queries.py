@@ -5,12 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from samewise.llm import jaccard, langid, lexicon, packing, pii, quality, secrets, templates, vectors
+import corpus_pipeline
+from samewise.llm import jaccard, langid, lexicon, packing, pii, quality, secrets, templates, toxicity, vectors
 from samewise.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -47,5 +52,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op3_lines, op4_jaccard, op5_bpe, op6_embeddings, op7_langid, op8_pii, op9_quality, op10_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_lines, op4_jaccard, op5_bpe, op6_embeddings, op7_langid, op8_pii, op9_quality, op10_packing)} | {"pipeline": corpus_pipeline.run}
+ORACLES: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
