@@ -17,6 +17,7 @@ LEGAL = r"(?U)(?:,\s*|\s+)(?:limited\s+liability\s+company|l\.l\.c\.?|llc\.?|inc
 QUALIFIER = r"(?U)\s*\([^)]*\)"
 PUNCTUATION = r"""[.,;:!?"'`]"""
 SPACES = r"(?U)\s+"
+NEVER = "(?!)"  # matches nothing
 #: The category of each source.
 CATEGORIES = {"quickbooks": "accounting", "ruddr": "psa"}
 
@@ -42,8 +43,8 @@ def _mark_table() -> tuple[str, str]:
 
 
 def strip_marks(name: Column) -> Column:
-    """Decomposed, without combining marks, composed again; plain ASCII passes by the table."""
-    return F.when(name.rlike(r"[^\x00-\x7F]"), F.translate(name, *_mark_table())).otherwise(name)
+    """Decomposed, without combining marks, composed again."""
+    return F.translate(name, *_mark_table())
 
 
 def category_of(source: Column) -> Column:
@@ -57,7 +58,8 @@ def blank(name: Column) -> Column:
 def normalize(entities: DataFrame, name: str = "display_name", category: str = "entity_category") -> DataFrame:
     """entities with normalized_name, rules_applied, email_is_person, category and reject_reason (null where the name is good).
 
-    A blank name, or one of which nothing is left, is a rejected row and never fails the job."""
+    Each step names the one before it once, so that the optimizer can merge them without the expression growing by
+    powers. A blank name, or one of which nothing is left, is a rejected row and never fails the job."""
     raw = F.coalesce(F.col(name), F.lit(""))
     person = F.coalesce(F.col(category) == "person", F.lit(False))
     out = entities.withColumn("__raw", raw).withColumn("__person", person)
@@ -79,7 +81,7 @@ def normalize(entities: DataFrame, name: str = "display_name", category: str = "
     step("lowercase", F.lower(F.col(before())), F.lit(True))
     step("strip_the", F.regexp_replace(before(), THE, ""), F.col(before()).rlike(THE))
     step("strip_honorific", F.regexp_replace(F.regexp_replace(before(), HONORIFIC, " "), HONORIFIC, " "), F.col(before()).rlike(HONORIFIC))
-    step("strip_middle_initial", F.when(F.col("__person"), F.regexp_replace(before(), INITIAL, " ")).otherwise(F.col(before())), F.col("__person") & F.col(before()).rlike(INITIAL))
+    step("strip_middle_initial", F.regexp_replace(F.col(before()), F.when(F.col("__person"), INITIAL).otherwise(NEVER), F.lit(" ")), F.col("__person") & F.col(before()).rlike(INITIAL))
     step("strip_legal_suffix", F.regexp_replace(F.regexp_replace(before(), LEGAL, ""), LEGAL, ""), F.col(before()).rlike(LEGAL))
     step("strip_paren_qualifier", F.regexp_replace(before(), QUALIFIER, ""), F.col(before()).rlike(QUALIFIER))
     step("ampersand_to_and", F.replace(F.col(before()), F.lit("&"), F.lit(" and ")))

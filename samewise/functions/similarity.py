@@ -9,8 +9,10 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WIDTH = 3
+METRICS = ("token_sort", "token_set", "partial", "jaro_winkler")
 
 
 def lcs(a: str, b: str) -> int:
@@ -103,14 +105,14 @@ def metrics(a: str, b: str) -> tuple[float, float, float, float]:
     return token_sort(a, b), token_set(a, b), partial(a, b), 100.0 * jaro_winkler(a, b)
 
 
-@F.pandas_udf("token_sort double, token_set double, partial double, jaro_winkler double")
+@F.pandas_udf(T.StructType([T.StructField(k, T.DoubleType()) for k in METRICS]))
 def string_metrics(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """token_sort, token_set, partial and jaro_winkler (0 to 100) of two columns; nulls count as empty."""
     rows = [metrics(x or "", y or "") for x, y in zip(a, b)]
-    return pd.DataFrame(rows, columns=["token_sort", "token_set", "partial", "jaro_winkler"])
+    return pd.DataFrame(rows, columns=METRICS)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def two_places(score: pd.Series) -> pd.Series:
     """A score with two places as Python rounds them: ties of the binary value, not of its shortest decimal form."""
     return score.map(lambda x: None if x is None or x != x else f"{x:.2f}")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
+    """df as it is now, in the shared checkpoint folder; a temporary one only where none is set."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="samewise-"))
@@ -18,13 +19,13 @@ def _written(df: DataFrame) -> DataFrame:
 def clusters(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     """node, cluster (least node reached) of every end of pairs (a, b): least labels with pointer jumping, written each round."""
     links = pairs.where("a <> b").select("a", "b")
-    both = _written(links.union(links.select("b", "a")).distinct())
-    now = _written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("cluster")))
+    both = written(links.union(links.select("b", "a")).distinct())
+    now = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("cluster")))
     for _ in range(rounds):
         near = both.join(now.select(F.col("node").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("node")).agg(F.min("cluster").alias("m"))
         step = now.join(near, "node").select("node", F.col("cluster").alias("old"), F.least("cluster", "m").alias("new"))
         beyond = now.select(F.col("node").alias("new"), F.col("cluster").alias("next"))
-        after = _written(step.join(beyond, "new", "left").select("node", "old", F.least("new", F.coalesce("next", "new")).alias("cluster")))
+        after = written(step.join(beyond, "new", "left").select("node", "old", F.least("new", F.coalesce("next", "new")).alias("cluster")))
         now = after.select("node", "cluster")
         if after.where("old <> cluster").limit(1).count() == 0:
             return now
