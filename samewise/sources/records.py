@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from samewise.functions.names import normalize
 
@@ -28,13 +29,15 @@ ENTITY_SCHEMA = {
 
 
 def read_json(spark: SparkSession, path: str, system: str, schema: str | None = None) -> DataFrame:
-    """The records of a JSON array, with a fixed schema; a broken file is an error, not a row of nulls. Keys differ by case."""
-    spark.conf.set("spark.sql.caseSensitive", "true")
-    try:
-        rows = spark.read.schema(schema or ENTITY_SCHEMA[system]).option("multiLine", True).option("mode", "FAILFAST").json(path)
-        return rows.select(*[F.col(f"`{c}`").alias(_plain(c, rows.columns)) for c in rows.columns])
-    finally:
-        spark.conf.unset("spark.sql.caseSensitive")
+    """The records of a JSON array, with a fixed schema; a broken file is an error, not a row of nulls.
+
+    Keys that differ by case alone (id and Id) are two keys, so each record is read as a variant and its fields are taken by
+    path; a field of another kind than the schema's is null."""
+    rows = spark.read.option("singleVariantColumn", "v").option("multiLine", True).option("mode", "FAILFAST").json(path)
+    rows = rows.select(F.explode(F.variant_get("v", "$", "array<variant>")).alias("v"))  # fails if it is no array
+    fields = T.StructType.fromDDL(schema or ENTITY_SCHEMA[system]).fields
+    names = [f.name for f in fields]
+    return rows.select(*[F.try_variant_get("v", f"$.{f.name}", f.dataType.simpleString()).alias(_plain(f.name, names)) for f in fields])
 
 
 def _plain(name: str, names: list[str]) -> str:
