@@ -74,7 +74,7 @@ def checked(kind: str, m: Column) -> Column:
     """Whether a match of the kind's pattern passes its check."""
     n = F.length(_digits(m))
     if kind == "ip":
-        return F.forall(F.split(m, r"\."), lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3) & (F.coalesce(F.substring(F.ltrim(F.lit("0"), p), 1, 3).try_cast("int"), F.lit(0)) <= 255))
+        return F.forall(F.split(m, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.substring(F.ltrim(p, F.lit("0")), 1, 3).try_cast("int"), F.lit(0)) <= 255))
     if kind == "card":
         return n.between(14, 19) & F.when(n.between(14, 19), luhn(m)).otherwise(False)
     if kind == "phone":
@@ -100,7 +100,7 @@ def _gazetteer(kind: str, m: Column) -> Column:
 def candidates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns `keep`, spans: array of (s, k, e, base, shape, list, words) of all candidates, by start and kind."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, *(F.col(c).alias(f"keep_{c}") for c in keep))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, *(F.col(c).alias(f"keep_{c}") for c in keep if c != "text"), *([F.col("text").isNull().alias("keep_no_text")] if "text" in keep else []))
     for kind in KINDS:
         some = F.when(F.col("text").rlike(HOLDS[kind]), F.regexp_extract_all("text", F.lit(PATTERNS[kind]), F.lit(0))).otherwise(F.array().cast("array<string>"))
         out = out.withColumn(f"m_{kind}", some)
@@ -117,7 +117,8 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         return F.transform(f"s_{kind}", one)
 
     every = F.sort_array(F.concat(*[voted(kind, k) for k, kind in enumerate(KINDS)]))
-    return out.select("doc_id", *(F.col(f"keep_{c}").alias(c) for c in keep), every.alias("spans"))
+    own = {c: F.when(~F.col("keep_no_text"), F.col("text")) if c == "text" else F.col(f"keep_{c}") for c in keep}
+    return out.select("doc_id", *(v.alias(c) for c, v in own.items()), every.alias("spans"))
 
 
 VOTES = ("shape", "list", "words")
