@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samewise.llm import jaccard, langid, packing, pii, templates
-from samewise.llm.common import crc_mod, cut, table
+from samewise.llm.common import bounded_batches, crc_mod, cut, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -35,12 +35,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines of recurring templates; a document of such lines alone goes."""
+    bounded_batches(spark)
     done = templates.clean(docs.select(*COLUMNS))
     return _documents(done.where((F.col("n_lines_dropped") == 0) | (F.length(F.trim("text")) > 0)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of least doc_id; of repeated rows one; what shares no n-gram set stays."""
+    bounded_batches(spark)
     found = jaccard.join(docs.select(*COLUMNS)).where(F.col("doc_id").isNotNull() & ~F.col("kept")).select("doc_id").distinct()
     one = docs.select(*COLUMNS).join(cut(found, "gone"), "doc_id", "left_anti")
     return _documents(one.dropDuplicates(["doc_id", "text"]))
@@ -55,6 +57,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document, packed into sequences of 1,024 tokens."""
+    bounded_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -2,14 +2,50 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def tidy(run: Callable, *caches) -> Callable:
+    """run, and then the worker's memory given back: workers outlive a stage, and the next one's share the executor's memory."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release(*caches)
+
+    return wrapped
+
+
+def release(*caches) -> None:
+    import pyarrow as pa
+
+    for c in caches:
+        c.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Arrow batches of `rows` rows at most, as texts are long: a worker holds a batch of whole texts at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

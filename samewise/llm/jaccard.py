@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samewise.llm.common import cut, shuffle_partitions
+from samewise.llm.common import cut, release, shuffle_partitions
 from samewise.llm.graph import components, local_roots
 
 WIDTH = 5
@@ -40,7 +40,7 @@ def plan_bands(threshold: float, recall: float, most: int = 128) -> tuple[int, i
 class Hashes(dict):
     """64-bit hashes of words, `most` at once."""
 
-    most = 500_000
+    most = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
@@ -52,6 +52,18 @@ class Hashes(dict):
 _hashes = Hashes()
 
 
+def _tidied(run):
+    """run, and then the worker's hashes and free memory given back."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release(_hashes)
+
+    return wrapped
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
@@ -101,7 +113,7 @@ def _signed(docs: DataFrame, bands: Bands) -> DataFrame:
                 hashes.append(bands.of(g) if len(g) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, key long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_tidied(run), "doc_id long, key long, bands array<long>")
 
 
 def _with_sets(docs: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
@@ -115,7 +127,7 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
             sets = [shingles(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(g.tobytes()) - (1 << 63) if len(g) else None for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())], names=["key", "grams"])
 
-    return picked.mapInArrow(run, "key long, grams binary")
+    return picked.mapInArrow(_tidied(run), "key long, grams binary")
 
 
 def _verify(threshold: float):

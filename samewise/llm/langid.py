@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samewise.llm.common import crc_mod
+from samewise.llm.common import crc_mod, tidy
 
 LETTERS_END = 0x33000  # no letter has a higher code point
 UND = "und"
@@ -67,7 +67,7 @@ def count_grams(docs: DataFrame, most: int = 500_000) -> DataFrame:
                     held.clear()
         yield out()
 
-    return docs.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(tidy(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class Profiles:
@@ -120,7 +120,7 @@ def classify(docs: DataFrame, profiles: Profiles, keep: list[str]) -> DataFrame:
             found = [sent.value.predict(t.as_py()) for t in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
 
-    return own.mapInArrow(run, (schema + ", " if keep else "") + "lang_pred string, score double")
+    return own.mapInArrow(tidy(run), (schema + ", " if keep else "") + "lang_pred string, score double")
 
 
 def held_out_predictions(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samewise.llm.common import cut
+from samewise.llm.common import cut, tidy
 
 LEAD, LEAST_TOKENS, SHORT, SHORT_DOCS, LEAST_FIXED = 3, 3, 6, 20, 0.6
 WILD = "<*>"
@@ -65,7 +65,7 @@ def _lines(docs: DataFrame, with_text: bool) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * len(kinds), kinds)], names=names)
 
     own = docs.select(_row().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    return own.mapInArrow(run, "row long, doc_id long, body long, line int, leaf long, shape long, n_tokens int" + ", joined string" * with_text)
+    return own.mapInArrow(tidy(run), "row long, doc_id long, body long, line int, leaf long, shape long, n_tokens int" + ", joined string" * with_text)
 
 
 def _row():
