@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from samewise.llm import byte_bpe
+from samewise.llm.common import cut
 
 PARTS = ("first_arc", "final", "key", "target", "skip", "at", "ids")
 
@@ -192,7 +193,7 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, size: int, most: int = 200_000) -> DataFrame:
-    """The `size` most frequent words of all texts, ties by the word; word: with its space. Counts are summed in each task first, `most` words at a time."""
+    """The most frequent words of all texts, `size` at most and all of equal count or none. Counts are summed in each task first, `most` words at a time."""
 
     def run(batches):
         held: Counter = Counter()
@@ -210,8 +211,15 @@ def frequent_words(docs: DataFrame, size: int, most: int = 200_000) -> DataFrame
         yield out()
 
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null and text != ''")
-    counts = texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counts.where("n > 1").orderBy(F.desc("n"), "word").limit(size)
+    counts = cut(texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "words")
+    # the least count that still leaves room for all words of it: a row for each count, and no task sends its own best words
+    held, least = 0, 2
+    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(size + 1).collect():
+        if held + r["words"] > size:
+            least = r["n"] + 1
+            break
+        held += r["words"]
+    return counts.where(F.col("n") >= least)
 
 
 _sent: set[tuple[str, str]] = set()
