@@ -1,11 +1,15 @@
 """Line dedup by a log-template tree: token count and leading tokens lead to a leaf, whose variable fields become wild.
 
 A line is what stands between line feeds; its tokens stand between ASCII white space; a token with a digit is wild from
-the start. The tree has a fixed depth: token count, then `LEAD` leading tokens. In a leaf, a token that fewer than
-`least_docs` documents have at its position is a variable field. Lines whose other tokens agree are of one template, if they are
-at least `LEAST_FIXED` of the line; else a line is a template of its own. A template recurs if it is in `least_docs` documents of
-different text (short lines, which recur by chance, need `SHORT_DOCS`). Of a recurring template's lines, those in the document
-of least doc_id stay, the others go: what recurs stays once.
+the start. The tree has a fixed depth: token count, then `LEAD` leading tokens. In a leaf, each token has a level: how often the
+number of documents that have it at its position is `least_docs` doubled. At each level of a line, the tokens of lower levels
+are variable fields, and lines whose other tokens agree are of one template, if these are at least `LEAST_FIXED` of the line and
+as many documents as the level says have them together; besides, each line is a template of its own. So a field's words may
+recur in any number of documents, as long as the words around it do in at least twice as many.
+
+A template recurs if it is in `least_docs` documents of different text (short lines, which recur by chance, need `SHORT_DOCS`).
+Of the recurring templates of a line the most general counts. Of its lines, those in the document of least doc_id stay, the
+others go: what recurs stays once.
 
 All counts are sums over all documents; no leaf is gathered in one task. Lines of less than `LEAST_TOKENS` tokens stay.
 Null texts stay null; documents without a doc_id keep no recurring line; repeated rows are treated alike; other columns
@@ -17,7 +21,7 @@ import re
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from samewise.llm.common import cut, tidy
@@ -88,19 +92,27 @@ def recurring(docs: DataFrame, least_docs: int = 3, most: int = 500_000) -> tupl
     texts = _lines(docs, True).select("leaf", "shape", "joined").join(_small(mixed, most), "leaf", "left_semi").groupBy("leaf", "shape").agg(F.first("joined").alias("joined"))
     own = cut(texts.join(shapes, ["leaf", "shape"]).select("leaf", "shape", "docs", "n_tokens", "joined"), "mixed-shapes")
     at = own.select("leaf", "shape", "docs", F.posexplode(F.split("joined", " ")).alias("at", "token"))
-    fixed = at.where(F.col("token") != WILD).groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= least_docs).select("leaf", "at", "token")
-    kept = at.join(fixed, ["leaf", "at", "token"]).groupBy("leaf", "shape").agg(F.count("*").alias("fixed"), F.bit_xor(F.xxhash64("at", "token")).alias("a"), F.sum(F.xxhash64("token", "at").cast("decimal(38,0)")).alias("b"))
-    general = own.join(kept, ["leaf", "shape"]).where(F.col("fixed") >= LEAST_FIXED * F.col("n_tokens")).select("leaf", "shape", F.xxhash64("fixed", "a", "b").alias("template"))
-    of_shape = shapes.join(general, ["leaf", "shape"], "left").withColumn("template", F.coalesce("template", "shape"))
-    of_shape = cut(of_shape.select("leaf", "shape", "n_tokens", "docs", "keeper", "template"), "templates")
+    level = F.floor(F.log2(F.col("n") / least_docs) + 1e-9).cast("int").alias("level")
+    fixed = at.where(F.col("token") != WILD).groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= least_docs).select("leaf", "at", "token", level)
+    kept = at.join(fixed, ["leaf", "at", "token"]).select("leaf", "shape", "level", "at", "token").repartition("leaf", "shape").groupBy("leaf", "shape", "level")
+    kept = kept.agg(F.count("*").alias("fixed"), F.bit_xor(F.xxhash64("at", "token")).alias("a"), F.sum(F.xxhash64("token", "at").cast("decimal(38,0)")).alias("b"))
+    # the tokens of a level and of those above it
+    above = Window.partitionBy("leaf", "shape").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)
+    kept = kept.select("leaf", "shape", "level", F.sum("fixed").over(above).alias("fixed"), F.bit_xor("a").over(above).alias("a"), F.sum("b").over(above).cast("decimal(38,0)").alias("b"))
+    general = own.select("leaf", "shape", "n_tokens").join(kept, ["leaf", "shape"]).where(F.col("fixed") >= LEAST_FIXED * F.col("n_tokens"))
+    general = shapes.join(general.select("leaf", "shape", "level", F.xxhash64("level", "fixed", "a", "b").alias("template")), ["leaf", "shape"])
+    columns = ["leaf", "shape", "n_tokens", "docs", "keeper", "level", "template"]
+    of_shape = cut(shapes.select("*", F.lit(-1).alias("level"), F.col("shape").alias("template")).select(columns).unionByName(general.select(columns)), "templates")
     # a document may have several shapes of one template, so documents are counted anew where there are several shapes
-    several = of_shape.groupBy("leaf", "template").agg(F.count("*").alias("n"), F.sum("docs").alias("docs"), F.min("keeper").alias("keeper"), F.max("n_tokens").alias("n_tokens"))
+    several = of_shape.groupBy("leaf", "template").agg(F.count("*").alias("n"), F.sum("docs").alias("docs"), F.min("keeper").alias("keeper"), F.max("n_tokens").alias("n_tokens"), F.max("level").alias("level"))
     enough = F.when(F.col("n_tokens") < SHORT, SHORT_DOCS).otherwise(least_docs)
-    hopeful = cut(several.where(F.col("docs") >= enough), "templates")
+    hopeful = cut(several.where((F.col("docs") >= enough) & (F.col("docs") >= least_docs * F.pow(F.lit(2), F.greatest("level", F.lit(0))))), "templates")
     again = of_shape.join(hopeful.where("n > 1").select("leaf", "template"), ["leaf", "template"]).select("leaf", "shape", "template")
     exact = lines.select("leaf", "shape", "body").join(again, ["leaf", "shape"]).select("leaf", "template", "body").distinct().groupBy("leaf", "template").agg(F.count("*").alias("exact"))
     sure = hopeful.join(exact, ["leaf", "template"], "left").where(F.coalesce("exact", "docs") >= enough).select("leaf", "template", "keeper")
-    return lines, cut(of_shape.drop("keeper", "docs", "n_tokens").join(sure, ["leaf", "template"]).select("leaf", "shape", "keeper"), "going")
+    # what agrees at a level agrees at those above it, so all lines of a template have the same most general one
+    best = of_shape.select("leaf", "shape", "level", "template").join(sure, ["leaf", "template"]).groupBy("leaf", "shape").agg(F.max_by("keeper", "level").alias("keeper"))
+    return lines, cut(best, "going")
 
 
 def clean(docs: DataFrame, least_docs: int = 3, most: int = 500_000) -> DataFrame:

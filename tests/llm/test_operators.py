@@ -298,6 +298,17 @@ def test_templates(spark, edge, none):
     assert Counter(r.text for r in out.collect()) == Counter(t for _, t in texts_of(edge))
 
 
+def test_templates_fields_of_recurring_words(spark):
+    # a leaf of 400 documents, two fields of 40 words each: every word is in about 10 documents, hardly any pair in 3
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(40)]
+    rows = [(i, f"posted by the shop {rng.choice(words)} in category {rng.choice(words)} for all readers\nown {rng.choice(words)}{i}") for i in range(400)]
+    # another template in the same leaf, of fewer documents
+    rows += [(1000 + i, f"posted by the firm {rng.choice(words)} under heading {rng.choice(words)} with many thanks\nown {i}") for i in range(60)]
+    got = {r.doc_id: r.n_lines_dropped for r in templates.clean(docs(spark, rows)).collect()}
+    assert got == {i: int(i not in (0, 1000)) for i, _ in rows}
+
+
 def test_jaccard(spark, edge, none):
     rng = random.Random(7)
     base = [[f"w{rng.randint(0, 400)}" for _ in range(80)] for _ in range(6)]
