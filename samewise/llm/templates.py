@@ -7,16 +7,18 @@ are variable fields, and lines whose other tokens agree are of one template, if
 as many documents as the level says have them together; besides, each line is a template of its own. So a field's words may
 recur in any number of documents, as long as the words around it do in at least twice as many.
 
-A template recurs if it is in `least_docs` documents of different text (short lines, which recur by chance, need `SHORT_DOCS`).
+A template recurs if it is in `least_docs` documents of different text. Lines of `LONG` tokens, which don't recur by chance, need
+two; short lines, which do, need `SHORT_DOCS`, and those of one or two tokens `TINY_SHARE` of all documents besides.
 Of the recurring templates of a line the most general counts. Of its lines, those in the document of least doc_id stay, the
 others go: what recurs stays once.
 
-All counts are sums over all documents; no leaf is gathered in one task. Lines of less than `LEAST_TOKENS` tokens stay.
+All counts are sums over all documents; no leaf is gathered in one task. Lines of one or two tokens without a letter, such as numbers and rules, stay.
 Null texts stay null; documents without a doc_id keep no recurring line; repeated rows are treated alike; other columns
 pass through untouched, whatever their names; an empty table gives no rows."""
 
 from __future__ import annotations
 
+import math
 import re
 
 import pyarrow as pa
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from samewise.llm.common import cut, tidy
 
 LEAD, LEAST_TOKENS, SHORT, SHORT_DOCS, LEAST_FIXED = 3, 3, 6, 20, 0.6
+LONG, LONG_DOCS, TINY_SHARE = 20, 2, 0.05
 WILD = "<*>"
 DIGIT = re.compile(r"[0-9]")
 SPACE = " \t\x0b\x0c\r"
@@ -54,7 +57,7 @@ def _lines(docs: DataFrame, with_text: bool) -> DataFrame:
                 body = hashed(text)
                 for k, line in enumerate(text.split("\n")):
                     own = tokens(line)
-                    if len(own) >= LEAST_TOKENS:
+                    if len(own) >= LEAST_TOKENS or any(c.isalpha() for t in own if t != WILD for c in t):
                         joined = " ".join(own)
                         out.append((row, doc, body, k, hashed(f"{len(own)} {' '.join(own[:LEAD])}"), hashed(joined), len(own), *([joined] if with_text else [])))
                 if len(out) > 20_000:
@@ -105,8 +108,9 @@ def recurring(docs: DataFrame, least_docs: int = 3, most: int = 500_000) -> tupl
     of_shape = cut(shapes.select("*", F.lit(-1).alias("level"), F.col("shape").alias("template")).select(columns).unionByName(general.select(columns)), "templates")
     # a document may have several shapes of one template, so documents are counted anew where there are several shapes
     several = of_shape.groupBy("leaf", "template").agg(F.count("*").alias("n"), F.sum("docs").alias("docs"), F.min("keeper").alias("keeper"), F.max("n_tokens").alias("n_tokens"), F.max("level").alias("level"))
-    enough = F.when(F.col("n_tokens") < SHORT, SHORT_DOCS).otherwise(least_docs)
-    hopeful = cut(several.where((F.col("docs") >= enough) & (F.col("docs") >= least_docs * F.pow(F.lit(2), F.greatest("level", F.lit(0))))), "templates")
+    tiny = max(SHORT_DOCS, math.ceil(TINY_SHARE * docs.where("text is not null").count()))
+    enough = F.when(F.col("n_tokens") < LEAST_TOKENS, tiny).when(F.col("n_tokens") < SHORT, SHORT_DOCS).when(F.col("n_tokens") >= LONG, min(LONG_DOCS, least_docs)).otherwise(least_docs)
+    hopeful = cut(several.where((F.col("docs") >= enough) & ((F.col("level") < 0) | (F.col("docs") >= least_docs * F.pow(F.lit(2), F.col("level"))))), "templates")
     again = of_shape.join(hopeful.where("n > 1").select("leaf", "template"), ["leaf", "template"]).select("leaf", "shape", "template")
     exact = lines.select("leaf", "shape", "body").join(again, ["leaf", "shape"]).select("leaf", "template", "body").distinct().groupBy("leaf", "template").agg(F.count("*").alias("exact"))
     sure = hopeful.join(exact, ["leaf", "template"], "left").where(F.coalesce("exact", "docs") >= enough).select("leaf", "template", "keeper")

@@ -302,13 +302,26 @@ def test_templates_fields_of_recurring_words(spark):
     # a leaf of 400 documents, two fields of 40 words each: every word is in about 10 documents, hardly any pair in 3
     rng = random.Random(4)
     words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(40)]
-    rows = [(i, f"posted by the shop {rng.choice(words)} in category {rng.choice(words)} for all readers\nown {rng.choice(words)}{i}") for i in range(400)]
+    rows = [(i, f"posted by the shop {rng.choice(words)} in category {rng.choice(words)} for all readers\n{rng.choice(words)}{i}") for i in range(400)]
     # another template in the same leaf, of fewer documents
-    rows += [(1000 + i, f"posted by the firm {rng.choice(words)} under heading {rng.choice(words)} with many thanks\nown {i}") for i in range(60)]
+    rows += [(1000 + i, f"posted by the firm {rng.choice(words)} under heading {rng.choice(words)} with many thanks\n{i}") for i in range(60)]
     got = {r.doc_id: r.n_lines_dropped for r in templates.clean(docs(spark, rows)).collect()}
     assert got == {i: int(i not in (0, 1000)) for i, _ in rows}
 
 
+def test_templates_long_and_tiny_lines(spark):
+    rng = random.Random(5)
+    line = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    passage, shorter = line(50), line(12)
+    rows = [(i, f"{line(9)}\nRead more\n12\n{'Rarely so' if i < 20 else 'x'}\n{line(9)}") for i in range(600)]
+    for i in (7, 9):
+        rows[i] = (i, f"{rows[i][1]}\n{passage}\n{shorter}")
+    got = {r.doc_id: (r.text, r.n_lines_dropped) for r in templates.clean(docs(spark, rows)).collect()}
+    assert passage in got[7][0] and passage not in got[9][0] and shorter in got[9][0]
+    # two tokens: dropped in half of the documents, but not where 20 of 600 hold them
+    assert all(("Read more" in t) == (i == 0) and "\n12\n" in t and ("Rarely so" in t) == (i < 20) for i, (t, _) in got.items())
+
+
 def test_jaccard(spark, edge, none):
     rng = random.Random(7)
     base = [[f"w{rng.randint(0, 400)}" for _ in range(80)] for _ in range(6)]
