@@ -197,6 +197,14 @@ def test_reliabilities():
     assert pii.fit(counts, post)[0] > 0 and pii.reliabilities([]) == []
 
 
+def test_pii_no_labeler_has_a_veto(spark):
+    # numbers of a telling shape mostly follow telling words, others mostly follow 'version' or 'order'
+    rows = [(i, f"call 212-555-{1000 + i} or a{i}@b.org") for i in range(60)] + [(100 + i, f"version 12.34.{5000 + i}") for i in range(60)]
+    rows += [(200, "it is 212-555-0199 then"), (201, "it is 123-45-6789 then"), (202, "it is 12.34.5678 then"), (203, "order 12 34 567")]
+    got = {r.doc_id: r.n_added for r in pii.digests(docs(spark, rows)).collect()}
+    assert [got[i] for i in (0, 200, 201, 100, 202, 203)] == [1, 1, 1, 0, 0, 0]
+
+
 # 1, 7, 9
 
 
