@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samewise.llm.common import crc_mod, tidy
+from samewise.llm.common import crc_mod, cut, tidy
 
 LETTERS_END = 0x33000  # no letter has a higher code point
 UND = "und"
@@ -92,17 +92,15 @@ class Profiles:
         return self.langs[j], float(1 - far[j] / (self.size * len(codes)))
 
 
-def learn(docs: DataFrame, size: int = 400, docs_per_lang: int = 5_000) -> Profiles:
-    """Profiles of docs' languages (lang, text), from about `docs_per_lang` documents of each at most, drawn by a hash of the text.
+def learn(docs: DataFrame, size: int = 400) -> Profiles:
+    """Profiles of docs' languages (lang, text), from all rows: n-grams are summed in each task before they are dealt.
 
     A language's profile is its `size` most frequent n-grams; languages are few, so profiles are collected."""
     known = docs.where("lang is not null and text is not null").select("lang", "text")
-    n = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    rate = F.element_at(F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(1.0, docs_per_lang / v))]), F.col("lang")) if n else F.lit(1.0)
-    drawn = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < rate * 1_000_000)
-    ranked = count_grams(drawn)
+    ranked = cut(count_grams(known), "grams")
+    langs = sorted(r["lang"] for r in ranked.select("lang").distinct().collect())
     by = defaultdict(list)
-    top = [ranked.where(F.col("lang") == k).orderBy(F.desc("n"), "gram").limit(size) for k in sorted(n)]
+    top = [ranked.where(F.col("lang") == k).orderBy(F.desc("n"), "gram").limit(size) for k in langs]
     for rows in top:
         for r in rows.collect():
             by[r["lang"]].append(r["gram"])

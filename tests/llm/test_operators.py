@@ -220,6 +220,14 @@ def test_language(spark, edge, none):
     assert langid.held_out_predictions(none).count() == 0 and {r.lang_pred for r in langid.held_out_predictions(edge).collect()} == {"und"}
 
 
+def test_language_learned_from_all_rows(spark):
+    # 12,000 rows of one text in each of several languages: a draw by the text's hash holds all of a language's rows or none
+    text = {f"l{k}": chr(0x61 + k) * 9 for k in range(6)}
+    df = spark.range(12_000).crossJoin(spark.createDataFrame(list(text.items()), "lang string, text string")).select("lang", "text")
+    profiles = langid.learn(df)
+    assert profiles.langs == sorted(text) and all(profiles.predict(t)[0] == k for k, t in text.items())
+
+
 def test_out_of_place():
     p = langid.Profiles({"a": [3, 1, 2], "b": [9, 8, 7]}, 3)
     assert p.ranks[p.codes.tolist().index(1)].tolist() == [1, 3] and p.predict("123") == ("und", 0.0)
