@@ -27,6 +27,7 @@ LEAST_BITS = {"hex": 2.9, "alnum": 3.6, "base64": 3.6}
 #: Candidates that look random but are public: UUIDs, content hashes under their name, addresses, placeholders.
 ALLOWED = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|sha(1|256|384|512)-[A-Za-z0-9+/=_-]+|.*(EXAMPLE|example|sample|placeholder|changeme|0123456789|123456789|abcdefghij|ABCDEFGHIJ).*", re.S)
 ALLOWED_BEFORE = ("://", "@", "www.", "urn:uuid:", "sha1:", "sha256:", "md5:", "//")
+STOPS = re.compile(r"""[\s"'`,;|<>()\[\]{}]""")  # what ends the token that a candidate is in; of that, 200 characters are looked at
 XLOGX = [0.0] + [i * math.log2(i) for i in range(1, WINDOW + 1)]
 
 
@@ -79,7 +80,7 @@ def entropy_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str
         s, at = m[0], m.start()
         if (kind := char_class(s)) is None or ALLOWED.fullmatch(s):
             continue
-        before = text[max(0, text.rfind(" ", max(0, at - 200), at)) : at].lower()
+        before = STOPS.split(text[max(0, at - 200) : at])[-1].lower()
         if any(x in before for x in ALLOWED_BEFORE) or s.startswith("//"):
             continue
         if (found := random_windows(s, LEAST_BITS[kind])) and not any(a < at + found[1] and at + found[0] < b for _, a, b in base):

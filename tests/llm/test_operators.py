@@ -152,6 +152,15 @@ def test_entropy_windows():
         assert secrets.random_windows(s, 2.9 - 1e-9) == ((ok[0], ok[-1] + 20) if ok else None)
 
 
+def test_entropy_allow_list_looks_at_the_token_only():
+    key = "Zk3vQ9xLw2Pn8RtY5uHb7Jm4"
+    found = lambda t: [t[a:b] for _, a, b in secrets.entropy_spans(t, [])]
+    for t in (f"see https://x.com/docs\n{key}", f"a@b.org,{key}", f'{{"m":"a@b.org","k":"{key}"}}', f"a@b.org,{'x,' * 50_000}{key}", f"http://x.com\t{key}"):
+        assert found(t) == [key], t[:60]
+    for t in (f"https://x.com/{key}", f"see https://x.com/?q=1&k.{key}", f"sha256:{key}", f"a@{key}"):
+        assert not found(t)
+
+
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
