@@ -1,5 +1,8 @@
 """Secret scan: three base patterns, and sliding-window Shannon entropy over candidate strings with an allow-list.
 
+Each window has a character class of its own, and must have the bits of that class; windows that overlap make one span.
+Candidates are cut at '='; windows that touch a placeholder are left out, the others of the candidate stay.
+
 Spans are (kind, start, end) in code points, end exclusive. Null texts count as empty and have no spans; whole texts of
 any length are scanned; repeated rows give repeated rows; extra columns are ignored; an empty table gives no rows."""
 
@@ -21,34 +24,47 @@ KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN_SIGNS = ("passw", "secret", "token", "api")  # each match holds one of these, in some case
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PIECE = re.compile(r"[^=]{20,}")
 WINDOW = 20
 #: Bits a character: what a window must have, by character class.
-LEAST_BITS = {"hex": 2.9, "alnum": 3.6, "base64": 3.6}
+LEAST_BITS = {"hex": 2.9, "lower": 3.6, "upper": 3.6, "alnum": 3.6, "base64": 3.6, "letters": 3.9}
+LEAST_SWITCHES = 3  # between letters and digits, or cases: words, numbers and names joined have fewer
 #: Candidates that look random but are public: UUIDs, content hashes under their name, addresses, placeholders.
-ALLOWED = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|sha(1|256|384|512)-[A-Za-z0-9+/=_-]+|.*(EXAMPLE|example|sample|placeholder|changeme|0123456789|123456789|abcdefghij|ABCDEFGHIJ).*", re.S)
+ALLOWED = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|sha(1|256|384|512)-[A-Za-z0-9+/_-]+")
+PLACEHOLDER = re.compile(r"EXAMPLE|example|sample|placeholder|changeme|0?123456789|abcdefghij|ABCDEFGHIJ")
 ALLOWED_BEFORE = ("://", "@", "www.", "urn:uuid:", "sha1:", "sha256:", "md5:", "//")
 STOPS = re.compile(r"""[\s"'`,;|<>()\[\]{}]""")  # what ends the token that a candidate is in; of that, 200 characters are looked at
-XLOGX = [0.0] + [i * math.log2(i) for i in range(1, WINDOW + 1)]
+XLOGX = [0.0] + [i * math.log2(i) for i in range(1, WINDOW + 2)]  # a window and the character that comes
 
 
 def char_class(s: str) -> str | None:
-    """hex, alnum or base64; None for what prose, numbers and separators are made of."""
+    """The class of a window: hex, lower or upper (with digits), alnum, base64 or letters; None for what prose, numbers and separators are made of."""
     digits = sum(c.isdigit() for c in s)
-    if not digits or digits == len(s) or len(set(s)) < 8:
+    if digits == len(s) or len(set(s)) < 8:
         return None
-    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s):
-        return "hex"
-    if not (re.search("[a-z]", s) and re.search("[A-Z]", s)):
+    lower, upper = re.search("[a-z]", s), re.search("[A-Z]", s)
+    if not s.isalnum():
+        return "base64" if digits and lower and upper else None
+    if not digits:
+        return "letters"
+    if lower and upper:
+        return "alnum"
+    if switches(s) < LEAST_SWITCHES:
         return None
-    return "alnum" if s.isalnum() else "base64"
+    return "hex" if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s) else "lower" if lower else "upper"
 
 
-def random_windows(s: str, least: float) -> tuple[int, int] | None:
-    """From the first window's start to the last one's end, among windows with at least `least` bits a character.
+def switches(s: str) -> int:
+    """How often a letter follows a digit, or a digit a letter."""
+    return sum(a.isdigit() != b.isdigit() for a, b in zip(s, s[1:]))
+
+
+def bits(s: str):
+    """The start and the bits a character of each window of s.
 
     The counts and the sum of n log n change by the character that comes and the one that goes."""
     counts: dict[str, int] = {}
-    total, first, last = 0.0, None, 0
+    total = 0.0
     for i, c in enumerate(s):
         n = counts.get(c, 0)
         counts[c] = n + 1
@@ -58,9 +74,29 @@ def random_windows(s: str, least: float) -> tuple[int, int] | None:
             n = counts[gone]
             counts[gone] = n - 1
             total += XLOGX[n - 1] - XLOGX[n]
-        if i >= WINDOW - 1 and math.log2(WINDOW) - total / WINDOW >= least:
-            first, last = (i - WINDOW + 1 if first is None else first), i + 1
-    return None if first is None else (first, last)
+        if i >= WINDOW - 1:
+            yield i - WINDOW + 1, math.log2(WINDOW) - total / WINDOW
+
+
+def random_windows(s: str, least: float) -> tuple[int, int] | None:
+    """From the first window's start to the last one's end, among windows with at least `least` bits a character."""
+    found = [i for i, b in bits(s) if b >= least]
+    return (found[0], found[-1] + WINDOW) if found else None
+
+
+def random_parts(s: str) -> list[tuple[int, int]]:
+    """Runs of overlapping windows with the bits of their class that touch no placeholder."""
+    held = [m.span() for m in PLACEHOLDER.finditer(s)]
+    lowest = min(LEAST_BITS.values())
+    out: list[tuple[int, int]] = []
+    k = 0
+    for i, b in bits(s):
+        while k < len(held) and held[k][1] <= i:
+            k += 1
+        if b < lowest or (k < len(held) and held[k][0] < i + WINDOW) or (kind := char_class(s[i : i + WINDOW])) is None or b < LEAST_BITS[kind]:
+            continue
+        out[-1:] = [(out[-1][0], i + WINDOW)] if out and i < out[-1][1] else [*out[-1:], (i, i + WINDOW)]
+    return out
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -77,14 +113,19 @@ def entropy_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str
     """Spans of random windows that touch no base span and that the allow-list doesn't suppress."""
     out = []
     for m in CANDIDATE.finditer(text):
-        s, at = m[0], m.start()
-        if (kind := char_class(s)) is None or ALLOWED.fullmatch(s):
-            continue
-        before = STOPS.split(text[max(0, at - 200) : at])[-1].lower()
-        if any(x in before for x in ALLOWED_BEFORE) or s.startswith("//"):
+        if m[0].startswith("//"):
             continue
-        if (found := random_windows(s, LEAST_BITS[kind])) and not any(a < at + found[1] and at + found[0] < b for _, a, b in base):
-            out.append(("entropy", at + found[0], at + found[1]))
+        head = None
+        for piece in PIECE.finditer(m[0]):
+            if ALLOWED.fullmatch(piece[0]) or not (parts := random_parts(piece[0])):
+                continue
+            if head is None:
+                head = STOPS.split(text[max(0, m.start() - 200) : m.start()])[-1].lower()
+            before = head + m[0][max(0, piece.start() - 200) : piece.start()].lower()
+            if any(x in before for x in ALLOWED_BEFORE):
+                continue
+            at = m.start() + piece.start()
+            out += [("entropy", at + s, at + e) for s, e in parts if not any(a < at + e and at + s < b for _, a, b in base)]
     return out
 
 

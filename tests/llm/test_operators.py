@@ -161,6 +161,19 @@ def test_entropy_allow_list_looks_at_the_token_only():
         assert not found(t)
 
 
+def test_entropy_class_by_window():
+    rng = random.Random(8)
+    found = lambda t: [t[a:b] for _, a, b in secrets.entropy_spans(t, [])]
+    for signs in ("abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        keys = ["".join(rng.choices(signs, k=40)) for _ in range(50)]
+        assert sum(bool(found(f"a {k} b")) for k in keys) >= 48
+    assert found("key=9f86d081884c7d659a2f") == ["9f86d081884c7d659a2f"]
+    key = "Zk3vQ9xLw2Pn8RtY5uHb7Jm4"
+    assert found(f"example-{key}")[0].endswith(key[1:]) and found(f"{key}_sample_value_of_it")[0].startswith(key[:-1])
+    for t in ("Unabhaengigkeitserklaerungen", "a_long_name_of_words_joined_2024", "thequickbrownfox2024jumpsover", "getElementsByClassNameAndTagName", "2024-01-15-10-30-45-000000", "invoice20240101123456789", "ABCDEFGHIJKLMNOP1234567890", "example-of-a-path/with/several-parts"):
+        assert not found(t), t
+
+
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
