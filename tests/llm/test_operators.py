@@ -319,6 +319,19 @@ def test_quality(spark, edge, none):
     assert len(out) == 200 + edge.count() and quality.judge(none).count() == 0
 
 
+def test_quality_planted_repetition(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 8)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, "\n\n".join(line(12) for _ in range(10)), "en", "s" if i < 200 else f"small{i}", None) for i in range(205)]
+    same, three = line(2), line(3)
+    rows += [(300, "\n\n".join(line(12) for _ in range(10)) + f"\n\n{same}" * 10, "en", "s", None)]  # half of the lines
+    rows += [(301, line(60) + f" {three}" * 15, "en", "s", None)]  # four words in ten
+    rows += [(302, line(60) + f" {three}" * 15, "en", "rare", None), (303, line(60) + f" {three}" * 15, "xx", None, None)]
+    out = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(r.base_failed for r in out.values()) and {i for i, r in out.items() if not r.kept} == {300, 301, 302, 303}
+
+
 # 3, 4, 6
 
 
