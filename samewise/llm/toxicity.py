@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from samewise.llm.common import crc_mod
 
 LENGTH, SPAN, DECAY, POWER = 4, 6, 0.7, 3
-LONGEST = 40  # characters of a word that count; what is longer is several words
+LONGEST = 40  # characters of a word; what is longer is several words, see pieces()
+PIECE, STEP = 12, 2
 #: By offset of the last character: the offsets of a subsequence, and its weight.
 SHAPES = [((0, *c, s), DECAY**s) for s in range(LENGTH - 1, SPAN) for c in combinations(range(1, s), LENGTH - 2)]
 SPACED = re.compile(r"(?<!\S)\w(?:[ _.*-]\w){3,}(?!\S)")
@@ -96,10 +97,24 @@ class Kernel:
         return out**POWER
 
 
+def pieces(token: str) -> list[str]:
+    """A token of a word longer than LONGEST as its parts between separators, those still longer as overlapping pieces.
+
+    Overlaps have PIECE - STEP characters, so that an insult of that length is whole in a piece; the last one ends what the token ends."""
+    if len(token) <= LONGEST or len(cleaned(token)) <= LONGEST:
+        return [token]
+    out = []
+    for p in NOISE.split(token):
+        out += [p] if len(p) <= LONGEST else [p[i : i + PIECE] for i in range(0, len(p) - PIECE + STEP, STEP)]
+    out = [p for p in out if p]
+    return [*out[:-1], out[-1] + token[-1]] if token.endswith(ENDS) else out
+
+
 def tokens_of(text: str) -> list[str]:
-    """Tokens of a text, a full stop for each line's end; runs of single characters come again as one word each."""
+    """Tokens of a text, long ones in pieces, a full stop for each line's end; runs of single characters come again as one word each."""
     low = text.lower()
-    return low.replace("\n", " . ").split() + [t for m in SPACED.finditer(low) for t in (".", cleaned(m[0]))]
+    every = low.replace("\n", " . ").split() + [t for m in SPACED.finditer(low) for t in (".", cleaned(m[0]))]
+    return [p for t in every for p in (pieces(t) if len(t) > LONGEST else (t,))]
 
 
 def starts_of(ends: np.ndarray) -> np.ndarray:

@@ -293,6 +293,26 @@ def test_toxicity(spark, edge, none):
     assert {r.score for r in toxicity.held_out_scores(edge, labels.where("toxic = 7")).collect()} == {0.0}
 
 
+def test_toxicity_counts_all_of_a_long_token():
+    rng = random.Random(5)
+    words = "river stone cloud walks under bright morning field seven apples".split()
+    clean = [" ".join(rng.choices(words, k=30)) + "." for _ in range(160)]
+    toxic = [f"{c} you {rng.choice(['zorkhead', 'zorkish', 'blemface'])} go." for c in clean[:80]]
+    model = toxicity.train(toxic, [f"{c} you {rng.choice(words)} go." for c in clean[80:]])
+    long = rng.choices(words, k=20)
+    at = len("_".join(long[:16])) + 1
+    assert at >= 80
+    for sep in ("_", ".", "/", ""):
+        rude = sep.join([*long[:16], "zorkhead", *long[16:]])
+        assert model.margins(rude)[0] > model.margins(sep.join(long))[0], sep
+        assert not sep or np.allclose(model.margins(rude), model.margins(rude.replace(sep, " ")))
+    for n in (40, 41, 42, 43, 100):
+        t = "".join(rng.choices("abcdefgh", k=n))
+        p = toxicity.pieces(t + "!")
+        assert p[-1].endswith("!") and all(any(t[i : i + 10] in x for x in p) for i in range(n - 9)) and all(len(x) <= toxicity.LONGEST + 1 for x in p)
+    assert sum(len(s) for s in toxicity.sentences("_".join(long))) == 20
+
+
 def slow_statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     seen, dup = set(), 0
