@@ -196,8 +196,14 @@ def test_pii(spark, edge, none):
     pool = ["a@b.c", "x.y_@d-e.fr", "@", "1.2.3.4", "256.1.1.1", "1.2.3", ".", "4111 1111 1111 1111", "4111-1111-1111-1111", "+1 (555) 555-1234", "+44 20 7946 0958", " ", "é", "_", "12", "😀", "\n", "0255.1.1.1", "a@b.c_d@e.f", "Mr. John Smith", "call 212-555-0188"]
     rows = [(i, "".join(rng.choices(pool, k=rng.randint(1, 12)))) for i in range(300)]
     df = docs(spark, rows).unionByName(edge.select(docs(spark, []).columns))
-    want = Counter((i, hashlib.sha256(pii_spans(t or "").encode()).hexdigest()) for i, t in texts_of(df))
-    assert Counter((r.doc_id, r.base_sha256) for r in pii.digests(df).collect()) == want
+    def plain(t):
+        spans = pii_spans(t)
+        return *(sum(s.startswith(f"{k}:") for s in spans.split(",")) for k in PII), hashlib.sha256(spans.encode()).hexdigest()
+
+    want = Counter((i, *plain(t or "")) for i, t in texts_of(df))
+    got = pii.digests(df).collect()
+    assert Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got) == want
+    assert len({(r.n_email, r.n_ip, r.n_card, r.n_phone) for r in got}) > 20 and any(r.n_added for r in got)
     assert pii.digests(none).count() == 0
 
 
@@ -212,11 +218,39 @@ def test_redaction(spark):
     assert got == {1: "é mail [EMAIL] and [IP]!", 2: "clean", 3: None}
 
 
+def test_pii_of_many_spans(spark):
+    rows = [(i, " ".join(f"u{k}@b.co" for k in range(n)) + " call 212-555-0188") for i, n in enumerate((0, 1, 127, 128, 129, 1000))]
+    got = pii.digests(docs(spark, rows)).collect()
+    assert {r.doc_id: (r.n_email, r.base_sha256) for r in got} == {i: (t.count("@"), hashlib.sha256(pii_spans(t).encode()).hexdigest()) for i, t in rows}
+    assert all(r.spans.count("number") == 1 for r in got)
+
+
 def test_reliabilities():
     counts = [((1, 1, 1), 0, 50), ((1, 0, 1), 0, 30), ((-1, -1, 0), 0, 60), ((-1, 0, -1), 0, 40)]
     post = pii.reliabilities(counts)
-    assert post[0] > 0.9 and post[1] > 0.8 and post[2] < 0.1 and post[3] < 0.2
-    assert pii.fit(counts, post)[0] > 0 and pii.reliabilities([]) == []
+    assert post[0] > 0.9 and post[1] > 0.8 and post[2] < 0.1 and post[3] < 0.2 and pii.reliabilities([]) == []
+    none = {"k": 4, "shape": -1, "list": 0, "said": 0, "led": 0, "glued": 0, "flat": 0}
+    w = dict(zip(pii.WEIGHTS, pii.fit([none | {"shape": 1, "said": 3}, none | {"said": 1}], [90, 90], [0.95, 0.05])))
+    assert w["shape", None] > 0 and w["said", 3] > 0 > w["said", 1] and set(pii.fit([], [], [])) == {0.0}
+
+
+def test_pii_reliability_decides(spark):
+    # the same number without telling words, in two corpora: in one, words go with shapes and lists, in the other against them
+    def rows(good, bad):
+        yes = [(i, f"{good} (212) 555-{1000 + i} now or {good} a{i}@b.org") for i in range(60)]
+        return yes + [(100 + i, f"{bad} 12.34.{5000 + i} here") for i in range(60)] + [(200, "call 12.34.9999 then"), (201, "call 212-555-7777 then"), (202, "version 212-555-7777")]
+
+    added = lambda good, bad: {r.doc_id: r.n_added for r in pii.digests(docs(spark, rows(good, bad))).collect()}
+    with_words, against_words = added("call", "version"), added("version", "call")
+    probes = lambda got: [got[i] for i in (0, 100, 200, 201, 202)]
+    assert probes(with_words) == [1, 0, 0, 1, 0] and probes(against_words) == [1, 0, 0, 0, 1]
+
+
+def test_pii_words_stand_alone(spark):
+    rows = [(1, "hotel room 212-555-0188"), (2, "recipe 212-555-0188"), (3, "we discard 212-555-0188"), (4, "tel: 212-555-0188"), (5, "212-555-0188 glued"), (6, "x212-555-0188"), (7, "my card 4111 1111 1111 1112")]
+    spans = {r.doc_id: r.spans for r in pii.candidates(docs(spark, rows)).collect()}
+    assert [spans[i][0].said for i in (1, 2, 3, 4, 5, 7)] == [0, 0, 0, pii.CLASSES.index("contact"), 0, pii.CLASSES.index("payment")]
+    assert [spans[i][0].led for i in (1, 4, 5)] == [0, 1, 2] and spans[6] == []
 
 
 def test_pii_no_labeler_has_a_veto(spark):
@@ -287,7 +321,7 @@ def test_toxicity(spark, edge, none):
     assert held and sum(r.predicted == (r.doc_id % 3 == 0) for r in held) >= 0.95 * len(held)
     model = toxicity.fit(df, labels)
     assert model.score("you zorkxhead") > model.score("bright morning") and model.score("you z o r k h e a d") > model.score("")
-    got = toxicity.score(edge, model, ["doc_id", "score"]) if False else toxicity.score(edge.drop("score"), model, ["doc_id", "key"])
+    got = toxicity.score(edge, model, ["doc_id", "key"])
     assert got.count() == edge.count() and all(0 <= r.score <= 1 for r in got.collect())
     assert toxicity.held_out_scores(none, labels).count() == 0
     assert {r.score for r in toxicity.held_out_scores(edge, labels.where("toxic = 7")).collect()} == {0.0}
