@@ -1,8 +1,12 @@
 """Embedding near-duplicates: coarse inverted lists, residual product-quantisation codes, exact rerank, components.
 
-Every vector is filed under its nearest coarse centre with a code of its residual and that code's error. A vector probes
-each list that a neighbour can well be in: one filed under another centre has crossed the plane halfway between that centre
-and the vector's own. In a list, asymmetric table distances less the filed vector's error are lower bounds, so that what
+Every vector is filed under its nearest coarse centre with a code of its residual and that code's error. A neighbour that is
+filed under another centre has crossed the plane halfway between the two centres. How far a vector may be from such a plane for its
+list to be probed is `slack`, as a share of the farthest that a neighbour can be: 1 finds every link, and by default it is the
+least that finds `recall` of the links of a sample and of pairs made up at the very threshold, so it follows from the data and
+their dimensions. Of two lists the one of lower number asks the other, so each pair is met once and counts for both.
+
+In a list, asymmetric table distances less the filed vector's error are lower bounds, so that what
 they leave out is no link; the rest is reranked by exact cosine in double precision. Equal vectors are joined first and
 counted by multiplicity. Links are counted in place, and only a star of each block's links leaves it, so that a group of m
 vectors sends m rows a block, not its m * m pairs.
@@ -31,10 +35,24 @@ BLOCK = 4096
 TURN = 32768
 
 
+#: Rows that are held against all centres at once.
+ROWS = 512
+#: Lists at most: centres and their distances to ROWS vectors stay small on the driver and in each task.
+MOST_LISTS = 16_384
+
+
+def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.maximum(0, (x * x).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * x @ c.T)
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.concatenate([_squares(x[i : i + ROWS], c).argmin(1) for i in range(0, len(x), ROWS)]) if len(x) else np.zeros(0, np.int64)
+
+
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        own = np.argmin((c * c).sum(1)[None] - 2 * x @ c.T, 1)
+        own = _nearest(x, c)
         n = np.bincount(own, minlength=len(c))
         total = np.zeros_like(c)
         np.add.at(total, own, x)
@@ -48,15 +66,46 @@ class Index:
     def __init__(self, sample: np.ndarray, lists: int, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.centres = _kmeans(sample, lists, rng)
-        rest = sample - self.centres[self.nearest(sample)]
+        rest = sample - self.centres[_nearest(sample, self.centres)]
         self.parts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
         self.books = [_kmeans(rest[:, p], CODES, rng) for p in self.parts]
+        self.slack = 1.0
 
-    def far(self, x: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (self.centres**2).sum(1)[None] - 2 * x @ self.centres.T))
+    def crossings(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By vector: its list, and by centre how far the plane between that and its own centre is."""
+        d2 = _squares(x, self.centres)
+        own = d2.argmin(1)
+        apart = np.sqrt(_squares(self.centres[own], self.centres))
+        return own, (d2 - d2[np.arange(len(x)), own][:, None]) / 2 / np.maximum(apart, 1e-12)
 
-    def nearest(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.far(x[i : i + 4096]).argmin(1) for i in range(0, len(x), 4096)])
+    def calibrate(self, sample: np.ndarray, threshold: float, recall: float, pairs: int = 4_000, seed: int = 3) -> None:
+        """The slack with which `recall` of the sample's links, and of as many made-up pairs at the threshold, are met."""
+        rng = np.random.default_rng(seed)
+        some = sample[rng.permutation(len(sample))[:pairs]]
+        aside = rng.normal(size=some.shape)
+        aside -= (aside * some).sum(1)[:, None] * some
+        size = np.sqrt((aside * aside).sum(1))[:, None]
+        made = threshold * some + math.sqrt(1 - threshold**2) * aside / np.maximum(size, 1e-12)
+        sets = [(some[size[:, 0] > 1e-9], made[size[:, 0] > 1e-9])]
+        left, right = [], []
+        for i in range(0, len(some), ROWS):
+            a, b = np.nonzero(some[i : i + ROWS] @ sample.T >= threshold)
+            keep = rng.permutation(len(a))[: pairs // 8]  # of a crowd's links some
+            left.append(some[i + a[keep]])
+            right.append(sample[b[keep]])
+        sets.append((np.concatenate(left), np.concatenate(right)))
+        r = math.sqrt(2 - 2 * threshold)
+        shares = []
+        for x, y in sets:
+            found = np.zeros(len(x))
+            for i in range(0, len(x), ROWS):
+                of_x, far_x = self.crossings(x[i : i + ROWS])
+                of_y, far_y = self.crossings(y[i : i + ROWS])
+                rows = np.arange(len(of_x))
+                found[i : i + ROWS] = np.where(of_x == of_y, 0, np.where(of_x < of_y, far_x[rows, of_y], far_y[rows, of_x])) / r
+            if len(found):
+                shares.append(float(np.quantile(found, recall, method="higher")))
+        self.slack = min(1.0, 1.02 * max(shares, default=1.0) + 1e-6)
 
     def code(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes, and the distance from each vector to what its code stands for."""
@@ -90,8 +139,8 @@ def units(column) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def _filed(classes: DataFrame, index, threshold: float, slack: float) -> DataFrame:
-    """rep, embedding, copies, with their list, code, the code's error and the lists to probe."""
+def _filed(classes: DataFrame, index, threshold: float) -> DataFrame:
+    """rep, embedding, copies, with their list, code, the code's error and the lists to probe: its own, and those of higher number behind a near plane."""
     r = math.sqrt(2 - 2 * threshold) + 1e-9  # chord of the threshold
 
     def run(batches):
@@ -100,14 +149,14 @@ def _filed(classes: DataFrame, index, threshold: float, slack: float) -> DataFra
                 continue
             ix = index.value
             x = units(b.column("embedding").to_pylist())
-            square = (ix.centres**2).sum(1)
-            apart = np.sqrt(np.maximum(0, square[:, None] + square[None] - 2 * ix.centres @ ix.centres.T))
             own, probes = np.zeros(len(x), np.int64), []
-            for i in range(0, len(x), 1024):
-                d2 = ix.far(x[i : i + 1024]) ** 2
-                own[i : i + 1024] = near = d2.argmin(1)
-                margin = (d2 - d2.min(1)[:, None]) / 2
-                probes += [np.flatnonzero(m <= slack * r * apart[k] + 1e-9) for m, k in zip(margin, near)]
+            numbers = np.arange(len(ix.centres))
+            for i in range(0, len(x), ROWS):
+                near, far = ix.crossings(x[i : i + ROWS])
+                own[i : i + ROWS] = near
+                asks = (far <= ix.slack * r + 1e-9) & (numbers[None] >= near[:, None])
+                at, lists = np.nonzero(asks)
+                probes += np.split(lists, np.cumsum(np.bincount(at, minlength=len(near)))[:-1])
             codes, error = ix.code(x, own)
             yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("embedding"), b.column("copies"), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(probes, pa.list_(pa.int32()))], names=["rep", "embedding", "copies", "cell", "code", "error", "probes"])
 
@@ -118,23 +167,34 @@ def _filed(classes: DataFrame, index, threshold: float, slack: float) -> DataFra
 class Tasks:
     """Lists dealt to groups of about BLOCK vectors; a longer list is a group of its own, in blocks. A group's queries come in turns."""
 
-    def __init__(self, members: dict[int, int], asked: dict[int, int], vectors: int, lists: int):
+    def __init__(self, members: dict[int, int], lists: int):
         self.group, self.blocks, self.turns = np.full(lists, -1, np.int64), [], []
-        held, asks = 0, 0
+        held = 0
         for k in sorted(members):
             if not self.blocks or held + members[k] > BLOCK:
                 self.blocks.append(1)
-                self.turns.append(1)
-                held, asks = 0, 0
+                held = 0
             self.group[k] = len(self.blocks) - 1
-            held, asks = held + members[k], asks + asked.get(k, 0)
+            held += members[k]
             self.blocks[-1] = math.ceil(held / BLOCK)
-            self.turns[-1] = math.ceil(min(asks, vectors) / TURN) or 1
+
+    def asked(self, batches):
+        """Rows of (grp, n): how many vectors ask each group, summed in each task."""
+        n = np.zeros(len(self.blocks), np.int64)
+        for b in batches:
+            for lists in b.column("probes"):
+                of = self.group[lists.values.to_numpy()]
+                n[np.unique(of[of >= 0])] += 1
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], names=["grp", "n"])
+
+    def take_turns(self, asked: dict[int, int]) -> None:
+        self.turns = [math.ceil(asked.get(g, 0) / TURN) or 1 for g in range(len(self.blocks))]
 
     def queries(self, batches):
-        """Rows of (grp, block, turn, asker, asked, lists): a vector for each group in which it probes a list."""
+        """Rows of (grp, block, turn, asker, asked, own, times, lists): a vector for each group in which it probes a list."""
         for b in batches:
-            reps, probes = b.column("rep").to_pylist(), b.column("probes").to_pylist()
+            reps, probes, cells, copies = (b.column(c).to_pylist() for c in ("rep", "probes", "cell", "copies"))
             rows = []
             for i, (rep, lists) in enumerate(zip(reps, probes)):
                 lists = np.array([k for k in lists if self.group[k] >= 0], np.int64)
@@ -142,10 +202,10 @@ class Tasks:
                 for g in np.unique(of).tolist():
                     turn = _dealt(rep, self.turns[g])
                     own = lists[of == g].tolist()
-                    rows += [(g, block, turn, rep, i, own) for block in range(self.blocks[g])]
+                    rows += [(g, block, turn, rep, i, cells[i], copies[i], own) for block in range(self.blocks[g])]
                 if len(rows) >= 4096 or i == len(reps) - 1:
-                    g, block, turn, rep_, at, own = zip(*rows) if rows else [()] * 6
-                    yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(block, pa.int32()), pa.array(turn, pa.int32()), pa.array(rep_, pa.int64()), b.column("embedding").take(pa.array(at, pa.int32())), pa.array(own, pa.list_(pa.int32()))], names=["grp", "block", "turn", "asker", "asked", "lists"])
+                    g, block, turn, rep_, at, cell, times, own = zip(*rows) if rows else [()] * 8
+                    yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(block, pa.int32()), pa.array(turn, pa.int32()), pa.array(rep_, pa.int64()), b.column("embedding").take(pa.array(at, pa.int32())), pa.array(cell, pa.int32()), pa.array(times, pa.int64()), pa.array(own, pa.list_(pa.int32()))], names=["grp", "block", "turn", "asker", "asked", "own", "times", "lists"])
                     rows = []
 
 
@@ -166,6 +226,7 @@ def _compare(index, threshold: float):
         codes = np.stack([np.frombuffer(c, np.uint8) for c in filed["code"]])
         most = ((r + filed["error"].to_numpy()) ** 2 + 1e-4).astype(np.float32)
         qid, fid, copies, cell = queries["asker"].to_numpy(), filed["rep"].to_numpy(), filed["copies"].to_numpy(), filed["cell"].to_numpy()
+        times, home = queries["times"].to_numpy(), queries["own"].to_numpy()
         size = queries["lists"].map(len).to_numpy()
         asks, asker = np.concatenate(queries["lists"].to_numpy()), np.repeat(np.arange(len(x)), size)
         left, right = [], []
@@ -178,7 +239,9 @@ def _compare(index, threshold: float):
                 a, b = np.nonzero(far <= most[own][None])
                 for k in range(0, len(a), 65536):
                     u, v = q[a[k : k + 65536]], own[b[k : k + 65536]]
-                    ok = (np.einsum("ij,ij->i", x[u], y[v]) >= threshold) & (qid[u] != fid[v])
+                    once = (home[u] != c) | (qid[u] < fid[v])  # in the vectors' own list both would ask
+                    u, v = u[once], v[once]
+                    ok = np.einsum("ij,ij->i", x[u], y[v]) >= threshold
                     left.append(u[ok])
                     right.append(v[ok])
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
@@ -188,31 +251,34 @@ def _compare(index, threshold: float):
         root = ids[local_roots(at[: len(a)], at[len(a) :], len(ids))]
         n = np.zeros(len(ids), np.int64)
         np.add.at(n, at[: len(a)], copies[b])
+        np.add.at(n, at[len(a) :], times[a])
         return pd.DataFrame({"rep": ids, "n": n, "root": root})
 
     return run
 
 
-def _linked(classes: DataFrame, n: int, index, lists: int, threshold: float, slack: float) -> DataFrame:
-    """rep, n, root: links counted on the side of the query, block by block, and a star of each block's linked vectors."""
-    filed = cut(_filed(classes, index, threshold, slack), "filed")
-    members = {r["cell"]: r["count"] for r in filed.groupBy("cell").count().collect()}  # a row for each list: 4,096 at most
-    asked = {r["k"]: r["count"] for r in filed.select(F.explode("probes").alias("k")).groupBy("k").count().collect()}
-    tasks = Tasks(members, asked, n, lists)
-    queries = filed.select("rep", "embedding", "probes").mapInArrow(tasks.queries, f"grp int, block int, turn int, asker long, asked {filed.schema['embedding'].dataType.simpleString()}, lists array<int>")
-    of = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("grp") + 1)
+def _linked(classes: DataFrame, index, threshold: float) -> DataFrame:
+    """rep, n, root: links counted block by block, and a star of each block's linked vectors. index: broadcast."""
+    filed = cut(_filed(classes, index, threshold), "filed")
+    lists = len(index.value.centres)
+    members = {r["cell"]: r["count"] for r in filed.groupBy("cell").count().collect()}  # a row for each list: MOST_LISTS at most
+    tasks = Tasks(members, lists)
+    asked = filed.select("probes").mapInArrow(tasks.asked, "grp int, n long").groupBy("grp").agg(F.sum("n").alias("n"))
+    tasks.take_turns({r["grp"]: r["n"] for r in asked.collect()})  # a row for each group of lists
+    queries = filed.select("rep", "embedding", "probes", "cell", "copies").mapInArrow(tasks.queries, f"grp int, block int, turn int, asker long, asked {filed.schema['embedding'].dataType.simpleString()}, own int, times long, lists array<int>")
+    of = lambda values: F.element_at(F.lit([int(v) for v in values]), F.col("grp") + 1)
     group = F.element_at(F.lit([int(g) for g in tasks.group]), F.col("cell") + 1)
     dealt = filed.select("rep", "embedding", "copies", "cell", "code", "error", group.alias("grp"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), of(tasks.blocks)).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), of(tasks.turns) - 1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), of(tasks.blocks)).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), (of(tasks.turns) - 1).cast("int"))))
     return queries.groupBy("grp", "block", "turn").cogroup(dealt.groupBy("grp", "block", "turn")).applyInPandas(_compare(index, threshold), "rep long, n long, root long")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, sample_rows: int = 20_000, slack: float = 0.5) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, sample_rows: int = 20_000, slack: float | None = None, recall: float = 0.998) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding).
 
     sample_rows: about how many vectors the index is fitted on at most; all are filed. slack: how far beyond a plane lists are
-    probed, as a share of the farthest that a neighbour can be; 1 finds every link, and less those of neighbours that
-    don't lie straight across a plane, which in many dimensions is next to all."""
+    probed, as a share of the farthest that a neighbour can be; 1 finds every link, None is the least that finds `recall` of
+    the links that the sample shows."""
     spark = vectors.sparkSession
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     if own.schema["embedding"].dataType.simpleString() != "array<float>":
@@ -220,19 +286,27 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, sample_rows: in
     links = _linkable(own) & F.col("vec_id").isNotNull()
     ready = own.where(links)
     classes = cut(ready.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    sizes = {r["d"]: r["n"] for r in classes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).collect()}  # a row for each length of vectors
+    sizes = {r["d"]: (r["n"], r["rows"]) for r in classes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"), F.sum("copies").alias("rows")).collect()}  # a row for each length of vectors
     found = spark.createDataFrame([], "rep long, n long, root long")
-    for d, n in sorted(sizes.items()):
+    for d, (n, _) in sorted(sizes.items()):
         of_length = classes.where(F.size("embedding") == d)
         drawn = of_length.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < math.ceil(min(1.0, sample_rows / n) * (1 << 20)))
         sample = units([r["embedding"] for r in drawn.orderBy("rep").collect() or of_length.limit(1).collect()])
-        index = Index(sample, min(4096, len(sample), math.ceil(2 * math.sqrt(n))))
-        found = found.unionByName(_linked(of_length, n, spark.sparkContext.broadcast(index), len(index.centres), threshold, slack))
+        index = Index(sample, min(MOST_LISTS, len(sample), math.ceil(2 * math.sqrt(n))))
+        if slack is None:
+            index.calibrate(sample, threshold, recall)
+        else:
+            index.slack = slack
+        found = found.unionByName(_linked(of_length, spark.sparkContext.broadcast(index), threshold))
     found = cut(found, "links")
     counted = found.groupBy("rep").agg(F.sum("n").alias("n"))
     linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     by_class = classes.join(counted, "rep", "left").join(linked.withColumnRenamed("id", "rep"), "rep", "left")
     by_class = cut(by_class.select("embedding", F.coalesce("n", F.lit(0)).alias("n"), "copies", F.coalesce("component", "rep").alias("component")), "classes")
-    of_row = ready.join(by_class, "embedding").select("vec_id", (F.col("n") + F.col("copies") - 1).cast("long").alias("n_links"), F.col("component").alias("component_id"))
+    # vectors of a thousandth of all rows or more are a thousand at most: their rows don't meet in one task
+    common = F.col("copies") >= max(2, math.ceil(sum(rows for _, rows in sizes.values()) / 1_000))
+    columns = ["vec_id", (F.col("n") + F.col("copies") - 1).cast("long").alias("n_links"), F.col("component").alias("component_id")]
+    hot = F.broadcast(by_class.where(common))
+    of_row = ready.join(hot, "embedding").select(*columns).unionByName(ready.join(hot.select("embedding"), "embedding", "left_anti").join(by_class.where(~common), "embedding").select(*columns))
     alone = own.where(~links).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return of_row.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
