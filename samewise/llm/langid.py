@@ -12,13 +12,14 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from samewise.llm.common import crc_mod, cut, tidy
+from samewise.llm.common import bounded_batches, crc_mod, tidy
 
 LETTERS_END = 0x33000  # no letter has a higher code point
 UND = "und"
+PARTS = 64
 
 
 @cache
@@ -95,20 +96,26 @@ class Profiles:
 def learn(docs: DataFrame, size: int = 400) -> Profiles:
     """Profiles of docs' languages (lang, text), from all rows: n-grams are summed in each task before they are dealt.
 
-    A language's profile is its `size` most frequent n-grams; languages are few, so profiles are collected."""
+    A language's profile is its `size` most frequent n-grams; languages are few, so profiles are collected. Each of `PARTS` parts
+    of a language's n-grams gives its own most frequent ones first, so that no task ranks all of a language's."""
+    bounded_batches(docs.sparkSession)
     known = docs.where("lang is not null and text is not null").select("lang", "text")
-    ranked = cut(count_grams(known), "grams")
-    langs = sorted(r["lang"] for r in ranked.select("lang").distinct().collect())
+    counts = count_grams(known).withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(PARTS)))
+
+    def best(rows: DataFrame, *by: str) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy(F.desc("n"), "gram")
+        return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size)
+
+    ranked = best(best(counts, "lang", "part"), "lang")
     by = defaultdict(list)
-    top = [ranked.where(F.col("lang") == k).orderBy(F.desc("n"), "gram").limit(size) for k in langs]
-    for rows in top:
-        for r in rows.collect():
-            by[r["lang"]].append(r["gram"])
+    for r in sorted(ranked.collect(), key=lambda r: (r["lang"], r["place"])):  # `size` rows a language
+        by[r["lang"]].append(r["gram"])
     return Profiles(by, size)
 
 
 def classify(docs: DataFrame, profiles: Profiles, keep: list[str]) -> DataFrame:
     """The columns `keep` of docs, then lang_pred and score."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(profiles)
     own = docs.select(*keep, F.col("text").cast("string").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
