@@ -21,7 +21,7 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return templates.clean(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines_dropped")
+    return templates.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

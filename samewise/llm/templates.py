@@ -13,8 +13,8 @@ Of the recurring templates of a line the most general counts. Of its lines, thos
 others go: what recurs stays once.
 
 All counts are sums over all documents; no leaf is gathered in one task. Lines of one or two tokens without a letter, such as numbers and rules, stay.
-Null texts stay null; documents without a doc_id keep no recurring line; repeated rows are treated alike; other columns
-pass through untouched, whatever their names; an empty table gives no rows."""
+Null texts stay null; documents without a doc_id count as the one that comes last, and keep a recurring line only if no other
+holds it; repeated rows are treated alike; other columns pass through untouched, whatever their names; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from samewise.llm.common import cut, tidy
+from samewise.llm.common import bounded_batches, cut, free_name, tidy
 
 LEAD, LEAST_TOKENS, SHORT, SHORT_DOCS, LEAST_FIXED = 3, 3, 6, 20, 0.6
 LONG, LONG_DOCS, TINY_SHARE = 20, 2, 0.05
@@ -71,7 +71,7 @@ def _lines(docs: DataFrame, with_text: bool) -> DataFrame:
     def batch(out):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * len(kinds), kinds)], names=names)
 
-    own = docs.select(_row().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    own = docs.select(_row().alias("row"), _doc().alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     return own.mapInArrow(tidy(run), "row long, doc_id long, body long, line int, leaf long, shape long, n_tokens int" + ", joined string" * with_text)
 
 
@@ -79,6 +79,11 @@ def _row():
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
+def _doc():
+    """The doc_id; without one, the highest that there can be."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+
+
 def _small(df: DataFrame, most: int) -> DataFrame:
     """df, broadcast if it has `most` rows at most."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
@@ -86,6 +91,7 @@ def _small(df: DataFrame, most: int) -> DataFrame:
 
 def recurring(docs: DataFrame, least_docs: int = 3, most: int = 500_000) -> tuple[DataFrame, DataFrame]:
     """(lines, going): all lines, and (leaf, shape, keeper) of the lines of recurring templates; keeper: the doc_id that keeps them."""
+    bounded_batches(docs.sparkSession)
     lines = cut(_lines(docs, False), "lines")
     shapes = lines.groupBy("leaf", "shape", "body", "n_tokens").agg(F.min("doc_id").alias("keeper"))
     shapes = cut(shapes.groupBy("leaf", "shape", "n_tokens").agg(F.count("*").alias("docs"), F.min("keeper").alias("keeper")), "shapes")
@@ -122,12 +128,15 @@ def recurring(docs: DataFrame, least_docs: int = 3, most: int = 500_000) -> tupl
 def clean(docs: DataFrame, least_docs: int = 3, most: int = 500_000) -> DataFrame:
     """docs with the lines of recurring templates out of `text`, and n_lines_dropped."""
     lines, going = recurring(docs, least_docs, most)
-    gone = lines.join(_small(going, most), ["leaf", "shape"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    by_row = cut(gone.groupBy(F.col("row").alias("__row")).agg(F.collect_set("line").alias("__lines")), "dropped")  # at most a document's own lines
-    # a name that isn't a column of docs already, whatever its case
-    taken = {c.lower() for c in docs.columns}
-    counted = next(n for n in ["n_lines_dropped", *(f"n_lines_dropped_{i}" for i in range(len(taken) + 1))] if n not in taken)
-    joined = docs.withColumn("__key", _row()).join(_small(by_row, most), F.col("__key") == F.col("__row"), "left")
-    left = F.filter(F.transform(F.split(F.col("text").cast("string"), "\n"), lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: ~F.array_contains("__lines", x["i"]))
-    text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda x: x["s"]), "\n"))
-    return joined.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns), F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias(counted))
+    gone = lines.join(_small(going, most), ["leaf", "shape"]).where(F.col("doc_id") != F.col("keeper"))
+    counted, key, row, marks = (free_name(docs, n) for n in ("n_lines_dropped", "key", "row", "marks"))
+    by_row = gone.groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_set("line")).alias("at"))  # at most a document's own lines
+    # a mark for each line up to the last that goes, from the distances between those that go: one pass over the text's lines
+    before = F.concat(F.array(F.lit(-1)), F.slice("at", F.lit(1), F.size("at") - 1))
+    flags = F.flatten(F.zip_with("at", before, lambda a, b: F.concat(F.array_repeat(F.lit(False), a - b - 1), F.array(F.lit(True)))))
+    by_row = cut(by_row.select(row, F.struct(F.size("at").alias("n"), flags.alias("gone")).alias(marks)), "dropped")
+    joined = docs.withColumn(key, _row()).join(_small(by_row, most), F.col(key) == F.col(row), "left")
+    pairs = F.zip_with(F.split(F.col("text").cast("string"), "\n"), F.col(f"{marks}.gone"), lambda s, g: F.struct(s.alias("s"), g.alias("g")))
+    left = F.transform(F.filter(pairs, lambda x: ~F.coalesce(x["g"], F.lit(False))), lambda x: x["s"])
+    text = F.when(F.col(marks).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return joined.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns), F.coalesce(F.col(f"{marks}.n"), F.lit(0)).cast("long").alias(counted))
