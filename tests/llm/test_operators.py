@@ -284,6 +284,47 @@ def test_language_learned_from_all_rows(spark):
     assert profiles.langs == sorted(text) and all(profiles.predict(t)[0] == k for k, t in text.items())
 
 
+def slow_grams(text, size):
+    """The most frequent n-grams of 1 to 3 letters by counting, ties in the order of length, then letters."""
+    letters = "".join(c.lower() if len(c.lower()) == 1 else c for c in text) if text else ""
+    counts = Counter()
+    words = "".join(c if c.isalpha() else " " for c in letters).split()
+    for w in words:
+        counts.update(w)
+        counts.update(w[i : i + 2] for i in range(len(w) - 1))
+        counts.update(f"{w}"[i : i + 3] for i in range(len(w) - 2))
+        edged = f" {w} "
+        counts.update([edged[:2], edged[-2:], edged[:3], edged[-3:]] if len(w) > 1 else [edged[:2], edged[-2:], edged])
+    code = lambda g: (len(g), [0 if c == " " else ord(c) for c in g])
+    return sorted(counts, key=lambda g: (-counts[g], code(g)))[:size], counts
+
+
+def slow_distance(profile, own, size):
+    place = {g: i for i, g in enumerate(profile)}
+    return sum(abs(place[g] - i) if g in place else size for i, g in enumerate(own))
+
+
+def test_language_by_brute_force(spark):
+    rng = random.Random(2)
+    words = {"aa": "lo ram tes miko vuna".split(), "bb": "lo zer qip miko wexa".split(), "cc": "ärm ñu oß miko tes".split()}
+    rows = [(i, " ".join(rng.choices(words[k], k=rng.randint(1, 9))) + rng.choice(["", "!", " 12", "\n"]), k, "s", None) for i in range(90) for k in [rng.choice(list(words))]]
+    size = 12
+    profiles = langid.learn(spark.createDataFrame(rows, SCHEMA), size)
+    by = {}
+    for k in words:
+        total = Counter()
+        for _, t, lang, *_ in rows:
+            if lang == k:
+                total.update(slow_grams(t, 1 << 30)[1])
+        code = lambda g: (len(g), [0 if c == " " else ord(c) for c in g])
+        by[k] = sorted(total, key=lambda g: (-total[g], code(g)))[:size]
+    for _, t, *_ in rows:
+        own = slow_grams(t, size)[0]
+        far = {k: slow_distance(p, own, size) for k, p in by.items()}
+        best = min(far, key=lambda k: (far[k], k))
+        assert profiles.predict(t) == (best, pytest.approx(1 - far[best] / (size * len(own)))), t
+
+
 def test_out_of_place():
     p = langid.Profiles({"a": [3, 1, 2], "b": [9, 8, 7]}, 3)
     assert p.ranks[p.codes.tolist().index(1)].tolist() == [1, 3] and p.predict("123") == ("und", 0.0)
@@ -403,6 +444,63 @@ def test_templates(spark, edge, none):
     assert Counter(r.text for r in out.collect()) == Counter(t for _, t in texts_of(edge))
 
 
+def test_templates_columns_and_ids(spark):
+    line = "this line is on every page of them all"
+    rows = [(i, f"own{i} x\n{line}\ny{i}") for i in range(6)] + [(None, f"none a\n{line}"), (None, f"none b\nheld by those without an id alone"), (None, f"none c\nheld by those without an id alone"), (None, "none d\nheld by those without an id alone")]
+    clashing = {c: F.lit(7) for c in ("__key", "__row", "key", "ROW", "marks", "at", "gone", "leaf", "keeper", "n_lines_dropped")}
+    out = templates.clean(docs(spark, rows).withColumns(clashing))
+    got = out.collect()
+    assert out.columns[-1] == "n_lines_dropped_0" and all(r[c] == 7 for r in got for c in clashing)
+    by = {r.text.split("\n")[0]: (r.text, r["n_lines_dropped_0"]) for r in got}
+    assert by["own0 x"][1] == 0 and by["own3 x"] == ("own3 x\ny3", 1) and by["none a"] == ("none a", 1) and by["none b"][1] == 0
+
+
+def slow_templates(rows, least=3):
+    """doc_id to text without its recurring lines, template by template: only for lines of 6 to 19 tokens and whole ids."""
+    wild = lambda t: "<*>" if re.search("[0-9]", t) else t
+    lines = [(i, hash(t), k, tuple(map(wild, x.split()))) for i, t in rows for k, x in enumerate(t.split("\n"))]
+    leaves = defaultdict(list)
+    for one in lines:
+        leaves[len(one[3]), one[3][:3]].append(one)
+    gone = set()
+    for own in leaves.values():
+        held = defaultdict(set)
+        for _, body, _, ts in own:
+            for j, t in enumerate(ts):
+                held[j, t].add((body, ts))
+        # a text that holds a shape counts once for the shape, as in the operator
+        level = {x: int(math.log2(len(v) / least) + 1e-9) for x, v in held.items() if x[1] != "<*>" and len(v) >= least}
+        of = defaultdict(list)
+        for one in own:
+            ts = one[3]
+            of[-1, ts].append(one)
+            for top in {level[j, t] for j, t in enumerate(ts) if (j, t) in level}:
+                kept = tuple(t if level.get((j, t), -1) >= top else None for j, t in enumerate(ts))
+                if sum(t is not None for t in kept) >= templates.LEAST_FIXED * len(ts):
+                    of[top, kept].append(one)
+        best = {}
+        for (top, key), ones in of.items():
+            if len({b for _, b, _, _ in ones}) >= (least if top < 0 else least * 2**top):
+                for i, _, k, ts in ones:
+                    if top >= best.get(ts, (-2,))[0]:
+                        best[ts] = (top, min(x[0] for x in ones))
+        gone |= {(i, k) for i, _, k, ts in own if ts in best and best[ts][1] != i}
+    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows}
+
+
+def test_templates_by_brute_force(spark):
+    rng = random.Random(12)
+    names = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(12)]
+    frames = ["posted by the shop {} in part {} of our town", "posted by the firm {} under heading {} with thanks", "seen on day 3{} by {} and some of the rest"]
+    rows = []
+    for i in range(150):
+        own = [rng.choice(frames).format(rng.choice(names), rng.choice(names)) if rng.random() < 0.7 else " ".join(rng.choices(names, k=7)) for _ in range(rng.randint(1, 4))]
+        rows.append((i, "\n".join(own)))
+    got = {r.doc_id: r.text for r in templates.clean(docs(spark, rows)).collect()}
+    want = slow_templates(rows)
+    assert got == want and sum(a != t for (i, t), a in zip(rows, (got[i] for i, _ in rows))) > 50
+
+
 def test_templates_fields_of_recurring_words(spark):
     # a leaf of 400 documents, two fields of 40 words each: every word is in about 10 documents, hardly any pair in 3
     rng = random.Random(4)
@@ -474,6 +572,26 @@ def test_vectors(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_recall_by_default(spark):
+    # pairs at and about the threshold, in few and many dimensions, against brute force
+    for dims in (4, 8, 64):
+        rng = np.random.default_rng(dims)
+        x = rng.normal(size=(500, dims))
+        x = np.concatenate([x, x[:250] + rng.normal(size=(250, dims)) * 0.28])
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        want = (x @ x.T >= 0.95).sum(1) - 1
+        df = spark.createDataFrame([(i, [float(e) for e in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = {r.vec_id: r.n_links for r in vectors.near_duplicates(df).collect()}
+        assert want.sum() > 100 and sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= n for i, n in enumerate(want))
+
+
+def test_vectors_common_vector(spark):
+    one, other = [1.0, 0.0, 0.2], [0.0, 1.0, 0.3]
+    rows = [(i, one) for i in range(40)] + [(40, [1.0, 0.01, 0.2]), (41, other)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == {**{i: (40, 0) for i in range(41)}, 41: (0, 41)}
+
+
 def test_components(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(None, 1), (5, 5)], "a long, b long")
     assert {r.component for r in graph.components(df).collect()} == {0}
