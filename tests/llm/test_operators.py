@@ -540,11 +540,15 @@ def test_jaccard(spark, edge, none):
     group = {i: i for i in sets}
     for _ in sets:
         group = {i: min([group[i], *(group[j] for j in links[i])]) for i in sets}
-    for block in (1024, 7):  # also with blocks of few classes, so that groups are compared block against block
-        old, jaccard.BLOCK = jaccard.BLOCK, block
-        got = {r.doc_id: (r.class_id, r.n_links, r.kept) for r in jaccard.join(docs(spark, rows)).collect()}
-        jaccard.BLOCK = old
+    # also with few classes a block, so that chains are compared block against block, and with chains dealt by their bands
+    for block, small, giant in ((1024, 128, 16_384), (7, 3, 16_384), (1024, 3, 3), (7, 3, 3)):
+        with pytest.MonkeyPatch.context() as patch:
+            for name, value in (("BLOCK", block), ("SMALL", small), ("GIANT", giant)):
+                patch.setattr(jaccard, name, value)
+            got = {r.doc_id: (r.class_id, r.n_links, r.kept) for r in jaccard.join(docs(spark, rows)).collect()}
         assert got == {i: (group[i], len(links[i]), group[i] == i) for i in sets}
+    again = jaccard.join(docs(spark, rows[:3] * 50 + [(300, "one two")] * 9).withColumn("mark", F.xxhash64("text")), keep=("mark",))
+    assert again.count() == 159 and len({(r.doc_id, r.mark) for r in again.collect()}) == 4
     out = jaccard.join(edge).collect()
     assert len(out) == edge.count() and jaccard.join(none).count() == 0
     bands, rows_ = jaccard.plan_bands(0.8, 0.9995)
