@@ -11,11 +11,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from samewise.llm.common import bounded_batches
+
 #: Base patterns and the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # one match is the whole run, so a length bound here and a filter after are alike
@@ -112,6 +116,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def entropy_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans of random windows that touch no base span and that the allow-list doesn't suppress."""
     out = []
+    taken = sorted((a, b) for _, a, b in base)
+    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+
+    def free(s: int, e: int) -> bool:
+        k = bisect_left(starts, e)  # the spans before it begin before the end
+        return not k or reach[k - 1] <= s
+
     for m in CANDIDATE.finditer(text):
         if m[0].startswith("//"):
             continue
@@ -125,7 +136,7 @@ def entropy_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str
             if any(x in before for x in ALLOWED_BEFORE):
                 continue
             at = m.start() + piece.start()
-            out += [("entropy", at + s, at + e) for s, e in parts if not any(a < at + e and at + s < b for _, a, b in base)]
+            out += [("entropy", at + s, at + e) for s, e in parts if free(at + s, at + e)]
     return out
 
 
@@ -135,6 +146,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans of every text."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
