@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samewise.llm.common import crc_mod
+from samewise.llm.common import bounded_batches, crc_mod
 
 LENGTH, SPAN, DECAY, POWER = 4, 6, 0.7, 3
 LONGEST = 40  # characters of a word; what is longer is several words, see pieces()
@@ -237,8 +237,8 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 20, shrin
     return w[:-1], float(w[-1])
 
 
-def train(toxic: list[str], clean: list[str], landmarks: int = 128, rounds: int = 3) -> Model:
-    """From whole texts of toxic and clean documents."""
+def train(toxic: list[str], clean: list[str], landmarks: int = 128, rounds: int = 3, sentences_most: int = 30_000) -> Model:
+    """From whole texts of toxic and clean documents; of the clean ones' sentences, `sentences_most` at most are drawn for the machine, all of them for landmarks."""
     if not toxic or not clean:
         return Model(None)
     split = [[sentences(t) for t in docs] for docs in (toxic, clean)]
@@ -251,9 +251,8 @@ def train(toxic: list[str], clean: list[str], landmarks: int = 128, rounds: int
     keep = values > 1e-4 * values[-1]
     root = vectors[:, keep] / np.sqrt(values[keep])
     rng = np.random.default_rng(5)
-    # sentences of clean documents are far more than are needed
     clean_sentences = [s for d in split[1] for s in d]
-    split[1] = [[clean_sentences[i]] for i in rng.permutation(len(clean_sentences))[:30_000]]
+    split[1] = [[clean_sentences[i]] for i in rng.permutation(len(clean_sentences))[:sentences_most]]
     words = sorted({w for docs in split for d in docs for s in d for w in s})
     place = {w: i for i, w in enumerate(words)}
     rows = kernel.rows(words)
@@ -272,14 +271,11 @@ def train(toxic: list[str], clean: list[str], landmarks: int = 128, rounds: int
     first = np.array([max(near[place[w]] for w in s) for d in split[0] for s in d])
     score = first
     w, bias = np.zeros(xt.shape[1]), 0.0
-    for k in range(rounds):
+    for _ in range(rounds):
         chosen = [a + int(score[a:b].argmax()) for a, b in zip(at, at[1:]) if b > a]
-        some = np.arange(0, len(xc), 3)
-        if k:  # and the clean sentences that score highest
-            some = np.unique(np.concatenate([some, np.argsort(-(xc @ w))[:3_000]]))
-        x = np.vstack([xt[chosen], xc[some]])
-        y = np.concatenate([np.ones(len(chosen)), -np.ones(len(some))])
-        cost = np.concatenate([np.full(len(chosen), 0.5 / max(1, len(chosen))), np.full(len(some), 0.5 / max(1, len(some)))])
+        x = np.vstack([xt[chosen], xc])
+        y = np.concatenate([np.ones(len(chosen)), -np.ones(len(xc))])
+        cost = np.concatenate([np.full(len(chosen), 0.5 / max(1, len(chosen))), np.full(len(xc), 0.5 / max(1, len(xc)))])
         w, bias = _svm(x, y, cost)
         score = xt @ w
     model = Model(kernel, (root @ w).astype(np.float32), bias)
@@ -304,19 +300,21 @@ def _logistic(x: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int
         use &= w[:-1] >= 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, each: int = 1_500, longest: int = 20_000) -> Model:
-    """Trained on `each` toxic documents and twice as many clean ones at most, in the order of a hash of the id, of `longest` characters at most.
+def fit(docs: DataFrame, labels: DataFrame, each: int = 1_500, longest: int = 20_000, sentences_most: int = 30_000) -> Model:
+    """Trained on `each` toxic documents and twice as many clean ones at most, in the order of a hash of the id, of `longest` characters
+    at most, and on `sentences_most` sentences of the clean ones at most.
 
     docs: doc_id, text; labels: doc_id, toxic. Both hold what may be learned from only."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
     drawn = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, each), (0, 2 * each))]
     ids = F.broadcast(drawn[0].unionByName(drawn[1]))  # 3 * `each` rows
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= longest).join(ids, "doc_id").orderBy("toxic", "doc_id", "text").collect()
-    return train([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0])
+    return train([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0], sentences_most=sentences_most)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns `keep` of docs, then score."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     own = docs.select(*keep, F.col("text").cast("string").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
