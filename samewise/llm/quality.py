@@ -1,7 +1,8 @@
 """Quality rules: base limits on counts, and robust multivariate outliers per language and source.
 
 The statistics of a text are counted once and written; the minimum-covariance-determinant estimates come from all rows
-that pass the base limits, by concentration steps that are aggregations over those small rows. Null texts count as empty
+that pass the base limits, by concentration steps from several starts, of which the one of least determinant counts; the steps are
+aggregations over those small rows. Null texts count as empty
 and fail the base limit; null lang or source is a group of its own; groups of fewer than `least` rows are held against all rows
 of their language, and languages of fewer against all rows (if these are fewer too, nothing is rejected); ties keep; repeated
 rows count each; extra columns are ignored; an empty table gives no rows."""
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from samewise.llm.common import cut
+from samewise.llm.common import bounded_batches, cut
 
 #: What separates words, and the characters that count as symbols.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -91,11 +92,11 @@ def _distance(x: list[str]) -> Column:
 
 def _moments(rows: DataFrame, x: list[str]) -> DataFrame:
     pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
-    return rows.groupBy(*GROUP).agg(F.count("*").alias("n"), *(F.avg(a).alias(f"m_{a}") for a in x), *(F.covar_pop(x[i], x[j]).alias(f"c_{i}_{j}") for i, j in pairs))
+    return rows.groupBy(*GROUP, "start").agg(F.count("*").alias("n"), *(F.avg(a).alias(f"m_{a}") for a in x), *(F.covar_pop(x[i], x[j]).alias(f"c_{i}_{j}") for i, j in pairs))
 
 
 def _inverted(moments: DataFrame, x: list[str]) -> DataFrame:
-    """The inverse of covariance plus floor, a row for each group."""
+    """The inverse of covariance plus floor, and that sum's log determinant, a row for each group and start."""
     pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
     floor = np.diag([FLOOR[a] for a in x])
 
@@ -105,35 +106,52 @@ def _inverted(moments: DataFrame, x: list[str]) -> DataFrame:
             for r in b.to_pylist():
                 c = np.array([[r[f"c_{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(len(x))] for i in range(len(x))])
                 p = np.linalg.inv(c + floor)
-                out.append({**{k: r[k] for k in (*GROUP, "n", *(f"m_{a}" for a in x))}, **{f"p_{i}_{j}": float(p[i, j]) for i, j in pairs}})
+                out.append({**{k: r[k] for k in (*GROUP, "start", "n", *(f"m_{a}" for a in x))}, "log_det": float(np.linalg.slogdet(c + floor)[1]), **{f"p_{i}_{j}": float(p[i, j]) for i, j in pairs}})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    schema = pa.schema([*((k, pa.string()) for k in GROUP), ("n", pa.int64()), *((f"m_{a}", pa.float64()) for a in x), *((f"p_{i}_{j}", pa.float64()) for i, j in pairs)])
-    return moments.mapInArrow(run, "lang string, source string, n long, " + ", ".join(f"{f.name} double" for f in list(schema)[3:]))
+    schema = pa.schema([*((k, pa.string()) for k in GROUP), ("start", pa.int32()), ("n", pa.int64()), ("log_det", pa.float64()), *((f"m_{a}", pa.float64()) for a in x), *((f"p_{i}_{j}", pa.float64()) for i, j in pairs)])
+    return moments.mapInArrow(run, "lang string, source string, start int, n long, " + ", ".join(f"{f.name} double" for f in list(schema)[4:]))
 
 
-def _beside(rows: DataFrame, groups: DataFrame, most: int) -> DataFrame:
-    """rows with their group's columns; groups are broadcast if they are `most` at most, and the hot ones are split by AQE beyond."""
-    groups = groups.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *(c for c in groups.columns if c not in GROUP))
+def _beside(rows: DataFrame, groups: DataFrame, most: int, keys=GROUP) -> DataFrame:
+    """rows with the columns of the groups of the same keys; groups are broadcast if they are `most` at most, and the hot ones are split by AQE beyond."""
+    groups = groups.select(*(F.col(k).alias(f"__{k}") for k in keys), *(c for c in groups.columns if c not in keys))
     small = groups.limit(most + 1).count() <= most
-    return rows.join(F.broadcast(groups) if small else groups, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left").drop("__lang", "__source")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return rows.join(F.broadcast(groups) if small else groups, same, "left").drop(*(f"__{k}" for k in keys))
 
 
-def robust_estimates(rows: DataFrame, share: float = 0.75, steps: int = 4, most: int = 20_000) -> DataFrame:
+#: Starts besides that from the medians: rows of some classes of a hash, a DRAWN-th of all each.
+DRAWN, DRAWS = 8, (0, 3, 5)
+
+
+def robust_estimates(rows: DataFrame, share: float = 0.75, steps: int = 10, settled: float = 0.01, most: int = 20_000) -> DataFrame:
     """By lang and source: n, centre, inverse covariance, and `scale` (median distance over that of chi-squared).
 
-    From the medians and a diagonal scale, each concentration step re-estimates from the `share` of a group's rows nearest
-    to the last estimate. rows: with GROUP and the vector."""
+    From each start (the medians with a diagonal scale, and the moments of drawn rows), each concentration step re-estimates from the
+    `share` of a group's rows nearest to the last estimate, until no log determinant falls by more than `settled`, or `steps` times.
+    Of a group's starts the estimate of least determinant counts, of equal ones the first. rows: with GROUP and the vector."""
     x = list(VECTOR)
     start = rows.groupBy(*GROUP).agg(F.count("*").alias("n"), *(F.percentile_approx(a, 0.5).alias(f"m_{a}") for a in x), *(F.percentile_approx(a, [0.25, 0.75]).alias(f"q_{a}") for a in x))
     spread = [((F.col(f"q_{a}")[1] - F.col(f"q_{a}")[0]) / 1.349) for a in x]
     diagonal = [(1 / (s * s + FLOOR[a])).alias(f"p_{i}_{i}") for i, (a, s) in enumerate(zip(x, spread))]
     zero = [F.lit(0.0).alias(f"p_{i}_{j}") for i in range(len(x)) for j in range(i + 1, len(x))]
-    now = cut(start.select(*GROUP, "n", *(f"m_{a}" for a in x), *diagonal, *zero), "mcd")
+    medians = start.select(*GROUP, F.lit(0).alias("start"), "n", F.lit(float("inf")).alias("log_det"), *(f"m_{a}" for a in x), *diagonal, *zero)
+    draw = F.pmod(F.xxhash64(*x), F.lit(DRAWN))
+    number = F.coalesce(*[F.when(draw == d, k + 1) for k, d in enumerate(DRAWS)])
+    drawn = _inverted(_moments(rows.withColumn("start", number).where("start is not null"), x), x)
+    now = cut(medians.unionByName(drawn.withColumn("log_det", F.lit(float("inf")))), "mcd")
+    keys = [*GROUP, "start"]
     for _ in range(steps):
-        far = _beside(rows, now, most).select(*GROUP, *x, _distance(x).alias("d2"))
-        limits = far.groupBy(*GROUP).agg(F.percentile_approx("d2", share).alias("limit_"))
-        now = cut(_inverted(_moments(_beside(far, cut(limits, "mcd"), most).where("d2 <= limit_"), x), x), "mcd")
+        far = _beside(rows, now, most).select(*keys, *x, _distance(x).alias("d2"))
+        limits = cut(far.groupBy(*keys).agg(F.percentile_approx("d2", share).alias("limit_")), "mcd")
+        before = now
+        now = cut(_inverted(_moments(_beside(far, limits, most, keys).where("d2 <= limit_"), x), x), "mcd")
+        fell = _beside(now, before.select(*keys, F.col("log_det").alias("last")), most, keys).where(F.col("last") - F.col("log_det") > settled)
+        if not fell.limit(1).count():
+            break
+    best = now.groupBy(*GROUP).agg(F.min(F.struct("log_det", "start", *(c for c in now.columns if c not in (*keys, "log_det")))).alias("b"))
+    now = cut(best.select(*GROUP, "b.*").drop("start", "log_det"), "mcd")
     far = _beside(rows, now, most).select(*GROUP, _distance(x).alias("d2"))
     scale = far.groupBy(*GROUP).agg(F.count("*").alias("n_all"), F.greatest(F.lit(1.0), F.percentile_approx("d2", 0.5) / MEDIAN_4).alias("scale"))
     return now.join(scale.select(F.col("lang").alias("l_"), F.col("source").alias("s_"), "n_all", "scale"), F.col("lang").eqNullSafe(F.col("l_")) & F.col("source").eqNullSafe(F.col("s_"))).drop("l_", "s_", "n").withColumnRenamed("n_all", "n")
@@ -155,6 +173,7 @@ def _pools(rows: DataFrame, least: int) -> DataFrame:
 
 def judge(docs: DataFrame, least_words: int = 50, most_repeated: int = 50, least: int = 40, cutoff: float = CUTOFF, most: int = 20_000) -> DataFrame:
     """doc_id, lang, source, the statistics, base_failed, distance (squared, null where nothing was estimated), kept."""
+    bounded_batches(docs.sparkSession)
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     measured = cut(measure(docs).withColumn("base_failed", failed), "statistics")
     rows = measured.where(~F.col("base_failed")).select(*GROUP, *(F.expr(e).alias(a) for a, e in VECTOR.items()))
