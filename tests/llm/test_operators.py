@@ -61,6 +61,9 @@ def test_bpe(spark, edge, none):
     for i, t in texts_of(edge):
         ids = tok.encode(t or "", add_special_tokens=False).ids
         assert (ids, tok.decode(ids, skip_special_tokens=False)) in got[i]
+    sums = lambda ids, t: (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    want = Counter((i, *sums(*x)) for i, own in got.items() for x in own)
+    assert Counter(map(tuple, lexicon.digests(edge, PATH).collect())) == want
     assert lexicon.digests(none, PATH).count() == 0
     bpe = byte_bpe.load(PATH)
     rng = random.Random(4)
@@ -143,6 +146,59 @@ def test_secrets(spark, edge, none):
     assert secrets.scan(none).count() == 0
 
 
+#: The base patterns as they are defined, without the shortcuts of the operator.
+SECRETS = {"assign": r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
+
+
+def plain_secrets(text):
+    least = {"assign": 8, "access": 16, "hex": 32}
+    found = [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for k, (kind, p) in enumerate(SECRETS.items()) for m in re.finditer(p, text) if len(m[2] if kind == "assign" else m[0]) >= least[kind]]
+    return [sum(s.startswith(f"{k}:") for *_, s in found) for k in SECRETS], ",".join(s for *_, s in sorted(found))
+
+
+def slow_entropy(text, base):
+    """Entropy spans, window by window."""
+    bits = lambda w: -sum(c / 20 * math.log2(c / 20) for c in Counter(w).values())
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+        head = re.split(r"""[\s"'`,;|<>()\[\]{}]""", text[max(0, m.start() - 200) : m.start()])[-1]
+        for p in re.finditer("[^=]{20,}", m[0]):
+            before = (head + m[0][max(0, p.start() - 200) : p.start()]).lower()
+            if m[0].startswith("//") or secrets.ALLOWED.fullmatch(p[0]) or any(x in before for x in secrets.ALLOWED_BEFORE):
+                continue
+            held = {i for x in secrets.PLACEHOLDER.finditer(p[0]) for i in range(*x.span())}
+            good = [i for i in range(len(p[0]) - 19) if not held & set(range(i, i + 20)) and (k := secrets.char_class(p[0][i : i + 20])) and bits(p[0][i : i + 20]) >= secrets.LEAST_BITS[k] - 1e-12]
+            runs = []
+            for i in good:
+                runs[-1:] = [(runs[-1][0], i + 20)] if runs and i < runs[-1][1] else [*runs[-1:], (i, i + 20)]
+            at = m.start() + p.start()
+            out += [("entropy", at + a, at + b) for a, b in runs if not any(s < at + b and at + a < e for _, s, e in base)]
+    return out
+
+
+def test_secrets_by_brute_force(spark):
+    rng = random.Random(14)
+    key = lambda signs, n: "".join(rng.choices(signs, k=n))
+    signs = ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefXYZ0123456789/_-", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]
+    part = lambda: rng.choice([" ", "\n", "password: ", "TOKEN = ", "ſecret=", "api_Key:'", '"', "AKIA", "https://x.org/", "a@b.c,", "=", "example", "é", "😀", "sha256:", key(rng.choice(signs), rng.randint(4, 60)), key(rng.choice(signs), rng.randint(16, 40))])
+    rows = [(i, "".join(part() for _ in range(rng.randint(1, 14)))) for i in range(400)]
+    more = 0
+    for r in secrets.scan(docs(spark, rows)).collect():
+        counts, base = plain_secrets(rows[r.doc_id][1])
+        assert [r.n_assign, r.n_access, r.n_hex] == counts and r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        spans = [(s.split(":")[0], *map(int, s.split(":")[1:])) for s in base.split(",") if s]
+        want = slow_entropy(rows[r.doc_id][1], spans)
+        assert r.spans == secrets.joined(spans + want) and r.n_entropy == len(want)
+        more += len(want)
+    assert more > 100
+
+
+def test_secrets_in_linear_time():
+    text = " ".join(f"password=abcdefgh{i} {hashlib.sha256(str(i).encode()).hexdigest()[:24].upper()}" for i in range(20_000))
+    base = secrets.base_spans(text)
+    assert len(base) == 20_000 and len(secrets.entropy_spans(text, base)) > 10_000
+
+
 def test_entropy_windows():
     rng = random.Random(3)
     for _ in range(50):
@@ -368,6 +424,21 @@ def test_toxicity(spark, edge, none):
     assert {r.score for r in toxicity.held_out_scores(edge, labels.where("toxic = 7")).collect()} == {0.0}
 
 
+def test_toxicity_margins_by_brute_force():
+    rng = random.Random(5)
+    words = "river stone cloud walks under bright morning field seven apples".split()
+    clean = [" ".join(rng.choices(words, k=30)) + "." for _ in range(120)]
+    toxic = [f"{c} you {rng.choice(['zorkhead', 'zorkish', 'blemface'])} go." for c in clean[:60]]
+    model = toxicity.train(toxic, clean[60:])
+    for text in [*toxic[:5], *clean[:5], "zorkhead", "a b", "one. two! zorkxish\nthree"]:
+        sums = [sum(float(model.kernel.rows([w])[0] @ model.weights) for w in s) + model.bias for s in toxicity.sentences(text)]
+        want = (sorted(sums, reverse=True) + [model.bias] * toxicity.TOP)[: toxicity.TOP]
+        assert np.allclose(model.margins(text), want, atol=1e-3)
+        assert model.score(text) == pytest.approx(1 / (1 + math.exp(-(np.array(want) @ model.slopes + model.shift))), abs=1e-3)
+    few = toxicity.train(toxic, clean[60:], sentences_most=10)
+    assert few.score("you zorkhead") > few.score("river stone")
+
+
 def test_toxicity_counts_all_of_a_long_token():
     rng = random.Random(5)
     words = "river stone cloud walks under bright morning field seven apples".split()
@@ -414,6 +485,47 @@ def test_quality(spark, edge, none):
     assert len(out) == 200 + edge.count() and quality.judge(none).count() == 0
 
 
+def slow_estimates(x, starts, share=0.75, steps=10, settled=0.01):
+    """Centre, inverse covariance and log determinant of the best start, by the same steps over arrays."""
+    floor = np.diag(list(quality.FLOOR.values()))
+    at = lambda v, q: np.sort(v)[max(0, math.ceil(q * len(v)) - 1)]
+    spread = np.array([(at(v, 0.75) - at(v, 0.25)) / 1.349 for v in x.T])
+    now = [(np.array([at(v, 0.5) for v in x.T]), np.diag(1 / (spread**2 + np.diag(floor))), math.inf)]
+    moments = lambda rows: (rows.mean(0), np.linalg.inv(np.cov(rows.T, bias=True) + floor), np.linalg.slogdet(np.cov(rows.T, bias=True) + floor)[1])
+    now += [(*moments(x[starts == k])[:2], math.inf) for k in range(1, 4) if (starts == k).any()]
+    far = lambda e: np.einsum("ij,jk,ik->i", x - e[0], e[1], x - e[0])
+    for _ in range(steps):
+        after = [moments(x[(d := far(e)) <= at(d, share)]) for e in now]
+        fell = any(a[2] < e[2] - settled for a, e in zip(after, now))
+        now = after
+        if not fell:
+            break
+    best = min(now, key=lambda e: e[2])
+    return best, max(1.0, at(far(best), 0.5) / quality.MEDIAN_4)
+
+
+def test_quality_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(140, 4)) * [0.5, 0.05, 0.02, 0.1], rng.normal(size=(60, 4)) * 0.05 + [2, 0.6, 0.5, 0.4]])
+    df = spark.createDataFrame([("en", "s", *map(float, r)) for r in x], "lang string, source string, " + ", ".join(f"{v} double" for v in quality.VECTOR))
+    draw = F.pmod(F.xxhash64(*quality.VECTOR), F.lit(quality.DRAWN))
+    number = {tuple(r)[2:-1]: r.d for r in df.withColumn("d", draw).collect()}
+    starts = np.array([quality.DRAWS.index(d) + 1 if (d := number[tuple(map(float, r))]) in quality.DRAWS else 0 for r in x])
+    (centre, inverse, _), scale = slow_estimates(x, starts)
+    got = quality.robust_estimates(df).collect()[0]
+    assert np.allclose([got[f"m_{v}"] for v in quality.VECTOR], centre) and got.scale == pytest.approx(scale) and got.n == 200
+    assert np.allclose([[got[f"p_{min(i, j)}_{max(i, j)}"] for j in range(4)] for i in range(4)], inverse)
+
+
+def test_quality_judges_small_groups(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 8)))
+    rows = [(i, " ".join(word() for _ in range(80)), "en" if i < 60 else f"l{i}", f"s{i % 20}", None) for i in range(70)]
+    rows += [(100, " ".join(word() + "###" for _ in range(80)), "zz", "alone", None)]
+    out = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(r.distance is not None for r in out.values()) and not out[100].kept and all(out[i].kept for i in range(70))
+
+
 def test_quality_planted_repetition(spark):
     rng = random.Random(10)
     word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 8)))
