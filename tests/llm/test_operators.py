@@ -738,3 +738,15 @@ def test_pipeline(spark, tmp_path, edge, none):
     for _, stage in P.STAGES[1:]:
         assert stage(spark, none, str(tmp_path)).count() == 0
         assert stage(spark, edge, str(tmp_path)).count() > 0
+
+
+def test_pipeline_keeps_texts_that_share_an_id(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(6)
+    text = lambda: " ".join(f"w{rng.randint(0, 900)}" for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, c), (7, c + " end"), (None, a), (None, None), (9, None), (9, "")]
+    got = Counter((r.doc_id, r.text) for r in P.near_duplicates(spark, docs(spark, rows), "").collect())
+    assert set(got.values()) == {1} and {x for x in got if x[0] in (1, 5)} == {(1, a), (5, b)}
+    assert len([x for x in got if x[0] == 7]) == 1 and {(None, a), (None, None), (9, None), (9, "")} <= set(got)
