@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samewise.llm import jaccard, langid, packing, pii, templates
-from samewise.llm.common import bounded_batches, crc_mod, cut, table
+from samewise.llm.common import crc_mod, cut, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+MOST = 1_000_000  # keys that are broadcast at most
 
 
 def _documents(df: DataFrame, text: str = "text") -> DataFrame:
@@ -35,17 +36,30 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines of recurring templates; a document of such lines alone goes."""
-    bounded_batches(spark)
     done = templates.clean(docs.select(*COLUMNS))
     return _documents(done.where((F.col("n_lines_dropped") == 0) | (F.length(F.trim("text")) > 0)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of least doc_id; of repeated rows one; what shares no n-gram set stays."""
-    bounded_batches(spark)
-    found = jaccard.join(docs.select(*COLUMNS)).where(F.col("doc_id").isNotNull() & ~F.col("kept")).select("doc_id").distinct()
-    one = docs.select(*COLUMNS).join(cut(found, "gone"), "doc_id", "left_anti")
-    return _documents(one.dropDuplicates(["doc_id", "text"]))
+    """One document of each group of near-duplicates, that of least doc_id (of several rows of that id, the one of least text hash).
+
+    Documents are told apart by doc_id and text, as ids may be shared; of rows that repeat both one stays; what shares no
+    n-gram set stays; so do documents without an id, which belong to no group."""
+    body = F.xxhash64("text").alias("body")
+    rows = docs.select(*COLUMNS)
+    found = cut(jaccard.join(rows.withColumn("body", body), keep=("body",)).select("doc_id", "body", "class_id", "kept"), "found")
+    first = found.where("kept and class_id is not null").groupBy("class_id").agg(F.min("body").alias("first"))
+    several = found.join(first, "class_id").where("not kept or body <> first").select(F.col("doc_id").alias("id"), F.col("body").alias("of")).distinct()
+    repeated = found.groupBy(F.col("doc_id").alias("id"), F.col("body").alias("of")).count().where("count > 1").select("id", "of")
+
+    def among(keys: DataFrame, how: str, left: DataFrame) -> DataFrame:
+        # copies are few beside texts: their keys are broadcast up to a million, so that no text moves
+        known = F.broadcast(keys) if keys.limit(MOST + 1).count() <= MOST else keys
+        return left.join(known, F.col("doc_id").eqNullSafe(F.col("id")) & body.eqNullSafe(F.col("of")), how)
+
+    repeated, gone = cut(repeated, "repeated"), cut(several, "gone")
+    left = among(gone, "left_anti", rows)
+    return _documents(among(repeated, "left_anti", left).unionByName(among(repeated, "left_semi", left).dropDuplicates(["doc_id", "text"])))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +71,6 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document, packed into sequences of 1,024 tokens."""
-    bounded_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
