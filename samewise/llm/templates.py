@@ -130,13 +130,13 @@ def clean(docs: DataFrame, least_docs: int = 3, most: int = 500_000) -> DataFram
     lines, going = recurring(docs, least_docs, most)
     gone = lines.join(_small(going, most), ["leaf", "shape"]).where(F.col("doc_id") != F.col("keeper"))
     counted, key, row, marks = (free_name(docs, n) for n in ("n_lines_dropped", "key", "row", "marks"))
-    by_row = gone.groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_set("line")).alias("at"))  # at most a document's own lines
+    by_row = cut(gone.groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_set("line")).alias(marks)), "dropped")  # at most a document's own lines
+    joined = docs.withColumn(key, _row()).join(_small(by_row, most // 5), F.col(key) == F.col(row), "left")
     # a mark for each line up to the last that goes, from the distances between those that go: one pass over the text's lines
-    before = F.concat(F.array(F.lit(-1)), F.slice("at", F.lit(1), F.size("at") - 1))
-    flags = F.flatten(F.zip_with("at", before, lambda a, b: F.concat(F.array_repeat(F.lit(False), a - b - 1), F.array(F.lit(True)))))
-    by_row = cut(by_row.select(row, F.struct(F.size("at").alias("n"), flags.alias("gone")).alias(marks)), "dropped")
-    joined = docs.withColumn(key, _row()).join(_small(by_row, most), F.col(key) == F.col(row), "left")
-    pairs = F.zip_with(F.split(F.col("text").cast("string"), "\n"), F.col(f"{marks}.gone"), lambda s, g: F.struct(s.alias("s"), g.alias("g")))
+    at = F.col(marks)
+    before = F.concat(F.array(F.lit(-1)), F.slice(at, F.lit(1), F.size(at) - 1))
+    flags = F.flatten(F.zip_with(at, before, lambda a, b: F.concat(F.array_repeat(F.lit(False), a - b - 1), F.array(F.lit(True)))))
+    pairs = F.zip_with(F.split(F.col("text").cast("string"), "\n"), flags, lambda s, g: F.struct(s.alias("s"), g.alias("g")))
     left = F.transform(F.filter(pairs, lambda x: ~F.coalesce(x["g"], F.lit(False))), lambda x: x["s"])
     text = F.when(F.col(marks).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return joined.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns), F.coalesce(F.col(f"{marks}.n"), F.lit(0)).cast("long").alias(counted))
+    return joined.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns), F.coalesce(F.size(marks), F.lit(0)).cast("long").alias(counted))
