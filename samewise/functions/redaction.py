@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from samewise.functions.similarity import tokens, two_places
 
 LEAST_TOKEN = 3
-PLACEHOLDER = "[REDACTED: reasoning contained forbidden token]"
+#: What stands for a reasoning that leaks, and the forms of class and project codes.
+PLACEHOLDER = "[redacted: PII detected in LLM output]"
+CLASS_CODE, PROJECT_CODE = r"^[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)+$", r"^[A-Za-z0-9]+(?:-[A-Za-z0-9]+)+$"
 #: The keys of a payload, the first non-empty string of which counts.
 EMAIL_KEYS = ("email", "Email", "PrimaryEmail", "primary_email")
 EMPLOYEE_KEYS = ("employee_id", "EmployeeId", "EmployeeNumber", "employee_number")
@@ -21,14 +23,14 @@ def class_shape(code: Column) -> Column:
     """a.b.c as A.B.C, a letter for each segment (AA, AB after Z); null for what isn't such a code."""
     letter = lambda i: F.chr(F.lit(65) + i % 26)
     names = F.transform(F.split(code, r"\."), lambda _, i: F.when(i < 26, letter(i)).otherwise(F.concat(F.chr(F.lit(64) + F.floor(i / 26)), letter(i))))
-    return F.when(code.rlike(r"^[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)+$"), F.array_join(names, "."))
+    return F.when(code.rlike(CLASS_CODE), F.array_join(names, "."))
 
 
 def project_shape(code: Column) -> Column:
     """Each segment as an A for every letter, then an N for every digit; null for what isn't such a code."""
     count = lambda s, other: F.length(F.regexp_replace(s, other, ""))
     parts = F.transform(F.split(code, "-"), lambda s: F.concat(F.repeat(F.lit("A"), count(s, "[^A-Za-z]")), F.repeat(F.lit("N"), count(s, "[^0-9]"))))
-    return F.when(code.rlike(r"^[A-Za-z0-9]+(?:-[A-Za-z0-9]+)+$"), F.array_join(parts, "-"))
+    return F.when(code.rlike(PROJECT_CODE), F.array_join(parts, "-"))
 
 
 def leak(text: Column, forbidden: Column) -> Column:

@@ -1,11 +1,14 @@
-"""String similarity: LCS-based ratios and Jaro-Winkler in one Arrow-batched UDF, and trigram Jaccard in Catalyst.
+"""String similarity: LCS-based ratios and Jaro-Winkler in Arrow-batched UDFs, and trigram Jaccard in Catalyst.
 
-The UDF gets each distinct pair of names once; LCS is bit-parallel over Python integers."""
+A UDF measures only what is asked and gets each distinct pair of names once; LCS is bit-parallel over Python integers, Jaro-Winkler
+steps over arrays of all pairs of a batch."""
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Sequence
+from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -100,16 +103,55 @@ def jaro_winkler(a: str, b: str) -> float:
     return s + 0.1 * prefix * (1 - s)
 
 
-@lru_cache(maxsize=100_000)
-def metrics(a: str, b: str) -> tuple[float, float, float, float]:
-    return token_sort(a, b), token_set(a, b), partial(a, b), 100.0 * jaro_winkler(a, b)
-
-
-@F.pandas_udf(T.StructType([T.StructField(k, T.DoubleType()) for k in METRICS]))
-def string_metrics(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """token_sort, token_set, partial and jaro_winkler (0 to 100) of two columns; nulls count as empty."""
-    rows = [metrics(x or "", y or "") for x, y in zip(a, b)]
-    return pd.DataFrame(rows, columns=METRICS)
+def jaro_winkler_all(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """jaro_winkler of many pairs at once: a step for each place of the longest left string, over all pairs."""
+    size_a, size_b = (np.array([len(s) for s in x], np.int64) for x in (a, b))
+    left, right = _padded(a, size_a), _padded(b, size_b)
+    n, places = len(size_a), np.arange(right.shape[1])
+    reach = np.maximum(0, np.maximum(size_a, size_b) // 2 - 1)
+    hit, taken = np.zeros(left.shape, bool), np.zeros(right.shape, bool)
+    inside = places[None] < size_b[:, None]
+    for i in range(left.shape[1]):
+        near = inside & (np.abs(places[None] - i) <= reach[:, None]) & (right == left[:, i : i + 1]) & ~taken
+        rows = np.flatnonzero(near.any(1) & (i < size_a))
+        taken[rows, near[rows].argmax(1)] = True
+        hit[rows, i] = True
+    m = hit.sum(1)
+    # both sides have as many matched characters in each pair, so they lie side by side
+    unlike = np.bincount(np.nonzero(hit)[0], left[hit] != right[taken], n)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = (m / size_a + m / size_b + (m - unlike // 2) / m) / 3
+    score = np.where((size_a == 0) | (size_b == 0), (size_a == size_b).astype(float), np.where(m == 0, 0.0, score))
+    head = min(4, left.shape[1], right.shape[1])
+    alike = (left[:, :head] == right[:, :head]) & (np.arange(head)[None] < np.minimum(size_a, size_b)[:, None])
+    prefix = np.minimum.accumulate(alike, 1).sum(1) if head else np.zeros(n)
+    return np.where(score > 0.7, score + 0.1 * prefix * (1 - score), score)
+
+
+def _padded(x: Sequence[str], size: np.ndarray) -> np.ndarray:
+    """Code points, a row for each string, 0 behind its end."""
+    out = np.zeros((len(size), int(size.max(initial=0))), np.uint32)
+    out[np.arange(out.shape[1])[None] < size[:, None]] = np.frombuffer("".join(x).encode("utf-32-le", "surrogatepass"), "<u4")
+    return out
+
+
+PAIRWISE = {"token_sort": token_sort, "token_set": token_set, "partial": partial}
+
+
+@cache
+def string_metrics(*which: str):
+    """A function of two columns that gives a struct of the metrics named (0 to 100); nulls count as empty."""
+    which = which or METRICS
+
+    @F.pandas_udf(T.StructType([T.StructField(k, T.DoubleType()) for k in which]))
+    def measured(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        left, right = a.fillna("").tolist(), b.fillna("").tolist()
+        own = {k: [PAIRWISE[k](x, y) for x, y in zip(left, right)] for k in which if k in PAIRWISE}
+        if "jaro_winkler" in which:
+            own["jaro_winkler"] = 100.0 * jaro_winkler_all(left, right)
+        return pd.DataFrame({k: own[k] for k in which}, columns=list(which), dtype=float)
+
+    return measured
 
 
 @F.pandas_udf(T.StringType())
@@ -134,5 +176,3 @@ def trigram_jaccard(a: Column, b: Column) -> Column:
 
 def tokens(s: Column) -> Column:
     return F.filter(F.split(F.coalesce(s, F.lit("")), r"(?U)\s+"), lambda t: t != "")
-
-

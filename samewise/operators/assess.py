@@ -9,7 +9,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samewise.functions import redaction as R
@@ -39,11 +39,11 @@ def prompts(dispositions: DataFrame, entities: DataFrame, canon: DataFrame, alia
 
     A prompt that holds a forbidden token, as a name's word may also be one of the template, is blocked, not sent."""
     todo = dispositions.where("action = 'LLM_FALLBACK'").select("entity_id", F.col("top_match").alias("canonical_id"), F.col("top_score").alias("score"))
-    names = registry.of_tenant(canon, tenant).select("canonical_id", "canonical_name", F.col("entity_category").alias("candidate_category"))
+    names = registry.of_tenant(canon, tenant).select("canonical_id", "canonical_name", F.col("entity_category").alias("candidate_category"), F.col("entity_type").alias("candidate_type"))
     payload = F.col("external_fields")
-    fields = {"candidate_role": R.ROLE_KEYS, "candidate_class": R.CLASS_KEYS, "candidate_project": R.PROJECT_KEYS, "candidate_email": R.EMAIL_KEYS, "candidate_employee": R.EMPLOYEE_KEYS}
+    fields = {"candidate_role": R.ROLE_KEYS, "candidate_project": R.PROJECT_KEYS, "candidate_email": R.EMAIL_KEYS, "candidate_employee": R.EMPLOYEE_KEYS}
     held = refs.select("canonical_id", "source", "external_id", *(first_text(payload, keys).alias(k) for k, keys in fields.items())).groupBy("canonical_id").agg(
-        *(F.min_by(k, F.when(F.col(k).isNotNull(), F.struct("source", "external_id"))).alias(k) for k in ("candidate_role", "candidate_class", "candidate_project")),
+        *(F.min_by(k, F.when(F.col(k).isNotNull(), F.struct("source", "external_id"))).alias(k) for k in ("candidate_role", "candidate_project")),
         F.array_union(F.collect_set("candidate_email"), F.collect_set("candidate_employee")).alias("candidate_tokens"),
     )
     known = registry.other_aliases(canon, aliases, tenant).groupBy("canonical_id").agg(F.collect_set("value").alias("other"))
@@ -57,7 +57,9 @@ def prompts(dispositions: DataFrame, entities: DataFrame, canon: DataFrame, alia
     shared, total = R.overlap(F.col("normalized_name"), F.col("canonical_name"))
     target = flipped(F.col("category"))
     role = first_text(raw, R.ROLE_KEYS)
-    text = R.prompt(person, F.col("category"), target, F.when(person, role).otherwise(F.col("entity_category")), F.when(person, F.col("candidate_role")).otherwise(F.col("candidate_category")), R.class_shape(F.coalesce(first_text(raw, R.CLASS_KEYS), F.col("candidate_class"))), R.project_shape(F.coalesce(first_text(raw, R.PROJECT_KEYS), F.col("candidate_project"))), R.inverted(F.col("normalized_name"), F.col("canonical_name")), shared, total, F.col("score"))
+    kinds = F.when(person, role).otherwise(F.col("entity_category")), F.when(person, F.col("candidate_role")).otherwise(F.col("candidate_type"))
+    shapes = R.class_shape(first_text(raw, R.CLASS_KEYS)), R.project_shape(F.col("candidate_project"))
+    text = R.prompt(person, F.col("category"), target, *kinds, *shapes, R.inverted(F.col("normalized_name"), F.col("canonical_name")), shared, total, F.col("score"))
     rows = rows.select("entity_id", "canonical_id", "score", F.concat_ws(":", F.col("category"), target).alias("category_pair"), text.alias("redacted_prompt"), forbidden.alias("forbidden"))
     status = F.when(R.leak(F.col("redacted_prompt"), F.col("forbidden")).isNotNull(), "blocked_leak").otherwise("ready")
     return rows.withColumn("prompt_sha256", F.sha2("redacted_prompt", 256)).withColumn("status", status)
@@ -75,7 +77,7 @@ def assess(ready: DataFrame, client: Callable[[str], dict] = offline, calls: int
     """prompts() with status (ok, redacted_leak, invalid_response, blocked_leak, over_budget), the answer, and the action.
 
     The first `calls` prompts that may be sent, by entity, are sent; the budget is a feature, and what is over it says so."""
-    allowed = ready.where("status = 'ready'").withColumn("nth", F.row_number().over(Window.orderBy("entity_id"))).where(F.col("nth") <= calls).select("entity_id", "redacted_prompt", "forbidden")
+    allowed = ready.where("status = 'ready'").orderBy("entity_id").limit(calls).select("entity_id", "redacted_prompt", "forbidden")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -91,6 +93,7 @@ def assess(ready: DataFrame, client: Callable[[str], dict] = offline, calls: int
                 out.append((r.entity_id, "redacted_leak" if leaked else "ok", kept["match"], kept["confidence"], kept["reasoning"], kept["signals"], json.dumps(kept, sort_keys=True)))
             yield pd.DataFrame(out, columns=["entity_id", "status", "match", "confidence", "reasoning", "signals", "response_json"])
 
+    # the budget's few prompts go to one task, as a client may count or pace its calls
     answers = allowed.repartition(1).mapInPandas(ask, ANSWER).withColumnRenamed("status", "answer")
     status = F.when(F.col("status") != "ready", F.col("status")).otherwise(F.coalesce("answer", F.lit("over_budget")))
     return ready.join(answers, "entity_id", "left").withColumn("status", status).drop("answer").withColumn("action", F.when(F.col("status").isin("ok", "redacted_leak"), "QUEUE_FOR_REVIEW").otherwise("LLM_FALLBACK"))

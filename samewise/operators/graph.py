@@ -3,29 +3,36 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as it is now, in the shared checkpoint folder; a temporary one only where none is set."""
+    """df as it is now, in the shared checkpoint folder; where none is set, a temporary one on a single machine, and an error on a cluster."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="samewise-"))
     return df.checkpoint()
 
 
-def clusters(pairs: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, cluster (least node reached) of every end of pairs (a, b): least labels with pointer jumping, written each round."""
+def clusters(pairs: DataFrame, rounds: int = 60, write: Callable[[DataFrame, str], DataFrame] = lambda df, _: written(df)) -> DataFrame:
+    """node, cluster (least node reached) of every end of pairs (a, b): least labels with pointer jumping.
+
+    Each round is written, by checkpoints or as `write` does, so that a lost executor costs one round. Null ends and loops are ignored."""
     links = pairs.where("a <> b").select("a", "b")
-    both = written(links.union(links.select("b", "a")).distinct())
-    now = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("cluster")))
+    both = write(links.union(links.select("b", "a")).distinct(), "edges")
+    now = write(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("cluster")), "labels")
     for _ in range(rounds):
         near = both.join(now.select(F.col("node").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("node")).agg(F.min("cluster").alias("m"))
         step = now.join(near, "node").select("node", F.col("cluster").alias("old"), F.least("cluster", "m").alias("new"))
         beyond = now.select(F.col("node").alias("new"), F.col("cluster").alias("next"))
-        after = written(step.join(beyond, "new", "left").select("node", "old", F.least("new", F.coalesce("next", "new")).alias("cluster")))
+        after = write(step.join(beyond, "new", "left").select("node", "old", F.least("new", F.coalesce("next", "new")).alias("cluster")), "labels")
         now = after.select("node", "cluster")
         if after.where("old <> cluster").limit(1).count() == 0:
             return now
@@ -39,16 +46,60 @@ def cold_start(scores: DataFrame, least: float = 0.40) -> DataFrame:
     return named.groupBy("cluster").agg(F.count("*").alias("n_pairs"), F.countDistinct("canonical_id").alias("n_canonicals"), F.avg("score").alias("confidence"))
 
 
+#: Queries that meet a task's vectors at once, and queries that are broadcast together.
+QUERIES, TOGETHER = 512, 32_768
+
+
 def cosine_top(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """query_id, vec_id, cosine, position: the k nearest vectors of each query, itself left out; a flat scan.
 
-    queries: query_id, embedding; they are a stated, bounded set and go to every task in one row, so that no pair is shuffled."""
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    asked = queries.select("query_id", F.col("embedding").alias("q")).withColumn("qn", norm("q")).where("qn > 0")
-    held = vectors.select("vec_id", F.col("embedding").alias("v")).withColumn("vn", norm("v")).where("vn > 0")
-    block = asked.agg(F.collect_list(F.struct("query_id", "q", "qn")).alias("block"))
-    rows = held.join(F.broadcast(block)).select("vec_id", "v", "vn", F.explode("block").alias("b")).where(F.col("b.query_id") != F.col("vec_id"))
-    dot = F.aggregate(F.zip_with("v", "b.q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = rows.select(F.col("b.query_id").alias("query_id"), "vec_id", (dot / (F.col("vn") * F.col("b.qn"))).alias("cosine"))
+    queries: query_id, embedding. They are broadcast in parts of about TOGETHER, a scan of the vectors each, so that neither a task nor the
+    driver holds more. Each task keeps the k best of its own vectors for each query, and only these leave it. Zero vectors, nulls and
+    those that hold nulls have no neighbour; vectors of other lengths are no neighbours."""
+    spark = vectors.sparkSession
+    asked = queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("q"))
+    held = vectors.where("embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, vec_id {held.schema['vec_id'].dataType.simpleString()}, cosine double"
+    parts = max(1, -(-asked.count() // TOGETHER))
+    scored = None
+    for part in range(parts):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect()
+        block = spark.sparkContext.broadcast(_Block([(r["query_id"], r["q"]) for r in rows]))
+        own = held.mapInPandas(lambda batches, block=block: _nearest(batches, block.value, k), schema)
+        scored = own if scored is None else scored.unionByName(own)
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
     return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+
+
+class _Block:
+    """Queries by length of their vectors: ids and unit vectors."""
+
+    def __init__(self, rows: list):
+        self.by_size: dict[int, tuple[list, np.ndarray]] = {}
+        for size in {len(q) for _, q in rows}:
+            own = [(i, q) for i, q in rows if len(q) == size and all(x is not None for x in q) and any(q)]
+            if own:
+                x = np.array([q for _, q in own], float)
+                self.by_size[size] = [i for i, _ in own], x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def _nearest(batches: Iterator[pd.DataFrame], block: _Block, k: int) -> Iterator[pd.DataFrame]:
+    """The k best of all the batches' vectors for each query, ties by vec_id."""
+    best: dict = {}
+    for rows in batches:
+        for size, (ids, queries) in block.by_size.items():
+            own = [(i, v) for i, v in zip(rows["vec_id"], rows["v"]) if len(v) == size and not any(x is None for x in v) and any(v)]
+            if not own:
+                continue
+            x = np.array([list(v) for _, v in own], float)
+            x /= np.sqrt((x * x).sum(1))[:, None]
+            for at in range(0, len(ids), QUERIES):
+                cosine = queries[at : at + QUERIES] @ x.T
+                least = np.sort(cosine, 1)[:, -min(k + 1, cosine.shape[1])]
+                for j, i in enumerate(ids[at : at + QUERIES]):
+                    some = np.flatnonzero(cosine[j] >= least[j])
+                    found = [(-cosine[j, c], own[c][0]) for c in some if own[c][0] != i]
+                    best[i] = sorted(best.get(i, []) + found)[:k]
+    rows = [(i, v, -c) for i, found in best.items() for c, v in found]
+    if rows:
+        yield pd.DataFrame(rows, columns=["query_id", "vec_id", "cosine"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from samewise.functions.similarity import tokens, trigrams
 from samewise.operators import registry
+from samewise.operators.graph import written
 
 #: Confidences and the number of candidates.
 ALIAS_CEILING, EMAIL_CONFIDENCE, EMPLOYEE_CONFIDENCE, MOST_CANDIDATES = 0.99, 0.99, 1.0, 50
@@ -32,23 +33,41 @@ def deterministic(entities: DataFrame, canon: DataFrame, aliases: DataFrame, ref
     return out.select("entity_id", F.coalesce("alias", "email", "employee_id").alias("hit")).select("entity_id", "hit.*")
 
 
+def _signalled(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """key, signal: the distinct tokens and trigrams of each key's names."""
+    marked = F.concat(F.transform(tokens(F.col(name)), lambda t: F.concat(F.lit("token:"), t)), F.transform(trigrams(F.col(name)), lambda t: F.concat(F.lit("trigram:"), t)))
+    return rows.where(F.trim(name) != "").select(key, F.explode(F.array_distinct(marked)).alias("signal")).distinct()
+
+
 def signals(entities: DataFrame, canon: DataFrame, aliases: DataFrame, tenant: str | None = None) -> DataFrame:
     """entity_id, canonical_id, signal: tokens and trigrams that the entity's name shares with a canonical's names."""
+    index = _signalled(registry.seeds(canon, aliases, tenant), "canonical_id", "value")
+    return _signalled(entities, "entity_id", "normalized_name").join(index, "signal").select("entity_id", "canonical_id", "signal")
 
-    def exploded(rows: DataFrame, key: str, name: str) -> DataFrame:
-        marked = F.concat(F.transform(tokens(F.col(name)), lambda t: F.concat(F.lit("token:"), t)), F.transform(trigrams(F.col(name)), lambda t: F.concat(F.lit("trigram:"), t)))
-        return rows.where(F.trim(name) != "").select(key, F.explode(F.array_distinct(marked)).alias("signal"))
 
-    index = exploded(registry.seeds(canon, aliases, tenant), "canonical_id", "value").distinct()
-    return exploded(entities, "entity_id", "normalized_name").join(index, "signal").select("entity_id", "canonical_id", "signal")
+def own_canonicals(entities: DataFrame, refs: DataFrame) -> DataFrame:
+    """entity_id, canonical_id: canonicals that already hold the entity's record."""
+    own = entities.select("entity_id", "source", F.col("source_id").alias("external_id"))
+    return own.join(refs.select("canonical_id", "source", "external_id"), ["source", "external_id"]).select("entity_id", "canonical_id").distinct()
 
 
-def candidates(entities: DataFrame, canon: DataFrame, aliases: DataFrame, refs: DataFrame, tenant: str | None = None, most: int = MOST_CANDIDATES) -> DataFrame:
+def candidates(entities: DataFrame, canon: DataFrame, aliases: DataFrame, refs: DataFrame, tenant: str | None = None, most: int = MOST_CANDIDATES, most_broadcast: int = 500_000) -> DataFrame:
     """entity_id, canonical_id, blocking_signals: the first `most` canonicals by id that share a signal, but for the entity's own.
 
-    The pairs are cut before their signals are gathered, so that what the cap leaves out is never collected."""
-    shared = signals(entities, canon, aliases, tenant)
-    own = entities.select("entity_id", "source", F.col("source_id").alias("external_id")).join(refs.select("canonical_id", "source", "external_id"), ["source", "external_id"]).select("entity_id", "canonical_id")
-    pairs = shared.select("entity_id", "canonical_id").distinct().join(own, ["entity_id", "canonical_id"], "left_anti")
-    kept = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("entity_id").orderBy("canonical_id"))).where(F.col("nth") <= most).drop("nth")
-    return shared.join(kept, ["entity_id", "canonical_id"]).groupBy("entity_id", "canonical_id").agg(F.array_sort(F.collect_set("signal")).alias("blocking_signals"))
+    The first n of a union of lists are among the first n of each list. So each signal gives only its first canonicals before
+    they meet the entities: `most`, and as many more as the entity with most canonicals of its own has. What a common
+    trigram joins is thus bounded for each entity and signal, and only the pairs that stay have their signals gathered."""
+    asked = written(_signalled(entities, "entity_id", "normalized_name"))
+    index = written(_signalled(registry.seeds(canon, aliases, tenant), "canonical_id", "value"))
+    own = written(own_canonicals(entities, refs))
+    more = own.groupBy("entity_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    nth = lambda by: F.row_number().over(Window.partitionBy(by).orderBy("canonical_id"))
+    first = index.withColumn("nth", nth("signal")).where(F.col("nth") <= most + more).drop("nth")
+    pairs = asked.join(first, "signal").select("entity_id", "canonical_id").distinct().join(own, ["entity_id", "canonical_id"], "left_anti")
+    kept = written(pairs.withColumn("nth", nth("entity_id")).where(F.col("nth") <= most).drop("nth"))
+    # the signals of the canonicals that are left, gathered once each; few canonicals are candidates of very many entities
+    left = index.join(kept.select("canonical_id").distinct(), "canonical_id", "left_semi").groupBy("canonical_id").agg(F.collect_set("signal").alias("held"))
+    left = written(left)
+    left = F.broadcast(left) if left.limit(most_broadcast + 1).count() <= most_broadcast else left
+    of_entity = asked.groupBy("entity_id").agg(F.collect_set("signal").alias("asked"))
+    return kept.join(of_entity, "entity_id").join(left, "canonical_id").select("entity_id", "canonical_id", F.array_sort(F.array_intersect("asked", "held")).alias("blocking_signals"))

@@ -47,6 +47,14 @@ def pending(dispositions: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return dispositions.where("action = 'QUEUE_FOR_REVIEW'").orderBy(F.desc("top_score"), "entity_id").offset(offset).limit(limit)
 
 
+def decided(dispositions: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """entity_id, canonical_id, disposition, ready for resolution, of the queue's entities that have a verdict.
+
+    verdicts: entity_id, verdict (approve, reject, correct), canonical_id (of a correction). A verdict on what isn't queued, or of another kind, decides nothing."""
+    rows = dispositions.where("action = 'QUEUE_FOR_REVIEW'").join(verdicts.where(F.col("verdict").isin("approve", "reject", "correct")).select("entity_id", "verdict", F.col("canonical_id").alias("other")), "entity_id")
+    return rows.select("entity_id", F.when(F.col("verdict") == "correct", F.col("other")).otherwise(F.col("top_match")).alias("canonical_id"), F.when(F.col("verdict") == "reject", "rejected").otherwise("confirmed").alias("disposition"))
+
+
 def audit(log: DataFrame, start, end, actor: str | None = None, category: str | None = None) -> DataFrame:
     """The log's rows from start to end, both included, of an actor and category if given, newest first."""
     rows = log.where(F.col("at").between(F.lit(start), F.lit(end)))

@@ -47,7 +47,7 @@ def flipped(category: Column) -> Column:
 def alias_boosts(pairs: DataFrame, canon: DataFrame, aliases: DataFrame, tenant: str | None = None) -> DataFrame:
     """entity_name, canonical_id of pairs (entity_name, canonical_id, canonical_name) of which an alias is close enough."""
     near = pairs.join(registry.other_aliases(canon, aliases, tenant), "canonical_id").where(F.lower(F.trim("value")) != F.lower(F.trim("canonical_name")))
-    scored = near.select("entity_name", "value").where("entity_name <> ''").distinct().withColumn("m", string_metrics("entity_name", "value")).where(F.greatest("m.token_set", "m.jaro_winkler") > ALIAS_THRESHOLD)
+    scored = near.select("entity_name", "value").where("entity_name <> ''").distinct().withColumn("m", string_metrics("token_set", "jaro_winkler")("entity_name", "value")).where(F.greatest("m.token_set", "m.jaro_winkler") > ALIAS_THRESHOLD)
     return near.join(scored.select("entity_name", "value"), ["entity_name", "value"], "left_semi").select("entity_name", "canonical_id").distinct()
 
 
@@ -76,7 +76,7 @@ def score(pairs: DataFrame, entities: DataFrame, canon: DataFrame, aliases: Data
     rows = pairs.select("entity_id", "canonical_id").distinct().join(own, "entity_id").join(names, "canonical_id")
     rows = rows.withColumn("target_category", flipped(F.col("source_category")))
     full = (F.trim("entity_name") != "") & (F.trim("canonical_name") != "")
-    measured = rows.where(full).select("entity_name", "canonical_name").distinct().withColumn("m", string_metrics("entity_name", "canonical_name"))
+    measured = rows.where(full).select("entity_name", "canonical_name").distinct().withColumn("m", string_metrics()("entity_name", "canonical_name"))
     measured = measured.withColumn("jaccard", trigram_jaccard(F.col("entity_name"), F.col("canonical_name")))
     boosts = alias_boosts(rows.where(full).select("entity_name", "canonical_id", "canonical_name").distinct(), canon, aliases, tenant).withColumn("boost", F.lit(True))
     others = registry.other_aliases(canon, aliases, tenant).groupBy("canonical_id").agg(F.collect_set("value").alias("aliases"))

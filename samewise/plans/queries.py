@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from samewise.functions import redaction as R
 from samewise.functions.names import normalize, split_rejects
 from samewise.functions.similarity import string_metrics, trigram_jaccard
-from samewise.operators import assess, disposition, graph, matching, registry, reporting, resolution, scoring
+from samewise.operators import disposition, graph, matching, registry, reporting, resolution, scoring
 from samewise.plans.derive import ctes, frame
 from samewise.sources import records
 
@@ -102,9 +102,8 @@ def src_entity_map(spark, sf):
   union all select cast(l_orderkey as varchar) || '-' || cast(l_linenumber as varchar), 'bill', l_extendedprice, 'USD', strftime(l_shipdate, '%Y-%m-%d'), cast(l_suppkey as varchar), 'vendor' from lineitem where strftime(l_shipdate, '%Y-%m-%d') between '1995-06-01' and '1998-06-30'""")
 def src_txn_union(spark, sf):
     o, li = _t(spark, sf, "orders"), _t(spark, sf, "lineitem")
-    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias("txn_date")
-    sold = o.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"), F.lit("").alias("currency"), day("o_orderdate"), F.col("o_custkey").alias("customer"), F.lit(None).cast("long").alias("vendor"), "o_orderstatus")
-    bought = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_extendedprice").alias("amount"), F.lit(None).cast("string").alias("currency"), day("l_shipdate"), F.lit(None).cast("long").alias("customer"), F.col("l_suppkey").alias("vendor"))
+    sold = o.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"), F.lit("").alias("currency"), F.col("o_orderdate").alias("txn_date"), F.col("o_custkey").alias("customer"), F.lit(None).cast("long").alias("vendor"), "o_orderstatus")
+    bought = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_extendedprice").alias("amount"), F.lit(None).cast("string").alias("currency"), F.col("l_shipdate").alias("txn_date"), F.lit(None).cast("long").alias("customer"), F.col("l_suppkey").alias("vendor"))
     return records.transactions(sold.where("o_orderstatus = 'F'"), sold.where("o_orderstatus = 'O'"), bought, "1995-06-01", "1998-06-30")
 
 
@@ -120,7 +119,7 @@ def src_project_explode(spark, sf):
 
 @query("select cast(l_orderkey as varchar) as source_id, 'time_entry' as txn_type, l_quantity * case when l_discount = 0 then 100.0 else l_discount * 1000 end as amount, 'USD' as currency, strftime(l_shipdate, '%Y-%m-%d') as txn_date, cast(l_suppkey as varchar) as counterparty, 'resource' as counterparty_kind, l_returnflag as project_code from lineitem where strftime(l_shipdate, '%Y-%m-%d') between '1996-01-01' and '1996-12-31'")
 def src_time_entries(spark, sf):
-    li = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_quantity").alias("hours"), (F.col("l_discount") * 1000).alias("billing_rate"), F.lit(100.0).alias("hourly_rate"), F.lit(None).cast("string").alias("currency"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), F.col("l_suppkey").alias("resource_id"), F.col("l_returnflag").alias("project_code"))
+    li = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_quantity").alias("hours"), (F.col("l_discount") * 1000).alias("billing_rate"), F.lit(100.0).alias("hourly_rate"), F.lit(None).cast("string").alias("currency"), F.col("l_shipdate").alias("date"), F.col("l_suppkey").alias("resource_id"), F.col("l_returnflag").alias("project_code"))
     return records.time_entries(li, "1996-01-01", "1996-12-31")
 
 
@@ -146,7 +145,8 @@ def src_throttle(spark, sf):
 
 _SEEDS = """, seeds as (select canonical_id, value, max(confidence) as confidence from (select canonical_id, canonical_name as value, 1.0::double as confidence from canon
   union all select canonical_id, value, coalesce(confidence, 1.0) from aliases) group by all)"""
-_ALIAS = _SEEDS + ", alias_hits as (select entity_id, canonical_id, confidence from good join seeds on value = normalized_name)"
+_HITS = ", alias_hits as (select entity_id, canonical_id, confidence from good join seeds on value = normalized_name)"
+_ALIAS = _SEEDS + _HITS
 _JSON = "case when json_valid(external_fields) then json_extract_string(external_fields, '$.{}') end"
 _EMAIL = f", email_hits as (select distinct entity_id, r.canonical_id from good g join refs r on lower(trim({_JSON.format('email')})) = lower(trim(g.email)) where trim(g.email) <> '')"
 _EID = f", id_hits as (select distinct entity_id, r.canonical_id from good g join refs r on trim({_JSON.format('employee_id')}) = trim(g.employee_id))"
@@ -175,10 +175,16 @@ def employee_id_anchor(spark, sf):
 _ONE = "select entity_id, min(canonical_id) as canonical_id, min(confidence) as confidence, '{}' as k from ({}) group by entity_id having count(distinct canonical_id) = 1"
 
 
-@query(_all("canon", "aliases", "refs") + _ALIAS + _EMAIL + _EID + ", a as (" + _ONE.format("alias", "select entity_id, canonical_id, least(confidence, 0.99) as confidence from alias_hits") + "), e as ("
-       + _ONE.format("email", "select h.entity_id, h.canonical_id, 0.99::double as confidence from email_hits h join good g using (entity_id) join canon c on c.canonical_id = h.canonical_id where g.entity_category = 'person' and c.entity_category = 'person'") + "), i as ("
-       + _ONE.format("employee_id", "select h.entity_id, h.canonical_id, 1.0::double as confidence from id_hits h join good g using (entity_id) where g.entity_category = 'person'")
-       + ") select entity_id, coalesce(a.canonical_id, e.canonical_id, i.canonical_id) as canonical_id, coalesce(a.confidence, e.confidence, i.confidence) as confidence, coalesce(a.k, e.k, i.k) as match_key_type from good left join a using (entity_id) left join e using (entity_id) left join i using (entity_id)")
+_ANCHORS = {
+    "by_alias": ("alias", "select entity_id, canonical_id, least(confidence, 0.99) as confidence from alias_hits"),
+    "by_email": ("email", "select h.entity_id, h.canonical_id, 0.99::double as confidence from email_hits h join good g using (entity_id) join canon c on c.canonical_id = h.canonical_id where g.entity_category = 'person' and c.entity_category = 'person'"),
+    "by_id": ("employee_id", "select h.entity_id, h.canonical_id, 1.0::double as confidence from id_hits h join good g using (entity_id) where g.entity_category = 'person'"),
+}
+_CASCADE = "".join(f", {name} as ({_ONE.format(kind, hits)})" for name, (kind, hits) in _ANCHORS.items()) + """, anchored as (select entity_id, coalesce(a.canonical_id, e.canonical_id, i.canonical_id) as canonical_id,
+  coalesce(a.confidence, e.confidence, i.confidence) as confidence, coalesce(a.k, e.k, i.k) as match_key_type from good left join by_alias a using (entity_id) left join by_email e using (entity_id) left join by_id i using (entity_id))"""
+
+
+@query(_all("canon", "aliases", "refs") + _ALIAS + _EMAIL + _EID + _CASCADE + " select * from anchored")
 def det_cascade(spark, sf):
     return matching.deterministic(_good(spark, sf), *(frame(spark, sf, n) for n in ("canon", "aliases", "refs")))
 
@@ -200,9 +206,12 @@ def trigram_block(spark, sf):
     return matching.signals(_good(spark, sf), frame(spark, sf, "canon"), frame(spark, sf, "aliases")).where("signal like 'trigram:%'").groupBy("entity_id", "canonical_id").agg(F.count("*").alias("n"))
 
 
-@query(_all("canon", "aliases", "refs") + _SIGNALS + """, own as (select g.entity_id, r.canonical_id from good g join refs r on r.source = g.source and r.external_id = g.source_id),
-  pairs as (select distinct entity_id, canonical_id from shared anti join own using (entity_id, canonical_id)), kept as (select * from pairs qualify row_number() over (partition by entity_id order by canonical_id) <= 50)
-  select entity_id, canonical_id, array_to_string(list_sort(list(distinct signal)), ' ') as signals from shared join kept using (entity_id, canonical_id) group by all""")
+_KEPT = """, own as (select g.entity_id, r.canonical_id from good g join refs r on r.source = g.source and r.external_id = g.source_id),
+  pairs as (select distinct entity_id, canonical_id from shared anti join own using (entity_id, canonical_id)),
+  kept as (select * from pairs qualify row_number() over (partition by entity_id order by canonical_id) <= 50)"""
+
+
+@query(_all("canon", "aliases", "refs") + _SIGNALS + _KEPT + " select entity_id, canonical_id, array_to_string(list_sort(list(distinct signal)), ' ') as signals from shared join kept using (entity_id, canonical_id) group by all")
 def block_cap50(spark, sf):
     found = matching.candidates(_good(spark, sf), *(frame(spark, sf, n) for n in ("canon", "aliases", "refs")))
     return found.select("entity_id", "canonical_id", F.array_join("blocking_signals", " ").alias("signals"))
@@ -228,7 +237,7 @@ def _pairs(spark, sf) -> DataFrame:
 
 @query(_PAIRS + " select a, b, round(100 * jaro_winkler_similarity(a, b), 6) as jaro_winkler from pairs")
 def m_jaro_winkler(spark, sf):
-    return _pairs(spark, sf).withColumn("m", string_metrics("a", "b")).select("a", "b", F.round("m.jaro_winkler", 6).alias("jaro_winkler"))
+    return _pairs(spark, sf).withColumn("m", string_metrics("jaro_winkler")("a", "b")).select("a", "b", F.round("m.jaro_winkler", 6).alias("jaro_winkler"))
 
 
 @query(_PAIRS + ", g as (select a, b, list_distinct(" + _GRAMS.format("a") + ") as x, list_distinct(" + _GRAMS.format("b") + ") as y from pairs) select a, b, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) as jaccard from g")
@@ -236,11 +245,6 @@ def m_jaccard(spark, sf):
     return _pairs(spark, sf).select("a", "b", F.round(trigram_jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
 
-@query()
-def m_token_metrics(spark, sf):
-    return _pairs(spark, sf).withColumn("m", string_metrics("a", "b")).select("a", "b", *(F.round(f"m.{k}", 6).alias(k) for k in ("token_sort", "token_set", "partial")))
-
-
 # graph
 
 _BOTH = ", near as (select distinct source_node as node, target_node as neighbour from edges union select target_node, source_node from edges)"
@@ -271,18 +275,6 @@ def entities_with_refs(spark, sf):
     return held.select("canonical_id", "canonical_name", F.array_join(F.array_sort(F.json_object_keys("system_references")), ",").alias("sources"))
 
 
-@query(ctes("edges", "canon", "refs", "aliases") + """ select 'edge_orphan' as rule, k as key from (select source_node as k from edges union select target_node from edges) where k not in (select canonical_id from canon)
-  union all select 'reference_orphan', canonical_id from (select distinct canonical_id from refs) where canonical_id not in (select canonical_id from canon)""")
-def registry_violations(spark, sf):
-    return registry.violations(*(frame(spark, sf, n) for n in ("canon", "aliases", "refs", "edges")))
-
-
-@query()
-def components(spark, sf):
-    edges = frame(spark, sf, "edges").where("relationship = 'SAME_AS'")
-    return graph.clusters(edges.select(F.col("source_node").alias("a"), F.col("target_node").alias("b")))
-
-
 @query("""with v as (select vec_id, cast(embedding as double[]) as e from embeddings), s as (select q.vec_id as query_id, v.vec_id, list_cosine_similarity(q.e, v.e) as cosine from v q join v on q.vec_id <> v.vec_id where q.vec_id % 20 = 0)
   select query_id, vec_id, round(cosine, 6) as cosine from s qualify row_number() over (partition by query_id order by cosine desc, vec_id) <= 5""")
 def cosine_topk(spark, sf):
@@ -322,27 +314,6 @@ def cluster_conflict(spark, sf):
     return disposition.dispose(_good(spark, sf), _scored(spark, sf), frame(spark, sf, "edges"), frame(spark, sf, "canon"))
 
 
-def _scores(spark, sf) -> DataFrame:
-    good, names = _good(spark, sf), ("canon", "aliases", "refs")
-    pairs = matching.candidates(good, *(frame(spark, sf, n) for n in names))
-    return scoring.score(pairs, good, frame(spark, sf, "canon"), frame(spark, sf, "aliases"), frame(spark, sf, "edges"))
-
-
-@query()
-def weighted_score(spark, sf):
-    return _scores(spark, sf).select("entity_id", "canonical_id", "alias_boost", "abbreviation", "weight_profile_id", "category_pair", *(_r(c) for c in ("token_sort", "token_set", "partial", "jaro_winkler", "jaccard", "score")))
-
-
-@query()
-def graph_score(spark, sf):
-    """Scores of entities that already have a canonical, with graph evidence."""
-    good, names = _good(spark, sf), ("canon", "aliases", "refs")
-    frames = [frame(spark, sf, n) for n in names]
-    resolved = matching.deterministic(good, *frames).where("canonical_id is not null").select("entity_id", F.col("canonical_id").alias("source_canonical_id"))
-    out = scoring.score(matching.candidates(good, *frames), good, frames[0], frames[1], frame(spark, sf, "edges"), resolved=resolved)
-    return out.select("entity_id", "canonical_id", _r("person_bonus"), _r("neighbour_bonus"), _r("score"))
-
-
 @query("with p as (select c_custkey, c_name, lower(substr(c_mktsegment, 1, cast(1 + c_custkey % 4 as int))) as code, lower(c_mktsegment) || ' b' as name from customer) select c_custkey, starts_with(split_part(name, ' ', 1), code) or starts_with('b', code) or code = substr(name, 1, 1) || 'b' as abbreviates from p")
 def psa_abbrev(spark, sf):
     rows = _t(spark, sf, "customer").select("c_custkey", F.lower(F.substring(F.col("c_mktsegment"), F.lit(1), (F.col("c_custkey") % 4 + 1).cast("int"))).alias("code"), F.concat(F.lower("c_mktsegment"), F.lit(" b")).alias("name"))
@@ -369,22 +340,6 @@ def leak_check(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", R.leak(text, F.split("p_name", " ")).alias("offender"))
 
 
-def _prompts(spark, sf) -> DataFrame:
-    good = _good(spark, sf)
-    put = disposition.dispose(good, _scores(spark, sf), frame(spark, sf, "edges"), frame(spark, sf, "canon"))
-    return assess.prompts(put, good, *(frame(spark, sf, n) for n in ("canon", "aliases", "refs")))
-
-
-@query()
-def prompt_sha(spark, sf):
-    return _prompts(spark, sf).select("entity_id", "canonical_id", "category_pair", "redacted_prompt", "prompt_sha256", "status")
-
-
-@query()
-def assessments(spark, sf):
-    return assess.assess(_prompts(spark, sf)).select("entity_id", "status", "action", "match", "confidence", "response_json")
-
-
 # resolution and reports
 
 
@@ -440,19 +395,3 @@ def approval_queue(spark, sf):
     return reporting.pending(top, 20).select("entity_id", "top_score")
 
 
-@query()
-def cold_start(spark, sf):
-    return graph.cold_start(_scores(spark, sf)).select("cluster", "n_pairs", "n_canonicals", _r("confidence"))
-
-
-@query()
-def full_pipeline(spark, sf):
-    """Normalize, anchor, block, score and dispose: a row for each entity."""
-    good = _good(spark, sf)
-    canon, aliases, refs, edges = (frame(spark, sf, n) for n in ("canon", "aliases", "refs", "edges"))
-    anchored = matching.deterministic(good, canon, aliases, refs)
-    left = good.join(anchored.where("canonical_id is not null"), "entity_id", "left_anti")
-    scores = scoring.score(matching.candidates(left, canon, aliases, refs), left, canon, aliases, edges)
-    put = disposition.dispose(left, scores, edges, canon)
-    sure = anchored.where("canonical_id is not null").select("entity_id", F.lit("MATCHED").alias("action"), "canonical_id", F.col("confidence").alias("score"), "match_key_type")
-    return sure.unionByName(put.select("entity_id", "action", F.col("top_match").alias("canonical_id"), F.round("top_score", 6).alias("score"), F.lit(None).cast("string").alias("match_key_type")))

@@ -5,7 +5,9 @@ the record formats counts '' and 0 as missing, as _or() does."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from datetime import date, timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +23,9 @@ PEOPLE = {"accounting": "Employee", "psa": "team-member"}
 TRANSACTIONS = ("Invoice", "Payment", "Bill")
 OPERATIONS = ("create", "update", "void")
 
+#: Windows of time that one task counts calls of.
+STRETCH = 64
+
 PROJECTS = "array<struct<code:string,name:string,status:string,budget_hours:bigint,logged_hours:double,hourly_rate:double,department:string>>"
 ENTITY_SCHEMA = {
     "accounting": "id string, Id string, source string, entity_category string, display_name string, DisplayName string, type string, email string, PrimaryEmailAddr struct<Address:string>, phone string, currency string, balance double, address struct<line1:string,city:string,state:string,postal_code:string>, department string, hourly_rate double, created_at string, last_modified string",
@@ -95,11 +100,12 @@ def entities(rows: DataFrame, system: str) -> DataFrame:
 def transactions(invoices: DataFrame, payments: DataFrame, bills: DataFrame, start: str, end: str) -> DataFrame:
     """source_id, txn_type, amount, currency, txn_date, counterparty, counterparty_kind of the three kinds, from start to end, both included.
 
-    Inputs: id, amount, currency, txn_date (ISO text), customer, vendor. The date range is a plain predicate on each scan."""
+    Inputs: id, amount, currency, txn_date (ISO text, a date or a time), customer, vendor. The date range is a plain predicate on each
+    scan, of the column's own kind, so that it reaches the files; text comes of it afterwards."""
     out = None
     for kind, rows in zip(TRANSACTIONS, (invoices, payments, bills)):
         party = F.col("vendor") if kind == "Bill" else F.col("customer")
-        own = rows.where(F.col("txn_date").between(start, end)).select(
+        own = rows.where(within(rows, "txn_date", start, end)).withColumn("txn_date", iso_day("txn_date")).select(
             F.col("id").cast("string").alias("source_id"), F.lit(kind.lower()).alias("txn_type"), F.coalesce(F.col("amount").cast("double"), F.lit(0.0)).alias("amount"),
             F.coalesce(_or(F.col("currency")), F.lit("USD")).alias("currency"), "txn_date", party.cast("string").alias("counterparty"), F.lit("vendor" if kind == "Bill" else "customer").alias("counterparty_kind"),
         )
@@ -107,10 +113,24 @@ def transactions(invoices: DataFrame, payments: DataFrame, bills: DataFrame, sta
     return out
 
 
+def within(rows: DataFrame, column: str, start: str, end: str) -> Column:
+    """Whether a column of ISO text, dates or times is from the day `start` to the day `end`, both included."""
+    kind = rows.schema[column].dataType
+    if isinstance(kind, T.StringType):
+        return F.col(column).between(start, end)
+    day_after = (date.fromisoformat(end) + timedelta(days=1)).isoformat()
+    return (F.col(column) >= F.lit(start).cast(kind)) & (F.col(column) < F.lit(day_after).cast(kind))
+
+
+def iso_day(column: str) -> Column:
+    """A day as ISO text."""
+    return F.coalesce(F.date_format(F.col(column).cast("timestamp"), "yyyy-MM-dd"), F.col(column).cast("string"))
+
+
 def time_entries(rows: DataFrame, start: str, end: str) -> DataFrame:
     """Time entries from start to end as transactions: amount is hours by the billing rate, or else the hourly rate."""
     rate = F.coalesce(F.nullif(F.col("billing_rate").cast("double"), F.lit(0.0)), F.col("hourly_rate").cast("double"), F.lit(0.0))
-    return rows.where(F.col("date").between(start, end)).select(
+    return rows.where(within(rows, "date", start, end)).withColumn("date", iso_day("date")).select(
         F.col("id").cast("string").alias("source_id"), F.lit("time_entry").alias("txn_type"), (F.coalesce(F.col("hours").cast("double"), F.lit(0.0)) * rate).alias("amount"),
         F.coalesce("currency", F.lit("USD")).alias("currency"), F.col("date").alias("txn_date"), F.col("resource_id").cast("string").alias("counterparty"), F.lit("resource").alias("counterparty_kind"), _or(F.col("project_code")).alias("project_code"),
     )
@@ -128,9 +148,29 @@ def projects(parents: DataFrame, **filters: str) -> DataFrame:
     return rows.where(F.startswith("code", F.lit(filters["code_prefix"]))) if filters.get("code_prefix") else rows
 
 
-def operational(spark: SparkSession) -> DataFrame:
-    """Accounting classes and items: none are read, so no rows, of the common schema."""
-    return spark.createDataFrame([], "source_id string, source string, category string, record_type string, name string, parent_source_id string, attributes string")
+def project_records(parents: DataFrame, record_type: str = "project", **filters: str) -> DataFrame:
+    """projects() as operational records; the only record type of the PSA system is project, another is a ValueError."""
+    if record_type.lower() != "project":
+        raise ValueError(f"unsupported record type {record_type!r} of psa")
+    rows = projects(parents, **filters)
+    held = F.struct("budget_hours", F.col("parent_source_id").alias("client_source_id"), "code", "department", "hourly_rate", "logged_hours", "status")
+    return rows.select("source_id", F.lit(SOURCES["psa"]).alias("source"), F.lit("psa").alias("category"), F.lit("project").alias("record_type"), F.coalesce("name", F.lit("")).alias("name"), "parent_source_id", F.to_json(held).alias("attributes"))
+
+
+def operational(records: DataFrame, record_type: str) -> DataFrame:
+    """Accounting classes and items, as JSON texts in `record`, as operational records.
+
+    The parent is ParentRef.value where ParentRef is an object; attributes are all keys but the id and the name; what is no
+    JSON object gives no row. No reader of the accounting system yields any yet."""
+    v = F.try_parse_json("record")
+    rows = records.where(F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))).select(v.alias("v"))
+    field = lambda path: F.nullif(F.try_variant_get("v", path, "string"), F.lit(""))
+    parent = F.when(F.startswith(F.schema_of_variant(F.try_variant_get("v", "$.ParentRef", "variant")), F.lit("OBJECT")), F.try_variant_get("v", "$.ParentRef.value", "string"))
+    held = F.map_filter(F.try_variant_get("v", "$", "map<string,variant>"), lambda k, _: ~k.isin("Id", "Name", "id", "name"))
+    return rows.select(
+        F.coalesce(field("$.Id"), field("$.id"), F.lit("")).alias("source_id"), F.lit(SOURCES["accounting"]).alias("source"), F.lit("accounting").alias("category"), F.lit(record_type).alias("record_type"),
+        F.coalesce(field("$.Name"), field("$.name"), F.lit("")).alias("name"), parent.alias("parent_source_id"), F.to_json(held).alias("attributes"),
+    )
 
 
 EXPORT = ("source_id", "source", "category", "entity_category", "raw_name", "normalized_name", "email")
@@ -163,8 +203,21 @@ def rollbacks(writes: DataFrame) -> DataFrame:
 
 
 def throttled(calls: DataFrame, limit: int = 500, seconds: int = 60) -> DataFrame:
-    """calls (connector, at) with the number within the last `seconds`, itself included, and whether it is over the limit."""
-    from pyspark.sql import Window
-
-    window = Window.partitionBy("connector").orderBy(F.col("at").cast("timestamp").cast("long")).rangeBetween(-seconds + 1, 0)
-    return calls.withColumn("recent", F.count("*").over(window)).withColumn("over_limit", F.col("recent") > limit)
+    """calls (connector, at) with the number within the last `seconds`, itself included, and whether it is over the limit.
+
+    A connector's calls are many and connectors few: calls are counted by the second first, and these counts are dealt by
+    stretches of time, each with the seconds before it that its first calls look back to."""
+    at = F.col("at").cast("timestamp").cast("long")
+    by_second = calls.groupBy("connector", at.alias("second")).agg(F.count("*").alias("n"))
+    stretch = F.floor(F.col("second") / (seconds * STRETCH))
+    near = F.floor((F.col("second") + seconds - 1) / (seconds * STRETCH))
+    dealt = by_second.withColumn("stretch", F.explode(F.array_distinct(F.array(stretch, near))))
+    window = Window.partitionBy("connector", "stretch").orderBy("second").rangeBetween(-seconds + 1, 0)
+    counts = dealt.withColumn("recent", F.sum("n").over(window)).where(F.col("stretch") == stretch)
+    counts = counts.select(F.col("connector").alias("of"), F.col("second").alias("then"), "recent")
+    return calls.join(counts, F.col("connector").eqNullSafe(F.col("of")) & at.eqNullSafe(F.col("then")), "left").drop("of", "then").withColumn("over_limit", F.col("recent") > limit)
+
+
+def backoffs(attempts: DataFrame, first: float = 0.5) -> DataFrame:
+    """attempts (attempt, from 1 on) with the seconds to wait before the next: doubled each time."""
+    return attempts.withColumn("wait", first * F.pow(F.lit(2.0), F.greatest(F.col("attempt"), F.lit(1)) - 1))

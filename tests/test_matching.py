@@ -102,9 +102,13 @@ def test_invalid_answers(answer):
 def test_resolution(spark, store, entities):
     _, aliases, _, edges = store
     said = spark.createDataFrame([("E1", "C1", "confirmed"), ("E3", "C4", "confirmed"), ("E4", None, "new"), ("E2", "C1", "rejected")], "entity_id string, canonical_id string, disposition string")
-    out = resolution.resolve(said, entities, aliases, edges)
+    scores = spark.createDataFrame([("E4", "C2"), ("E4", "C2"), ("E1", "C3")], "entity_id string, canonical_id string")
+    out = resolution.resolve(said, entities, aliases, edges, scores)
     assert {r.value for r in out["aliases"].collect()} == {"atlas media"} and out["nodes"].count() == 1 and out["edges"].count() == 2
-    assert {r.entity_id: r.label for r in out["training"].collect()} == {"E1": 1, "E3": 1, "E4": 0, "E2": 0}
+    assert {(r.entity_id, r.canonical_id): (r.label, r.reason) for r in out["training"].collect()} == {("E1", "C1"): (1, "confirmed"), ("E3", "C4"): (1, "confirmed"), ("E4", "C2"): (0, "new"), ("E2", "C1"): (0, "rejected")}
+    assert [(r.source, r.external_id) for r in out["references"].collect()] == [("quickbooks", "Q9")] and [r.entity_type for r in out["nodes"].collect()] == ["person"]
+    ids = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "c"), ("c", None)], "s string, e string").select(resolution.canonical_id(F.col("s"), F.col("e")))
+    assert ids.distinct().count() == 4
     assert resolution.merge_edges(resolution.merge_edges(edges, out["edges"]), out["edges"]).count() == 5
 
 

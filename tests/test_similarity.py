@@ -46,6 +46,9 @@ def test_jaro_winkler_against_duckdb():
     pairs = [("".join(rng.choices("abcde ", k=rng.randint(1, 12))), "".join(rng.choices("abcde ", k=rng.randint(1, 12)))) for _ in range(300)]
     for a, b in pairs:
         assert S.jaro_winkler(a, b) == pytest.approx(duckdb.execute("select jaro_winkler_similarity(?, ?)", [a, b]).fetchone()[0])
+    pairs += [("", ""), ("", "a"), ("a", ""), ("é😀x", "é😀y"), ("aaaa", "aa")]
+    assert S.jaro_winkler_all(*zip(*pairs)).tolist() == pytest.approx([S.jaro_winkler(a, b) for a, b in pairs])
+    assert S.jaro_winkler_all([], []).tolist() == [] and S.jaro_winkler_all(["", ""], ["", ""]).tolist() == [1, 1]
 
 
 def test_columns(spark):
@@ -54,5 +57,5 @@ def test_columns(spark):
     df = spark.createDataFrame([("ibm", "ibm"), ("ab", "ab"), (None, "x"), ("abcd", "abce")], "a string, b string")
     got = [r[0] for r in df.select(S.trigram_jaccard(F.col("a"), F.col("b"))).collect()]
     assert got == [1.0, 0.0, 0.0, pytest.approx(2 / 6)]
-    assert df.select(S.string_metrics("a", "b").alias("m")).collect()[2].m.token_set == 0
+    assert df.select(S.string_metrics()("a", "b").alias("m")).collect()[2].m.token_set == 0
     assert [r[0] for r in spark.sql("select 0.125d as x union all select 0.645d").select(S.two_places("x")).collect()] == ["0.12", "0.65"]
