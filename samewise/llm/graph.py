@@ -1,31 +1,17 @@
-"""Connected components over edges, by least labels with pointer jumping."""
+"""Connected components over edges, and over the few of one task."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from samewise.llm.common import cut
+from samewise.operators.graph import clusters
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """id, component (least id that links reach) of every end of edges (a, b).
-
-    Each round takes the least label among neighbours, then that label's label, so that long paths halve; each is written, so
-    that a lost executor costs one round. Null ends and loops are ignored."""
-    links = edges.where("a <> b").select("a", "b")
-    both = cut(links.union(links.select("b", "a")).distinct(), "edges")
-    now = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("component")), "labels")
-    for _ in range(most_rounds):
-        near = both.join(now.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
-        step = now.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("new"))
-        of_label = now.select(F.col("id").alias("new"), F.col("component").alias("beyond"))
-        after = cut(step.join(of_label, "new", "left").select("id", "old", F.least("new", F.coalesce("beyond", "new")).alias("component")), "labels")
-        now = after.select("id", "component")
-        if not after.where("old <> component").limit(1).count():
-            return now
-    raise RuntimeError(f"components haven't settled in {most_rounds} rounds")
+    """id, component (least id that links reach) of every end of edges (a, b); null ends and loops are ignored. Each round is a written table."""
+    return clusters(edges, most_rounds, cut).withColumnsRenamed({"node": "id", "cluster": "component"})
 
 
 def local_roots(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
