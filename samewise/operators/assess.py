@@ -27,11 +27,11 @@ def offline(prompt: str) -> dict:
 
 
 def first_text(payload: Column, keys: tuple[str, ...]) -> Column:
-    """The first non-blank string under any of the keys of a JSON object, or of an object under one of them."""
+    """The first non-blank string under any of the keys of a parsed JSON object, or of an object under one of them."""
     found = []
     for k in keys:
-        found += [registry.text_field(payload, k), *(registry.text_field(payload, k, inner) for inner in keys)]
-    return F.coalesce(*[F.when(F.trim(f) != "", f) for f in found])
+        found += [registry.text_under(payload, k), *(registry.text_under(payload, k, inner) for inner in keys)]
+    return F.get(F.filter(F.array(*found), lambda f: F.coalesce(F.trim(f) != "", F.lit(False))), F.lit(0))
 
 
 def prompts(dispositions: DataFrame, entities: DataFrame, canon: DataFrame, aliases: DataFrame, refs: DataFrame, tenant: str | None = None) -> DataFrame:
@@ -40,14 +40,14 @@ def prompts(dispositions: DataFrame, entities: DataFrame, canon: DataFrame, alia
     A prompt that holds a forbidden token, as a name's word may also be one of the template, is blocked, not sent."""
     todo = dispositions.where("action = 'LLM_FALLBACK'").select("entity_id", F.col("top_match").alias("canonical_id"), F.col("top_score").alias("score"))
     names = registry.of_tenant(canon, tenant).select("canonical_id", "canonical_name", F.col("entity_category").alias("candidate_category"), F.col("entity_type").alias("candidate_type"))
-    payload = F.col("external_fields")
+    payload = F.col("parsed")
     fields = {"candidate_role": R.ROLE_KEYS, "candidate_project": R.PROJECT_KEYS, "candidate_email": R.EMAIL_KEYS, "candidate_employee": R.EMPLOYEE_KEYS}
-    held = refs.select("canonical_id", "source", "external_id", *(first_text(payload, keys).alias(k) for k, keys in fields.items())).groupBy("canonical_id").agg(
+    held = refs.withColumn("parsed", F.try_parse_json("external_fields")).select("canonical_id", "source", "external_id", *(first_text(payload, keys).alias(k) for k, keys in fields.items())).groupBy("canonical_id").agg(
         *(F.min_by(k, F.when(F.col(k).isNotNull(), F.struct("source", "external_id"))).alias(k) for k in ("candidate_role", "candidate_project")),
         F.array_union(F.collect_set("candidate_email"), F.collect_set("candidate_employee")).alias("candidate_tokens"),
     )
     known = registry.other_aliases(canon, aliases, tenant).groupBy("canonical_id").agg(F.collect_set("value").alias("other"))
-    rows = todo.join(entities, "entity_id").join(names, "canonical_id").join(held, "canonical_id", "left").join(known, "canonical_id", "left")
+    rows = todo.join(entities.withColumn("raw_record", F.try_parse_json("raw_record")), "entity_id").join(names, "canonical_id").join(held, "canonical_id", "left").join(known, "canonical_id", "left")
     raw = F.col("raw_record")
     empty = F.array().cast("array<string>")
     other = F.coalesce("other", empty)

@@ -38,8 +38,13 @@ def alias_hits(entities: DataFrame, canon: DataFrame, aliases: DataFrame, tenant
 
 def text_field(payload: Column, *path: str) -> Column:
     """A string under a path of a JSON text; null for bad JSON, other kinds and missing keys."""
-    value = F.try_variant_get(F.try_parse_json(payload), "$." + ".".join(path), "variant")
-    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(F.try_parse_json(payload), "$." + ".".join(path), "string"))
+    return text_under(F.try_parse_json(payload), *path)
+
+
+def text_under(value: Column, *path: str) -> Column:
+    """A string under a path of a variant; null for other kinds and missing keys."""
+    at = "$." + ".".join(path)
+    return F.when(F.schema_of_variant(F.try_variant_get(value, at, "variant")) == "STRING", F.try_variant_get(value, at, "string"))
 
 
 def scalar_field(payload: Column, *path: str) -> Column:

@@ -290,12 +290,12 @@ _TEXTS = _EVERYONE + f""", todo as (select p.entity_id, p.canonical_id, p.score,
   payloads as (select canonical_id, min(json_extract_string(external_fields, '$.role')) as role, list(distinct json_extract_string(external_fields, '$.email')) as emails, list(distinct json_extract_string(external_fields, '$.employee_id')) as ids
     from refs where json_valid(external_fields) group by 1),
   named as (select canonical_id, list(distinct value) as other from others group by 1),
-  told as (select t.*, coalesce(role, 'unknown') as role_b, len(list_intersect(wa, wb)) as both, greatest(len(list_distinct(list_concat(wa, wb))), 1) as every, coalesce(other, []) as other, coalesce(emails, []) as emails, coalesce(ids, []) as ids
+  told as (select t.*, coalesce(role, 'unknown') as role_b, len(list_intersect(wa, wb)) as n_both, greatest(len(list_distinct(list_concat(wa, wb))), 1) as every, coalesce(other, []) as other, coalesce(emails, []) as emails, coalesce(ids, []) as ids
     from todo t left join payloads using (canonical_id) left join named using (canonical_id)),
   texts as (select *, case when kind_a = 'person' or category_b = 'person' then 'Person A is from the ' || src || ' category with role=manager. Person B is from the ' || tgt || ' category with role=' || role_b || '. '
       || case when list_sort(wa) = list_sort(wb) and a <> b then 'A name-inversion pattern was detected between the two normalized forms (e.g., ''Last, First'' on one side vs ''First Last'' on the other). ' else '' end
     else 'Entity A is an organization from the ' || src || ' category (type: ' || kind_a || '). Entity B is an organization from the ' || tgt || ' category (type: ' || kind_b || '). ' end
-    || 'Normalized-token overlap: ' || both || '/' || every || ' tokens match. Stage 3 pairwise score: ' || printf('%.2f', score) || '. '
+    || 'Normalized-token overlap: ' || n_both || '/' || every || ' tokens match. Stage 3 pairwise score: ' || printf('%.2f', score) || '. '
     || case when kind_a = 'person' or category_b = 'person' then 'Are Person A and Person B the same individual?' else 'Are Entity A and Entity B the same organization?' end as text,
     list_filter(list_concat([a, display_name, email, b], wa, wb, other, flatten(list_transform(other, lambda v: {_WORDS.format('v')})), emails, ids), lambda t: t is not null and length(trim(t)) >= 3) as forbidden from told),
   ready as (select entity_id, canonical_id, src || ':' || tgt as category_pair, text as redacted_prompt, sha256(text) as prompt_sha256, case when len(list_filter(forbidden, lambda t: contains(lower(text), lower(trim(t))))) > 0 then 'blocked_leak' else 'ready' end as status from texts)"""

@@ -86,6 +86,14 @@ def test_assessment(spark, store, entities):
     ready = assess.prompts(put, entities, canon, aliases, refs)
     texts = {r.entity_id: r for r in ready.collect()}
     assert set(texts) == {"E1", "E3"} and "2/2 tokens match. Stage 3 pairwise score: 0.55." in texts["E1"].redacted_prompt
+    assert texts["E1"].redacted_prompt == "Entity A is an organization from the psa category (type: organization). Entity B is an organization from the accounting category (type: client). Normalized-token overlap: 2/2 tokens match. Stage 3 pairwise score: 0.55. Are Entity A and Entity B the same organization?"
+    codes = entities.withColumn("raw_record", F.lit('{"class": {"ClassCode": "1.20.300"}, "project_code": "CEN-9", "title": "lead"}'))
+    fields = refs.withColumn("external_fields", F.when(F.col("canonical_id") == "C1", '{"class": "9.9", "ProjectId": "AB-C1"}').when(F.col("canonical_id") == "C2", '{"Title": "partner"}'))
+    more = spark.createDataFrame([("E1", "LLM_FALLBACK", "C1", 0.645), ("E4", "LLM_FALLBACK", "C2", 0.5)], "entity_id string, action string, top_match string, top_score double")
+    full = {r.entity_id: r.redacted_prompt for r in assess.prompts(more, codes, canon, aliases, fields).collect()}
+    # the class code is the record's alone, the project code the candidate's alone
+    assert full["E1"] == "Entity A is an organization from the psa category (type: organization). Entity B is an organization from the accounting category (type: client). Entity A has a class-code pattern of A.B.C. Entity B has a project-code pattern of AA-AN. Normalized-token overlap: 2/2 tokens match. Stage 3 pairwise score: 0.65. Are Entity A and Entity B the same organization?"
+    assert full["E4"] == "Person A is from the accounting category with role=lead. Person B is from the psa category with role=partner. Normalized-token overlap: 0/3 tokens match. Stage 3 pairwise score: 0.50. Are Person A and Person B the same individual?"
     leaky = lambda p: {"match": True, "confidence": 1, "reasoning": "it is Atlas Media or Boreal", "signals": ["x"]}
     got = {r.entity_id: r for r in assess.assess(ready, leaky, calls=1).collect()}
     assert got["E1"].status == "redacted_leak" and got["E1"].action == "QUEUE_FOR_REVIEW" and got["E1"].reasoning == R.PLACEHOLDER
