@@ -74,6 +74,21 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def put_shared(spark: SparkSession, name: str, content: bytes) -> str:
+    """Writes a file of some megabytes into the shared folder; returns its path. It goes when the application ends."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}/{name}")
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = files.create(at)
+    try:
+        for i in range(0, len(content), 1 << 20):
+            out.write(bytearray(content[i : i + (1 << 20)]))
+    finally:
+        out.close()
+    files.deleteOnExit(at.getParent())
+    return files.makeQualified(at).toString()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, or with a number, that isn't a column of df, whatever its case."""
     taken = {c.lower() for c in df.columns}

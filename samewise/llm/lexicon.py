@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import struct
-import tempfile
 from collections import Counter
 
 import numpy as np
@@ -21,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from samewise.llm import byte_bpe
-from samewise.llm.common import cut
+from samewise.llm.common import bounded_batches, cut, put_shared
 
 PARTS = ("first_arc", "final", "key", "target", "skip", "at", "ids")
 
@@ -75,17 +73,14 @@ def build(words: list[bytes], outputs: list[list[int]]) -> dict[str, np.ndarray]
     return {"first_arc": np.array([root], np.int64), "final": np.array([f for f, _ in frozen], np.uint8), "key": np.array(keys, np.int64), "target": np.array(targets, np.int64), "skip": np.array(skips, np.int64), "at": at, "ids": np.array([i for x in outputs for i in x], "<u4")}
 
 
-def save(parts: dict[str, np.ndarray], path: str) -> None:
+def saved(parts: dict[str, np.ndarray]) -> bytes:
     """A head of seven (count) numbers, then the arrays, each padded to eight bytes."""
-    with open(path, "wb") as f:
-        f.write(np.array([len(parts[p]) for p in PARTS], "<i8").tobytes())
-        for p in PARTS:
-            raw = parts[p].tobytes()
-            f.write(raw + b"\0" * (-len(raw) % 8))
+    raw = [np.array([len(parts[p]) for p in PARTS], "<i8").tobytes(), *(parts[p].tobytes() for p in PARTS)]
+    return b"".join(r + b"\0" * (-len(r) % 8) for r in raw)
 
 
 class Automaton:
-    """A memory-mapped file of save()."""
+    """A memory-mapped file of saved()."""
 
     def __init__(self, path: str):
         raw = np.memmap(path, np.uint8, "r")
@@ -136,33 +131,26 @@ def words_of(text: str) -> list[str]:
 class Encoder:
     """Exact ids of texts: memo of this worker, then the automaton, then merges. `most`: words that the memo holds at once."""
 
-    def __init__(self, bpe: byte_bpe.ByteBpe, automaton: Automaton | None, most: int = 400_000):
+    def __init__(self, bpe: byte_bpe.ByteBpe, automaton: Automaton | None, most: int = 600_000):
         self.bpe, self.automaton, self.most, self.memo = bpe, automaton, most, {}
         names = sorted(bpe.specials, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
-        try:
-            self.core = byte_bpe.as_tiktoken(bpe)
-        except ValueError:  # its merges are of another order
-            self.core = None
-
-    def merge(self, word: str) -> bytes:
-        """The ids of a word that the automaton doesn't hold: split by the pattern, each part merged by least rank."""
-        try:
-            if self.core and len(word) < 10_000:  # the library's pattern gives up on very long runs of white space
-                ids = self.core.encode_ordinary(word)
-                return struct.pack(f"<{len(ids)}I", *ids)
-        except ValueError:
-            pass
-        ids = [i for w in self.bpe.words.findall(word) for i in self.bpe.merge(w.encode())]
-        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def merge(self, words: list[str]) -> list[bytes]:
+        """The ids of words that the automaton doesn't hold: split by the pattern, all their parts merged by least rank together."""
+        # letters alone, but for a space before them, are one part of the pattern
+        parts = [[w] if w.isalpha() or (w[:1] == " " and w[1:].isalpha()) else self.bpe.words.findall(w) for w in words]
+        merged = iter([m.tobytes() for m in self.bpe.merge_all([p.encode() for own in parts for p in own])])
+        return [b"".join([next(merged) for _ in own]) for own in parts]
 
     def learn(self, words: list[str]) -> None:
         """words: with their spaces, not in the memo."""
         if len(self.memo) + len(words) > self.most:
             self.memo.clear()
-        found = self.automaton.ordinals([w.encode() for w in words]) if self.automaton else np.full(len(words), -1)
-        for w, k in zip(words, found.tolist()):
-            self.memo[w] = self.automaton.output(k) if k >= 0 else self.merge(w)
+        found = self.automaton.ordinals([w.encode() for w in words]).tolist() if self.automaton else [-1] * len(words)
+        unseen = [w for w, k in zip(words, found) if k < 0]
+        self.memo.update(zip(unseen, self.merge(unseen)))
+        self.memo.update((w, self.automaton.output(k)) for w, k in zip(words, found) if k >= 0)
 
     def _plain(self, text: str) -> bytes:
         if not text:
@@ -176,10 +164,25 @@ class Encoder:
             self.learn(new)
             memo = self.memo
             if len(memo) < len(new) or any(w not in memo for w in words):  # the memo was emptied meanwhile
-                own = {w: memo[w] if w in memo else self.merge(w) for w in dict.fromkeys(words)}
-                return b"".join([own[w] for w in words])
+                gone = [w for w in dict.fromkeys(words) if w not in memo]
+                own = dict(zip(gone, self.merge(gone)))
+                return b"".join([memo[w] if w in memo else own[w] for w in words])
         return b"".join([memo[w] for w in words])
 
+    def prepare(self, texts: list[str]) -> None:
+        """Learns the words of many texts together, as far as the memo has room: one walk and one merge for all of a batch."""
+        if self.special is not None and any(s in t for t in texts for s in self.bpe.specials):
+            return
+        new: dict[str, None] = {}
+        for t in texts:
+            parts = words_of(t)
+            new.update((w, None) for w in [" " + p for p in parts[1:]] if w not in self.memo)
+            if len(new) > self.most // 4:
+                self.learn(list(new))
+                new.clear()
+        if new:
+            self.learn(list(new))
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers; strings of special tokens become those tokens."""
         if self.special is None or not any(s in text for s in self.bpe.specials):
@@ -210,6 +213,7 @@ def frequent_words(docs: DataFrame, size: int, most: int = 200_000) -> DataFrame
                     held.clear()
         yield out()
 
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null and text != ''")
     counts = cut(texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "words")
     # the least count that still leaves room for all words of it: a row for each count, and no task sends its own best words
@@ -230,15 +234,12 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, size: int) -> str:
     bpe = byte_bpe.load(tokenizer)
     enc = Encoder(bpe, None)
     words = sorted({(" " + r["word"]).encode() for r in frequent_words(docs, size).collect()})  # `size` rows at most
-    parts = build(words, [np.frombuffer(enc.merge(w.decode()), "<u4").tolist() for w in words])
-    own = tempfile.mkdtemp(prefix="samewise-")
-    save(parts, f"{own}/new")
-    with open(f"{own}/new", "rb") as f:
-        name = f"lexicon-{hashlib.file_digest(f, 'sha256').hexdigest()[:24]}.bin"
-    os.rename(f"{own}/new", f"{own}/{name}")
+    parts = build(words, [np.frombuffer(ids, "<u4").tolist() for ids in enc.merge([w.decode() for w in words])])
+    packed = saved(parts)
+    name = f"lexicon-{hashlib.sha256(packed).hexdigest()[:24]}.bin"
     sc = docs.sparkSession.sparkContext
     if (sc.applicationId, name) not in _sent:  # a file of this name has these contents
-        sc.addFile(f"{own}/{name}")
+        sc.addFile(put_shared(docs.sparkSession, name, packed))
         _sent.add((sc.applicationId, name))
     return name
 
@@ -269,12 +270,16 @@ def digests(docs: DataFrame, tokenizer: str, size: int = 32_768) -> DataFrame:
 
 
 def _encoded(docs: DataFrame, tokenizer: str, lexicon: str, digests: bool) -> DataFrame:
+    bounded_batches(docs.sparkSession)
+
     def run(batches):
         enc = encoder(tokenizer, lexicon)
         for b in batches:
             out = []
-            for t in b.column(1):
-                ids = enc.encode(t.as_py() or "")
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            enc.prepare(texts)
+            for t in texts:
+                ids = enc.encode(t)
                 text = enc.decode(ids)
                 out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) if digests else (np.frombuffer(ids, "<u4").astype(np.int32), text))
             kinds = ((pa.int64(), pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.string()))

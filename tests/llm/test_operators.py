@@ -45,7 +45,7 @@ def test_automaton(tmp_path):
     rng = random.Random(2)
     words = sorted({"".join(rng.choices("abc", k=rng.randint(0, 6))).encode() for _ in range(400)})
     parts = lexicon.build(words, [[i, i + 1] for i in range(len(words))])
-    lexicon.save(parts, str(tmp_path / "a"))
+    (tmp_path / "a").write_bytes(lexicon.saved(parts))
     a = lexicon.Automaton(str(tmp_path / "a"))
     assert a.ordinals(words).tolist() == list(range(len(words))) and a.ordinals([b"zz", b"abcabcabc"]).tolist() == [-1, -1]
     assert np.frombuffer(a.output(5), "<u4").tolist() == [5, 6] and len(parts["final"]) < sum(map(len, words))
@@ -70,6 +70,11 @@ def test_bpe(spark, edge, none):
     for _ in range(200):
         w = "".join(rng.choices("abtheing érſ😀", k=rng.randint(1, 120)))
         assert [i for p in bpe.words.findall(w) for i in bpe.merge(p.encode())] == tok.encode(w, add_special_tokens=False).ids
+    words = ["".join(rng.choices("abtheing érſ😀xyz", k=rng.randint(1, 30))) for _ in range(3_000)] + ["", "a", " a", "x" * 500]
+    assert [np.frombuffer(m, "<u4").tolist() for m in lexicon.Encoder(bpe, None).merge(words)] == [tok.encode(w, add_special_tokens=False).ids for w in words]
+    forgetful, texts = lexicon.Encoder(bpe, None, most=40), [" ".join(rng.choices(words, k=60)) for _ in range(20)]
+    forgetful.prepare(texts)
+    assert [np.frombuffer(forgetful.encode(t), "<u4").tolist() for t in texts] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_packing(spark, edge, none):
