@@ -99,13 +99,41 @@ class Plan:
         return sum(t for t, _ in self.groups)
 
 
+def _smallest(left: list[int], n: int, above: int = 0) -> list[int]:
+    """The n smallest lengths that are left over `above`, each as often as it is left; fewer if there are no more."""
+    out: list[int] = []
+    for b in range(above + 1, len(left)):
+        out += [b] * min(left[b], n - len(out))
+        if len(out) == n:
+            break
+    return out
+
+
+def _best_pair(left: list[int], room: int) -> tuple[int, int] | None:
+    """The two lengths left with the greatest sum within the room, the longest of them as long as can be."""
+    best, low = None, 1
+    for high in range(min(room, len(left) - 1), 0, -1):
+        if not left[high]:
+            continue
+        low = min(high, room - high)
+        while low > 0 and not left[low] - (low == high) > 0:
+            low -= 1
+        if low > 0 and (best is None or high + low > sum(best)):
+            best = (high, low)
+        if best is not None and 2 * high <= sum(best):
+            break
+    return best
+
+
 def reduce_by_dominance(left: list[int], capacity: int, plan: Plan) -> dict[str, int]:
     """Fixes sequences that dominate every other one holding their largest piece; left: number by length, changed here.
 
     A full piece stands alone. A pair that fills a sequence dominates all that hold either of the two, since whatever
     takes one's place fits into the other's. A piece with which nothing else fits stands alone; one with which at most
-    one other fits takes the largest that fits. What is fixed can make more pieces fit these rules, from the largest on."""
-    fixed = {"alone": 0, "exact_pairs": 0, "best_pairs": 0}
+    one other fits takes the largest that fits. If at most two fit, the largest that fits dominates if it is no shorter than the best pair;
+    else the best pair does if it holds that largest and no two pieces longer than its shorter one fit together.
+    From the largest piece on, until three others fit."""
+    fixed = {"alone": 0, "exact_pairs": 0, "best_pairs": 0, "triples": 0}
     plan.add(left[capacity], (capacity,))
     fixed["alone"] += left[capacity]
     left[capacity] = 0
@@ -116,28 +144,36 @@ def reduce_by_dominance(left: list[int], capacity: int, plan: Plan) -> dict[str,
             left[a] -= k
             left[b] -= k
             fixed["exact_pairs"] += k
+
+    def fix(lengths: tuple[int, ...], rule: str, spare: int) -> None:
+        """Takes the sequence as often as its pieces are left, but for `spare` times that may change what the rule saw; once at least."""
+        need = Counter(lengths)
+        k = max(1, min(left[x] // n for x, n in need.items()) - spare)
+        plan.add(k, lengths)
+        fixed[rule] += k
+        for x, n in need.items():
+            left[x] -= k * n
+
     for a in range(capacity - 1, 0, -1):
         while left[a]:
             room = capacity - a
             left[a] -= 1
-            small = next((b for b in range(1, room + 1) if left[b]), None)
-            if small is None:
-                left[a] += 1
-                plan.add(left[a], (a,))
-                fixed["alone"] += left[a]
-                left[a] = 0
-                break
-            second = small if left[small] > 1 else next((b for b in range(small + 1, room - small + 1) if left[b]), None)
-            if second is not None and small + second <= room:
-                left[a] += 1
-                return fixed  # three or more can share a sequence with it, and with every smaller one
-            best = next(b for b in range(room, 0, -1) if left[b])
-            k = 1 if best == a else min(left[a] + 1, left[best])
+            small = _smallest(left, 3)
+            fits = sum(1 for k in range(len(small)) if sum(small[: k + 1]) <= room)
+            best = next((b for b in range(min(room, capacity), 0, -1) if left[b]), 0)
+            pair = _best_pair(left, room) if fits == 2 else None
+            over = _smallest(left, 2, pair[1]) if pair else []
             left[a] += 1
-            left[a] -= k
-            left[best] -= k
-            plan.add(k, (a, best))
-            fixed["best_pairs"] += k
+            if fits > 2:
+                return fixed  # three others can share a sequence with it, and with every smaller one
+            if not fits:
+                fix((a,), "alone", 0)
+            elif fits == 1 or best >= sum(pair):
+                fix((a, best), "best_pairs", 0 if fits == 1 else 3)
+            elif best == pair[0] and (len(over) < 2 or sum(over) > room):
+                fix((a, *pair), "triples", 3)
+            else:
+                break  # no rule for this length; a shorter one may have one
     return fixed
 
 
