@@ -81,15 +81,18 @@ def normalize(entities: DataFrame, name: str = "display_name", category: str = "
     step("lowercase", F.lower(F.col(before())), F.lit(True))
     step("strip_the", F.regexp_replace(before(), THE, ""), F.col(before()).rlike(THE))
     step("strip_honorific", F.regexp_replace(F.regexp_replace(before(), HONORIFIC, " "), HONORIFIC, " "), F.col(before()).rlike(HONORIFIC))
-    step("strip_middle_initial", F.regexp_replace(F.col(before()), F.when(F.col("__person"), INITIAL).otherwise(NEVER), F.lit(" ")), F.col("__person") & F.col(before()).rlike(INITIAL))
+    step("strip_middle_initial", F.regexp_replace(F.col(before()), F.when(F.col("__person"), INITIAL).otherwise(NEVER), F.lit(" ")),
+        F.col("__person") & F.col(before()).rlike(INITIAL))
     step("strip_legal_suffix", F.regexp_replace(F.regexp_replace(before(), LEGAL, ""), LEGAL, ""), F.col(before()).rlike(LEGAL))
     step("strip_paren_qualifier", F.regexp_replace(before(), QUALIFIER, ""), F.col(before()).rlike(QUALIFIER))
     step("ampersand_to_and", F.replace(F.col(before()), F.lit("&"), F.lit(" and ")))
     step("strip_punctuation", F.regexp_replace(before(), PUNCTUATION, " "))
     step("collapse_whitespace", F.regexp_replace(F.regexp_replace(before(), SPACES, " "), "^ | $", ""), F.lit(True))
     trace = F.filter(F.array(*[F.when(changed, F.lit(rule)) for rule, changed in steps]), lambda r: r.isNotNull())
-    reason = F.when(blank(F.col(name)), "empty or missing display_name").when(F.col(before()) == "", "name became empty after normalization")
-    out = out.withColumn("normalized_name", F.col(before())).withColumn("rules_applied", trace).withColumn("reject_reason", reason).withColumn("email_is_person", F.col("__person"))
+    reason = F.when(blank(F.col(name)), "empty or missing display_name").when(F.col(before()) == "",
+        "name became empty after normalization")
+    out = out.withColumn("normalized_name", F.col(before())).withColumn("rules_applied", trace).withColumn("reject_reason",
+        reason).withColumn("email_is_person", F.col("__person"))
     if "source" in entities.columns:
         out = out.withColumn("category", category_of(F.col("source")))
     return out.drop("__raw", "__person", *[f"__{k + 1}" for k in range(len(steps))])

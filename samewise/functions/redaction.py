@@ -22,14 +22,16 @@ PROJECT_KEYS = ("project_code", "ProjectCode", "project_id", "ProjectId")
 def class_shape(code: Column) -> Column:
     """a.b.c as A.B.C, a letter for each segment (AA, AB after Z); null for what isn't such a code."""
     letter = lambda i: F.chr(F.lit(65) + i % 26)
-    names = F.transform(F.split(code, r"\."), lambda _, i: F.when(i < 26, letter(i)).otherwise(F.concat(F.chr(F.lit(64) + F.floor(i / 26)), letter(i))))
+    names = F.transform(F.split(code, r"\."), lambda _,
+        i: F.when(i < 26, letter(i)).otherwise(F.concat(F.chr(F.lit(64) + F.floor(i / 26)), letter(i))))
     return F.when(code.rlike(CLASS_CODE), F.array_join(names, "."))
 
 
 def project_shape(code: Column) -> Column:
     """Each segment as an A for every letter, then an N for every digit; null for what isn't such a code."""
     count = lambda s, other: F.length(F.regexp_replace(s, other, ""))
-    parts = F.transform(F.split(code, "-"), lambda s: F.concat(F.repeat(F.lit("A"), count(s, "[^A-Za-z]")), F.repeat(F.lit("N"), count(s, "[^0-9]"))))
+    parts = F.transform(F.split(code, "-"),
+        lambda s: F.concat(F.repeat(F.lit("A"), count(s, "[^A-Za-z]")), F.repeat(F.lit("N"), count(s, "[^0-9]"))))
     return F.when(code.rlike(PROJECT_CODE), F.array_join(parts, "-"))
 
 
@@ -52,9 +54,11 @@ def inverted(a: Column, b: Column) -> Column:
     return (F.array_sort(F.array_distinct(x)) == F.array_sort(F.array_distinct(y))) & (x != y)
 
 
-def prompt(person: Column, source: Column, target: Column, source_kind: Column, target_kind: Column, class_code: Column, project_code: Column, swapped: Column, shared: Column, total: Column, score: Column) -> Column:
+def prompt(person: Column, source: Column, target: Column, source_kind: Column, target_kind: Column, class_code: Column,
+    project_code: Column, swapped: Column, shared: Column, total: Column, score: Column) -> Column:
     """The text shown to a reviewer or model. Its sentences are fixed values; no name, address or code enters it."""
-    middle = (F.concat(F.lit("Normalized-token overlap: "), shared.cast("string"), F.lit("/"), total.cast("string"), F.lit(" tokens match.")), F.concat(F.lit("Stage 3 pairwise score: "), two_places(score), F.lit(".")))
+    middle = (F.concat(F.lit("Normalized-token overlap: "), shared.cast("string"), F.lit("/"), total.cast("string"),
+        F.lit(" tokens match.")), F.concat(F.lit("Stage 3 pairwise score: "), two_places(score), F.lit(".")))
     organization = F.concat_ws(
         " ",
         F.concat(F.lit("Entity A is an organization from the "), source, F.lit(" category (type: "), source_kind, F.lit(").")),
@@ -69,7 +73,9 @@ def prompt(person: Column, source: Column, target: Column, source_kind: Column,
         " ",
         F.concat(F.lit("Person A is from the "), source, F.lit(" category with role="), role(source_kind), F.lit(".")),
         F.concat(F.lit("Person B is from the "), target, F.lit(" category with role="), role(target_kind), F.lit(".")),
-        F.when(swapped, F.lit("A name-inversion pattern was detected between the two normalized forms (e.g., 'Last, First' on one side vs 'First Last' on the other).")),
+        F.when(swapped,
+            F.lit("A name-inversion pattern was detected between the two normalized forms (e.g., 'Last, First' on one side vs "
+                  "'First Last' on the other).")),
         *middle,
         F.lit("Are Person A and Person B the same individual?"),
     )

@@ -163,7 +163,9 @@ def two_places(score: pd.Series) -> pd.Series:
 def trigrams(s: Column) -> Column:
     """The trigrams of '^', s, '$' in order; none for null or ''."""
     marked = F.concat(F.lit("^"), s, F.lit("$"))
-    return F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.substring(marked, i, F.lit(WIDTH)))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(s) > 0,
+        F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.substring(marked, i, F.lit(WIDTH)))).otherwise(F.array()
+        .cast("array<string>"))
 
 
 def trigram_jaccard(a: Column, b: Column) -> Column:
@@ -171,7 +173,8 @@ def trigram_jaccard(a: Column, b: Column) -> Column:
     x, y = F.trim(F.coalesce(a, F.lit(""))), F.trim(F.coalesce(b, F.lit("")))
     left, right = trigrams(x), trigrams(y)
     enough = (F.length(x) >= WIDTH) & (F.length(y) >= WIDTH)
-    return F.when(enough, F.size(F.array_intersect(left, right)) / F.nullif(F.size(F.array_union(left, right)), F.lit(0))).otherwise(F.lit(0.0))
+    return F.when(enough,
+        F.size(F.array_intersect(left, right)) / F.nullif(F.size(F.array_union(left, right)), F.lit(0))).otherwise(F.lit(0.0))
 
 
 def tokens(s: Column) -> Column:

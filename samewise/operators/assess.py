@@ -34,33 +34,46 @@ def first_text(payload: Column, keys: tuple[str, ...]) -> Column:
     return F.get(F.filter(F.array(*found), lambda f: F.coalesce(F.trim(f) != "", F.lit(False))), F.lit(0))
 
 
-def prompts(dispositions: DataFrame, entities: DataFrame, canon: DataFrame, aliases: DataFrame, refs: DataFrame, tenant: str | None = None) -> DataFrame:
-    """entity_id, canonical_id, category_pair, redacted_prompt, prompt_sha256, forbidden, status (ready or blocked_leak) of the fallback band.
+def prompts(dispositions: DataFrame, entities: DataFrame, canon: DataFrame, aliases: DataFrame, refs: DataFrame,
+    tenant: str | None = None) -> DataFrame:
+    """entity_id, canonical_id, category_pair, redacted_prompt, prompt_sha256, forbidden, status (ready
+    or blocked_leak) of the fallback band.
 
     A prompt that holds a forbidden token, as a name's word may also be one of the template, is blocked, not sent."""
-    todo = dispositions.where("action = 'LLM_FALLBACK'").select("entity_id", F.col("top_match").alias("canonical_id"), F.col("top_score").alias("score"))
-    names = registry.of_tenant(canon, tenant).select("canonical_id", "canonical_name", F.col("entity_category").alias("candidate_category"), F.col("entity_type").alias("candidate_type"))
+    todo = dispositions.where("action = 'LLM_FALLBACK'").select("entity_id", F.col("top_match").alias("canonical_id"),
+        F.col("top_score").alias("score"))
+    names = registry.of_tenant(canon, tenant).select("canonical_id", "canonical_name",
+        F.col("entity_category").alias("candidate_category"), F.col("entity_type").alias("candidate_type"))
     payload = F.col("parsed")
-    fields = {"candidate_role": R.ROLE_KEYS, "candidate_project": R.PROJECT_KEYS, "candidate_email": R.EMAIL_KEYS, "candidate_employee": R.EMPLOYEE_KEYS}
-    held = refs.withColumn("parsed", F.try_parse_json("external_fields")).select("canonical_id", "source", "external_id", *(first_text(payload, keys).alias(k) for k, keys in fields.items())).groupBy("canonical_id").agg(
-        *(F.min_by(k, F.when(F.col(k).isNotNull(), F.struct("source", "external_id"))).alias(k) for k in ("candidate_role", "candidate_project")),
+    fields = {"candidate_role": R.ROLE_KEYS, "candidate_project": R.PROJECT_KEYS, "candidate_email": R.EMAIL_KEYS,
+        "candidate_employee": R.EMPLOYEE_KEYS}
+    held = refs.withColumn("parsed", F.try_parse_json("external_fields")).select("canonical_id", "source", "external_id",
+        *(first_text(payload, keys).alias(k) for k, keys in fields.items())).groupBy("canonical_id").agg(
+        *(F.min_by(k, F.when(F.col(k).isNotNull(), F.struct("source", "external_id")))
+            .alias(k) for k in ("candidate_role", "candidate_project")),
         F.array_union(F.collect_set("candidate_email"), F.collect_set("candidate_employee")).alias("candidate_tokens"),
     )
     known = registry.other_aliases(canon, aliases, tenant).groupBy("canonical_id").agg(F.collect_set("value").alias("other"))
-    rows = todo.join(entities.withColumn("raw_record", F.try_parse_json("raw_record")), "entity_id").join(names, "canonical_id").join(held, "canonical_id", "left").join(known, "canonical_id", "left")
+    rows = todo.join(entities.withColumn("raw_record", F.try_parse_json("raw_record")), "entity_id").join(names,
+        "canonical_id").join(held, "canonical_id", "left").join(known, "canonical_id", "left")
     raw = F.col("raw_record")
     empty = F.array().cast("array<string>")
     other = F.coalesce("other", empty)
-    forbidden = F.concat(F.array("normalized_name", "display_name", "email", first_text(raw, R.EMPLOYEE_KEYS), "canonical_name"), tokens(F.col("normalized_name")), tokens(F.col("canonical_name")), other, F.flatten(F.transform(other, tokens)), F.coalesce("candidate_tokens", empty))
+    forbidden = F.concat(F.array("normalized_name", "display_name", "email", first_text(raw, R.EMPLOYEE_KEYS), "canonical_name"),
+        tokens(F.col("normalized_name")), tokens(F.col("canonical_name")), other, F.flatten(F.transform(other, tokens)),
+        F.coalesce("candidate_tokens", empty))
     forbidden = F.array_sort(F.array_distinct(F.filter(forbidden, lambda t: t.isNotNull() & (F.length(F.trim(t)) >= R.LEAST_TOKEN))))
     person = (F.col("entity_category") == "person") | (F.col("candidate_category") == "person")
     shared, total = R.overlap(F.col("normalized_name"), F.col("canonical_name"))
     target = flipped(F.col("category"))
     role = first_text(raw, R.ROLE_KEYS)
-    kinds = F.when(person, role).otherwise(F.col("entity_category")), F.when(person, F.col("candidate_role")).otherwise(F.col("candidate_type"))
+    kinds = F.when(person, role).otherwise(F.col("entity_category")), F.when(person,
+        F.col("candidate_role")).otherwise(F.col("candidate_type"))
     shapes = R.class_shape(first_text(raw, R.CLASS_KEYS)), R.project_shape(F.col("candidate_project"))
-    text = R.prompt(person, F.col("category"), target, *kinds, *shapes, R.inverted(F.col("normalized_name"), F.col("canonical_name")), shared, total, F.col("score"))
-    rows = rows.select("entity_id", "canonical_id", "score", F.concat_ws(":", F.col("category"), target).alias("category_pair"), text.alias("redacted_prompt"), forbidden.alias("forbidden"))
+    text = R.prompt(person, F.col("category"), target, *kinds, *shapes,
+        R.inverted(F.col("normalized_name"), F.col("canonical_name")), shared, total, F.col("score"))
+    rows = rows.select("entity_id", "canonical_id", "score", F.concat_ws(":", F.col("category"), target).alias("category_pair"),
+        text.alias("redacted_prompt"), forbidden.alias("forbidden"))
     status = F.when(R.leak(F.col("redacted_prompt"), F.col("forbidden")).isNotNull(), "blocked_leak").otherwise("ready")
     return rows.withColumn("prompt_sha256", F.sha2("redacted_prompt", 256)).withColumn("status", status)
 
@@ -70,7 +83,9 @@ def valid(answer: object) -> bool:
     if not isinstance(answer, dict) or not {"match", "confidence", "reasoning", "signals"} <= answer.keys():
         return False
     c = answer["confidence"]
-    return isinstance(answer["match"], bool) and isinstance(c, (int, float)) and not isinstance(c, bool) and 0 <= c <= 1 and isinstance(answer["reasoning"], str) and isinstance(answer["signals"], list) and all(isinstance(s, str) for s in answer["signals"])
+    return isinstance(answer["match"], bool) and isinstance(c, (int, float)) and not isinstance(c,
+        bool) and 0 <= c <= 1 and isinstance(answer["reasoning"], str) and isinstance(answer["signals"],
+        list) and all(isinstance(s, str) for s in answer["signals"])
 
 
 def assess(ready: DataFrame, client: Callable[[str], dict] = offline, calls: int = CALLS) -> DataFrame:
@@ -89,17 +104,22 @@ def assess(ready: DataFrame, client: Callable[[str], dict] = offline, calls: int
                     continue
                 low = said["reasoning"].lower()
                 leaked = any(t.strip().lower() in low for t in r.forbidden)
-                kept = {"confidence": float(said["confidence"]), "match": said["match"], "reasoning": R.PLACEHOLDER if leaked else said["reasoning"], "signals": list(said["signals"])}
-                out.append((r.entity_id, "redacted_leak" if leaked else "ok", kept["match"], kept["confidence"], kept["reasoning"], kept["signals"], json.dumps(kept, sort_keys=True)))
+                kept = {"confidence": float(said["confidence"]), "match": said["match"],
+                    "reasoning": R.PLACEHOLDER if leaked else said["reasoning"], "signals": list(said["signals"])}
+                out.append((r.entity_id, "redacted_leak" if leaked else "ok", kept["match"], kept["confidence"], kept["reasoning"],
+                    kept["signals"], json.dumps(kept, sort_keys=True)))
             yield pd.DataFrame(out, columns=["entity_id", "status", "match", "confidence", "reasoning", "signals", "response_json"])
 
     # the budget's few prompts go to one task, as a client may count or pace its calls
     answers = allowed.repartition(1).mapInPandas(ask, ANSWER).withColumnRenamed("status", "answer")
     status = F.when(F.col("status") != "ready", F.col("status")).otherwise(F.coalesce("answer", F.lit("over_budget")))
-    return ready.join(answers, "entity_id", "left").withColumn("status", status).drop("answer").withColumn("action", F.when(F.col("status").isin("ok", "redacted_leak"), "QUEUE_FOR_REVIEW").otherwise("LLM_FALLBACK"))
+    return ready.join(answers, "entity_id", "left").withColumn("status", status).drop("answer").withColumn("action",
+        F.when(F.col("status").isin("ok", "redacted_leak"), "QUEUE_FOR_REVIEW").otherwise("LLM_FALLBACK"))
 
 
 def training_rows(assessed: DataFrame, tenant: str | None = None) -> DataFrame:
     """The append-only rows of answered calls: call_id, tenant_id, category_pair, redacted_prompt, prompt_sha256, llm_response_json."""
     own = assessed.where("response_json is not null")
-    return own.select(F.sha2(F.concat_ws("|", "entity_id", "prompt_sha256"), 256).alias("call_id"), F.lit(tenant).cast("string").alias("tenant_id"), "category_pair", "redacted_prompt", "prompt_sha256", F.col("response_json").alias("llm_response_json"))
+    return own.select(F.sha2(F.concat_ws("|", "entity_id", "prompt_sha256"), 256).alias("call_id"),
+        F.lit(tenant).cast("string").alias("tenant_id"), "category_pair", "redacted_prompt", "prompt_sha256",
+        F.col("response_json").alias("llm_response_json"))

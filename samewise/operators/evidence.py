@@ -41,8 +41,10 @@ def boosted(scores: DataFrame, held: DataFrame) -> DataFrame:
     items = []
     for signal in ("B1", "B2", "B3", "B4", "B5", "B6"):
         raw, adds = _applied(signal)
-        items.append(F.struct(F.lit(signal).alias("signal"), raw.cast("double").alias("raw"), F.when(doubt, adds).otherwise(0.0).alias("applied")))
-    rows = scores.join(held.select("entity_id", "canonical_id", *RAW), ["entity_id", "canonical_id"], "left").withColumn("items", F.array(*items))
+        items.append(F
+            .struct(F.lit(signal).alias("signal"), raw.cast("double").alias("raw"), F.when(doubt, adds).otherwise(0.0).alias("applied")))
+    rows = scores.join(held.select("entity_id", "canonical_id", *RAW), ["entity_id", "canonical_id"], "left").withColumn("items",
+        F.array(*items))
     boost = F.least(F.lit(MOST), F.aggregate("items", F.lit(0.0), lambda a, x: a + x["applied"]))
     return rows.withColumn("boost", boost).withColumn("score", F.least(F.lit(1.0), F.col("score") + F.col("boost"))).drop(*RAW)
 
@@ -70,11 +72,13 @@ def shared_domains(pairs: DataFrame, entities: DataFrame, refs: DataFrame) -> Da
 def code_fragments(pairs: DataFrame, codes: DataFrame, memos: DataFrame) -> DataFrame:
     """B2: fragments of an entity's project codes (entity_id, code), of three characters or more, that a canonical's memos (canonical_id, memo) hold as words."""
     pieces = lambda c: F.filter(F.split(F.upper(F.col(c)), "[^A-Z0-9]+"), lambda x: F.length(x) >= 3)
-    return _counted(pairs, codes.select("entity_id", F.explode(pieces("code")).alias("fragment")), memos.select("canonical_id", F.explode(pieces("memo")).alias("fragment")), "fragment", "code_fragments")
+    return _counted(pairs, codes.select("entity_id", F.explode(pieces("code")).alias("fragment")),
+        memos.select("canonical_id", F.explode(pieces("memo")).alias("fragment")), "fragment", "code_fragments")
 
 
 def amount_matches(pairs: DataFrame, left: DataFrame, right: DataFrame, share: float = 0.02, most: float = 500.0) -> DataFrame:
-    """B3: periods in which an entity's total (entity_id, period, amount) and a canonical's (canonical_id, period, amount) agree within the tolerance.
+    """B3: periods in which an entity's total (entity_id, period, amount) and a canonical's (canonical_id, period,
+    amount) agree within the tolerance.
 
     Each side is summed by period first, so that no amount meets more than one other a pair and period."""
     asked = pairs.select("entity_id", "canonical_id").distinct()
@@ -88,5 +92,6 @@ def amount_matches(pairs: DataFrame, left: DataFrame, right: DataFrame, share: f
 def days_apart(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """B5: days between the first sight of an entity (entity_id, seen) and of a canonical (canonical_id, seen); null where one was never seen."""
     first = lambda rows, key, name: rows.groupBy(key).agg(F.min("seen").alias(name))
-    asked = pairs.select("entity_id", "canonical_id").distinct().join(first(left, "entity_id", "here"), "entity_id", "left").join(first(right, "canonical_id", "there"), "canonical_id", "left")
+    asked = pairs.select("entity_id", "canonical_id").distinct().join(first(left, "entity_id", "here"), "entity_id",
+        "left").join(first(right, "canonical_id", "there"), "canonical_id", "left")
     return asked.select("entity_id", "canonical_id", F.abs(F.date_diff("here", "there")).alias("days_apart"))

@@ -27,12 +27,15 @@ def clusters(pairs: DataFrame, rounds: int = 60, write: Callable[[DataFrame, str
     Each round is written, by checkpoints or as `write` does, so that a lost executor costs one round. Null ends and loops are ignored."""
     links = pairs.where("a <> b").select("a", "b")
     both = write(links.union(links.select("b", "a")).distinct(), "edges")
-    now = write(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("cluster")), "labels")
+    now = write(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b"))
+        .select("node", F.least("node", "b").alias("cluster")), "labels")
     for _ in range(rounds):
-        near = both.join(now.select(F.col("node").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("node")).agg(F.min("cluster").alias("m"))
+        near = both.join(now.select(F.col("node").alias("b"), "cluster"),
+            "b").groupBy(F.col("a").alias("node")).agg(F.min("cluster").alias("m"))
         step = now.join(near, "node").select("node", F.col("cluster").alias("old"), F.least("cluster", "m").alias("new"))
         beyond = now.select(F.col("node").alias("new"), F.col("cluster").alias("next"))
-        after = write(step.join(beyond, "new", "left").select("node", "old", F.least("new", F.coalesce("next", "new")).alias("cluster")), "labels")
+        after = write(step.join(beyond, "new", "left")
+            .select("node", "old", F.least("new", F.coalesce("next", "new")).alias("cluster")), "labels")
         now = after.select("node", "cluster")
         if after.where("old <> cluster").limit(1).count() == 0:
             return now
@@ -41,9 +44,11 @@ def clusters(pairs: DataFrame, rounds: int = 60, write: Callable[[DataFrame, str
 
 def cold_start(scores: DataFrame, least: float = 0.40) -> DataFrame:
     """cluster, n_pairs, n_canonicals, confidence (mean score): groups of entities and canonicals whose pairs score `least` or more."""
-    pairs = scores.where(F.col("score") >= least).select(F.concat(F.lit("e:"), "entity_id").alias("a"), F.concat(F.lit("c:"), "canonical_id").alias("b"), "canonical_id", "score")
+    pairs = scores.where(F.col("score") >= least).select(F.concat(F.lit("e:"), "entity_id").alias("a"),
+        F.concat(F.lit("c:"), "canonical_id").alias("b"), "canonical_id", "score")
     named = pairs.join(clusters(pairs), pairs["a"] == F.col("node"))
-    return named.groupBy("cluster").agg(F.count("*").alias("n_pairs"), F.countDistinct("canonical_id").alias("n_canonicals"), F.avg("score").alias("confidence"))
+    return named.groupBy("cluster").agg(F.count("*").alias("n_pairs"), F.countDistinct("canonical_id").alias("n_canonicals"),
+        F.avg("score").alias("confidence"))
 
 
 #: Queries that meet a task's vectors at once, and queries that are broadcast together.

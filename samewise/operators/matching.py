@@ -16,16 +16,19 @@ ALIAS_CEILING, EMAIL_CONFIDENCE, EMPLOYEE_CONFIDENCE, MOST_CANDIDATES = 0.99, 0.
 def _single(hits: DataFrame, kind: str) -> DataFrame:
     """entity_id, struct of the hit where an entity has exactly one; more are a collision and match nothing."""
     own = hits.groupBy("entity_id", "canonical_id").agg(F.max("confidence").alias("confidence"))
-    one = own.groupBy("entity_id").agg(F.count("*").alias("n"), F.first("canonical_id").alias("canonical_id"), F.first("confidence").alias("confidence")).where("n = 1")
+    one = own.groupBy("entity_id").agg(F.count("*").alias("n"), F.first("canonical_id").alias("canonical_id"),
+        F.first("confidence").alias("confidence")).where("n = 1")
     return one.select("entity_id", F.struct("canonical_id", "confidence", F.lit(kind).alias("match_key_type")).alias(kind))
 
 
 def deterministic(entities: DataFrame, canon: DataFrame, aliases: DataFrame, refs: DataFrame, tenant: str | None = None) -> DataFrame:
     """entity_id, canonical_id, confidence, match_key_type: by alias, else e-mail, else employee id; nulls where none is unique."""
     people = entities.where("entity_category = 'person'")
-    by_alias = registry.alias_hits(entities, canon, aliases, tenant).withColumn("confidence", F.least(F.col("confidence"), F.lit(ALIAS_CEILING)))
+    by_alias = registry.alias_hits(entities, canon, aliases, tenant).withColumn("confidence",
+        F.least(F.col("confidence"), F.lit(ALIAS_CEILING)))
     persons = canon.where("entity_category = 'person'").select("canonical_id")
-    by_email = registry.email_hits(people, canon, refs, tenant).join(persons, "canonical_id", "left_semi").withColumn("confidence", F.lit(EMAIL_CONFIDENCE))
+    by_email = registry.email_hits(people, canon, refs, tenant).join(persons, "canonical_id", "left_semi").withColumn("confidence",
+        F.lit(EMAIL_CONFIDENCE))
     by_id = registry.employee_hits(people, canon, refs, tenant).withColumn("confidence", F.lit(EMPLOYEE_CONFIDENCE))
     out = entities.select("entity_id")
     for hits, kind in ((by_alias, "alias"), (by_email, "email"), (by_id, "employee_id")):
@@ -35,7 +38,8 @@ def deterministic(entities: DataFrame, canon: DataFrame, aliases: DataFrame, ref
 
 def _signalled(rows: DataFrame, key: str, name: str) -> DataFrame:
     """key, signal: the distinct tokens and trigrams of each key's names."""
-    marked = F.concat(F.transform(tokens(F.col(name)), lambda t: F.concat(F.lit("token:"), t)), F.transform(trigrams(F.col(name)), lambda t: F.concat(F.lit("trigram:"), t)))
+    marked = F.concat(F.transform(tokens(F.col(name)), lambda t: F.concat(F.lit("token:"), t)),
+        F.transform(trigrams(F.col(name)), lambda t: F.concat(F.lit("trigram:"), t)))
     return rows.where(F.trim(name) != "").select(key, F.explode(F.array_distinct(marked)).alias("signal")).distinct()
 
 
@@ -48,10 +52,12 @@ def signals(entities: DataFrame, canon: DataFrame, aliases: DataFrame, tenant: s
 def own_canonicals(entities: DataFrame, refs: DataFrame) -> DataFrame:
     """entity_id, canonical_id: canonicals that already hold the entity's record."""
     own = entities.select("entity_id", "source", F.col("source_id").alias("external_id"))
-    return own.join(refs.select("canonical_id", "source", "external_id"), ["source", "external_id"]).select("entity_id", "canonical_id").distinct()
+    return own.join(refs.select("canonical_id", "source", "external_id"), ["source", "external_id"]).select("entity_id",
+        "canonical_id").distinct()
 
 
-def candidates(entities: DataFrame, canon: DataFrame, aliases: DataFrame, refs: DataFrame, tenant: str | None = None, most: int = MOST_CANDIDATES, most_broadcast: int = 500_000) -> DataFrame:
+def candidates(entities: DataFrame, canon: DataFrame, aliases: DataFrame, refs: DataFrame, tenant: str | None = None,
+    most: int = MOST_CANDIDATES, most_broadcast: int = 500_000) -> DataFrame:
     """entity_id, canonical_id, blocking_signals: the first `most` canonicals by id that share a signal, but for the entity's own.
 
     The first n of a union of lists are among the first n of each list. So each signal gives only its first canonicals before
@@ -66,8 +72,10 @@ def candidates(entities: DataFrame, canon: DataFrame, aliases: DataFrame, refs:
     pairs = asked.join(first, "signal").select("entity_id", "canonical_id").distinct().join(own, ["entity_id", "canonical_id"], "left_anti")
     kept = written(pairs.withColumn("nth", nth("entity_id")).where(F.col("nth") <= most).drop("nth"))
     # the signals of the canonicals that are left, gathered once each; few canonicals are candidates of very many entities
-    left = index.join(kept.select("canonical_id").distinct(), "canonical_id", "left_semi").groupBy("canonical_id").agg(F.collect_set("signal").alias("held"))
+    left = index.join(kept.select("canonical_id").distinct(), "canonical_id",
+        "left_semi").groupBy("canonical_id").agg(F.collect_set("signal").alias("held"))
     left = written(left)
     left = F.broadcast(left) if left.limit(most_broadcast + 1).count() <= most_broadcast else left
     of_entity = asked.groupBy("entity_id").agg(F.collect_set("signal").alias("asked"))
-    return kept.join(of_entity, "entity_id").join(left, "canonical_id").select("entity_id", "canonical_id", F.array_sort(F.array_intersect("asked", "held")).alias("blocking_signals"))
+    return kept.join(of_entity, "entity_id").join(left, "canonical_id").select("entity_id", "canonical_id",
+        F.array_sort(F.array_intersect("asked", "held")).alias("blocking_signals"))

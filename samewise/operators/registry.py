@@ -26,7 +26,8 @@ def _within(rows: DataFrame, canon: DataFrame, tenant: str | None, *keys: str) -
 def seeds(canon: DataFrame, aliases: DataFrame, tenant: str | None = None) -> DataFrame:
     """canonical_id, value, confidence: names and aliases, the highest confidence of each; a null confidence is 1."""
     own = of_tenant(canon, tenant).select("canonical_id", F.col("canonical_name").alias("value"), F.lit(1.0).alias("confidence"))
-    other = _within(aliases, canon, tenant, "canonical_id").select("canonical_id", "value", F.coalesce(F.col("confidence").cast("double"), F.lit(1.0)).alias("confidence"))
+    other = _within(aliases, canon, tenant, "canonical_id").select("canonical_id", "value",
+        F.coalesce(F.col("confidence").cast("double"), F.lit(1.0)).alias("confidence"))
     return own.unionByName(other).where("value <> ''").groupBy("canonical_id", "value").agg(F.max("confidence").alias("confidence"))
 
 
@@ -56,7 +57,8 @@ def email_hits(entities: DataFrame, canon: DataFrame, refs: DataFrame, tenant: s
     """entity_id, canonical_id: references whose e-mail equals the entity's, trimmed and in lower case."""
     own = entities.select("entity_id", F.lower(F.trim("email")).alias("email")).where("email <> ''")
     rows = _within(refs.where(F.col("external_fields").contains('"email"')), canon, tenant, "canonical_id")
-    anchors = rows.select("canonical_id", F.lower(F.trim(text_field(F.col("external_fields"), "email"))).alias("email")).where("email <> ''").distinct()
+    anchors = rows.select("canonical_id",
+        F.lower(F.trim(text_field(F.col("external_fields"), "email"))).alias("email")).where("email <> ''").distinct()
     return own.join(anchors, "email").select("entity_id", "canonical_id")
 
 
@@ -64,14 +66,16 @@ def employee_hits(entities: DataFrame, canon: DataFrame, refs: DataFrame, tenant
     """entity_id, canonical_id: references whose employee id equals the entity's, trimmed, case kept."""
     own = entities.select("entity_id", F.trim("employee_id").alias("employee_id")).where("employee_id <> ''")
     rows = _within(refs.where(F.col("external_fields").contains('"employee_id"')), canon, tenant, "canonical_id")
-    anchors = rows.select("canonical_id", F.trim(scalar_field(F.col("external_fields"), "employee_id")).alias("employee_id")).where("employee_id <> ''").distinct()
+    anchors = rows.select("canonical_id",
+        F.trim(scalar_field(F.col("external_fields"), "employee_id")).alias("employee_id")).where("employee_id <> ''").distinct()
     return own.join(anchors, "employee_id").select("entity_id", "canonical_id")
 
 
 def other_aliases(canon: DataFrame, aliases: DataFrame, tenant: str | None = None) -> DataFrame:
     """canonical_id, value: aliases that are neither empty nor the canonical name."""
     names = of_tenant(canon, tenant).select("canonical_id", "canonical_name")
-    return aliases.select("canonical_id", "value").join(names, "canonical_id").where("value <> '' and value <> canonical_name").select("canonical_id", "value").distinct()
+    return aliases.select("canonical_id", "value").join(names,
+        "canonical_id").where("value <> '' and value <> canonical_name").select("canonical_id", "value").distinct()
 
 
 def neighbours(edges: DataFrame, canon: DataFrame, tenant: str | None = None) -> DataFrame:
@@ -88,20 +92,24 @@ def shared_neighbours(pairs: DataFrame, edges: DataFrame, canon: DataFrame, tena
     left = asked.join(near.withColumnRenamed("node", "left_id"), "left_id")
     both = left.join(near.withColumnRenamed("node", "right_id"), ["right_id", "neighbour"])
     kinds = canon.select(F.col("canonical_id").alias("neighbour"), (F.col("entity_category") == "person").alias("person"))
-    counts = both.join(kinds, "neighbour", "left").groupBy("left_id", "right_id").agg(F.count("*").alias("shared"), F.count_if("person").alias("shared_persons"))
+    counts = both.join(kinds, "neighbour", "left").groupBy("left_id", "right_id").agg(F.count("*").alias("shared"),
+        F.count_if("person").alias("shared_persons"))
     return asked.join(counts, ["left_id", "right_id"], "left").na.fill(0, ["shared", "shared_persons"])
 
 
 def same_as(edges: DataFrame, canon: DataFrame, tenant: str | None = None) -> DataFrame:
     """low, high: distinct pairs of different nodes with a SAME_AS edge in either direction."""
     rows = _within(edges.where("relationship = 'SAME_AS' and source_node <> target_node"), canon, tenant, "source_node", "target_node")
-    return rows.select(F.least("source_node", "target_node").alias("low"), F.greatest("source_node", "target_node").alias("high")).distinct()
+    return rows.select(F.least("source_node", "target_node").alias("low"),
+        F.greatest("source_node", "target_node").alias("high")).distinct()
 
 
 def with_references(canon: DataFrame, refs: DataFrame) -> DataFrame:
     """canon with system_references: a JSON object by source, null without references; of one source the last external_id stands."""
     one = refs.groupBy("canonical_id", "source").agg(F.max(F.struct("external_id", "category", "external_fields")).alias("r"))
-    entry = F.struct("source", F.struct(F.col("r.category").alias("category"), F.col("r.external_fields").alias("external_fields"), F.col("r.external_id").alias("external_id")).alias("of"))
+    entry = F.struct("source",
+        F.struct(F.col("r.category").alias("category"), F.col("r.external_fields").alias("external_fields"),
+        F.col("r.external_id").alias("external_id")).alias("of"))
     held = one.groupBy("canonical_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("system_references"))
     return canon.join(held, "canonical_id", "left")
 
@@ -111,13 +119,18 @@ def violations(canon: DataFrame, aliases: DataFrame, refs: DataFrame, edges: Dat
     ids = canon.select("canonical_id")
 
     def orphans(rows: DataFrame, key: str, rule: str) -> DataFrame:
-        return rows.select(F.col(key).alias("canonical_id")).join(ids, "canonical_id", "left_anti").select(F.lit(rule).alias("rule"), F.col("canonical_id").alias("key"))
+        return rows.select(F.col(key).alias("canonical_id")).join(ids, "canonical_id",
+            "left_anti").select(F.lit(rule).alias("rule"), F.col("canonical_id").alias("key"))
 
     def doubled(rows: DataFrame, keys: list[str], rule: str) -> DataFrame:
         return rows.groupBy(*keys).count().where("count > 1").select(F.lit(rule).alias("rule"), F.concat_ws("|", *keys).alias("key"))
 
-    kinds = canon.where("entity_category not in ('organization', 'person')").select(F.lit("entity_category").alias("rule"), F.col("canonical_id").alias("key"))
-    parts = [orphans(aliases, "canonical_id", "alias_orphan"), orphans(refs, "canonical_id", "reference_orphan"), orphans(edges, "source_node", "edge_orphan"), orphans(edges, "target_node", "edge_orphan"), doubled(canon, ["canonical_id"], "canonical_unique"), doubled(aliases, ["canonical_id", "value", "source"], "alias_unique"), doubled(refs, ["source", "external_id"], "reference_unique"), kinds]
+    kinds = canon.where("entity_category not in ('organization', 'person')").select(F.lit("entity_category").alias("rule"),
+        F.col("canonical_id").alias("key"))
+    parts = [orphans(aliases, "canonical_id", "alias_orphan"), orphans(refs, "canonical_id", "reference_orphan"),
+        orphans(edges, "source_node", "edge_orphan"), orphans(edges, "target_node", "edge_orphan"),
+        doubled(canon, ["canonical_id"], "canonical_unique"), doubled(aliases, ["canonical_id", "value", "source"], "alias_unique"),
+        doubled(refs, ["source", "external_id"], "reference_unique"), kinds]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

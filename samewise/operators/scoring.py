@@ -25,7 +25,8 @@ class Weights:
 
 #: The profiles, the boost's threshold, the short code's length, and the graph bonuses (a neighbour, at most).
 DEFAULT = Weights()
-PROFILES = {("accounting", "psa"): Weights(abbreviation=0.20, profile_id="psa_accounting_v1"), ("psa", "accounting"): Weights(abbreviation=0.20, profile_id="psa_accounting_v1")}
+PROFILES = {("accounting", "psa"): Weights(abbreviation=0.20, profile_id="psa_accounting_v1"),
+    ("psa", "accounting"): Weights(abbreviation=0.20, profile_id="psa_accounting_v1")}
 ALIAS_THRESHOLD, SHORT_CODE = 85.0, 4
 PERSON_BONUS, NEIGHBOUR_BONUS = (0.05, 0.10), (0.025, 0.10)
 
@@ -46,9 +47,13 @@ def flipped(category: Column) -> Column:
 
 def alias_boosts(pairs: DataFrame, canon: DataFrame, aliases: DataFrame, tenant: str | None = None) -> DataFrame:
     """entity_name, canonical_id of pairs (entity_name, canonical_id, canonical_name) of which an alias is close enough."""
-    near = pairs.join(registry.other_aliases(canon, aliases, tenant), "canonical_id").where(F.lower(F.trim("value")) != F.lower(F.trim("canonical_name")))
-    scored = near.select("entity_name", "value").where("entity_name <> ''").distinct().withColumn("m", string_metrics("token_set", "jaro_winkler")("entity_name", "value")).where(F.greatest("m.token_set", "m.jaro_winkler") > ALIAS_THRESHOLD)
-    return near.join(scored.select("entity_name", "value"), ["entity_name", "value"], "left_semi").select("entity_name", "canonical_id").distinct()
+    near = pairs.join(registry.other_aliases(canon, aliases, tenant),
+        "canonical_id").where(F.lower(F.trim("value")) != F.lower(F.trim("canonical_name")))
+    scored = near.select("entity_name", "value").where("entity_name <> ''").distinct().withColumn("m",
+        string_metrics("token_set", "jaro_winkler")("entity_name", "value")).where(F
+        .greatest("m.token_set", "m.jaro_winkler") > ALIAS_THRESHOLD)
+    return near.join(scored.select("entity_name", "value"), ["entity_name", "value"], "left_semi").select("entity_name",
+        "canonical_id").distinct()
 
 
 def abbreviates(code: Column, name: Column) -> Column:
@@ -56,17 +61,20 @@ def abbreviates(code: Column, name: Column) -> Column:
     c, words = F.lower(F.trim(code)), tokens(F.lower(F.trim(name)))
     initials = F.array_join(F.transform(words, lambda t: F.substring(t, 1, 1)), "")
     short = (F.length(code) > 0) & (F.length(code) <= SHORT_CODE)
-    return F.coalesce(short & (c != "") & (F.size(words) > 0) & (F.exists(words, lambda t: F.startswith(t, c)) | (initials == c)), F.lit(False))
+    return F.coalesce(short & (c != "") & (F.size(words) > 0) & (F.exists(words, lambda t: F.startswith(t, c)) | (initials == c)),
+        F.lit(False))
 
 
 def short_code(entity: Column, candidate: Column, aliases: Column, source: Column, target: Column) -> Column:
     """The short-code bonus: between accounting and psa, with the code on the psa side."""
     mixed = ((source == "accounting") & (target == "psa")) | ((source == "psa") & (target == "accounting"))
     by_alias = F.exists(F.coalesce(aliases, F.array().cast("array<string>")), lambda a: abbreviates(a, entity))
-    return mixed & (((source == "psa") & abbreviates(entity, candidate)) | ((target == "psa") & (abbreviates(candidate, entity) | by_alias)))
+    return mixed & (((source == "psa") & abbreviates(entity, candidate))
+        | ((target == "psa") & (abbreviates(candidate, entity) | by_alias)))
 
 
-def score(pairs: DataFrame, entities: DataFrame, canon: DataFrame, aliases: DataFrame, edges: DataFrame, tenant: str | None = None, resolved: DataFrame | None = None) -> DataFrame:
+def score(pairs: DataFrame, entities: DataFrame, canon: DataFrame, aliases: DataFrame, edges: DataFrame, tenant: str | None = None,
+    resolved: DataFrame | None = None) -> DataFrame:
     """entity_id, canonical_id, the signals, bonuses, weight_profile_id, category_pair and score of pairs (entity_id, canonical_id).
 
     resolved: entity_id, source_canonical_id of entities that already have a canonical, which alone get graph evidence.
@@ -76,27 +84,41 @@ def score(pairs: DataFrame, entities: DataFrame, canon: DataFrame, aliases: Data
     rows = pairs.select("entity_id", "canonical_id").distinct().join(own, "entity_id").join(names, "canonical_id")
     rows = rows.withColumn("target_category", flipped(F.col("source_category")))
     full = (F.trim("entity_name") != "") & (F.trim("canonical_name") != "")
-    measured = rows.where(full).select("entity_name", "canonical_name").distinct().withColumn("m", string_metrics()("entity_name", "canonical_name"))
+    measured = rows.where(full).select("entity_name", "canonical_name").distinct().withColumn("m",
+        string_metrics()("entity_name", "canonical_name"))
     measured = measured.withColumn("jaccard", trigram_jaccard(F.col("entity_name"), F.col("canonical_name")))
-    boosts = alias_boosts(rows.where(full).select("entity_name", "canonical_id", "canonical_name").distinct(), canon, aliases, tenant).withColumn("boost", F.lit(True))
+    boosts = alias_boosts(rows.where(full).select("entity_name", "canonical_id", "canonical_name").distinct(), canon, aliases,
+        tenant).withColumn("boost", F.lit(True))
     others = registry.other_aliases(canon, aliases, tenant).groupBy("canonical_id").agg(F.collect_set("value").alias("aliases"))
-    rows = rows.join(measured, ["entity_name", "canonical_name"], "left").join(boosts, ["entity_name", "canonical_id"], "left").join(others, "canonical_id", "left")
+    rows = rows.join(measured, ["entity_name", "canonical_name"], "left").join(boosts, ["entity_name", "canonical_id"],
+        "left").join(others, "canonical_id", "left")
     if resolved is None:
         rows = rows.withColumn("shared", F.lit(0)).withColumn("shared_persons", F.lit(0))
     else:
         rows = rows.join(resolved.select("entity_id", "source_canonical_id"), "entity_id", "left")
-        asked = rows.where("source_canonical_id is not null").select(F.col("source_canonical_id").alias("left_id"), F.col("canonical_id").alias("right_id"))
-        counts = registry.shared_neighbours(asked, edges, canon, tenant).withColumnsRenamed({"left_id": "source_canonical_id", "right_id": "canonical_id"})
+        asked = rows.where("source_canonical_id is not null").select(F.col("source_canonical_id").alias("left_id"),
+            F.col("canonical_id").alias("right_id"))
+        counts = registry.shared_neighbours(asked, edges, canon,
+            tenant).withColumnsRenamed({"left_id": "source_canonical_id", "right_id": "canonical_id"})
         rows = rows.join(counts, ["source_canonical_id", "canonical_id"], "left").na.fill(0, ["shared", "shared_persons"])
     rows = rows.withColumn("w", weights_of(F.col("source_category"), F.col("target_category"))).withColumn("full", full)
     zero = lambda c: F.when(F.col("full"), c).otherwise(F.lit(0.0))
     rows = rows.select(
-        "entity_id", "canonical_id", *(zero(F.col(f"m.{k}")).alias(k) for k in ("token_sort", "token_set", "partial", "jaro_winkler")), zero(F.col("jaccard")).alias("jaccard"),
-        (F.col("full") & F.coalesce("boost", F.lit(False))).alias("alias_boost"), (F.col("full") & short_code(F.col("entity_name"), F.col("canonical_name"), F.col("aliases"), F.col("source_category"), F.col("target_category"))).alias("abbreviation"),
-        zero(F.least(F.lit(PERSON_BONUS[1]), PERSON_BONUS[0] * F.col("shared_persons"))).alias("person_bonus"), zero(F.least(F.lit(NEIGHBOUR_BONUS[1]), NEIGHBOUR_BONUS[0] * F.col("shared"))).alias("neighbour_bonus"),
+        "entity_id", "canonical_id",
+            *(zero(F.col(f"m.{k}")).alias(k) for k in ("token_sort", "token_set", "partial", "jaro_winkler")),
+            zero(F.col("jaccard")).alias("jaccard"),
+        (F.col("full") & F.coalesce("boost", F.lit(False))).alias("alias_boost"),
+            (F.col("full")
+            & short_code(F.col("entity_name"), F.col("canonical_name"), F.col("aliases"), F.col("source_category"),
+            F.col("target_category"))).alias("abbreviation"),
+        zero(F.least(F.lit(PERSON_BONUS[1]), PERSON_BONUS[0] * F.col("shared_persons"))).alias("person_bonus"),
+            zero(F.least(F.lit(NEIGHBOUR_BONUS[1]), NEIGHBOUR_BONUS[0] * F.col("shared"))).alias("neighbour_bonus"),
         "w", "full", "source_category", "target_category",
     )
     weighed = F.col("w.token_sort") * F.col("token_sort") / 100.0 + F.col("w.token_set") * F.col("token_set") / 100.0 + F.col("w.partial") * F.col("partial") / 100.0 + F.col("w.jaro_winkler") * F.col("jaro_winkler") / 100.0 + F.col("w.jaccard") * F.col("jaccard")
-    total = weighed + F.when(F.col("alias_boost"), F.col("w.alias_boost")).otherwise(0.0) + F.when(F.col("abbreviation"), F.col("w.abbreviation")).otherwise(0.0) + F.col("person_bonus") + F.col("neighbour_bonus")
-    out = rows.withColumn("score", zero(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)))).withColumn("weight_profile_id", F.col("w.profile_id"))
-    return out.withColumn("category_pair", F.concat_ws(":", "source_category", "target_category")).drop("w", "full", "source_category", "target_category")
+    total = weighed + F.when(F.col("alias_boost"), F.col("w.alias_boost")).otherwise(0.0) + F.when(F.col("abbreviation"),
+        F.col("w.abbreviation")).otherwise(0.0) + F.col("person_bonus") + F.col("neighbour_bonus")
+    out = rows.withColumn("score", zero(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)))).withColumn("weight_profile_id",
+        F.col("w.profile_id"))
+    return out.withColumn("category_pair", F.concat_ws(":", "source_category", "target_category")).drop("w", "full",
+        "source_category", "target_category")

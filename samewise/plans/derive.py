@@ -47,18 +47,25 @@ REFS = f"""select {key(C)} as canonical_id, 'quickbooks' as source, 'accounting'
   case when {C} % 10 = 9 then '{{bad' else '{{"email": "P' || cast(({C} % 1000) as string) || '@example.com", "employee_id": "' || cast({C} as string) || '"}}' end as external_fields from customer
   union all select {key(C)}, 'ruddr', 'psa', 'RD-' || cast({C} as string), '{{"role": "principal"}}' from customer where {C} % 3 = 0"""
 EDGES = f"""select {key('o_custkey')} as source_node, {key('((o_custkey * 31 + o_orderkey) % 150 + 1)')} as target_node,
-  case when o_orderkey % 5 = 0 then 'SAME_AS' else 'WORKS_WITH' end as relationship, cast(o_orderkey % 7 as bigint) as approval_count from orders"""
-INCOMING = f"""select 'S' || lpad(cast(s_suppkey as string), 8, '0') as entity_id, case when s_suppkey % 2 = 0 then 'QB-' else 'RD-' end || cast(j as string) as source_id,
-  case when s_suppkey % 2 = 0 then 'quickbooks' else 'ruddr' end as source, case when j % 5 = 0 then 'person' else 'organization' end as entity_category,
+  case when o_orderkey % 5 = 0 then 'SAME_AS'
+    else 'WORKS_WITH' end as relationship, cast(o_orderkey % 7 as bigint) as approval_count from orders"""
+INCOMING = f"""select 'S' || lpad(cast(s_suppkey as string), 8, '0') as entity_id, case when s_suppkey % 2 = 0 then 'QB-'
+    else 'RD-' end || cast(j as string) as source_id,
+  case when s_suppkey % 2 = 0 then 'quickbooks' else 'ruddr' end as source, case when j % 5 = 0 then 'person'
+    else 'organization' end as entity_category,
   case when s_suppkey % 50 = 49 then '   '
     when j % 5 = 0 then case s_suppkey % 8 when 0 then b || ', ' || a when 1 then 'Dr. ' || a || ' ' || b when 2 then a || ' Q. ' || b
       when 3 then replace(a, 'a', 'á') || ' ' || b when 4 then a || ' ' || b || ', Jr.' else a || ' ' || b end
-    else case s_suppkey % 8 when 0 then a || ' ' || b || ' ' || k || ', LLC.' when 1 then 'The ' || a || ' ' || b || ' ' || k when 2 then b || ' ' || a
-      when 3 then replace(a || ' ' || b, 'a', 'á') || ' ' || k when 4 then a || ' & ' || b || ' ' || k || ' Inc' when 5 then a || ' ' || b || ' ' || k || ' (Northeast) Corp.'
+    else case s_suppkey % 8 when 0 then a || ' ' || b || ' ' || k || ', LLC.' when 1 then 'The ' || a || ' ' || b || ' ' || k
+    when 2 then b || ' ' || a
+      when 3 then replace(a || ' ' || b, 'a', 'á') || ' ' || k when 4 then a || ' & ' || b || ' ' || k || ' Inc'
+    when 5 then a || ' ' || b || ' ' || k || ' (Northeast) Corp.'
       when 6 then a || ' ' || b else upper(a || ' ' || b || ' ' || k) end end as display_name,
-  case when s_suppkey % 3 = 0 then ' p' || cast(j % 1000 as string) || '@EXAMPLE.com ' end as email, case when s_suppkey % 4 = 0 then cast(j as string) end as employee_id,
+  case when s_suppkey % 3 = 0 then ' p' || cast(j % 1000 as string) || '@EXAMPLE.com ' end as email, case
+    when s_suppkey % 4 = 0 then cast(j as string) end as employee_id,
   '{{"role": "manager"}}' as raw_record
-  from (select s_suppkey, j, {capital("w1")} as a, {capital("w2")} as b, {capital(kind("j"))} as k from (select s_suppkey, j, {first("j")} as w1, {second("j")} as w2
+  from (select s_suppkey, j, {capital("w1")} as a, {capital("w2")} as b, {capital(kind("j"))} as k
+    from (select s_suppkey, j, {first("j")} as w1, {second("j")} as w2
   from (select s_suppkey, s_suppkey * 13 % 1500 + 1 as j from supplier) as x) as y) as z"""
 
 #: The rules of normalization in RE2, which has no look-ahead: the delimiter is caught and put back, twice.
@@ -75,8 +82,10 @@ def _twice(column: str, pattern: str, to: str) -> str:
 _INITIAL = r"\s+[a-z]\.?(\s)"
 _SPACES = r"\s+"
 NORMALIZED = f"""
-  n0 as (select *, case when {_INVERTS} then regexp_replace(display_name, '{_INVERT}', '\\2 \\1') else display_name end as a0 from incoming),
-  n1 as (select *, strip_accents(a0) as a1 from n0), n2 as (select *, lower(a1) as a2 from n1), n3 as (select *, regexp_replace(a2, '^the\\s+', '') as a3 from n2),
+  n0 as (select *, case when {_INVERTS} then regexp_replace(display_name, '{_INVERT}', '\\2 \\1') else display_name end as a0
+    from incoming),
+  n1 as (select *, strip_accents(a0) as a1 from n0), n2 as (select *, lower(a1) as a2
+    from n1), n3 as (select *, regexp_replace(a2, '^the\\s+', '') as a3 from n2),
   n4 as (select *, {_twice('a3', _HONORIFIC, r' \\3'.replace(chr(92) * 2, chr(92)))} as a4 from n3),
   n5 as (select *, case when entity_category = 'person' then regexp_replace(a4, '{_INITIAL}', ' \\1', 'g') else a4 end as a5 from n4),
   n6 as (select *, {_twice('a5', _LEGAL, r'\\1'.replace(chr(92) * 2, chr(92)))} as a6 from n5),

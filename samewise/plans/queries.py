@@ -64,9 +64,12 @@ def norm_rejects(spark, sf):
     return split_rejects(normalize(frame(spark, sf, "incoming")))[1].select("entity_id", "reject_reason")
 
 
-@query(_NORM + """ select entity_id, concat_ws(',', case when a0 <> display_name then 'person_inversion' end, case when a1 <> a0 then 'strip_diacritics' end, 'lowercase',
-  case when a3 <> a2 then 'strip_the' end, case when a4 <> a3 then 'strip_honorific' end, case when a5 <> a4 then 'strip_middle_initial' end, case when a6 <> a5 then 'strip_legal_suffix' end,
-  case when a7 <> a6 then 'strip_paren_qualifier' end, case when a8 <> a7 then 'ampersand_to_and' end, case when a9 <> a8 then 'strip_punctuation' end, 'collapse_whitespace') as rules from normalized""")
+@query(_NORM + """ select entity_id, concat_ws(',', case when a0 <> display_name then 'person_inversion' end, case
+    when a1 <> a0 then 'strip_diacritics' end, 'lowercase',
+  case when a3 <> a2 then 'strip_the' end, case when a4 <> a3 then 'strip_honorific' end, case
+    when a5 <> a4 then 'strip_middle_initial' end, case when a6 <> a5 then 'strip_legal_suffix' end,
+  case when a7 <> a6 then 'strip_paren_qualifier' end, case when a8 <> a7 then 'ampersand_to_and' end, case
+    when a9 <> a8 then 'strip_punctuation' end, 'collapse_whitespace') as rules from normalized""")
 def norm_rules_trace(spark, sf):
     return normalize(frame(spark, sf, "incoming")).select("entity_id", F.array_join("rules_applied", ",").alias("rules"))
 
@@ -83,59 +86,93 @@ def norm_documents(spark, sf):
 
 
 def _events_of(spark, sf) -> DataFrame:
-    return _t(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.when(F.col("c_custkey") % 3 == 0, "Employee").when(F.col("c_custkey") % 3 == 1, "Customer").otherwise("Vendor").alias("type"), F.col("c_name").alias("display_name"), F.col("c_mktsegment").alias("department"), F.lit(None).cast("string").alias("email"))
+    return _t(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"),
+        F.when(F.col("c_custkey") % 3 == 0, "Employee").when(F.col("c_custkey") % 3 == 1, "Customer").otherwise("Vendor")
+        .alias("type"), F.col("c_name").alias("display_name"), F.col("c_mktsegment").alias("department"),
+        F.lit(None).cast("string").alias("email"))
 
 
-@query("select cast(c_custkey as varchar) as id, c_name as display_name from customer where c_custkey % 3 = 0 and contains(lower(c_name), '7')")
+@query("select cast(c_custkey as varchar) as id, c_name as display_name from customer where c_custkey % 3 = 0 and "
+       "contains(lower(c_name), '7')")
 def src_type_filter(spark, sf):
     rows = records.of_kind(_events_of(spark, sf), "accounting", "PERSON")
     return records.matching(rows, "accounting", display_name_contains="7", department="ignored").select("id", "display_name")
 
 
-@query("select cast(c_custkey as varchar) as source_id, case when c_custkey % 3 = 0 then 'person' else 'organization' end as entity_category, 'accounting' as category, trim(regexp_replace(lower(c_name), '\\s+', ' ', 'g')) as normalized_name from customer")
+@query("select cast(c_custkey as varchar) as source_id, case when c_custkey % 3 = 0 then 'person' else 'organization' end as "
+       "entity_category, 'accounting' as category, trim(regexp_replace(lower(c_name), '\\s+', ' ', 'g')) as normalized_name from customer")
 def src_entity_map(spark, sf):
     return records.entities(_events_of(spark, sf), "accounting").select("source_id", "entity_category", "category", "normalized_name")
 
 
-@query("""select cast(o_orderkey as varchar) as source_id, case o_orderstatus when 'F' then 'invoice' else 'payment' end as txn_type, o_totalprice as amount, 'USD' as currency, strftime(o_orderdate, '%Y-%m-%d') as txn_date,
-  cast(o_custkey as varchar) as counterparty, 'customer' as counterparty_kind from orders where o_orderstatus in ('F', 'O') and strftime(o_orderdate, '%Y-%m-%d') between '1995-06-01' and '1998-06-30'
-  union all select cast(l_orderkey as varchar) || '-' || cast(l_linenumber as varchar), 'bill', l_extendedprice, 'USD', strftime(l_shipdate, '%Y-%m-%d'), cast(l_suppkey as varchar), 'vendor' from lineitem where strftime(l_shipdate, '%Y-%m-%d') between '1995-06-01' and '1998-06-30'""")
+@query("""select cast(o_orderkey as varchar) as source_id, case o_orderstatus when 'F' then 'invoice'
+    else 'payment' end as txn_type, o_totalprice as amount, 'USD' as currency, strftime(o_orderdate, '%Y-%m-%d') as txn_date,
+  cast(o_custkey as varchar) as counterparty, 'customer' as counterparty_kind from orders where o_orderstatus in ('F', 'O')
+    and strftime(o_orderdate, '%Y-%m-%d') between '1995-06-01' and '1998-06-30'
+  union all select cast(l_orderkey as varchar) || '-' || cast(l_linenumber as varchar), 'bill', l_extendedprice, 'USD',
+    strftime(l_shipdate, '%Y-%m-%d'), cast(l_suppkey as varchar), 'vendor' from lineitem
+    where strftime(l_shipdate, '%Y-%m-%d') between '1995-06-01' and '1998-06-30'""")
 def src_txn_union(spark, sf):
     o, li = _t(spark, sf, "orders"), _t(spark, sf, "lineitem")
-    sold = o.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"), F.lit("").alias("currency"), F.col("o_orderdate").alias("txn_date"), F.col("o_custkey").alias("customer"), F.lit(None).cast("long").alias("vendor"), "o_orderstatus")
-    bought = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_extendedprice").alias("amount"), F.lit(None).cast("string").alias("currency"), F.col("l_shipdate").alias("txn_date"), F.lit(None).cast("long").alias("customer"), F.col("l_suppkey").alias("vendor"))
+    sold = o.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"), F.lit("").alias("currency"),
+        F.col("o_orderdate").alias("txn_date"), F.col("o_custkey").alias("customer"), F.lit(None).cast("long").alias("vendor"),
+        "o_orderstatus")
+    bought = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_extendedprice").alias("amount"),
+        F.lit(None).cast("string").alias("currency"), F.col("l_shipdate").alias("txn_date"),
+        F.lit(None).cast("long").alias("customer"), F.col("l_suppkey").alias("vendor"))
     return records.transactions(sold.where("o_orderstatus = 'F'"), sold.where("o_orderstatus = 'O'"), bought, "1995-06-01", "1998-06-30")
 
 
 def _parents(spark, sf) -> DataFrame:
-    o = _t(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("id"), F.struct(F.concat_ws("-", F.lit("CEN"), "o_orderkey").alias("code"), F.col("o_orderpriority").alias("name"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("active").alias("status"), F.lit(10).cast("long").alias("budget_hours"), F.col("o_totalprice").alias("logged_hours"), F.lit(1.0).alias("hourly_rate"), F.col("o_orderstatus").alias("department")).alias("p"))
+    o = _t(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("id"),
+        F.struct(F.concat_ws("-", F.lit("CEN"), "o_orderkey").alias("code"), F.col("o_orderpriority").alias("name"),
+        F.when(F.col("o_orderstatus") == "F", "completed").otherwise("active").alias("status"),
+        F.lit(10).cast("long").alias("budget_hours"), F.col("o_totalprice").alias("logged_hours"), F.lit(1.0).alias("hourly_rate"),
+        F.col("o_orderstatus").alias("department")).alias("p"))
     return o.groupBy("id").agg(F.collect_list("p").cast(records.PROJECTS).alias("projects"))
 
 
-@query("select cast(o_custkey as varchar) || '::CEN-' || cast(o_orderkey as varchar) as source_id, cast(o_custkey as varchar) as parent_source_id, 'CEN-' || cast(o_orderkey as varchar) as code, o_totalprice as logged_hours from orders where o_orderstatus <> 'F' and starts_with('CEN-' || cast(o_orderkey as varchar), 'CEN-1')")
+@query("select cast(o_custkey as varchar) || '::CEN-' || cast(o_orderkey as varchar) as source_id, cast(o_custkey as varchar) as "
+       "parent_source_id, 'CEN-' || cast(o_orderkey as varchar) as code, o_totalprice as logged_hours from orders where "
+       "o_orderstatus <> 'F' and starts_with('CEN-' || cast(o_orderkey as varchar), 'CEN-1')")
 def src_project_explode(spark, sf):
-    return records.projects(_parents(spark, sf), status="active", code_prefix="CEN-1").select("source_id", "parent_source_id", "code", "logged_hours")
+    return records.projects(_parents(spark, sf), status="active", code_prefix="CEN-1").select("source_id", "parent_source_id",
+        "code", "logged_hours")
 
 
-@query("select cast(l_orderkey as varchar) as source_id, 'time_entry' as txn_type, l_quantity * case when l_discount = 0 then 100.0 else l_discount * 1000 end as amount, 'USD' as currency, strftime(l_shipdate, '%Y-%m-%d') as txn_date, cast(l_suppkey as varchar) as counterparty, 'resource' as counterparty_kind, l_returnflag as project_code from lineitem where strftime(l_shipdate, '%Y-%m-%d') between '1996-01-01' and '1996-12-31'")
+@query("select cast(l_orderkey as varchar) as source_id, 'time_entry' as txn_type, l_quantity * case when l_discount = 0 then "
+       "100.0 else l_discount * 1000 end as amount, 'USD' as currency, strftime(l_shipdate, '%Y-%m-%d') as txn_date, "
+       "cast(l_suppkey as varchar) as counterparty, 'resource' as counterparty_kind, l_returnflag as project_code from lineitem "
+       "where strftime(l_shipdate, '%Y-%m-%d') between '1996-01-01' and '1996-12-31'")
 def src_time_entries(spark, sf):
-    li = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_quantity").alias("hours"), (F.col("l_discount") * 1000).alias("billing_rate"), F.lit(100.0).alias("hourly_rate"), F.lit(None).cast("string").alias("currency"), F.col("l_shipdate").alias("date"), F.col("l_suppkey").alias("resource_id"), F.col("l_returnflag").alias("project_code"))
+    li = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_quantity").alias("hours"),
+        (F.col("l_discount") * 1000).alias("billing_rate"), F.lit(100.0).alias("hourly_rate"),
+        F.lit(None).cast("string").alias("currency"), F.col("l_shipdate").alias("date"), F.col("l_suppkey").alias("resource_id"),
+        F.col("l_returnflag").alias("project_code"))
     return records.time_entries(li, "1996-01-01", "1996-12-31")
 
 
-@query(_GOOD + " select source_id, source, norm_category as category, entity_category, display_name as raw_name, normalized_name, email from good")
+@query(_GOOD
+    + " select source_id, source, norm_category as category, entity_category, display_name as raw_name, normalized_name, email from good")
 def src_export(spark, sf):
     return records.export_rows(_good(spark, sf))
 
 
-@query("""select event_id, concat_ws(',', case when event_type <> 'click' then 'target_source' end, case when user_id % 3 = 0 then 'target_category' end, case when event_id % 5 >= 3 then 'operation' end) as issues,
+@query("""select event_id, concat_ws(',', case when event_type <> 'click' then 'target_source' end, case
+    when user_id % 3 = 0 then 'target_category' end, case when event_id % 5 >= 3 then 'operation' end) as issues,
   event_type = 'click' and user_id % 3 <> 0 and event_id % 5 < 3 as is_valid from events""")
 def src_proposals(spark, sf):
-    ev = _t(spark, sf, "events").select("event_id", F.when(F.col("event_type") == "click", "quickbooks").otherwise("other").alias("target_source"), F.when(F.col("user_id") % 3 != 0, "accounting").alias("target_category"), F.element_at(F.array(*[F.lit(x) for x in ("create", "update", "void", "drop", "")]), (F.col("event_id") % 5 + 1).cast("int")).alias("operation"))
-    return records.proposal_issues(ev, "quickbooks", "accounting").select("event_id", F.array_join("issues", ",").alias("issues"), "is_valid")
+    ev = _t(spark, sf, "events").select("event_id",
+        F.when(F.col("event_type") == "click", "quickbooks").otherwise("other").alias("target_source"),
+        F.when(F.col("user_id") % 3 != 0, "accounting").alias("target_category"),
+        F.element_at(F.array(*[F.lit(x) for x in ("create", "update", "void", "drop", "")]),
+        (F.col("event_id") % 5 + 1).cast("int")).alias("operation"))
+    return records.proposal_issues(ev, "quickbooks", "accounting").select("event_id", F.array_join("issues", ",").alias("issues"),
+        "is_valid")
 
 
-@query("select event_id, count(*) over (partition by user_id order by epoch(date_trunc('second', ts)) range between 3599 preceding and current row) as recent from events")
+@query("select event_id, count(*) over (partition by user_id order by epoch(date_trunc('second', ts)) range between 3599 "
+       "preceding and current row) as recent from events")
 def src_throttle(spark, sf):
     calls = _t(spark, sf, "events").select("event_id", F.col("user_id").alias("connector"), F.col("ts").alias("at"))
     return records.throttled(calls, 3, 3600).select("event_id", "recent")
@@ -143,7 +180,8 @@ def src_throttle(spark, sf):
 
 # anchors
 
-_SEEDS = """, seeds as (select canonical_id, value, max(confidence) as confidence from (select canonical_id, canonical_name as value, 1.0::double as confidence from canon
+_SEEDS = """, seeds as (select canonical_id, value, max(confidence) as confidence
+    from (select canonical_id, canonical_name as value, 1.0::double as confidence from canon
   union all select canonical_id, value, coalesce(confidence, 1.0) from aliases) group by all)"""
 _HITS = ", alias_hits as (select entity_id, canonical_id, confidence from good join seeds on value = normalized_name)"
 _ALIAS = _SEEDS + _HITS
@@ -177,11 +215,17 @@ _ONE = "select entity_id, min(canonical_id) as canonical_id, min(confidence) as
 
 _ANCHORS = {
     "by_alias": ("alias", "select entity_id, canonical_id, least(confidence, 0.99) as confidence from alias_hits"),
-    "by_email": ("email", "select h.entity_id, h.canonical_id, 0.99::double as confidence from email_hits h join good g using (entity_id) join canon c on c.canonical_id = h.canonical_id where g.entity_category = 'person' and c.entity_category = 'person'"),
-    "by_id": ("employee_id", "select h.entity_id, h.canonical_id, 1.0::double as confidence from id_hits h join good g using (entity_id) where g.entity_category = 'person'"),
+    "by_email": ("email",
+        "select h.entity_id, h.canonical_id, 0.99::double as confidence from email_hits h join good g using (entity_id) join "
+        "canon c on c.canonical_id = h.canonical_id where g.entity_category = 'person' and c.entity_category = 'person'"),
+    "by_id": ("employee_id",
+        "select h.entity_id, h.canonical_id, 1.0::double as confidence from id_hits h join good g using (entity_id) where "
+        "g.entity_category = 'person'"),
 }
-_CASCADE = "".join(f", {name} as ({_ONE.format(kind, hits)})" for name, (kind, hits) in _ANCHORS.items()) + """, anchored as (select entity_id, coalesce(a.canonical_id, e.canonical_id, i.canonical_id) as canonical_id,
-  coalesce(a.confidence, e.confidence, i.confidence) as confidence, coalesce(a.k, e.k, i.k) as match_key_type from good left join by_alias a using (entity_id) left join by_email e using (entity_id) left join by_id i using (entity_id))"""
+_CASCADE = "".join(f", {name} as ({_ONE.format(kind, hits)})" for name, (kind, hits) in _ANCHORS.items()) + """,
+    anchored as (select entity_id, coalesce(a.canonical_id, e.canonical_id, i.canonical_id) as canonical_id,
+  coalesce(a.confidence, e.confidence, i.confidence) as confidence, coalesce(a.k, e.k, i.k) as match_key_type from good left
+    join by_alias a using (entity_id) left join by_email e using (entity_id) left join by_id i using (entity_id))"""
 
 
 @query(_all("canon", "aliases", "refs") + _ALIAS + _EMAIL + _EID + _CASCADE + " select * from anchored")
@@ -201,9 +245,11 @@ def token_block(spark, sf):
     return matching.signals(_good(spark, sf), frame(spark, sf, "canon"), frame(spark, sf, "aliases")).where("signal like 'token:%'")
 
 
-@query(_all("canon", "aliases") + _SIGNALS + " select entity_id, canonical_id, count(*) as n from shared where starts_with(signal, 'trigram:') group by all")
+@query(_all("canon", "aliases") + _SIGNALS
+    + " select entity_id, canonical_id, count(*) as n from shared where starts_with(signal, 'trigram:') group by all")
 def trigram_block(spark, sf):
-    return matching.signals(_good(spark, sf), frame(spark, sf, "canon"), frame(spark, sf, "aliases")).where("signal like 'trigram:%'").groupBy("entity_id", "canonical_id").agg(F.count("*").alias("n"))
+    return matching.signals(_good(spark, sf), frame(spark, sf, "canon"),
+        frame(spark, sf, "aliases")).where("signal like 'trigram:%'").groupBy("entity_id", "canonical_id").agg(F.count("*").alias("n"))
 
 
 _KEPT = """, own as (select g.entity_id, r.canonical_id from good g join refs r on r.source = g.source and r.external_id = g.source_id),
@@ -211,7 +257,9 @@ _KEPT = """, own as (select g.entity_id, r.canonical_id from good g join refs r
   kept as (select * from pairs qualify row_number() over (partition by entity_id order by canonical_id) <= 50)"""
 
 
-@query(_all("canon", "aliases", "refs") + _SIGNALS + _KEPT + " select entity_id, canonical_id, array_to_string(list_sort(list(distinct signal)), ' ') as signals from shared join kept using (entity_id, canonical_id) group by all")
+@query(_all("canon", "aliases", "refs") + _SIGNALS + _KEPT
+    + " select entity_id, canonical_id, array_to_string(list_sort(list(distinct signal)), ' ') as signals from shared join kept "
+      "using (entity_id, canonical_id) group by all")
 def block_cap50(spark, sf):
     found = matching.candidates(_good(spark, sf), *(frame(spark, sf, n) for n in ("canon", "aliases", "refs")))
     return found.select("entity_id", "canonical_id", F.array_join("blocking_signals", " ").alias("signals"))
@@ -221,26 +269,32 @@ def block_cap50(spark, sf):
 def block_self_exclude(spark, sf):
     """The entities' own canonicals, which blocking leaves out."""
     own = _good(spark, sf).select("entity_id", "source", F.col("source_id").alias("external_id"))
-    return own.join(frame(spark, sf, "refs").select("canonical_id", "source", "external_id"), ["source", "external_id"]).select("entity_id", "canonical_id")
+    return own.join(frame(spark, sf, "refs").select("canonical_id", "source", "external_id"),
+        ["source", "external_id"]).select("entity_id", "canonical_id")
 
 
 # metrics, on the names that share a token
 
-_PAIRS = _all("canon", "aliases") + _SIGNALS + ", pairs as (select distinct normalized_name as a, canonical_name as b from shared join good using (entity_id) join canon using (canonical_id) where starts_with(signal, 'token:'))"
+_PAIRS = _all("canon",
+    "aliases") + _SIGNALS + ", pairs as (select distinct normalized_name as a, canonical_name as b from shared join good using (entity_id) join canon using (canonical_id) where starts_with(signal, 'token:'))"
 
 
 def _pairs(spark, sf) -> DataFrame:
     good, canon = _good(spark, sf), frame(spark, sf, "canon")
-    shared = matching.signals(good, canon, frame(spark, sf, "aliases")).where("signal like 'token:%'").select("entity_id", "canonical_id").distinct()
-    return shared.join(good.select("entity_id", F.col("normalized_name").alias("a")), "entity_id").join(canon.select("canonical_id", F.col("canonical_name").alias("b")), "canonical_id").select("a", "b").distinct()
+    shared = matching.signals(good, canon, frame(spark, sf, "aliases")).where("signal like 'token:%'").select("entity_id",
+        "canonical_id").distinct()
+    return shared.join(good.select("entity_id", F.col("normalized_name").alias("a")),
+        "entity_id").join(canon.select("canonical_id", F.col("canonical_name").alias("b")), "canonical_id").select("a", "b").distinct()
 
 
 @query(_PAIRS + " select a, b, round(100 * jaro_winkler_similarity(a, b), 6) as jaro_winkler from pairs")
 def m_jaro_winkler(spark, sf):
-    return _pairs(spark, sf).withColumn("m", string_metrics("jaro_winkler")("a", "b")).select("a", "b", F.round("m.jaro_winkler", 6).alias("jaro_winkler"))
+    return _pairs(spark, sf).withColumn("m", string_metrics("jaro_winkler")("a", "b")).select("a", "b",
+        F.round("m.jaro_winkler", 6).alias("jaro_winkler"))
 
 
-@query(_PAIRS + ", g as (select a, b, list_distinct(" + _GRAMS.format("a") + ") as x, list_distinct(" + _GRAMS.format("b") + ") as y from pairs) select a, b, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) as jaccard from g")
+@query(_PAIRS + ", g as (select a, b, list_distinct(" + _GRAMS.format("a") + ") as x, list_distinct(" + _GRAMS.format("b")
+    + ") as y from pairs) select a, b, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) as jaccard from g")
 def m_jaccard(spark, sf):
     return _pairs(spark, sf).select("a", "b", F.round(trigram_jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
@@ -255,8 +309,10 @@ def neighbors(spark, sf):
     return registry.neighbours(frame(spark, sf, "edges"), frame(spark, sf, "canon"))
 
 
-@query(ctes("edges", "canon") + _BOTH + """, asked as (select distinct source_node as left_id, target_node as right_id from edges where relationship = 'SAME_AS')
-  select left_id, right_id, count(b.neighbour) as shared, count(*) filter (c.entity_category = 'person') as shared_persons from asked left join near a on a.node = left_id left join near b on b.node = right_id and b.neighbour = a.neighbour
+@query(ctes("edges", "canon") + _BOTH + """, asked as (select distinct source_node as left_id, target_node as right_id
+    from edges where relationship = 'SAME_AS')
+  select left_id, right_id, count(b.neighbour) as shared, count(*) filter (c.entity_category = 'person') as shared_persons
+    from asked left join near a on a.node = left_id left join near b on b.node = right_id and b.neighbour = a.neighbour
   left join canon c on c.canonical_id = b.neighbour group by all""")
 def shared_neighbors(spark, sf):
     edges = frame(spark, sf, "edges")
@@ -264,19 +320,27 @@ def shared_neighbors(spark, sf):
     return registry.shared_neighbours(asked, edges, frame(spark, sf, "canon"))
 
 
-@query(ctes("edges") + " select distinct least(source_node, target_node) as low, greatest(source_node, target_node) as high from edges where relationship = 'SAME_AS' and source_node <> target_node")
+@query(ctes("edges")
+    + " select distinct least(source_node, target_node) as low, greatest(source_node, target_node) as high from edges where "
+      "relationship = 'SAME_AS' and source_node <> target_node")
 def same_as_exists(spark, sf):
     return registry.same_as(frame(spark, sf, "edges"), frame(spark, sf, "canon"))
 
 
-@query(ctes("refs", "canon") + ", h as (select canonical_id, string_agg(distinct source, ',' order by source) as sources from refs group by all) select canonical_id, canonical_name, sources from canon left join h using (canonical_id)")
+@query(ctes("refs", "canon")
+    + ", h as (select canonical_id, string_agg(distinct source, ',' order by source) as sources from refs group by all) select "
+      "canonical_id, canonical_name, sources from canon left join h using (canonical_id)")
 def entities_with_refs(spark, sf):
     held = registry.with_references(frame(spark, sf, "canon"), frame(spark, sf, "refs"))
-    return held.select("canonical_id", "canonical_name", F.array_join(F.array_sort(F.json_object_keys("system_references")), ",").alias("sources"))
+    return held.select("canonical_id", "canonical_name",
+        F.array_join(F.array_sort(F.json_object_keys("system_references")), ",").alias("sources"))
 
 
-@query("""with v as (select vec_id, cast(embedding as double[]) as e from embeddings), s as (select q.vec_id as query_id, v.vec_id, list_cosine_similarity(q.e, v.e) as cosine from v q join v on q.vec_id <> v.vec_id where q.vec_id % 20 = 0)
-  select query_id, vec_id, round(cosine, 6) as cosine from s qualify row_number() over (partition by query_id order by cosine desc, vec_id) <= 5""")
+@query("""with v as (select vec_id, cast(embedding as double[]) as e
+    from embeddings), s as (select q.vec_id as query_id, v.vec_id, list_cosine_similarity(q.e, v.e) as cosine from v q join v
+    on q.vec_id <> v.vec_id where q.vec_id % 20 = 0)
+  select query_id, vec_id, round(cosine, 6) as cosine from s qualify row_number() over (partition by query_id
+    order by cosine desc, vec_id) <= 5""")
 def cosine_topk(spark, sf):
     vectors = _t(spark, sf, "embeddings")
     asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
@@ -285,14 +349,17 @@ def cosine_topk(spark, sf):
 
 # scores and dispositions: scores made from keys, so that bands and ties all occur
 
-_SCORED = _all("canon", "aliases", "edges") + _SIGNALS + """, scored as (select distinct entity_id, canonical_id, cast((cast(substr(entity_id, 2) as bigint) * 37 + cast(substr(canonical_id, 2) as bigint) * 11) % 101 as double) / 100 as score from shared where starts_with(signal, 'token:')),
+_SCORED = _all("canon", "aliases", "edges") + _SIGNALS + """, scored as (select distinct entity_id, canonical_id,
+    cast((cast(substr(entity_id, 2) as bigint) * 37 + cast(substr(canonical_id,
+    2) as bigint) * 11) % 101 as double) / 100 as score from shared where starts_with(signal, 'token:')),
   ranked as (select *, row_number() over (partition by entity_id order by score desc, canonical_id) as position from scored)"""
 
 
 def _scored(spark, sf) -> DataFrame:
     shared = matching.signals(_good(spark, sf), frame(spark, sf, "canon"), frame(spark, sf, "aliases")).where("signal like 'token:%'")
     number = lambda c: F.substring(c, 2, 20).cast("long")
-    return shared.select("entity_id", "canonical_id", (((number("entity_id") * 37 + number("canonical_id") * 11) % 101).cast("double") / 100).alias("score"))
+    return shared.select("entity_id", "canonical_id",
+        (((number("entity_id") * 37 + number("canonical_id") * 11) % 101).cast("double") / 100).alias("score"))
 
 
 @query(_SCORED + " select entity_id, canonical_id, score, position from ranked")
@@ -300,41 +367,59 @@ def dedup_rank(spark, sf):
     return disposition.ranked(_scored(spark, sf)).withColumn("position", F.col("position").cast("long"))
 
 
-@query(_SCORED + " select entity_id, canonical_id, case when score >= 0.9 then 'AUTO_APPROVE' when score >= 0.7 then 'QUEUE_FOR_REVIEW' when score >= 0.5 then 'LLM_FALLBACK' else 'NO_MATCH' end as band from scored")
+@query(_SCORED
+    + " select entity_id, canonical_id, case when score >= 0.9 then 'AUTO_APPROVE' when score >= 0.7 then 'QUEUE_FOR_REVIEW' when "
+      "score >= 0.5 then 'LLM_FALLBACK' else 'NO_MATCH' end as band from scored")
 def bands(spark, sf):
     return disposition.ranked(_scored(spark, sf)).select("entity_id", "canonical_id", disposition.band(F.col("score")).alias("band"))
 
 
-@query(_SCORED + """, tops as (select entity_id, count(*) as n_candidates, max(canonical_id) filter (position = 1) as t1, max(score) filter (position = 1) as s1, max(canonical_id) filter (position = 2) as t2, max(score) filter (position = 2) as s2 from ranked group by all),
-  linked as (select distinct least(source_node, target_node) as low, greatest(source_node, target_node) as high from edges where relationship = 'SAME_AS' and source_node <> target_node),
-  j as (select g.entity_id, coalesce(n_candidates, 0) as n_candidates, t1, s1, coalesce(s1 >= 0.7 and s2 >= 0.7 and low is null, false) as conflict from (select distinct entity_id from good) g left join tops using (entity_id) left join linked on low = least(t1, t2) and high = greatest(t1, t2))
-  select entity_id, n_candidates, case when coalesce(s1, 0) >= 0.5 then t1 end as top_match, case when coalesce(s1, 0) >= 0.5 then s1 end as top_score, conflict as cluster_conflict,
-  case when coalesce(s1, 0) < 0.5 then 'NO_MATCH' when s1 >= 0.9 and not conflict then 'AUTO_APPROVE' when s1 >= 0.7 then 'QUEUE_FOR_REVIEW' else 'LLM_FALLBACK' end as action from j""")
+@query(_SCORED + """, tops as (select entity_id, count(*) as n_candidates, max(canonical_id) filter (position = 1) as t1,
+    max(score) filter (position = 1) as s1, max(canonical_id) filter (position = 2) as t2,
+    max(score) filter (position = 2) as s2 from ranked group by all),
+  linked as (select distinct least(source_node, target_node) as low, greatest(source_node, target_node) as high from edges
+    where relationship = 'SAME_AS' and source_node <> target_node),
+  j as (select g.entity_id, coalesce(n_candidates, 0) as n_candidates, t1, s1, coalesce(s1 >= 0.7 and s2 >= 0.7
+    and low is null, false) as conflict from (select distinct entity_id from good) g left join tops using (entity_id) left
+    join linked on low = least(t1, t2) and high = greatest(t1, t2))
+  select entity_id, n_candidates, case when coalesce(s1, 0) >= 0.5 then t1 end as top_match, case
+    when coalesce(s1, 0) >= 0.5 then s1 end as top_score, conflict as cluster_conflict,
+  case when coalesce(s1, 0) < 0.5 then 'NO_MATCH' when s1 >= 0.9 and not conflict then 'AUTO_APPROVE'
+    when s1 >= 0.7 then 'QUEUE_FOR_REVIEW' else 'LLM_FALLBACK' end as action from j""")
 def cluster_conflict(spark, sf):
     return disposition.dispose(_good(spark, sf), _scored(spark, sf), frame(spark, sf, "edges"), frame(spark, sf, "canon"))
 
 
-@query("with p as (select c_custkey, c_name, lower(substr(c_mktsegment, 1, cast(1 + c_custkey % 4 as int))) as code, lower(c_mktsegment) || ' b' as name from customer) select c_custkey, starts_with(split_part(name, ' ', 1), code) or starts_with('b', code) or code = substr(name, 1, 1) || 'b' as abbreviates from p")
+@query("with p as (select c_custkey, c_name, lower(substr(c_mktsegment, 1, cast(1 + c_custkey % 4 as int))) as code, "
+       "lower(c_mktsegment) || ' b' as name from customer) select c_custkey, starts_with(split_part(name, ' ', 1), code) or "
+       "starts_with('b', code) or code = substr(name, 1, 1) || 'b' as abbreviates from p")
 def psa_abbrev(spark, sf):
-    rows = _t(spark, sf, "customer").select("c_custkey", F.lower(F.substring(F.col("c_mktsegment"), F.lit(1), (F.col("c_custkey") % 4 + 1).cast("int"))).alias("code"), F.concat(F.lower("c_mktsegment"), F.lit(" b")).alias("name"))
+    rows = _t(spark, sf, "customer").select("c_custkey",
+        F.lower(F.substring(F.col("c_mktsegment"), F.lit(1), (F.col("c_custkey") % 4 + 1).cast("int"))).alias("code"),
+        F.concat(F.lower("c_mktsegment"), F.lit(" b")).alias("name"))
     return rows.select("c_custkey", scoring.abbreviates(F.col("code"), F.col("name")).alias("abbreviates"))
 
 
 # redaction and assessment
 
 
-@query("select p_partkey, case when regexp_matches(c, '^[A-Za-z0-9]+(\\.[A-Za-z0-9]+)+$') then array_to_string(list_transform(range(len(string_split(c, '.'))), lambda i: chr(cast(65 + i as int))), '.') end as shape from (select p_partkey, replace(p_type, ' ', '.') as c from part)")
+@query("select p_partkey, case when regexp_matches(c, '^[A-Za-z0-9]+(\\.[A-Za-z0-9]+)+$') then "
+       "array_to_string(list_transform(range(len(string_split(c, '.'))), lambda i: chr(cast(65 + i as int))), '.') end as shape "
+       "from (select p_partkey, replace(p_type, ' ', '.') as c from part)")
 def class_shape(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", R.class_shape(F.replace("p_type", F.lit(" "), F.lit("."))).alias("shape"))
 
 
-@query("select p_partkey, array_to_string(list_transform(string_split(c, '-'), lambda s: repeat('A', length(regexp_replace(s, '[^A-Za-z]', '', 'g'))) || repeat('N', length(regexp_replace(s, '[^0-9]', '', 'g')))), '-') as shape from (select p_partkey, 'CEN-' || regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') || '-SOW' || cast(p_size as varchar) as c from part)")
+@query("select p_partkey, array_to_string(list_transform(string_split(c, '-'), lambda s: repeat('A', length(regexp_replace(s, "
+       "'[^A-Za-z]', '', 'g'))) || repeat('N', length(regexp_replace(s, '[^0-9]', '', 'g')))), '-') as shape from (select "
+       "p_partkey, 'CEN-' || regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') || '-SOW' || cast(p_size as varchar) as c from part)")
 def project_shape(spark, sf):
     code = F.concat(F.lit("CEN-"), F.regexp_replace("p_brand", "[^A-Za-z0-9]", ""), F.lit("-SOW"), F.col("p_size").cast("string"))
     return _t(spark, sf, "part").select("p_partkey", R.project_shape(code).alias("shape"))
 
 
-@query("select p_partkey, list_min(list_filter(string_split(p_name, ' '), lambda w: length(w) >= 3 and contains(lower(p_type || ' ' || p_name[1:6]), lower(w)))) as offender from part")
+@query("select p_partkey, list_min(list_filter(string_split(p_name, ' '), lambda w: length(w) >= 3 and contains(lower(p_type || ' "
+       "' || p_name[1:6]), lower(w)))) as offender from part")
 def leak_check(spark, sf):
     text = F.concat("p_type", F.lit(" "), F.substring("p_name", 1, 6))
     return _t(spark, sf, "part").select("p_partkey", R.leak(text, F.split("p_name", " ")).alias("offender"))
@@ -343,55 +428,83 @@ def leak_check(spark, sf):
 # resolution and reports
 
 
-@query(_all("canon", "aliases") + _ALIAS + ", one as (" + _ONE.format("alias", "select * from alias_hits") + "), n as (select o.canonical_id, g.normalized_name as value, g.source, g.norm_category as category from one o join good g using (entity_id)) select distinct canonical_id, value, source, category from n anti join aliases using (canonical_id, value, source)")
+@query(_all("canon", "aliases") + _ALIAS + ", one as (" + _ONE.format("alias", "select * from alias_hits")
+    + "), n as (select o.canonical_id, g.normalized_name as value, g.source, g.norm_category as category from one o join good g "
+      "using (entity_id)) select distinct canonical_id, value, source, category from n anti join aliases using (canonical_id, "
+      "value, source)")
 def resolve_aliases(spark, sf):
     good, canon, aliases = _good(spark, sf), frame(spark, sf, "canon"), frame(spark, sf, "aliases")
-    hits = matching._single(registry.alias_hits(good, canon, aliases), "alias").select("entity_id", "alias.canonical_id", F.lit("confirmed").alias("disposition"))
+    hits = matching._single(registry.alias_hits(good, canon, aliases), "alias").select("entity_id", "alias.canonical_id",
+        F.lit("confirmed").alias("disposition"))
     return resolution.resolve(hits, good, aliases, frame(spark, sf, "edges"))["aliases"]
 
 
-@query(ctes("canon", "aliases") + ", w as (select canonical_id from aliases group by 1 having count(distinct category) >= 2) select (select count(*) from canon) as entities, (select count(*) from w) as covered, (select count(*) from w)::double / (select count(*) from canon) as coverage")
+@query(ctes("canon", "aliases")
+    + ", w as (select canonical_id from aliases group by 1 having count(distinct category) >= 2) select (select count(*) from "
+      "canon) as entities, (select count(*) from w) as covered, (select count(*) from w)::double / (select count(*) from canon) "
+      "as coverage")
 def kpi_coverage(spark, sf):
     return reporting.coverage(frame(spark, sf, "canon"), frame(spark, sf, "aliases"))
 
 
-@query("select count(*) as resolved, count(*) filter (event_type = 'purchase') as automatic, count(*) filter (event_type = 'purchase')::double / nullif(count(*), 0) as rate from events where ts > timestamp '2024-01-31 00:00:00' - interval 30 day and ts <= timestamp '2024-01-31 00:00:00'")
+@query("select count(*) as resolved, count(*) filter (event_type = 'purchase') as automatic, count(*) filter (event_type = "
+       "'purchase')::double / nullif(count(*), 0) as rate from events where ts > timestamp '2024-01-31 00:00:00' - interval 30 "
+       "day and ts <= timestamp '2024-01-31 00:00:00'")
 def kpi_auto_match(spark, sf):
-    log = _t(spark, sf, "events").select(F.when(F.col("event_type") == "purchase", "AUTO_APPROVE").otherwise("QUEUE_FOR_REVIEW").alias("action"), F.col("ts").alias("decided_at"))
+    log = _t(spark, sf,
+        "events").select(F.when(F.col("event_type") == "purchase", "AUTO_APPROVE").otherwise("QUEUE_FOR_REVIEW").alias("action"),
+        F.col("ts").alias("decided_at"))
     return reporting.automatic(log, F.expr("timestamp_ntz'2024-01-31 00:00:00'"))
 
 
-@query("""with l as (select o_custkey as canonical_id, sum(l_quantity * 1000) as labor from lineitem join orders on l_orderkey = o_orderkey group by 1), i as (select o_custkey as canonical_id, sum(o_totalprice) as invoiced from orders group by 1),
-  j as (select canonical_id, coalesce(labor, 0) as labor, coalesce(invoiced, 0) as invoiced from l full join i using (canonical_id)), v as (select *, labor - invoiced as variance, least(0.02 * invoiced, 500.0) as tolerance from j)
-  select canonical_id, round(labor, 2) as labor, round(invoiced, 2) as invoiced, round(variance, 2) as variance, case when abs(variance) <= tolerance then 'MATCHED' when variance > 0 then 'UNBILLED' else 'OVERBILLED' end as status from v""")
+@query("""with l as (select o_custkey as canonical_id, sum(l_quantity * 1000) as labor from lineitem join orders
+    on l_orderkey = o_orderkey group by 1), i as (select o_custkey as canonical_id, sum(o_totalprice) as invoiced from orders
+    group by 1),
+  j as (select canonical_id, coalesce(labor, 0) as labor, coalesce(invoiced, 0) as invoiced from l full
+    join i using (canonical_id)), v as (select *, labor - invoiced as variance, least(0.02 * invoiced, 500.0) as tolerance from j)
+  select canonical_id, round(labor, 2) as labor, round(invoiced, 2) as invoiced, round(variance, 2) as variance, case
+    when abs(variance) <= tolerance then 'MATCHED' when variance > 0 then 'UNBILLED' else 'OVERBILLED' end as status from v""")
 def ar_recon(spark, sf):
     o = _t(spark, sf, "orders")
-    labor = _t(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("canonical_id"), (F.col("l_quantity") * 1000).alias("amount"))
+    labor = _t(spark, sf, "lineitem").join(o,
+        F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("canonical_id"),
+        (F.col("l_quantity") * 1000).alias("amount"))
     out = reporting.receivables(labor, o.select(F.col("o_custkey").alias("canonical_id"), F.col("o_totalprice").alias("amount")))
     return out.select("canonical_id", *(F.round(c, 2).alias(c) for c in ("labor", "invoiced", "variance")), "status")
 
 
-@query("select event_type as category, max(ts) as last_sync, count(distinct user_id) as n_entities, count(*) filter (value > 90) as n_errors from events group by 1")
+@query("select event_type as category, max(ts) as last_sync, count(distinct user_id) as n_entities, count(*) filter (value > 90) "
+       "as n_errors from events group by 1")
 def connector_status(spark, sf):
-    return reporting.connector_status(_t(spark, sf, "events").select(F.col("event_type").alias("category"), F.col("ts").alias("at"), F.col("user_id").alias("entity_id"), F.when(F.col("value") > 90, "e").alias("error")))
+    return reporting.connector_status(_t(spark, sf, "events")
+        .select(F.col("event_type").alias("category"), F.col("ts").alias("at"), F.col("user_id").alias("entity_id"),
+        F.when(F.col("value") > 90, "e").alias("error")))
 
 
-@query("select event_id, ts as at, event_type as category from events where ts between timestamp '2024-01-05 00:00:00' and timestamp '2024-01-20 00:00:00' and event_type = 'click'")
+@query("select event_id, ts as at, event_type as category from events where ts between timestamp '2024-01-05 00:00:00' and "
+       "timestamp '2024-01-20 00:00:00' and event_type = 'click'")
 def audit_log(spark, sf):
-    log = _t(spark, sf, "events").select("event_id", F.col("ts").alias("at"), F.col("event_type").alias("category"), F.col("user_id").cast("string").alias("actor"))
-    return reporting.audit(log, F.expr("timestamp_ntz'2024-01-05 00:00:00'"), F.expr("timestamp_ntz'2024-01-20 00:00:00'"), category="click").select("event_id", "at", "category")
+    log = _t(spark, sf, "events").select("event_id", F.col("ts").alias("at"), F.col("event_type").alias("category"),
+        F.col("user_id").cast("string").alias("actor"))
+    return reporting.audit(log, F.expr("timestamp_ntz'2024-01-05 00:00:00'"), F.expr("timestamp_ntz'2024-01-20 00:00:00'"),
+        category="click").select("event_id", "at", "category")
 
 
-@query(ctes("canon", "aliases") + """, a as (select canonical_id, count(distinct value) as n, string_agg(distinct category, ',' order by category) as c, bool_or(contains(value, 'poba')) as hit from aliases group by 1)
-  select canonical_id, canonical_name, coalesce(n, 0) as n_aliases, coalesce(c, '') as categories from canon left join a using (canonical_id) where contains(canonical_name, 'poba') or hit""")
+@query(ctes("canon", "aliases") + """, a as (select canonical_id, count(distinct value) as n, string_agg(distinct category, ','
+    order by category) as c, bool_or(contains(value, 'poba')) as hit from aliases group by 1)
+  select canonical_id, canonical_name, coalesce(n, 0) as n_aliases, coalesce(c, '') as categories from canon left
+    join a using (canonical_id) where contains(canonical_name, 'poba') or hit""")
 def entity_browser(spark, sf):
     return reporting.browse(frame(spark, sf, "canon"), frame(spark, sf, "aliases"), "POBA")
 
 
-@query(_SCORED + " select entity_id, score as top_score from ranked where position = 1 and score >= 0.7 and score < 0.9 order by score desc, entity_id limit 20")
+@query(_SCORED
+    + " select entity_id, score as top_score from ranked where position = 1 and score >= 0.7 and score < 0.9 order by score desc, "
+      "entity_id limit 20")
 def approval_queue(spark, sf):
     """A page of twenty: the limit is the feature."""
-    top = disposition.ranked(_scored(spark, sf)).where("position = 1").select("entity_id", F.col("score").alias("top_score"), disposition.band(F.col("score")).alias("action"))
+    top = disposition.ranked(_scored(spark, sf)).where("position = 1").select("entity_id", F.col("score").alias("top_score"),
+        disposition.band(F.col("score")).alias("action"))
     return reporting.pending(top, 20).select("entity_id", "top_score")
 
 

@@ -43,7 +43,8 @@ def _sets(pairs: str, name: str) -> str:
     la, lb = ("(s + case when s > 0 then 1 else 0 end + length({}))".format(x) for x in ("x", "y"))
     best = f"100.0::double - 100.0::double * (length(x) + length(y) - 2 * common) / ({la} + {lb})"
     one = lambda x, to: f"100.0::double - 100.0::double * (1 + length({x})) / (s + {to})"
-    return f"""{name}_0 as (select distinct a, b, list_distinct(string_split(a, ' ')) as ua, list_distinct(string_split(b, ' ')) as ub from {pairs}),
+    return f"""{name}_0 as (select distinct a, b, list_distinct(string_split(a, ' ')) as ua, list_distinct(string_split(b,
+    ' ')) as ub from {pairs}),
   {name}_1 as (select a, b, list_sort(list_intersect(ua, ub)) as i, {other('ua', 'ub')} as x, {other('ub', 'ua')} as y from {name}_0),
   {name}_2 as (select *, length(array_to_string(i, ' ')) as s, {lcs('x', 'y')} as common from {name}_1),
   {name} as (select a, b, case when len(i) > 0 and (x = '' or y = '') then 100.0::double
@@ -56,13 +57,17 @@ def _sorted(pairs: str, name: str) -> str:
 
 
 def _partial(pairs: str, name: str) -> str:
-    return f"""{name}_0 as (select distinct a, b, case when length(a) <= length(b) then a else b end as x, case when length(a) <= length(b) then b else a end as y from {pairs}),
-  {name} as (select a, b, greatest({windows('x', 'y')}, case when length(x) = length(y) then {windows('y', 'x')} else 0 end) as partial from {name}_0)"""
+    return f"""{name}_0 as (select distinct a, b, case when length(a) <= length(b) then a else b end as x, case
+    when length(a) <= length(b) then b else a end as y from {pairs}),
+  {name} as (select a, b, greatest({windows('x', 'y')}, case when length(x) = length(y) then {windows('y', 'x')}
+    else 0 end) as partial from {name}_0)"""
 
 
 def _jaccard(pairs: str, name: str) -> str:
-    return f"""{name}_0 as (select distinct a, b, list_distinct({_GRAMS.format('a')}) as x, list_distinct({_GRAMS.format('b')}) as y from {pairs}),
-  {name} as (select a, b, case when length(trim(a)) < 3 or length(trim(b)) < 3 then 0.0::double else len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) end as jaccard from {name}_0)"""
+    return f"""{name}_0 as (select distinct a, b, list_distinct({_GRAMS.format('a')}) as x,
+    list_distinct({_GRAMS.format('b')}) as y from {pairs}),
+  {name} as (select a, b, case when length(trim(a)) < 3 or length(trim(b)) < 3 then 0.0::double
+    else len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) end as jaccard from {name}_0)"""
 
 
 def _abbreviates(code: str, name: str) -> str:
@@ -77,17 +82,25 @@ def _flip(c: str) -> str:
 
 
 _MIXED = "(src in ('accounting', 'psa') and tgt in ('accounting', 'psa') and src <> tgt)"
-_NAMED = f"""rows as (select k.entity_id, k.canonical_id, g.normalized_name as a, c.canonical_name as b, g.norm_category as src, {_flip('g.norm_category')} as tgt
+_NAMED = f"""rows as (select k.entity_id, k.canonical_id, g.normalized_name as a, c.canonical_name as b, g.norm_category as src,
+    {_flip('g.norm_category')} as tgt
     from kept k join good g using (entity_id) join canon c using (canonical_id)),
   names as (select distinct a, b from rows where trim(a) <> '' and trim(b) <> ''),
-  others as (select distinct canonical_id, value from aliases join canon using (canonical_id) where value <> '' and value <> canonical_name),
-  near as (select distinct r.a, r.canonical_id, o.value as b from rows r join others o using (canonical_id) where trim(r.a) <> '' and trim(r.b) <> '' and lower(trim(o.value)) <> lower(trim(r.b)))"""
-_WEIGHED = f""", {_NAMED}, {_sets('(select a, b from names union select a, b from near)', 'tset')}, {_sorted('names', 'tsort')}, {_partial('names', 'part')}, {_jaccard('names', 'jac')},
-  boosted as (select distinct n.a as ba, n.canonical_id as bc from near n join tset using (a, b) where greatest(token_set, 100 * jaro_winkler_similarity(n.a, n.b)) > 85),
-  coded as (select r.entity_id, r.canonical_id, bool_or({_MIXED} and ((src = 'psa' and {_abbreviates('r.a', 'r.b')}) or (tgt = 'psa' and ({_abbreviates('r.b', 'r.a')} or {_abbreviates('o.value', 'r.a')})))) as abbreviation
+  others as (select distinct canonical_id, value from aliases join canon using (canonical_id) where value <> ''
+    and value <> canonical_name),
+  near as (select distinct r.a, r.canonical_id, o.value as b from rows r join others o using (canonical_id)
+    where trim(r.a) <> '' and trim(r.b) <> '' and lower(trim(o.value)) <> lower(trim(r.b)))"""
+_WEIGHED = f""", {_NAMED}, {_sets('(select a, b from names union select a, b from near)', 'tset')}, {_sorted('names', 'tsort')},
+    {_partial('names', 'part')}, {_jaccard('names', 'jac')},
+  boosted as (select distinct n.a as ba, n.canonical_id as bc from near n join tset using (a, b)
+    where greatest(token_set, 100 * jaro_winkler_similarity(n.a, n.b)) > 85),
+  coded as (select r.entity_id, r.canonical_id, bool_or({_MIXED} and ((src = 'psa' and {_abbreviates('r.a', 'r.b')})
+    or (tgt = 'psa' and ({_abbreviates('r.b', 'r.a')} or {_abbreviates('o.value', 'r.a')})))) as abbreviation
     from rows r left join others o using (canonical_id) group by all),
-  measured as (select r.*, token_sort, token_set, partial, 100 * jaro_winkler_similarity(r.a, r.b) as jaro_winkler, jaccard, bo.ba is not null as alias_boost, abbreviation from rows r
-    join tset using (a, b) join tsort using (a, b) join part using (a, b) join jac using (a, b) join coded using (entity_id, canonical_id) left join boosted bo on bo.ba = r.a and bo.bc = r.canonical_id),
+  measured as (select r.*, token_sort, token_set, partial, 100 * jaro_winkler_similarity(r.a, r.b) as jaro_winkler, jaccard,
+    bo.ba is not null as alias_boost, abbreviation from rows r
+    join tset using (a, b) join tsort using (a, b) join part using (a, b) join jac using (a, b)
+    join coded using (entity_id, canonical_id) left join boosted bo on bo.ba = r.a and bo.bc = r.canonical_id),
   plain as (select *, 0.25 * token_sort / 100 + 0.25 * token_set / 100 + 0.15 * partial / 100 + 0.1 * jaro_winkler / 100 + 0.1 * jaccard + case when alias_boost then 0.15 else 0 end
     + case when abbreviation and {_MIXED} then 0.2 else 0 end as total from measured)"""
 _ASKED = _all("canon", "aliases", "refs", "edges") + _SIGNALS + _KEPT + _WEIGHED
@@ -100,30 +113,44 @@ def _scores(spark, sf) -> DataFrame:
     return scoring.score(matching.candidates(good, canon, aliases, refs), good, canon, aliases, edges)
 
 
-@query(_PAIRS + f", {_sorted('pairs', 'tsort')}, {_sets('pairs', 'tset')}, {_partial('pairs', 'part')} select a, b, round(token_sort, 6) as token_sort, round(token_set, 6) as token_set, round(partial, 6) as partial from tsort join tset using (a, b) join part using (a, b)")
+@query(_PAIRS
+    + f", {_sorted('pairs', 'tsort')}, {_sets('pairs', 'tset')}, {_partial('pairs', 'part')} select a, b, round(token_sort, 6) as "
+      f"token_sort, round(token_set, 6) as token_set, round(partial, 6) as partial from tsort join tset using (a, b) join part "
+      f"using (a, b)")
 def m_token_metrics(spark, sf):
     which = ("token_sort", "token_set", "partial")
-    return _pairs(spark, sf).withColumn("m", string_metrics(*which)("a", "b")).select("a", "b", *(F.round(f"m.{k}", 6).alias(k) for k in which))
+    return _pairs(spark, sf).withColumn("m", string_metrics(*which)("a", "b")).select("a", "b",
+        *(F.round(f"m.{k}", 6).alias(k) for k in which))
 
 
-@query(_ASKED + f""" select entity_id, canonical_id, alias_boost, abbreviation, case when {_MIXED} then 'psa_accounting_v1' else 'default_v1' end as weight_profile_id, src || ':' || tgt as category_pair,
-  round(token_sort, 6) as token_sort, round(token_set, 6) as token_set, round(partial, 6) as partial, round(jaro_winkler, 6) as jaro_winkler, round(jaccard, 6) as jaccard, round({_SCORE.format('total')}, 6) as score from plain""")
+@query(_ASKED + f""" select entity_id, canonical_id, alias_boost, abbreviation, case when {_MIXED} then 'psa_accounting_v1'
+    else 'default_v1' end as weight_profile_id, src || ':' || tgt as category_pair,
+  round(token_sort, 6) as token_sort, round(token_set, 6) as token_set, round(partial, 6) as partial, round(jaro_winkler,
+    6) as jaro_winkler, round(jaccard, 6) as jaccard, round({_SCORE.format('total')}, 6) as score from plain""")
 def weighted_score(spark, sf):
-    return _scores(spark, sf).select("entity_id", "canonical_id", "alias_boost", "abbreviation", "weight_profile_id", "category_pair", *(_r(c) for c in ("token_sort", "token_set", "partial", "jaro_winkler", "jaccard", "score")))
+    return _scores(spark, sf).select("entity_id", "canonical_id", "alias_boost", "abbreviation", "weight_profile_id",
+        "category_pair", *(_r(c) for c in ("token_sort", "token_set", "partial", "jaro_winkler", "jaccard", "score")))
 
 
-_SHARED = """, found as (select distinct p.entity_id, p.canonical_id, n1.neighbour, c.entity_category = 'person' as person from plain p join anchored d on d.entity_id = p.entity_id and d.canonical_id is not null
-    join near_nodes n1 on n1.node = d.canonical_id join near_nodes n2 on n2.node = p.canonical_id and n2.neighbour = n1.neighbour left join canon c on c.canonical_id = n1.neighbour),
-  bonus as (select entity_id, canonical_id, least(0.1, 0.025 * count(*)) as neighbour_bonus, least(0.1, 0.05 * count(*) filter (person)) as person_bonus from found group by all)"""
+_SHARED = """, found as (select distinct p.entity_id, p.canonical_id, n1.neighbour, c.entity_category = 'person' as person
+    from plain p join anchored d on d.entity_id = p.entity_id and d.canonical_id is not null
+    join near_nodes n1 on n1.node = d.canonical_id join near_nodes n2 on n2.node = p.canonical_id
+    and n2.neighbour = n1.neighbour left join canon c on c.canonical_id = n1.neighbour),
+  bonus as (select entity_id, canonical_id, least(0.1, 0.025 * count(*)) as neighbour_bonus, least(0.1,
+    0.05 * count(*) filter (person)) as person_bonus from found group by all)"""
 
 
-@query(_ASKED + _HITS + _EMAIL + _EID + _CASCADE + _BOTH.replace("near as", "near_nodes as") + _SHARED + f""" select entity_id, canonical_id, round(coalesce(person_bonus, 0)::double, 6) as person_bonus, round(coalesce(neighbour_bonus, 0)::double, 6) as neighbour_bonus,
-  round({_SCORE.format('total + coalesce(person_bonus, 0) + coalesce(neighbour_bonus, 0)')}, 6) as score from plain left join bonus using (entity_id, canonical_id)""")
+@query(_ASKED + _HITS + _EMAIL + _EID + _CASCADE + _BOTH.replace("near as", "near_nodes as") + _SHARED + f"""
+    select entity_id, canonical_id, round(coalesce(person_bonus, 0)::double, 6) as person_bonus, round(coalesce(neighbour_bonus,
+    0)::double, 6) as neighbour_bonus,
+  round({_SCORE.format('total + coalesce(person_bonus, 0) + coalesce(neighbour_bonus, 0)')}, 6) as score from plain left
+    join bonus using (entity_id, canonical_id)""")
 def graph_score(spark, sf):
     """Scores with graph evidence for entities that already have a canonical."""
     good = _good(spark, sf)
     canon, aliases, refs, edges = (frame(spark, sf, n) for n in ("canon", "aliases", "refs", "edges"))
-    resolved = matching.deterministic(good, canon, aliases, refs).where("canonical_id is not null").select("entity_id", F.col("canonical_id").alias("source_canonical_id"))
+    resolved = matching.deterministic(good, canon, aliases, refs).where("canonical_id is not null").select("entity_id",
+        F.col("canonical_id").alias("source_canonical_id"))
     out = scoring.score(matching.candidates(good, canon, aliases, refs), good, canon, aliases, edges, resolved=resolved)
     return out.select("entity_id", "canonical_id", _r("person_bonus"), _r("neighbour_bonus"), _r("score"))
 
@@ -137,15 +164,20 @@ _SAME = "select source_node as a, target_node as b from edges where relationship
 _TWO_WAYS = f"{_SAME} union select b, a from ({_SAME})"
 
 
-@query(ctes("edges").replace("with ", "with recursive ", 1) + f", {_reached(_TWO_WAYS, 'reached')} select node, least(node, min(other)) as cluster from reached group by node")
+@query(ctes("edges").replace("with ", "with recursive ", 1)
+    + f", {_reached(_TWO_WAYS, 'reached')} select node, least(node, min(other)) as cluster from reached group by node")
 def components(spark, sf):
     edges = frame(spark, sf, "edges").where("relationship = 'SAME_AS'")
     return graph.clusters(edges.select(F.col("source_node").alias("a"), F.col("target_node").alias("b")))
 
 
-_COLD = f""", wide as (select 'e:' || entity_id as a, 'c:' || canonical_id as b, canonical_id, {_SCORE.format('total')} as score from plain where total >= 0.4),
-  both_ways as (select a, b from wide union select b, a from wide), {_reached('select a, b from both_ways', 'reached')}, labels as (select node, least(node, min(other)) as cluster from reached group by node)
-  select cluster, count(*) as n_pairs, count(distinct canonical_id) as n_canonicals, round(avg(score), 6) as confidence from wide join labels on node = a group by cluster"""
+_COLD = f""", wide as (select 'e:' || entity_id as a, 'c:' || canonical_id as b, canonical_id, {_SCORE.format('total')} as score
+    from plain where total >= 0.4),
+  both_ways as (select a, b from wide union select b, a
+    from wide), {_reached('select a, b from both_ways', 'reached')}, labels as (select node, least(node, min(other)) as cluster
+    from reached group by node)
+  select cluster, count(*) as n_pairs, count(distinct canonical_id) as n_canonicals, round(avg(score), 6) as confidence
+    from wide join labels on node = a group by cluster"""
 
 
 @query(_ASKED.replace("with ", "with recursive ", 1) + _COLD)
@@ -153,24 +185,35 @@ def cold_start(spark, sf):
     return graph.cold_start(_scores(spark, sf)).select("cluster", "n_pairs", "n_canonicals", _r("confidence"))
 
 
-_PLACED = f""", scored as (select entity_id, canonical_id, {_SCORE.format('total')} as score from plain where entity_id not in (select entity_id from anchored where canonical_id is not null)),
+_PLACED = f""", scored as (select entity_id, canonical_id, {_SCORE.format('total')} as score from plain
+    where entity_id not in (select entity_id from anchored where canonical_id is not null)),
   ranked as (select *, row_number() over (partition by entity_id order by score desc, canonical_id) as position from scored),
-  tops as (select entity_id, count(*) as n_candidates, max(canonical_id) filter (position = 1) as t1, max(score) filter (position = 1) as s1, max(canonical_id) filter (position = 2) as t2, max(score) filter (position = 2) as s2 from ranked group by all),
-  linked as (select distinct least(source_node, target_node) as low, greatest(source_node, target_node) as high from edges where relationship = 'SAME_AS' and source_node <> target_node),
-  judged as (select g.entity_id, t1, s1, coalesce(s1 >= 0.7 and s2 >= 0.7 and low is null, false) as conflict from (select distinct entity_id from good where entity_id not in (select entity_id from anchored where canonical_id is not null)) g
+  tops as (select entity_id, count(*) as n_candidates, max(canonical_id) filter (position = 1) as t1,
+    max(score) filter (position = 1) as s1, max(canonical_id) filter (position = 2) as t2,
+    max(score) filter (position = 2) as s2 from ranked group by all),
+  linked as (select distinct least(source_node, target_node) as low, greatest(source_node, target_node) as high from edges
+    where relationship = 'SAME_AS' and source_node <> target_node),
+  judged as (select g.entity_id, t1, s1, coalesce(s1 >= 0.7 and s2 >= 0.7 and low is null, false) as conflict
+    from (select distinct entity_id from good where entity_id not in (select entity_id from anchored
+    where canonical_id is not null)) g
     left join tops using (entity_id) left join linked on low = least(t1, t2) and high = greatest(t1, t2)),
-  placed as (select entity_id, case when coalesce(s1, 0) < 0.5 then 'NO_MATCH' when s1 >= 0.9 and not conflict then 'AUTO_APPROVE' when s1 >= 0.7 then 'QUEUE_FOR_REVIEW' else 'LLM_FALLBACK' end as action,
+  placed as (select entity_id, case when coalesce(s1, 0) < 0.5 then 'NO_MATCH' when s1 >= 0.9
+    and not conflict then 'AUTO_APPROVE' when s1 >= 0.7 then 'QUEUE_FOR_REVIEW' else 'LLM_FALLBACK' end as action,
     case when coalesce(s1, 0) >= 0.5 then t1 end as canonical_id, case when coalesce(s1, 0) >= 0.5 then s1 end as score from judged)"""
 _RUN = _ASKED + _HITS + _EMAIL + _EID + _CASCADE + _PLACED
 
 
-@query(_RUN + """ select entity_id, 'MATCHED' as action, canonical_id, confidence as score, match_key_type from anchored where canonical_id is not null
+@query(_RUN + """ select entity_id, 'MATCHED' as action, canonical_id, confidence as score, match_key_type from anchored
+    where canonical_id is not null
   union all select entity_id, action, canonical_id, round(score, 6), null from placed""")
 def full_pipeline(spark, sf):
     """Normalize, anchor, block, score and dispose: a row for each entity."""
     anchored, put = _run(spark, sf)
-    sure = anchored.select("entity_id", F.lit("MATCHED").alias("action"), "canonical_id", F.col("confidence").alias("score"), "match_key_type")
-    return sure.unionByName(put.select("entity_id", "action", F.col("top_match").alias("canonical_id"), F.round("top_score", 6).alias("score"), F.lit(None).cast("string").alias("match_key_type")))
+    sure = anchored.select("entity_id", F.lit("MATCHED").alias("action"), "canonical_id", F.col("confidence").alias("score"),
+        "match_key_type")
+    return sure.unionByName(put
+        .select("entity_id", "action", F.col("top_match").alias("canonical_id"), F.round("top_score", 6).alias("score"),
+        F.lit(None).cast("string").alias("match_key_type")))
 
 
 def _run(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -183,7 +226,8 @@ def _run(spark, sf) -> tuple[DataFrame, DataFrame]:
     return anchored, disposition.dispose(left, scores, edges, canon)
 
 
-@query(_RUN + " select 'action' as kind, action as name, count(*) as n from placed group by all union all select 'match', match_key_type, count(*) from anchored where match_key_type is not null group by all")
+@query(_RUN + " select 'action' as kind, action as name, count(*) as n from placed group by all union all select 'match', "
+              "match_key_type, count(*) from anchored where match_key_type is not null group by all")
 def run_summary(spark, sf):
     anchored, put = _run(spark, sf)
     return reporting.summary(put, anchored)
@@ -191,61 +235,81 @@ def run_summary(spark, sf):
 
 # resolution: decisions made from keys, so that all kinds occur
 
-_DECIDED = _SCORED + """, decided as (select entity_id, canonical_id, case when cast(substr(entity_id, 2) as bigint) % 3 = 1 then 'new' when score >= 0.5 then 'confirmed' else 'rejected' end as disposition from ranked where position = 1),
-  said as (select d.*, g.normalized_name, g.source, g.source_id, g.norm_category, g.entity_category, sha256('["' || g.source || '","' || g.source_id || '"]') as own from decided d join good g using (entity_id))"""
+_DECIDED = _SCORED + """, decided as (select entity_id, canonical_id, case
+    when cast(substr(entity_id, 2) as bigint) % 3 = 1 then 'new' when score >= 0.5 then 'confirmed'
+    else 'rejected' end as disposition from ranked where position = 1),
+  said as (select d.*, g.normalized_name, g.source, g.source_id, g.norm_category, g.entity_category,
+    sha256('["' || g.source || '","' || g.source_id || '"]') as own from decided d join good g using (entity_id))"""
 
 
 def _decided(spark, sf) -> tuple[DataFrame, dict]:
     scores = _scored(spark, sf)
     third = F.substring("entity_id", 2, 20).cast("long") % 3 == 1
-    made = disposition.ranked(scores).where("position = 1").select("entity_id", "canonical_id", F.when(third, "new").when(F.col("score") >= 0.5, "confirmed").otherwise("rejected").alias("disposition"))
+    made = disposition.ranked(scores).where("position = 1").select("entity_id", "canonical_id",
+        F.when(third, "new").when(F.col("score") >= 0.5, "confirmed").otherwise("rejected").alias("disposition"))
     return made, resolution.resolve(made, _good(spark, sf), frame(spark, sf, "aliases"), frame(spark, sf, "edges"), scores)
 
 
-@query(_DECIDED + " select distinct own as canonical_id, normalized_name as canonical_name, entity_category, case when entity_category = 'person' then 'person' else 'client' end as entity_type from said where disposition = 'new'")
+@query(_DECIDED
+    + " select distinct own as canonical_id, normalized_name as canonical_name, entity_category, case when entity_category = "
+      "'person' then 'person' else 'client' end as entity_type from said where disposition = 'new'")
 def resolve_nodes(spark, sf):
     return _decided(spark, sf)[1]["nodes"]
 
 
-@query(_DECIDED + " select distinct own as canonical_id, source, norm_category as category, source_id as external_id from said where disposition = 'new'")
+@query(_DECIDED
+    + " select distinct own as canonical_id, source, norm_category as category, source_id as external_id from said where "
+      "disposition = 'new'")
 def resolve_references(spark, sf):
     return _decided(spark, sf)[1]["references"].select("canonical_id", "source", "category", "external_id")
 
 
-@query(_DECIDED + """, up as (select own as source_node, canonical_id as target_node, count(*) as n from said where disposition = 'confirmed' group by all),
+@query(_DECIDED + """, up as (select own as source_node, canonical_id as target_node, count(*) as n from said
+    where disposition = 'confirmed' group by all),
   before as (select source_node, target_node, max(approval_count) as held from edges where relationship = 'SAME_AS' group by all)
-  select source_node, target_node, 'SAME_AS' as relationship, coalesce(held, 0) + n as approval_count from up left join before using (source_node, target_node)""")
+  select source_node, target_node, 'SAME_AS' as relationship, coalesce(held, 0) + n as approval_count from up left
+    join before using (source_node, target_node)""")
 def resolve_edges(spark, sf):
     return _decided(spark, sf)[1]["edges"]
 
 
-@query(_DECIDED + """ select entity_id, canonical_id, case disposition when 'confirmed' then 1 else 0 end as label, disposition as reason from said where disposition <> 'new'
+@query(_DECIDED + """ select entity_id, canonical_id, case disposition when 'confirmed' then 1
+    else 0 end as label, disposition as reason from said where disposition <> 'new'
   union all select distinct entity_id, s.canonical_id, 0, 'new' from said join scored s using (entity_id) where disposition = 'new'""")
 def resolve_training(spark, sf):
     return _decided(spark, sf)[1]["training"]
 
 
-@query(_DECIDED + """, up as (select own as source_node, canonical_id as target_node, count(*) as n from said where disposition = 'confirmed' group by all)
-  select source_node, target_node, relationship, approval_count from edges e where not exists (from up where relationship = 'SAME_AS' and up.source_node = e.source_node and up.target_node = e.target_node)
-  union all select source_node, target_node, 'SAME_AS', n + coalesce((select max(approval_count) from edges e where relationship = 'SAME_AS' and e.source_node = up.source_node and e.target_node = up.target_node), 0) from up""")
+@query(_DECIDED + """, up as (select own as source_node, canonical_id as target_node, count(*) as n from said
+    where disposition = 'confirmed' group by all)
+  select source_node, target_node, relationship, approval_count from edges e where not exists (from up
+    where relationship = 'SAME_AS' and up.source_node = e.source_node and up.target_node = e.target_node)
+  union all select source_node, target_node, 'SAME_AS', n + coalesce((select max(approval_count) from edges e
+    where relationship = 'SAME_AS' and e.source_node = up.source_node and e.target_node = up.target_node), 0) from up""")
 def merge_edges(spark, sf):
     edges = frame(spark, sf, "edges")
     return resolution.merge_edges(edges, _decided(spark, sf)[1]["edges"])
 
 
-@query(_SCORED + """, top as (select entity_id, canonical_id as top_match, score, cast(substr(entity_id, 2) as bigint) as n from ranked where position = 1 and score >= 0.7 and score < 0.9)
-  select entity_id, case when n % 3 = 2 then 'C00000001' else top_match end as canonical_id, case when n % 3 = 1 then 'rejected' else 'confirmed' end as disposition from top where n % 4 <> 0""")
+@query(_SCORED + """, top as (select entity_id, canonical_id as top_match, score, cast(substr(entity_id, 2) as bigint) as n
+    from ranked where position = 1 and score >= 0.7 and score < 0.9)
+  select entity_id, case when n % 3 = 2 then 'C00000001' else top_match end as canonical_id, case when n % 3 = 1 then 'rejected'
+    else 'confirmed' end as disposition from top where n % 4 <> 0""")
 def approval_decisions(spark, sf):
     """Verdicts on the queue, made from keys; a fourth of the entities has none yet."""
-    top = disposition.ranked(_scored(spark, sf)).where("position = 1").select("entity_id", F.col("canonical_id").alias("top_match"), disposition.band(F.col("score")).alias("action"))
+    top = disposition.ranked(_scored(spark, sf)).where("position = 1").select("entity_id", F.col("canonical_id").alias("top_match"),
+        disposition.band(F.col("score")).alias("action"))
     n = F.substring("entity_id", 2, 20).cast("long")
-    verdicts = top.where(n % 4 != 0).select("entity_id", F.when(n % 3 == 0, "approve").when(n % 3 == 1, "reject").otherwise("correct").alias("verdict"), F.lit("C00000001").alias("canonical_id"))
+    verdicts = top.where(n % 4 != 0).select("entity_id",
+        F.when(n % 3 == 0, "approve").when(n % 3 == 1, "reject").otherwise("correct").alias("verdict"),
+        F.lit("C00000001").alias("canonical_id"))
     return reporting.decided(top, verdicts)
 
 
 # graph signals, on evidence made from keys
 
-_RAW = {"shared_persons": "n % 4", "code_fragments": "n % 3", "amount_matches": "(n * 7) % 4", "shared_domains": "(n * 5) % 3", "days_apart": "(n * 11) % 60", "shared_nodes": "(n * 3) % 7"}
+_RAW = {"shared_persons": "n % 4", "code_fragments": "n % 3", "amount_matches": "(n * 7) % 4", "shared_domains": "(n * 5) % 3",
+    "days_apart": "(n * 11) % 60", "shared_nodes": "(n * 3) % 7"}
 _APPLIED = {
     "B1": "least(0.10, 0.05 * shared_persons)",
     "B2": "case when code_fragments >= 2 then 0.12 when code_fragments = 1 then 0.08 else 0 end",
@@ -256,21 +320,29 @@ _APPLIED = {
 }
 
 
-@query(_SCORED + ", raw as (select entity_id, canonical_id, score, " + ", ".join(f"{e} as {c}" for c, e in _RAW.items()) + " from (select *, cast(substr(entity_id, 2) as bigint) + cast(substr(canonical_id, 2) as bigint) as n from scored)), put as (select *, "
-       + ", ".join(f"case when score >= 0.7 and score < 0.9 then {e} else 0 end as {k}" for k, e in _APPLIED.items()) + " from raw) select entity_id, canonical_id, " + ", ".join(f"round({k}::double, 6) as {k.lower()}" for k in _APPLIED)
-       + ", round(least(0.2, B1 + B2 + B3 + B4 + B5 + B6)::double, 6) as boost, round(least(1.0, score + least(0.2, B1 + B2 + B3 + B4 + B5 + B6))::double, 6) as boosted from put")
+@query(_SCORED + ", raw as (select entity_id, canonical_id, score, " + ", ".join(f"{e} as {c}" for c, e in _RAW.items())
+    + " from (select *, cast(substr(entity_id, 2) as bigint) + cast(substr(canonical_id, 2) as bigint) as n from scored)), put as "
+      "(select *, "
+       + ", ".join(f"case when score >= 0.7 and score < 0.9 then {e} else 0 end as {k}" for k, e in _APPLIED.items())
+           + " from raw) select entity_id, canonical_id, " + ", ".join(f"round({k}::double, 6) as {k.lower()}" for k in _APPLIED)
+       + ", round(least(0.2, B1 + B2 + B3 + B4 + B5 + B6)::double, 6) as boost, round(least(1.0, score + least(0.2, B1 + B2 + B3 "
+         "+ B4 + B5 + B6))::double, 6) as boosted from put")
 def graph_signals(spark, sf):
-    rows = _scored(spark, sf).distinct().withColumn("n", F.substring("entity_id", 2, 20).cast("long") + F.substring("canonical_id", 2, 20).cast("long"))
+    rows = _scored(spark, sf).distinct().withColumn("n",
+        F.substring("entity_id", 2, 20).cast("long") + F.substring("canonical_id", 2, 20).cast("long"))
     held = rows.select("entity_id", "canonical_id", *(F.expr(e).alias(c) for c, e in _RAW.items()))
     out = evidence.boosted(rows.select("entity_id", "canonical_id", "score"), held)
     applied = [F.round(F.col("items")[i]["applied"], 6).alias(k.lower()) for i, k in enumerate(_APPLIED)]
     return out.select("entity_id", "canonical_id", *applied, _r("boost"), F.round("score", 6).alias("boosted"))
 
 
-@query(_all("refs") + """, mine as (select entity_id, split_part(lower(trim(email)), '@', 2) as domain from good where contains(email, '@')),
-  theirs as (select distinct canonical_id, split_part(lower(trim(json_extract_string(external_fields, '$.email'))), '@', 2) as domain from refs where json_valid(external_fields) and contains(json_extract_string(external_fields, '$.email'), '@'))
+@query(_all("refs") + """, mine as (select entity_id, split_part(lower(trim(email)), '@', 2) as domain from good
+    where contains(email, '@')),
+  theirs as (select distinct canonical_id, split_part(lower(trim(json_extract_string(external_fields, '$.email'))), '@',
+    2) as domain from refs where json_valid(external_fields) and contains(json_extract_string(external_fields, '$.email'), '@'))
   , own as (select g.entity_id, r.canonical_id from good g join refs r on r.source = g.source and r.external_id = g.source_id)
-  select o.entity_id, o.canonical_id, count(distinct t.domain) as shared_domains from (select distinct * from own) o left join mine m using (entity_id) left join theirs t on t.canonical_id = o.canonical_id and t.domain = m.domain group by all""")
+  select o.entity_id, o.canonical_id, count(distinct t.domain) as shared_domains from (select distinct * from own) o left
+    join mine m using (entity_id) left join theirs t on t.canonical_id = o.canonical_id and t.domain = m.domain group by all""")
 def shared_domains(spark, sf):
     good, refs = _good(spark, sf), frame(spark, sf, "refs")
     return evidence.shared_domains(matching.own_canonicals(good, refs), good, refs)
@@ -282,23 +354,36 @@ def _prompts(spark, sf) -> DataFrame:
     return assess.prompts(put, good, *(frame(spark, sf, n) for n in ("canon", "aliases", "refs")))
 
 
-_EVERYONE = ", anchored as (select null as entity_id, null as canonical_id where false)" + _PLACED.replace(" where entity_id not in (select entity_id from anchored where canonical_id is not null)", "")
+_EVERYONE = ", anchored as (select null as entity_id, null as canonical_id where false)" + _PLACED.replace(" where entity_id not in (select "
+                                                                                                           "entity_id from anchored where canonical_id is not null)", "")
 _WORDS = "string_split({}, ' ')"
-_TEXTS = _EVERYONE + f""", todo as (select p.entity_id, p.canonical_id, p.score, g.normalized_name as a, c.canonical_name as b, g.display_name, g.email, g.norm_category as src, {_flip('g.norm_category')} as tgt,
-    g.entity_category as kind_a, c.entity_category as category_b, c.entity_type as kind_b, list_distinct({_WORDS.format('g.normalized_name')}) as wa, list_distinct({_WORDS.format('c.canonical_name')}) as wb
+_TEXTS = _EVERYONE + f""", todo as (select p.entity_id, p.canonical_id, p.score, g.normalized_name as a, c.canonical_name as b,
+    g.display_name, g.email, g.norm_category as src, {_flip('g.norm_category')} as tgt,
+    g.entity_category as kind_a, c.entity_category as category_b, c.entity_type as kind_b,
+    list_distinct({_WORDS.format('g.normalized_name')}) as wa, list_distinct({_WORDS.format('c.canonical_name')}) as wb
     from placed p join good g using (entity_id) join canon c using (canonical_id) where action = 'LLM_FALLBACK'),
-  payloads as (select canonical_id, min(json_extract_string(external_fields, '$.role')) as role, list(distinct json_extract_string(external_fields, '$.email')) as emails, list(distinct json_extract_string(external_fields, '$.employee_id')) as ids
+  payloads as (select canonical_id, min(json_extract_string(external_fields, '$.role')) as role,
+    list(distinct json_extract_string(external_fields, '$.email')) as emails, list(distinct json_extract_string(external_fields,
+    '$.employee_id')) as ids
     from refs where json_valid(external_fields) group by 1),
   named as (select canonical_id, list(distinct value) as other from others group by 1),
-  told as (select t.*, coalesce(role, 'unknown') as role_b, len(list_intersect(wa, wb)) as n_both, greatest(len(list_distinct(list_concat(wa, wb))), 1) as every, coalesce(other, []) as other, coalesce(emails, []) as emails, coalesce(ids, []) as ids
+  told as (select t.*, coalesce(role, 'unknown') as role_b, len(list_intersect(wa, wb)) as n_both,
+    greatest(len(list_distinct(list_concat(wa, wb))), 1) as every, coalesce(other, []) as other, coalesce(emails, []) as emails,
+    coalesce(ids, []) as ids
     from todo t left join payloads using (canonical_id) left join named using (canonical_id)),
-  texts as (select *, case when kind_a = 'person' or category_b = 'person' then 'Person A is from the ' || src || ' category with role=manager. Person B is from the ' || tgt || ' category with role=' || role_b || '. '
-      || case when list_sort(wa) = list_sort(wb) and a <> b then 'A name-inversion pattern was detected between the two normalized forms (e.g., ''Last, First'' on one side vs ''First Last'' on the other). ' else '' end
+  texts as (select *, case when kind_a = 'person'
+    or category_b = 'person' then 'Person A is from the ' || src || ' category with role=manager. Person B is from the ' || tgt || ' category with role=' || role_b || '. '
+      || case when list_sort(wa) = list_sort(wb)
+    and a <> b then 'A name-inversion pattern was detected between the two normalized forms (e.g., ''Last, First'' on one side vs ''First Last'' on the other). ' else '' end
     else 'Entity A is an organization from the ' || src || ' category (type: ' || kind_a || '). Entity B is an organization from the ' || tgt || ' category (type: ' || kind_b || '). ' end
     || 'Normalized-token overlap: ' || n_both || '/' || every || ' tokens match. Stage 3 pairwise score: ' || printf('%.2f', score) || '. '
-    || case when kind_a = 'person' or category_b = 'person' then 'Are Person A and Person B the same individual?' else 'Are Entity A and Entity B the same organization?' end as text,
-    list_filter(list_concat([a, display_name, email, b], wa, wb, other, flatten(list_transform(other, lambda v: {_WORDS.format('v')})), emails, ids), lambda t: t is not null and length(trim(t)) >= 3) as forbidden from told),
-  ready as (select entity_id, canonical_id, src || ':' || tgt as category_pair, text as redacted_prompt, sha256(text) as prompt_sha256, case when len(list_filter(forbidden, lambda t: contains(lower(text), lower(trim(t))))) > 0 then 'blocked_leak' else 'ready' end as status from texts)"""
+    || case when kind_a = 'person' or category_b = 'person' then 'Are Person A and Person B the same individual?'
+    else 'Are Entity A and Entity B the same organization?' end as text,
+    list_filter(list_concat([a, display_name, email, b], wa, wb, other, flatten(list_transform(other,
+    lambda v: {_WORDS.format('v')})), emails, ids), lambda t: t is not null and length(trim(t)) >= 3) as forbidden from told),
+  ready as (select entity_id, canonical_id, src || ':' || tgt as category_pair, text as redacted_prompt,
+    sha256(text) as prompt_sha256, case when len(list_filter(forbidden, lambda t: contains(lower(text),
+    lower(trim(t))))) > 0 then 'blocked_leak' else 'ready' end as status from texts)"""
 
 
 @query(_ASKED + _TEXTS + " select entity_id, canonical_id, category_pair, redacted_prompt, prompt_sha256, status from ready")
@@ -310,29 +395,44 @@ _ANSWER = """'{"confidence":0.0,"match":false,"reasoning":"offline","signals":[]
 
 
 @query(_ASKED + _TEXTS + f""", sent as (select entity_id from ready where status = 'ready' order by entity_id limit 50)
-  select entity_id, case when status <> 'ready' then status when s.entity_id is null then 'over_budget' else 'ok' end as status, case when status = 'ready' and s.entity_id is not null then 'QUEUE_FOR_REVIEW' else 'LLM_FALLBACK' end as action,
-  case when status = 'ready' and s.entity_id is not null then false end as match, case when status = 'ready' and s.entity_id is not null then 0.0::double end as confidence,
+  select entity_id, case when status <> 'ready' then status when s.entity_id is null then 'over_budget' else 'ok' end as status,
+    case when status = 'ready' and s.entity_id is not null then 'QUEUE_FOR_REVIEW' else 'LLM_FALLBACK' end as action,
+  case when status = 'ready' and s.entity_id is not null then false end as match, case when status = 'ready'
+    and s.entity_id is not null then 0.0::double end as confidence,
   case when status = 'ready' and s.entity_id is not null then {_ANSWER} end as response from ready left join sent s using (entity_id)""".replace("s.entity_id", "s.e").replace("select entity_id from ready where", "select entity_id as e from ready where").replace("sent s using (entity_id)", "sent s on s.e = entity_id"))
 def assessments(spark, sf):
     """The first fifty prompts by entity, answered by the offline client."""
-    return assess.assess(_prompts(spark, sf)).select("entity_id", "status", "action", "match", "confidence", F.replace("response_json", F.lit(" "), F.lit("")).alias("response"))
+    return assess.assess(_prompts(spark, sf)).select("entity_id", "status", "action", "match", "confidence",
+        F.replace("response_json", F.lit(" "), F.lit("")).alias("response"))
 
 
 def _broken(spark, sf) -> tuple[DataFrame, ...]:
     """The registry with planted violations of all its rules."""
     canon, aliases, refs, edges = (frame(spark, sf, n) for n in ("canon", "aliases", "refs", "edges"))
-    broken = canon.where("canonical_id <> 'C00000007'").withColumn("entity_category", F.when(F.col("canonical_id") == "C00000011", "planet").otherwise(F.col("entity_category")))
+    broken = canon.where("canonical_id <> 'C00000007'").withColumn("entity_category",
+        F.when(F.col("canonical_id") == "C00000011", "planet").otherwise(F.col("entity_category")))
     broken = broken.unionByName(broken.where("canonical_id = 'C00000012'"))
-    return broken, aliases.unionByName(aliases.where("canonical_id = 'C00000004'")).unionByName(aliases.where("canonical_id = 'C00000008'").withColumn("canonical_id", F.lit("X9"))), refs.unionByName(refs.where("external_id = 'QB-5'")), edges
+    return broken, aliases.unionByName(aliases.where("canonical_id = 'C00000004'")).unionByName(aliases
+        .where("canonical_id = 'C00000008'").withColumn("canonical_id", F.lit("X9"))), refs.unionByName(refs
+        .where("external_id = 'QB-5'")), edges
 
 
-_PLANTED = """, broken as (select * replace (case canonical_id when 'C00000011' then 'planet' else entity_category end as entity_category) from canon where canonical_id <> 'C00000007'),
-  canon2 as (select * from broken union all select * from broken where canonical_id = 'C00000012'), aliases2 as (select * from aliases union all select * from aliases where canonical_id = 'C00000004' union all select * replace ('X9' as canonical_id) from aliases where canonical_id = 'C00000008'),
+_PLANTED = """, broken as (select * replace (case canonical_id when 'C00000011' then 'planet'
+    else entity_category end as entity_category) from canon where canonical_id <> 'C00000007'),
+  canon2 as (select * from broken union all select * from broken where canonical_id = 'C00000012'), aliases2 as (select *
+    from aliases union all select * from aliases where canonical_id = 'C00000004' union all
+    select * replace ('X9' as canonical_id) from aliases where canonical_id = 'C00000008'),
   refs2 as (select * from refs union all select * from refs where external_id = 'QB-5'), known as (select canonical_id from canon2)
-  select distinct * from (select 'alias_orphan' as rule, canonical_id as key from aliases2 where canonical_id not in (from known) union all select 'reference_orphan', canonical_id from refs2 where canonical_id not in (from known)
-  union all select 'edge_orphan', source_node from edges where source_node not in (from known) union all select 'edge_orphan', target_node from edges where target_node not in (from known)
-  union all select 'canonical_unique', canonical_id from canon2 group by canonical_id having count(*) > 1 union all select 'alias_unique', canonical_id || '|' || value || '|' || source from aliases2 group by canonical_id, value, source having count(*) > 1
-  union all select 'reference_unique', source || '|' || external_id from refs2 group by source, external_id having count(*) > 1 union all select 'entity_category', canonical_id from canon2 where entity_category not in ('organization', 'person'))"""
+  select distinct * from (select 'alias_orphan' as rule, canonical_id as key from aliases2
+    where canonical_id not in (from known) union all select 'reference_orphan', canonical_id from refs2
+    where canonical_id not in (from known)
+  union all select 'edge_orphan', source_node from edges where source_node not in (from known) union all
+    select 'edge_orphan', target_node from edges where target_node not in (from known)
+  union all select 'canonical_unique', canonical_id from canon2 group by canonical_id having count(*) > 1 union all
+    select 'alias_unique', canonical_id || '|' || value || '|' || source from aliases2
+    group by canonical_id, value, source having count(*) > 1
+  union all select 'reference_unique', source || '|' || external_id from refs2 group by source, external_id having count(*) > 1
+    union all select 'entity_category', canonical_id from canon2 where entity_category not in ('organization', 'person'))"""
 
 
 @query(ctes("edges", "canon", "refs", "aliases") + _PLANTED)

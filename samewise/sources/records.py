@@ -28,8 +28,13 @@ STRETCH = 64
 
 PROJECTS = "array<struct<code:string,name:string,status:string,budget_hours:bigint,logged_hours:double,hourly_rate:double,department:string>>"
 ENTITY_SCHEMA = {
-    "accounting": "id string, Id string, source string, entity_category string, display_name string, DisplayName string, type string, email string, PrimaryEmailAddr struct<Address:string>, phone string, currency string, balance double, address struct<line1:string,city:string,state:string,postal_code:string>, department string, hourly_rate double, created_at string, last_modified string",
-    "psa": f"id string, Id string, source string, entity_category string, slug string, display_name string, DisplayName string, type string, created_at string, last_activity string, projects {PROJECTS}, tags array<string>, email string, department string, hourly_rate double",
+    "accounting": "id string, Id string, source string, entity_category string, display_name string, DisplayName string, type "
+                  "string, email string, PrimaryEmailAddr struct<Address:string>, phone string, currency string, balance double, "
+                  "address struct<line1:string,city:string,state:string,postal_code:string>, department string, hourly_rate "
+                  "double, created_at string, last_modified string",
+    "psa": f"id string, Id string, source string, entity_category string, slug string, display_name string, DisplayName string, "
+           f"type string, created_at string, last_activity string, projects {PROJECTS}, tags array<string>, email string, "
+           f"department string, hourly_rate double",
 }
 
 
@@ -89,7 +94,8 @@ def entities(rows: DataFrame, system: str) -> DataFrame:
     own = rows.select(
         F.coalesce(_or(*_have(rows, "id", "Id_live", "Id")), F.lit("")).alias("source_id"),
         F.lit(SOURCES[system]).alias("source"),
-        F.coalesce(F.nullif(category, F.lit("")), F.when(F.col("type") == PEOPLE[system], "person").otherwise("organization")).alias("entity_category"),
+        F.coalesce(F.nullif(category, F.lit("")), F.when(F.col("type") == PEOPLE[system], "person").otherwise("organization"))
+            .alias("entity_category"),
         F.coalesce(_or(*_have(rows, "display_name", "DisplayName")), F.lit("")).alias("display_name"),
         _or(*_have(rows, "email", "PrimaryEmailAddr.Address")).alias("email"),
         F.to_json(F.struct(*rows.columns)).alias("raw_record"),
@@ -98,7 +104,8 @@ def entities(rows: DataFrame, system: str) -> DataFrame:
 
 
 def transactions(invoices: DataFrame, payments: DataFrame, bills: DataFrame, start: str, end: str) -> DataFrame:
-    """source_id, txn_type, amount, currency, txn_date, counterparty, counterparty_kind of the three kinds, from start to end, both included.
+    """source_id, txn_type, amount, currency, txn_date, counterparty, counterparty_kind of the three kinds,
+    from start to end, both included.
 
     Inputs: id, amount, currency, txn_date (ISO text, a date or a time), customer, vendor. The date range is a plain predicate on each
     scan, of the column's own kind, so that it reaches the files; text comes of it afterwards."""
@@ -106,8 +113,10 @@ def transactions(invoices: DataFrame, payments: DataFrame, bills: DataFrame, sta
     for kind, rows in zip(TRANSACTIONS, (invoices, payments, bills)):
         party = F.col("vendor") if kind == "Bill" else F.col("customer")
         own = rows.where(within(rows, "txn_date", start, end)).withColumn("txn_date", iso_day("txn_date")).select(
-            F.col("id").cast("string").alias("source_id"), F.lit(kind.lower()).alias("txn_type"), F.coalesce(F.col("amount").cast("double"), F.lit(0.0)).alias("amount"),
-            F.coalesce(_or(F.col("currency")), F.lit("USD")).alias("currency"), "txn_date", party.cast("string").alias("counterparty"), F.lit("vendor" if kind == "Bill" else "customer").alias("counterparty_kind"),
+            F.col("id").cast("string").alias("source_id"), F.lit(kind.lower()).alias("txn_type"),
+                F.coalesce(F.col("amount").cast("double"), F.lit(0.0)).alias("amount"),
+            F.coalesce(_or(F.col("currency")), F.lit("USD")).alias("currency"), "txn_date",
+                party.cast("string").alias("counterparty"), F.lit("vendor" if kind == "Bill" else "customer").alias("counterparty_kind"),
         )
         out = own if out is None else out.unionByName(own)
     return out
@@ -131,17 +140,23 @@ def time_entries(rows: DataFrame, start: str, end: str) -> DataFrame:
     """Time entries from start to end as transactions: amount is hours by the billing rate, or else the hourly rate."""
     rate = F.coalesce(F.nullif(F.col("billing_rate").cast("double"), F.lit(0.0)), F.col("hourly_rate").cast("double"), F.lit(0.0))
     return rows.where(within(rows, "date", start, end)).withColumn("date", iso_day("date")).select(
-        F.col("id").cast("string").alias("source_id"), F.lit("time_entry").alias("txn_type"), (F.coalesce(F.col("hours").cast("double"), F.lit(0.0)) * rate).alias("amount"),
-        F.coalesce("currency", F.lit("USD")).alias("currency"), F.col("date").alias("txn_date"), F.col("resource_id").cast("string").alias("counterparty"), F.lit("resource").alias("counterparty_kind"), _or(F.col("project_code")).alias("project_code"),
+        F.col("id").cast("string").alias("source_id"), F.lit("time_entry").alias("txn_type"),
+            (F.coalesce(F.col("hours").cast("double"), F.lit(0.0)) * rate).alias("amount"),
+        F.coalesce("currency", F.lit("USD")).alias("currency"), F.col("date").alias("txn_date"),
+            F.col("resource_id").cast("string").alias("counterparty"), F.lit("resource").alias("counterparty_kind"),
+            _or(F.col("project_code")).alias("project_code"),
     )
 
 
 def projects(parents: DataFrame, **filters: str) -> DataFrame:
-    """source_id (parent::code), parent_source_id, code, name, status, department, budget_hours, logged_hours, hourly_rate: a row for each project.
+    """source_id (parent::code), parent_source_id, code, name, status, department, budget_hours, logged_hours,
+    hourly_rate: a row for each project.
 
     filters: status, department (equal), code_prefix (case counts)."""
-    rows = parents.select(F.col("id").alias("parent"), F.explode(F.coalesce("projects", F.array().cast(PROJECTS))).alias("p")).where("p is not null")
-    rows = rows.select(F.concat_ws("::", "parent", F.coalesce("p.code", F.lit(""))).alias("source_id"), F.col("parent").alias("parent_source_id"), "p.*")
+    rows = parents.select(F.col("id").alias("parent"),
+        F.explode(F.coalesce("projects", F.array().cast(PROJECTS))).alias("p")).where("p is not null")
+    rows = rows.select(F.concat_ws("::", "parent", F.coalesce("p.code", F.lit(""))).alias("source_id"),
+        F.col("parent").alias("parent_source_id"), "p.*")
     for k in ("status", "department"):
         if k in filters:
             rows = rows.where(F.col(k) == filters[k])
@@ -153,8 +168,11 @@ def project_records(parents: DataFrame, record_type: str = "project", **filters:
     if record_type.lower() != "project":
         raise ValueError(f"unsupported record type {record_type!r} of psa")
     rows = projects(parents, **filters)
-    held = F.struct("budget_hours", F.col("parent_source_id").alias("client_source_id"), "code", "department", "hourly_rate", "logged_hours", "status")
-    return rows.select("source_id", F.lit(SOURCES["psa"]).alias("source"), F.lit("psa").alias("category"), F.lit("project").alias("record_type"), F.coalesce("name", F.lit("")).alias("name"), "parent_source_id", F.to_json(held).alias("attributes"))
+    held = F.struct("budget_hours", F.col("parent_source_id").alias("client_source_id"), "code", "department", "hourly_rate",
+        "logged_hours", "status")
+    return rows.select("source_id", F.lit(SOURCES["psa"]).alias("source"), F.lit("psa").alias("category"),
+        F.lit("project").alias("record_type"), F.coalesce("name", F.lit("")).alias("name"), "parent_source_id",
+        F.to_json(held).alias("attributes"))
 
 
 def operational(records: DataFrame, record_type: str) -> DataFrame:
@@ -165,11 +183,14 @@ def operational(records: DataFrame, record_type: str) -> DataFrame:
     v = F.try_parse_json("record")
     rows = records.where(F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))).select(v.alias("v"))
     field = lambda path: F.nullif(F.try_variant_get("v", path, "string"), F.lit(""))
-    parent = F.when(F.startswith(F.schema_of_variant(F.try_variant_get("v", "$.ParentRef", "variant")), F.lit("OBJECT")), F.try_variant_get("v", "$.ParentRef.value", "string"))
+    parent = F.when(F.startswith(F.schema_of_variant(F.try_variant_get("v", "$.ParentRef", "variant")), F.lit("OBJECT")),
+        F.try_variant_get("v", "$.ParentRef.value", "string"))
     held = F.map_filter(F.try_variant_get("v", "$", "map<string,variant>"), lambda k, _: ~k.isin("Id", "Name", "id", "name"))
     return rows.select(
-        F.coalesce(field("$.Id"), field("$.id"), F.lit("")).alias("source_id"), F.lit(SOURCES["accounting"]).alias("source"), F.lit("accounting").alias("category"), F.lit(record_type).alias("record_type"),
-        F.coalesce(field("$.Name"), field("$.name"), F.lit("")).alias("name"), parent.alias("parent_source_id"), F.to_json(held).alias("attributes"),
+        F.coalesce(field("$.Id"), field("$.id"), F.lit("")).alias("source_id"), F.lit(SOURCES["accounting"]).alias("source"),
+            F.lit("accounting").alias("category"), F.lit(record_type).alias("record_type"),
+        F.coalesce(field("$.Name"), field("$.name"), F.lit("")).alias("name"), parent.alias("parent_source_id"),
+            F.to_json(held).alias("attributes"),
     )
 
 
@@ -187,14 +208,17 @@ def export_csv(normalized: DataFrame, path: str) -> None:
 
 def proposal_issues(proposals: DataFrame, source: str, category: str) -> DataFrame:
     """proposals (target_source, target_category, operation) with issues and is_valid."""
-    wrong = [F.when(~F.col("target_source").eqNullSafe(F.lit(source)), F.lit("target_source")), F.when(~F.col("target_category").eqNullSafe(F.lit(category)), F.lit("target_category")), F.when(~F.coalesce(F.col("operation").isin(*OPERATIONS), F.lit(False)), F.lit("operation"))]
+    wrong = [F.when(~F.col("target_source").eqNullSafe(F.lit(source)), F.lit("target_source")),
+        F.when(~F.col("target_category").eqNullSafe(F.lit(category)), F.lit("target_category")),
+        F.when(~F.coalesce(F.col("operation").isin(*OPERATIONS), F.lit(False)), F.lit("operation"))]
     issues = F.filter(F.array(*wrong), lambda x: x.isNotNull())
     return proposals.withColumn("issues", issues).withColumn("is_valid", F.size("issues") == 0)
 
 
 def shadow_writes(valid: DataFrame) -> DataFrame:
     """What valid proposals would do: nothing is written."""
-    return valid.where("is_valid").withColumn("executed", F.lit(False)).withColumn("shadow", F.lit(True)).withColumn("preview", F.struct("target_source", "target_category", "operation"))
+    return valid.where("is_valid").withColumn("executed", F.lit(False)).withColumn("shadow", F.lit(True)).withColumn("preview",
+        F.struct("target_source", "target_category", "operation"))
 
 
 def rollbacks(writes: DataFrame) -> DataFrame:
@@ -215,7 +239,8 @@ def throttled(calls: DataFrame, limit: int = 500, seconds: int = 60) -> DataFram
     window = Window.partitionBy("connector", "stretch").orderBy("second").rangeBetween(-seconds + 1, 0)
     counts = dealt.withColumn("recent", F.sum("n").over(window)).where(F.col("stretch") == stretch)
     counts = counts.select(F.col("connector").alias("of"), F.col("second").alias("then"), "recent")
-    return calls.join(counts, F.col("connector").eqNullSafe(F.col("of")) & at.eqNullSafe(F.col("then")), "left").drop("of", "then").withColumn("over_limit", F.col("recent") > limit)
+    return calls.join(counts, F.col("connector").eqNullSafe(F.col("of")) & at.eqNullSafe(F.col("then")), "left").drop("of",
+        "then").withColumn("over_limit", F.col("recent") > limit)
 
 
 def backoffs(attempts: DataFrame, first: float = 0.5) -> DataFrame:

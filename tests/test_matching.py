@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from samewise.functions import redaction as R
-from samewise.operators import assess, disposition, graph, matching, registry, reporting, resolution, scoring
+from samewise.operators import assess, disposition, evidence, graph, matching, registry, reporting, resolution, scoring
 
 
 @pytest.fixture(scope="module")
@@ -120,6 +120,37 @@ def test_resolution(spark, store, entities):
     assert resolution.merge_edges(resolution.merge_edges(edges, out["edges"]), out["edges"]).count() == 5
 
 
+def test_append_only(spark, tmp_path):
+    said = spark.createDataFrame([("E1", "C1", "confirmed")], "entity_id string, canonical_id string, disposition string")
+    for _ in range(2):
+        resolution.append(resolution.audit_rows(said, "2024-01-01", "ann", "psa"), str(tmp_path / "audit"))
+    rows = spark.read.parquet(str(tmp_path / "audit")).collect()
+    assert len(rows) == 2 and {(r.action, r.resource_id, r.diff) for r in rows} == {("confirmed", "E1", '{"canonical_id":"C1","disposition":"confirmed","entity_id":"E1"}')}
+
+
+def test_evidence(spark):
+    pairs = spark.createDataFrame([("E1", "C1"), ("E1", "C2")], "entity_id string, canonical_id string")
+    codes, memos = spark.createDataFrame([("E1", "CEN-GP-SOW1")], "entity_id string, code string"), spark.createDataFrame([("C1", "work for cen, sow1"), ("C2", "none")], "canonical_id string, memo string")
+    assert {r.canonical_id: r.code_fragments for r in evidence.code_fragments(pairs, codes, memos).collect()} == {"C1": 2, "C2": 0}
+    left = spark.createDataFrame([("E1", "p", 90.0), ("E1", "p", 10.0), ("E1", "q", 5.0)], "entity_id string, period string, amount double")
+    right = spark.createDataFrame([("C1", "p", 101.0), ("C2", "p", 150.0), ("C1", "q", 50.0)], "canonical_id string, period string, amount double")
+    assert {r.canonical_id: r.amount_matches for r in evidence.amount_matches(pairs, left, right).collect()} == {"C1": 1, "C2": 0}
+    seen = lambda key, rows: spark.createDataFrame(rows, f"{key} string, seen string").withColumn("seen", F.col("seen").cast("date"))
+    assert {r.canonical_id: r.days_apart for r in evidence.days_apart(pairs, seen("entity_id", [("E1", "2024-01-09"), ("E1", "2024-01-05")]), seen("canonical_id", [("C1", "2024-01-25")])).collect()} == {"C1": 20, "C2": None}
+    held = spark.createDataFrame([("E1", "C1", 2, 2, 2, 2, 3, 5), ("E1", "C2", 0, 0, 0, 1, None, 0)], "entity_id string, canonical_id string, shared_persons int, code_fragments int, amount_matches int, shared_domains int, days_apart int, shared_nodes int")
+    scores = spark.createDataFrame([("E1", "C1", 0.7), ("E1", "C2", 0.8), ("E2", "C1", 0.95), ("E3", "C1", 0.69)], "entity_id string, canonical_id string, score double")
+    got = {(r.entity_id, r.canonical_id): r for r in evidence.boosted(scores, held.unionByName(held.limit(1).withColumn("entity_id", F.lit("E2")))).collect()}
+    assert got["E1", "C1"].boost == 0.2 and got["E1", "C1"].score == pytest.approx(0.9) and len(got["E1", "C1"]["items"]) == 6
+    assert got["E1", "C2"].boost == pytest.approx(0.05) and got["E2", "C1"].boost == 0 and got["E3", "C1"].score == 0.69
+
+
+def test_cosine(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.1]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, 0.0]), (6, [1.0, None]), (7, [1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id, r.position) for r in graph.cosine_top(vectors.where("vec_id in (0, 4)").withColumnRenamed("vec_id", "query_id"), vectors, 2).orderBy("query_id", "position").collect()]
+    assert got == [(0, 5, 1), (0, 1, 2)]
+
+
 def test_reports(spark):
     money = lambda rows: spark.createDataFrame(rows, "canonical_id string, amount double")
     got = {r.canonical_id: r.status for r in reporting.receivables(money([("a", 100.0), ("a", 1.0), ("b", 50.0), ("c", 10.0)]), money([("a", 100.0), ("d", 5.0), ("c", 20.0)])).collect()}
