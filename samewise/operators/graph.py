@@ -3,32 +3,57 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as it is now, in the shared checkpoint folder; where none is set, a temporary one on a single machine, and an error on a cluster."""
+    """df as a Parquet table in the shared folder of spark.checkpoint.dir, so that a lost executor costs no recomputation.
+
+    Where no folder is set, a temporary one on a single machine, and an error on a cluster. The table goes when the application
+    ends, or earlier by discard()."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="samewise-"))
-    return df.checkpoint()
+        base = spark.sparkContext.getCheckpointDir()
+    path = f"{base.rstrip('/')}/samewise-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    files, at = _place(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def _place(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table of written() that nothing reads any more; other frames are left alone."""
+    if path := getattr(df, "written_at", None):
+        files, at = _place(df.sparkSession, path)
+        files.delete(at, True)
 
 
 def clusters(pairs: DataFrame, rounds: int = 60, write: Callable[[DataFrame, str], DataFrame] = lambda df, _: written(df)) -> DataFrame:
     """node, cluster (least node reached) of every end of pairs (a, b): least labels with pointer jumping.
 
-    Each round is written, by checkpoints or as `write` does, so that a lost executor costs one round. Null ends and loops are ignored."""
+    Each round is written, by written() or as `write` does, so that a lost executor costs one round. Null ends and loops are ignored."""
     links = pairs.where("a <> b").select("a", "b")
     both = write(links.union(links.select("b", "a")).distinct(), "edges")
     now = write(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b"))
         .select("node", F.least("node", "b").alias("cluster")), "labels")
+    before = now
     for _ in range(rounds):
         near = both.join(now.select(F.col("node").alias("b"), "cluster"),
             "b").groupBy(F.col("a").alias("node")).agg(F.min("cluster").alias("m"))
@@ -36,7 +61,8 @@ def clusters(pairs: DataFrame, rounds: int = 60, write: Callable[[DataFrame, str
         beyond = now.select(F.col("node").alias("new"), F.col("cluster").alias("next"))
         after = write(step.join(beyond, "new", "left")
             .select("node", "old", F.least("new", F.coalesce("next", "new")).alias("cluster")), "labels")
-        now = after.select("node", "cluster")
+        discard(before)
+        before, now = after, after.select("node", "cluster")
         if after.where("old <> cluster").limit(1).count() == 0:
             return now
     raise RuntimeError(f"clusters haven't settled in {rounds} rounds")
@@ -76,6 +102,12 @@ def cosine_top(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
 
 
+def embedding_signals(nearest: DataFrame) -> DataFrame:
+    """entity_id, canonical_id, signal (embed:<rank>), cosine of cosine_top()'s rows, to go with the signals of names."""
+    return nearest.select(F.col("query_id").alias("entity_id"), F.col("vec_id").alias("canonical_id"),
+        F.concat(F.lit("embed:"), F.col("position").cast("string")).alias("signal"), "cosine")
+
+
 class _Block:
     """Queries by length of their vectors: ids and unit vectors."""
 

@@ -74,10 +74,11 @@ def short_code(entity: Column, candidate: Column, aliases: Column, source: Colum
 
 
 def score(pairs: DataFrame, entities: DataFrame, canon: DataFrame, aliases: DataFrame, edges: DataFrame, tenant: str | None = None,
-    resolved: DataFrame | None = None) -> DataFrame:
+    resolved: DataFrame | None = None, cosines: DataFrame | None = None, cosine_weight: float = 0.0) -> DataFrame:
     """entity_id, canonical_id, the signals, bonuses, weight_profile_id, category_pair and score of pairs (entity_id, canonical_id).
 
     resolved: entity_id, source_canonical_id of entities that already have a canonical, which alone get graph evidence.
+    cosines: entity_id, canonical_id, cosine of embeddings, which count by cosine_weight; 0 where there is none.
     Candidates that the registry doesn't know are left out. Each distinct pair of names is measured once."""
     own = entities.select("entity_id", F.col("normalized_name").alias("entity_name"), F.col("category").alias("source_category"))
     names = registry.of_tenant(canon, tenant).select("canonical_id", "canonical_name")
@@ -101,12 +102,17 @@ def score(pairs: DataFrame, entities: DataFrame, canon: DataFrame, aliases: Data
         counts = registry.shared_neighbours(asked, edges, canon,
             tenant).withColumnsRenamed({"left_id": "source_canonical_id", "right_id": "canonical_id"})
         rows = rows.join(counts, ["source_canonical_id", "canonical_id"], "left").na.fill(0, ["shared", "shared_persons"])
+    if cosines is None:
+        rows = rows.withColumn("cosine", F.lit(0.0))
+    else:
+        rows = rows.join(cosines.groupBy("entity_id", "canonical_id").agg(F.max("cosine").alias("cosine")), ["entity_id", "canonical_id"],
+            "left").na.fill(0.0, ["cosine"])
     rows = rows.withColumn("w", weights_of(F.col("source_category"), F.col("target_category"))).withColumn("full", full)
     zero = lambda c: F.when(F.col("full"), c).otherwise(F.lit(0.0))
     rows = rows.select(
         "entity_id", "canonical_id",
             *(zero(F.col(f"m.{k}")).alias(k) for k in ("token_sort", "token_set", "partial", "jaro_winkler")),
-            zero(F.col("jaccard")).alias("jaccard"),
+            zero(F.col("jaccard")).alias("jaccard"), zero(F.col("cosine")).alias("cosine"),
         (F.col("full") & F.coalesce("boost", F.lit(False))).alias("alias_boost"),
             (F.col("full")
             & short_code(F.col("entity_name"), F.col("canonical_name"), F.col("aliases"), F.col("source_category"),
@@ -118,6 +124,7 @@ def score(pairs: DataFrame, entities: DataFrame, canon: DataFrame, aliases: Data
     weighed = F.col("w.token_sort") * F.col("token_sort") / 100.0 + F.col("w.token_set") * F.col("token_set") / 100.0 + F.col("w.partial") * F.col("partial") / 100.0 + F.col("w.jaro_winkler") * F.col("jaro_winkler") / 100.0 + F.col("w.jaccard") * F.col("jaccard")
     total = weighed + F.when(F.col("alias_boost"), F.col("w.alias_boost")).otherwise(0.0) + F.when(F.col("abbreviation"),
         F.col("w.abbreviation")).otherwise(0.0) + F.col("person_bonus") + F.col("neighbour_bonus")
+    total = total + cosine_weight * F.col("cosine")
     out = rows.withColumn("score", zero(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)))).withColumn("weight_profile_id",
         F.col("w.profile_id"))
     return out.withColumn("category_pair", F.concat_ws(":", "source_category", "target_category")).drop("w", "full",

@@ -128,8 +128,8 @@ def _parents(spark, sf) -> DataFrame:
         F.struct(F.concat_ws("-", F.lit("CEN"), "o_orderkey").alias("code"), F.col("o_orderpriority").alias("name"),
         F.when(F.col("o_orderstatus") == "F", "completed").otherwise("active").alias("status"),
         F.lit(10).cast("long").alias("budget_hours"), F.col("o_totalprice").alias("logged_hours"), F.lit(1.0).alias("hourly_rate"),
-        F.col("o_orderstatus").alias("department")).alias("p"))
-    return o.groupBy("id").agg(F.collect_list("p").cast(records.PROJECTS).alias("projects"))
+        F.col("o_orderstatus").alias("department")).alias("p")).select(F.col("id").alias("client_id"), "p.*")
+    return records.by_parent(o)
 
 
 @query("select cast(o_custkey as varchar) || '::CEN-' || cast(o_orderkey as varchar) as source_id, cast(o_custkey as varchar) as "

@@ -148,6 +148,15 @@ def time_entries(rows: DataFrame, start: str, end: str) -> DataFrame:
     )
 
 
+def by_parent(rows: DataFrame) -> DataFrame:
+    """id, projects: flat project rows (client_id, code, name, status, budget_hours, logged_hours, hourly_rate, department) gathered by client.
+
+    A client's projects are few; rows without a client are of no one and are left out."""
+    fields = T.StructType.fromDDL(f"p {PROJECTS}")["p"].dataType.elementType.names
+    held = F.collect_list(F.struct(*fields)).cast(PROJECTS)
+    return rows.where("client_id is not null").groupBy(F.col("client_id").cast("string").alias("id")).agg(held.alias("projects"))
+
+
 def projects(parents: DataFrame, **filters: str) -> DataFrame:
     """source_id (parent::code), parent_source_id, code, name, status, department, budget_hours, logged_hours,
     hourly_rate: a row for each project.
@@ -243,6 +252,11 @@ def throttled(calls: DataFrame, limit: int = 500, seconds: int = 60) -> DataFram
         "then").withColumn("over_limit", F.col("recent") > limit)
 
 
+def expired(until: Column, now: Column) -> Column:
+    """Whether a token's end (ISO text) has come; one without an end, or with one that can't be read, hasn't expired."""
+    return F.coalesce(F.try_to_timestamp(until) <= now, F.lit(False))
+
+
 def backoffs(attempts: DataFrame, first: float = 0.5) -> DataFrame:
     """attempts (attempt, from 1 on) with the seconds to wait before the next: doubled each time."""
     return attempts.withColumn("wait", first * F.pow(F.lit(2.0), F.greatest(F.col("attempt"), F.lit(1)) - 1))

@@ -58,6 +58,9 @@ def test_scores(spark, store, entities):
     resolved = spark.createDataFrame([("E1", "C4")], "entity_id string, source_canonical_id string")
     got = {r.entity_id: r for r in scoring.score(pairs, entities, canon, aliases, edges, resolved=resolved).collect()}
     assert set(got) == {"E1", "E3", "E5"} and got["E5"].score == 0 and got["E3"].alias_boost
+    cosines = spark.createDataFrame([("E1", "C1", 0.5), ("E5", "C1", 1.0)], "entity_id string, canonical_id string, cosine double")
+    near = {r.entity_id: r for r in scoring.score(pairs, entities, canon, aliases, edges, cosines=cosines, cosine_weight=0.1).collect()}
+    assert near["E1"].score == pytest.approx(0.85 + 0.05) and near["E1"].cosine == 0.5 and near["E5"].score == 0 and near["E3"].cosine == 0
     assert got["E1"].score == pytest.approx(0.85 + 0.05 + 0.025) and got["E1"].weight_profile_id == "psa_accounting_v1"
 
 
@@ -149,6 +152,8 @@ def test_cosine(spark):
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [(r.query_id, r.vec_id, r.position) for r in graph.cosine_top(vectors.where("vec_id in (0, 4)").withColumnRenamed("vec_id", "query_id"), vectors, 2).orderBy("query_id", "position").collect()]
     assert got == [(0, 5, 1), (0, 1, 2)]
+    near = graph.embedding_signals(graph.cosine_top(vectors.where("vec_id = 0").withColumnRenamed("vec_id", "query_id"), vectors, 1)).collect()
+    assert [(r.entity_id, r.canonical_id, r.signal) for r in near] == [(0, 5, "embed:1")] and near[0].cosine == pytest.approx(1)
 
 
 def test_reports(spark):

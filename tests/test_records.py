@@ -65,6 +65,12 @@ def test_throttle_and_backoff(spark):
     assert [r.wait for r in records.backoffs(spark.createDataFrame([(1,), (2,), (4,)], "attempt int")).collect()] == [0.5, 1.0, 4.0]
 
 
+def test_tokens_expire(spark):
+    rows = spark.createDataFrame([("2024-01-01T00:00:00Z",), ("2024-01-02T00:00:00+00:00",), ("2024-01-03T00:00:00Z",), ("never",), (None,)], "until string")
+    now = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    assert [r[0] for r in rows.select(records.expired(F.col("until"), now)).collect()] == [True, True, False, False, False]
+
+
 def test_projects(spark):
     rows = spark.createDataFrame([("p", [("CEN-1", "n", "active", 1, 1.0, 1.0, "d"), None]), ("q", None)], f"id string, projects {records.PROJECTS}")
     assert [r.source_id for r in records.projects(rows).collect()] == ["p::CEN-1"]
