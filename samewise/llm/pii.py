@@ -232,18 +232,23 @@ def detect(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     def score(x):
         return reduce(lambda a, b: a + b, [F.lit(w) * x[f] if v is None else F.when(x[f] == v, w).otherwise(0.0) for w, (f, v) in zip(weights, WEIGHTS)])
 
-    # base spans by chunks with their bounds, so that a candidate is held against those of the chunks it reaches alone
-    base = F.filter("spans", lambda x: x["base"])
-    starts = F.sequence(F.lit(0), F.floor((F.size("held") - 1) / CHUNK).cast("int"))
-    chunk = lambda c: F.slice("held", c * CHUNK + 1, F.lit(CHUNK))
-    bounds = F.transform(starts, lambda c: F.struct(F.array_min(F.transform(chunk(c), lambda y: y["s"])).alias("s"), F.array_max(F.transform(chunk(c), lambda y: y["e"])).alias("e"), chunk(c).alias("of")))
-    bounds = F.when(F.size("held") > 0, bounds).otherwise(F.array().cast("array<struct<s:int,e:int,of:array<struct<s:int,e:int>>>>"))
     meets = lambda x, y: (y["s"] < x["e"]) & (x["s"] < y["e"])
-    touches = lambda x: F.exists("bounds", lambda c: meets(x, c) & F.exists(c["of"], lambda y: meets(x, y)))
-    open_ = found.withColumn("held", F.transform(base, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))).withColumn("bounds", bounds)
-    stays = F.filter("spans", lambda x: x["base"] | ((score(x) > ODDS) & ~touches(x)))
+
+    def bounded(held: Column) -> Column:
+        """Base spans by chunks with their bounds, so that a candidate is held against those of the chunks it reaches alone."""
+        every = F.sequence(F.lit(0), F.floor((F.size(held) - 1) / CHUNK).cast("int"))
+        parts = F.transform(every, lambda c: F.slice(held, c * CHUNK + 1, F.lit(CHUNK)))
+        of = lambda part: F.struct(F.array_min(F.transform(part, lambda y: y["s"])).alias("s"), F.array_max(F.transform(part, lambda y: y["e"])).alias("e"), part.alias("of"))
+        return F.when(F.size(held) > 0, F.transform(parts, of)).otherwise(F.array().cast("array<struct<s:int,e:int,of:array<struct<s:int,e:int>>>>"))
+
+    def kept(bounds: Column) -> Column:
+        touches = lambda x: F.exists(bounds, lambda c: meets(x, c) & F.exists(c["of"], lambda y: meets(x, y)))
+        return F.filter("spans", lambda x: x["base"] | ((score(x) > ODDS) & ~touches(x)))
+
+    held = F.transform(F.filter("spans", lambda x: x["base"]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+    stays = _let(_let(held, bounded), kept)
     slim = F.transform(stays, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["base"].alias("base")))
-    return open_.select("doc_id", *keep, slim.alias("spans"))
+    return found.select("doc_id", *keep, slim.alias("spans"))
 
 
 def _joined(spans: Column) -> Column:

@@ -293,6 +293,8 @@ def test_pii_of_many_spans(spark):
     got = pii.digests(docs(spark, rows)).collect()
     assert {r.doc_id: (r.n_email, r.base_sha256) for r in got} == {i: (t.count("@"), hashlib.sha256(pii_spans(t).encode()).hexdigest()) for i, t in rows}
     assert all(r.spans.count("number") == 1 for r in got)
+    many = pii.digests(docs(spark, [(1, " ".join(f"call 212-555-{i % 9000 + 1000} u{i}@b.co" for i in range(8_000)))])).collect()[0]
+    assert (many.n_email, many.n_added) == (8_000, 8_000)
 
 
 def test_reliabilities():
