@@ -109,21 +109,25 @@ class ByteBpe:
             self.table = PairTable(self.pairs)
         return self.table.ranks(left, right)
 
-    def merge_all(self, words: list[bytes], together: int = 8_192) -> list[np.ndarray]:
-        """merge() of many words at once: each step merges the pair of least rank, leftmost first, of all words that still have one.
+    def merge_all(self, words: list[bytes], together: int = 8_192) -> list[bytes]:
+        """merge() of many words at once, as little-endian unsigned 32-bit ids: each step merges the pair of least rank, leftmost first, of all words that still have one.
 
         Words of like length are taken together; those of more than LONG bytes each on their own."""
-        out: list = [None] * len(words)
-        order = sorted((i for i, w in enumerate(words) if len(w) <= LONG), key=lambda i: len(words[i]))
-        for i in (i for i, w in enumerate(words) if len(w) > LONG):
-            out[i] = np.array(self.merge(words[i]), "<u4")
+        out: list = [b""] * len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(size, kind="stable")
+        for i in order[size[order] > LONG].tolist():
+            out[i] = np.array(self.merge(words[i]), "<u4").tobytes()
+        order = order[(size[order] <= LONG) & (size[order] > 0)]
         of_byte = np.array(self.of_byte, np.int32)
-        for some in (order[i : i + together] for i in range(0, len(order), together)):
-            size = np.array([len(words[i]) for i in some], np.int64)
-            ids = np.full((len(some), int(size.max()) + 1), -1, np.int32)
-            ids[np.arange(ids.shape[1])[None] < size[:, None]] = of_byte[np.frombuffer(b"".join([words[i] for i in some]), np.uint8)]
-            for i, row, n in zip(some, *self._merged(ids)):
-                out[i] = row[:n]
+        for at in range(0, len(order), together):
+            some = order[at : at + together]
+            ids = np.full((len(some), int(size[some[-1]]) + 1), -1, np.int32)
+            ids[np.arange(ids.shape[1])[None] < size[some][:, None]] = of_byte[np.frombuffer(b"".join([words[i] for i in some.tolist()]), np.uint8)]
+            merged, n = self._merged(ids)
+            raw, width = merged.tobytes(), merged.shape[1] * 4
+            for i, start, end in zip(some.tolist(), range(0, len(raw), width), (np.arange(len(some)) * width + n * 4).tolist()):
+                out[i] = raw[start:end]
         return out
 
     def _merged(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from samewise.llm import byte_bpe
 from samewise.llm.common import bounded_batches, cut, put_shared
 
+#: Characters of the texts that are encoded together.
+TOGETHER = 2_000_000
 PARTS = ("first_arc", "final", "key", "target", "skip", "at", "ids")
 
 
@@ -120,12 +124,13 @@ class Automaton:
 
 
 SPACED = regex.compile(r" (?=\P{White_Space})")
+#: A space that doesn't simply set off a word; Python's white space holds all that the pattern's does, and a little more.
+ODD = re.compile(r" (?:\s|\Z)")
 
 
 def words_of(text: str) -> list[str]:
     """The words of a text, each but the first with the space before it left out."""
-    parts = text.split(" ")
-    return parts if all(p and not p[0].isspace() for p in parts[1:]) else SPACED.split(text)
+    return SPACED.split(text) if ODD.search(text) else text.split(" ")
 
 
 class Encoder:
@@ -139,55 +144,58 @@ class Encoder:
     def merge(self, words: list[str]) -> list[bytes]:
         """The ids of words that the automaton doesn't hold: split by the pattern, all their parts merged by least rank together."""
         # letters alone, but for a space before them, are one part of the pattern
-        parts = [[w] if w.isalpha() or (w[:1] == " " and w[1:].isalpha()) else self.bpe.words.findall(w) for w in words]
-        merged = iter([m.tobytes() for m in self.bpe.merge_all([p.encode() for own in parts for p in own])])
-        return [b"".join([next(merged) for _ in own]) for own in parts]
+        several = {w: self.bpe.words.findall(w) for w in words if not (w[1:].isalpha() if w[:1] == " " else w.isalpha())}
+        parts = list({w for w in words if w not in several}.union(*several.values()))
+        merged = dict(zip(parts, self.bpe.merge_all([p.encode() for p in parts])))
+        return [b"".join([merged[p] for p in several[w]]) if w in several else merged[w] for w in words]
 
     def learn(self, words: list[str]) -> None:
-        """words: with their spaces, not in the memo."""
-        if len(self.memo) + len(words) > self.most:
-            self.memo.clear()
-        found = self.automaton.ordinals([w.encode() for w in words]).tolist() if self.automaton else [-1] * len(words)
-        unseen = [w for w, k in zip(words, found) if k < 0]
-        self.memo.update(zip(unseen, self.merge(unseen)))
+        """words: without the space that stands before each, not in the memo."""
+        spaced = [" " + w for w in words]
+        found = self.automaton.ordinals([w.encode() for w in spaced]).tolist() if self.automaton else [-1] * len(words)
+        unseen = [i for i, k in enumerate(found) if k < 0]
+        self.memo.update(zip([words[i] for i in unseen], self.merge([spaced[i] for i in unseen])))
         self.memo.update((w, self.automaton.output(k)) for w, k in zip(words, found) if k >= 0)
 
-    def _plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        parts = text.split(" ")
-        if not all(parts[1:]) or any(p[0].isspace() for p in parts[1:]):
-            parts = SPACED.split(text)
-        words = [parts[0], *(" " + p for p in parts[1:])] if parts[0] else [" " + p for p in parts[1:]]
-        memo = self.memo
-        if new := [w for w in dict.fromkeys(words) if w not in memo]:
-            self.learn(new)
-            memo = self.memo
-            if len(memo) < len(new) or any(w not in memo for w in words):  # the memo was emptied meanwhile
-                gone = [w for w in dict.fromkeys(words) if w not in memo]
-                own = dict(zip(gone, self.merge(gone)))
-                return b"".join([memo[w] if w in memo else own[w] for w in words])
-        return b"".join([memo[w] for w in words])
-
-    def prepare(self, texts: list[str]) -> None:
-        """Learns the words of many texts together, as far as the memo has room: one walk and one merge for all of a batch."""
-        if self.special is not None and any(s in t for t in texts for s in self.bpe.specials):
-            return
-        new: dict[str, None] = {}
-        for t in texts:
-            parts = words_of(t)
-            new.update((w, None) for w in [" " + p for p in parts[1:]] if w not in self.memo)
-            if len(new) > self.most // 4:
-                self.learn(list(new))
-                new.clear()
+    def _first(self, word: str) -> bytes:
+        """The ids of a text's first word, which no space stands before."""
+        return b"".join(np.array(self.bpe.merge(p.encode()), "<u4").tobytes() for p in self.bpe.words.findall(word))
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts without special tokens. What their words lack in the memo is learned together."""
+        split = [words_of(t) for t in texts]
+        heads = [x.pop(0) for x in split]
+        new = set().union(*split).difference(self.memo)
         if new:
+            if len(self.memo) + len(new) > self.most:
+                self.memo.clear()
+                new = set().union(*split)
             self.learn(list(new))
+        return [b"".join([self._first(h), *map(self.memo.__getitem__, x)]) for h, x in zip(heads, split)]
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; strings of special tokens become those tokens.
+
+        Texts are taken together up to about `TOGETHER` characters, so that the memo needs room for the words of these alone."""
+        held: list[str] = []
+        size = 0
+        for t in texts:
+            if self.special is not None and any(s in t for s in self.bpe.specials):
+                yield from self._plain(held)
+                held, size = [], 0
+                parts = self.special.split(t)
+                plain = iter(self._plain([p for p in parts if p not in self.bpe.specials]))
+                yield b"".join(np.array([self.bpe.specials[p]], "<u4").tobytes() if p in self.bpe.specials else next(plain) for p in parts)
+                continue
+            held.append(t)
+            size += len(t)
+            if size > TOGETHER:
+                yield from self._plain(held)
+                held, size = [], 0
+        yield from self._plain(held)
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers; strings of special tokens become those tokens."""
-        if self.special is None or not any(s in text for s in self.bpe.specials):
-            return self._plain(text)
-        return b"".join(np.array([self.bpe.specials[p]], "<u4").tobytes() if p in self.bpe.specials else self._plain(p) for p in self.special.split(text))
+        return next(self.encode_all([text]))
 
     def decode(self, ids: bytes) -> str:
         """Special tokens are kept; bytes that are no UTF-8 become U+FFFD."""
@@ -277,9 +285,7 @@ def _encoded(docs: DataFrame, tokenizer: str, lexicon: str, digests: bool) -> Da
         for b in batches:
             out = []
             texts = [t or "" for t in b.column(1).to_pylist()]
-            enc.prepare(texts)
-            for t in texts:
-                ids = enc.encode(t)
+            for ids in enc.encode_all(texts):
                 text = enc.decode(ids)
                 out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) if digests else (np.frombuffer(ids, "<u4").astype(np.int32), text))
             kinds = ((pa.int64(), pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.string()))

@@ -73,8 +73,8 @@ def test_bpe(spark, edge, none):
     words = ["".join(rng.choices("abtheing érſ😀xyz", k=rng.randint(1, 30))) for _ in range(3_000)] + ["", "a", " a", "x" * 500]
     assert [np.frombuffer(m, "<u4").tolist() for m in lexicon.Encoder(bpe, None).merge(words)] == [tok.encode(w, add_special_tokens=False).ids for w in words]
     forgetful, texts = lexicon.Encoder(bpe, None, most=40), [" ".join(rng.choices(words, k=60)) for _ in range(20)]
-    forgetful.prepare(texts)
-    assert [np.frombuffer(forgetful.encode(t), "<u4").tolist() for t in texts] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    texts += ["", " ", "a ", " a", "a  b", "x <|endoftext|> y", "a \x1cb", "a \u00a0b c", "a\u2003 b"]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in forgetful.encode_all(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_packing(spark, edge, none):
