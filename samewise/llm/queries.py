@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from samewise.llm import jaccard, langid, lexicon, packing, pii, quality, secrets, templates, toxicity, vectors
+from samewise.llm import jaccard, langid, lengths, lexicon, packing, pii, quality, secrets, templates, toxicity, vectors
 from samewise.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,5 +52,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_lines, op4_jaccard, op5_bpe, op6_embeddings, op7_langid, op8_pii, op9_quality, op10_packing)} | {"pipeline": corpus_pipeline.run}
+def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.count(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_lines, op4_jaccard, op5_bpe, op6_embeddings, op7_langid, op8_pii, op9_quality, op10_packing, op13_tokens)} | {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
