@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from samewise.llm import jaccard, langid, lengths, lexicon, packing, pii, quality, secrets, templates, toxicity, vectors
+from samewise.llm import jaccard, langid, lengths, lexicon, packing, pii, quality, search, secrets, templates, toxicity, vectors
 from samewise.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,9 +52,26 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.count(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_lines, op4_jaccard, op5_bpe, op6_embeddings, op7_langid, op8_pii, op9_quality, op10_packing, op13_tokens)} | {"pipeline": corpus_pipeline.run}
-ORACLES: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_lines, op4_jaccard, op5_bpe, op6_embeddings, op7_langid, op8_pii, op9_quality, op10_packing, op11_search, op13_tokens)} | {"pipeline": corpus_pipeline.run}
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+#: Scores of all pairs of an item and a document that share a term, by the formula alone.
+SEARCH_SQL = f"""with d as (select row_number() over () as r, doc_id, {_TERMS} as terms from documents),
+  sized as (select r, doc_id, len(terms) as n, terms from d where len(terms) > 0),
+  whole as (select count(*) as n_docs, sum(n)::bigint as n_terms from sized),
+  tf as (select r, doc_id, n, term, count(*) as tf from (select r, doc_id, n, unnest(terms) as term from sized) group by all),
+  asked as (select distinct item_id, unnest({_TERMS}) as term from benchmark),
+  df as (select term, count(*) as df from tf where term in (select term from asked) group by term),
+  weights as (select term, floor(1000 * ln((2.0::double * n_docs + 2) / (2.0::double * df + 1)))::bigint as w from df, whole),
+  impacts as (select r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))) as impact from tf join weights using (term), whole),
+  scores as (select item_id, r, doc_id, sum(impact)::bigint as score from asked join impacts using (term) group by all having sum(impact) > 0)
+select item_id, rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id, r)::int as rank from scores) where rank <= 50"""
+ORACLES: dict[str, str] = {"op11_search": SEARCH_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
