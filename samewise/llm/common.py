@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from samewise.operators.graph import discard  # noqa: F401  goes with cut()
+
 
 def tidy(run: Callable, *caches) -> Callable:
     """run, and then the worker's memory given back: workers outlive a stage, and the next one's share the executor's memory."""
@@ -64,14 +66,16 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, label: str) -> DataFrame:
     """df as a written Parquet table in the shared folder: lineage ends there, so a lost executor costs no recomputation.
 
-    The table goes when the application ends."""
+    The table goes when the application ends, or earlier by discard()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/samewise-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
 def put_shared(spark: SparkSession, name: str, content: bytes) -> str:
