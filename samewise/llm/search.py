@@ -18,11 +18,12 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import partial, reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from samewise.llm.common import bounded_batches, cut
+from samewise.llm.common import bounded_batches, cut, discard
 
 #: What a term is, the scale of weights and of scores, the share of a document's length in its norm.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -31,6 +32,7 @@ WEIGHT, SCALE, HALF = 1_000, 1_000_000_000, 50
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SLICE = 20_000  # postings of a list that one task sorts, about
 BLOCK = 4_000_000  # characters of items that are answered together
+CELLS, POSTINGS = 2_000_000, 20_000  # sums of documents and items, and postings, that a task works on at once
 BROADCAST = 1_000_000  # candidates that are broadcast at most, as pairs of numbers
 
 
@@ -59,6 +61,53 @@ def _vectors(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([b.column(1), pa.array(sizes, pa.int64()), pa.array(found, kind)], names=["doc_id", "n", "terms"])
 
 
+class _Plan:
+    """The items of each term, and what holds for each item: terms, bound and threshold."""
+
+    def __init__(self, items: list, known: dict[str, int], bounds: list[int]):
+        pairs = np.array(sorted((known[t], i) for i, (_, own) in enumerate(items) for t in own), np.int64).reshape(-1, 2)
+        self.items, self.starts = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(known) + 1))
+        self.m, self.bound = np.array([len(own) for _, own in items], np.int64), np.array(bounds, np.int64)
+        self.least = np.maximum(1, -(-self.bound // self.m))
+        self.floors = np.minimum.reduceat(self.least[self.items], self.starts[:-1])
+
+    def possible(self, doc: np.ndarray, term: np.ndarray, impact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents (numbered from 0) and items whose bound the documents' postings, and less than the threshold for each list that lacks, can reach."""
+        n, size = self.starts[term + 1] - self.starts[term], len(self.m)
+        each = np.repeat(np.arange(len(term)), n)
+        item = self.items[np.repeat(self.starts[term] - np.cumsum(n) + n, n) + np.arange(len(each))]
+        over = impact[each] >= self.least[item]
+        each, item = each[over], item[over]
+        cell, cells = doc[each] * size + item, (int(doc[-1]) + 1) * size
+        seen = np.bincount(cell, impact[each], cells).astype(np.int64).reshape(-1, size)  # sums far below 2^53, so exact
+        lists = np.bincount(cell, minlength=cells).reshape(-1, size)
+        return np.nonzero((lists > 0) & (seen + (self.m - lists) * (self.least - 1) >= self.bound))
+
+
+def _possible(batches: Iterator[pa.RecordBatch], plan: _Plan) -> Iterator[pa.RecordBatch]:
+    """item, row of what plan.possible() leaves; postings come by row, and a batch's last document waits for the next batch."""
+    docs_at_once = max(1, CELLS // len(plan.m))
+    held = [np.zeros(0, np.int64)] * 3
+
+    def done(row, term, impact):
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])[: len(row)])
+        a = 0
+        while a < len(first):
+            b = min(len(first), a + docs_at_once, max(a + 1, int(np.searchsorted(first, first[a] + POSTINGS, "right")) - 1))
+            lo, hi = first[a], first[b] if b < len(first) else len(row)
+            doc, item = plan.possible(np.repeat(np.arange(b - a), np.diff(np.append(first[a:b], hi))), term[lo:hi], impact[lo:hi])
+            yield pa.RecordBatch.from_arrays([pa.array(item, pa.int32()), pa.array(row[first[a + doc]], pa.int64())], names=["item", "row"])
+            a = b
+
+    for b in batches:
+        held = [np.concatenate([h, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, b.columns)]
+        if len(held[0]):
+            to = int(np.searchsorted(held[0], held[0][-1]))
+            yield from done(*(h[:to] for h in held))
+            held = [h[to:] for h in held]
+    yield from done(*held)
+
+
 def _blocks(items: DataFrame, block: int) -> Iterator[list]:
     """Items with their terms, about `block` characters of their texts at a time: what the driver holds at once."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
@@ -123,13 +172,14 @@ def _answer(texts: DataFrame, items: list, k: int, depth: int) -> DataFrame:
     # phase 1: a bound of the k-th best score, 0 where fewer documents were met
     heads = lists.where(F.col("place") <= depth).join(asked, "term").groupBy("item", "row").agg(F.sum("impact").alias("seen"))
     probes = cut(best(heads, 4 * k, F.desc("seen"), "row").select("item", "row"), "probes")
-    bound = best(looked_up(probes, len(items) * 4 * k), k, F.desc("score"), "row").where(F.col("rank") == k).select("item", F.col("score").alias("bound"))
-    # phase 2: each list down to an m-th of the bound; a row for each item and term
-    least = F.greatest(F.lit(1), F.ceil(F.col("bound") / F.col("m"))).cast("long")
-    down_to = cut(asked.join(F.broadcast(bound), "item", "left").na.fill(0, ["bound"]).withColumn("least", least), "thresholds")
-    met = lists.join(F.broadcast(down_to), "term").where(F.col("impact") >= F.col("least"))
-    sums = met.groupBy("item", "row").agg(F.sum("impact").alias("seen"), F.count("*").alias("lists"), F.first("m").alias("m"), F.first("bound").alias("bound"), F.first("least").alias("least"))
-    left = sums.where(F.col("seen") + (F.col("m") - F.col("lists")) * (F.col("least") - 1) >= F.col("bound"))
+    kth = best(looked_up(probes, len(items) * 4 * k), k, F.desc("score"), "row").where(F.col("rank") == k).select("item", "score")
+    bounds = dict(map(tuple, kth.collect()))  # a number for each item
+    # phase 2: each list down to the least threshold of the items that hold its term; what a document adds up to is seen where its postings meet
+    plan = _Plan(items, known, [bounds.get(i, 0) for i in range(len(items))])
+    least = F.broadcast(spark.createDataFrame([(t, int(x)) for t, x in enumerate(plan.floors)], "term int, least long"))
+    met = lists.join(least, "term").where(F.col("impact") >= F.col("least")).select("row", "term", "impact").repartition("row").sortWithinPartitions("row")
+    candidates = cut(met.mapInArrow(partial(_possible, plan=plan), "item int, row long"), "candidates")
+    discard(lists)
     # phase 3
-    ranked = best(looked_up(cut(left.select("item", "row"), "candidates")), k, F.desc("score"), F.asc_nulls_last("doc_id"), "row")
+    ranked = best(looked_up(candidates), k, F.desc("score"), F.asc_nulls_last("doc_id"), "row")
     return ranked.join(names, "item").select("item_id", "rank", "doc_id", "score")
