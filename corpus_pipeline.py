@@ -43,13 +43,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of least doc_id (of several rows of that id, the one of least text hash).
 
-    Documents are told apart by doc_id and text, as ids may be shared; of rows that repeat both one stays; what shares no
-    n-gram set stays; so do documents without an id, which belong to no group."""
+    Documents are told apart by doc_id and text, as ids may be shared, and groups by the operator's key; of rows that repeat both
+    one stays. What shares no n-gram set, and a document without an id, is in no group and stays, whatever its id."""
     body = F.xxhash64("text").alias("body")
     rows = docs.select(*COLUMNS)
-    found = cut(jaccard.join(rows.withColumn("body", body), keep=("body",)).select("doc_id", "body", "class_id", "kept"), "found")
-    first = found.where("kept and class_id is not null").groupBy("class_id").agg(F.min("body").alias("first"))
-    several = found.join(first, "class_id").where("not kept or body <> first").select(F.col("doc_id").alias("id"), F.col("body").alias("of")).distinct()
+    found = jaccard.join(rows.withColumn("body", body), keep=("body",)).where("class_key is not null")
+    found = cut(found.select("class_key", "doc_id", "body"), "found")
+    first = found.groupBy("class_key").agg(F.min(F.struct("doc_id", "body")).alias("first"))
+    # a row for each document of a group of several but the first
+    several = found.join(first, "class_key").where(F.struct("doc_id", "body") != F.col("first")).select(F.col("doc_id").alias("id"), F.col("body").alias("of")).distinct()
     repeated = found.groupBy(F.col("doc_id").alias("id"), F.col("body").alias("of")).count().where("count > 1").select("id", "of")
 
     def among(keys: DataFrame, how: str, left: DataFrame) -> DataFrame:

@@ -256,7 +256,10 @@ def _dealt(grouped: DataFrame, crowded: DataFrame, most: int) -> DataFrame:
 
 
 def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9995, most_broadcast: int = 1_000_000, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, class_id (least doc_id that links reach, itself included), copy_of (least doc_id of equal set), n_links (other documents linked directly), kept, and the columns `keep`, for every row of docs."""
+    """For every row of docs: doc_id, class_id (least doc_id that links reach, itself included), copy_of (least doc_id of equal set), n_links
+    (other documents linked directly), kept, class_key and the columns `keep`.
+
+    Ids may be shared by different texts; class_key names a class without them (a hash of one of its sets), null for a row that is compared with nothing."""
     bounded_batches(docs.sparkSession)
     signed = cut(_signed(docs, Bands(*plan_bands(threshold, recall)), keep), "signed")
     known = signed.where("key is not null and doc_id is not null")
@@ -274,9 +277,9 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9995, most_b
     by_class = classes.select("key", "rep", "copies").join(links.groupBy("key").agg(F.sum("n").alias("n")), "key", "left").join(linked.withColumnRenamed("id", "key"), "key", "left")
     by_class = cut(by_class.select("key", "rep", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "key").alias("component")), "classes")
     least = by_class.groupBy("component").agg(F.min("rep").alias("class_id"))
-    named = cut(by_class.join(least, "component").select("key", "rep", "n_links", "class_id"), "classes")
+    named = cut(by_class.join(least, "component").select("key", "rep", "n_links", "class_id", F.col("component").alias("class_key")), "classes")
     passed = [F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)]
-    compared = known.join(named, "key").select("doc_id", "class_id", F.col("rep").alias("copy_of"), "n_links", *passed)
-    alone = signed.where("key is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"), *passed)
+    compared = known.join(named, "key").select("doc_id", "class_id", F.col("rep").alias("copy_of"), "n_links", "class_key", *passed)
+    alone = signed.where("key is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("class_key"), *passed)
     out = compared.unionByName(alone)
-    return out.select("doc_id", "class_id", "copy_of", "n_links", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"), *keep)
+    return out.select("doc_id", "class_id", "copy_of", "n_links", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"), "class_key", *keep)

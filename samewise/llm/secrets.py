@@ -36,8 +36,10 @@ LEAST_SWITCHES = 3  # between letters and digits, or cases: words, numbers and n
 #: Candidates that look random but are public: UUIDs, content hashes under their name, addresses, placeholders.
 ALLOWED = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|sha(1|256|384|512)-[A-Za-z0-9+/_-]+")
 PLACEHOLDER = re.compile(r"EXAMPLE|example|sample|placeholder|changeme|0?123456789|abcdefghij|ABCDEFGHIJ")
-ALLOWED_BEFORE = ("://", "@", "www.", "urn:uuid:", "sha1:", "sha256:", "md5:", "//")
-STOPS = re.compile(r"""[\s"'`,;|<>()\[\]{}]""")  # what ends the token that a candidate is in; of that, 200 characters are looked at
+#: After one of these nothing of a token is a secret: addresses, and hashes under their name.
+ALLOWED_BEFORE = re.compile(r"@|www\.|urn:uuid:|sha1:|sha256:|md5:|:(?=//)", re.I | re.A)
+TOKEN = re.compile(r"""[^\s"'`,;|<>()\[\]{}]{20,}""")  # what a candidate lies in, whole; texts are walked through once
+SLASHES = re.compile(r"^//+")
 XLOGX = [0.0] + [i * math.log2(i) for i in range(1, WINDOW + 2)]  # a window and the character that comes
 
 
@@ -123,20 +125,15 @@ def entropy_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str
         k = bisect_left(starts, e)  # the spans before it begin before the end
         return not k or reach[k - 1] <= s
 
-    for m in CANDIDATE.finditer(text):
-        if m[0].startswith("//"):
-            continue
-        head = None
-        for piece in PIECE.finditer(m[0]):
-            if ALLOWED.fullmatch(piece[0]) or not (parts := random_parts(piece[0])):
-                continue
-            if head is None:
-                head = STOPS.split(text[max(0, m.start() - 200) : m.start()])[-1].lower()
-            before = head + m[0][max(0, piece.start() - 200) : piece.start()].lower()
-            if any(x in before for x in ALLOWED_BEFORE):
-                continue
-            at = m.start() + piece.start()
-            out += [("entropy", at + s, at + e) for s, e in parts if free(at + s, at + e)]
+    for t in TOKEN.finditer(text):
+        public = ALLOWED_BEFORE.search(t[0])
+        for m in CANDIDATE.finditer(t[0], 0, public.end() if public else len(t[0])):  # neither lies across such a sign: '@', ':' and '.' part candidates
+            for piece in PIECE.finditer(m[0]):
+                own = SLASHES.sub("", piece[0])  # of a comment
+                if len(own) < WINDOW or ALLOWED.fullmatch(own) or not (parts := random_parts(own)):
+                    continue
+                at = t.start() + m.start() + piece.end() - len(own)
+                out += [("entropy", at + s, at + e) for s, e in parts if free(at + s, at + e)]
     return out
 
 

@@ -18,14 +18,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from samewise.llm.common import bounded_batches, crc_mod
 
 LENGTH, SPAN, DECAY, POWER = 4, 6, 0.7, 3
-LONGEST = 40  # characters of a word; what is longer is several words, see pieces()
-PIECE, STEP = 12, 2
+#: Windows of a token's letters, see forms(): characters, and from one to the next.
+WINDOWS = ((12, 2), (40, 10))
+LONGEST = WINDOWS[-1][0]  # of a landmark
 #: By offset of the last character: the offsets of a subsequence, and its weight.
 SHAPES = [((0, *c, s), DECAY**s) for s in range(LENGTH - 1, SPAN) for c in combinations(range(1, s), LENGTH - 2)]
 SPACED = re.compile(r"(?<!\S)\w(?:[ _.*-]\w){3,}(?!\S)")
@@ -33,6 +34,7 @@ NOISE = re.compile(r"[\W_]+")
 ENDS = (".", "!", "?")
 BIG = 1 << 20
 TOP = 4
+MOST_TEXTS = 3  # of a labelled id that rows share, to learn from
 WORDS = 24  # tokens of a sentence at most: what is longer is several
 
 
@@ -43,7 +45,7 @@ def cleaned(token: str) -> str:
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, code, value): the weighted distinct subsequences of each of at most 4,096 words, of length 1 together, sorted by word."""
     n = len(words)
-    marked = [f"^{w[:LONGEST]}$" for w in words]
+    marked = [f"^{w}$" for w in words]
     size = np.array([len(w) for w in marked], np.int64)
     flat = np.frombuffer("".join(marked).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
     start = np.cumsum(size) - size
@@ -72,7 +74,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Kernel:
-    """Kernels of words with fixed landmarks."""
+    """Kernels of tokens with fixed landmarks."""
 
     def __init__(self, landmarks: list[str]):
         self.n = len(landmarks)
@@ -81,7 +83,26 @@ class Kernel:
         self.table = np.zeros((len(self.codes), self.n), np.float32)
         self.table[at, word] = value
 
-    def rows(self, words: list[str]) -> np.ndarray:
+    def rows(self, tokens: list[str]) -> np.ndarray:
+        """By token and landmark: the kernel of the nearest of the token's forms."""
+        out = np.zeros((len(tokens), self.n), np.float32)
+        own: list[list[str]] = []
+        a = 0
+        for b, t in enumerate(tokens, 1):
+            own.append(forms(t))
+            if sum(map(len, own)) < 4096 and b % 1024 and b < len(tokens):
+                continue
+            flat = list(dict.fromkeys(w for x in own for w in x))
+            at = {w: i for i, w in enumerate(flat)}
+            found = self.plain(flat)
+            place = np.array([at[w] for x in own for w in x], np.int64)
+            size = np.array([len(x) for x in own], np.int64)
+            out[a:b] = np.maximum.reduceat(found[place], np.cumsum(size) - size, axis=0)
+            own, a = [], b
+        return out
+
+    def plain(self, words: list[str]) -> np.ndarray:
+        """By word and landmark, each word as it is."""
         out = np.zeros((len(words), self.n), np.float32)
         for i in range(0, len(words), 4096):
             word, code, value = features(words[i : i + 4096])
@@ -97,24 +118,23 @@ class Kernel:
         return out**POWER
 
 
-def pieces(token: str) -> list[str]:
-    """A token of a word longer than LONGEST as its parts between separators, those still longer as overlapping pieces.
+def forms(token: str) -> list[str]:
+    """What a token is compared as; the form nearest to a landmark counts for it.
 
-    Overlaps have PIECE - STEP characters, so that an insult of that length is whole in a piece; the last one ends what the token ends."""
-    if len(token) <= LONGEST or len(cleaned(token)) <= LONGEST:
-        return [token]
-    out = []
-    for p in NOISE.split(token):
-        out += [p] if len(p) <= LONGEST else [p[i : i + PIECE] for i in range(0, len(p) - PIECE + STEP, STEP)]
-    out = [p for p in out if p]
-    return [*out[:-1], out[-1] + token[-1]] if token.endswith(ENDS) else out
+    Of its letters without separators, and of each part between separators, all windows of 12 characters (every second one) and of 40
+    (every tenth), the last one up to the end; what is shorter is a window as a whole. So a word inside a longer token is met alike
+    whatever the token's length."""
+    out = {}
+    for w in dict.fromkeys([cleaned(token), *filter(None, NOISE.split(token))]):
+        for size, step in WINDOWS:
+            out.update((w[i : i + size], None) for i in (*range(0, len(w) - size, step), max(0, len(w) - size)))
+    return list(out)
 
 
 def tokens_of(text: str) -> list[str]:
-    """Tokens of a text, long ones in pieces, a full stop for each line's end; runs of single characters come again as one word each."""
+    """Tokens of a text, a full stop for each line's end; runs of single characters come again as one word each."""
     low = text.lower()
-    every = low.replace("\n", " . ").split() + [t for m in SPACED.finditer(low) for t in (".", cleaned(m[0]))]
-    return [p for t in every for p in (pieces(t) if len(t) > LONGEST else (t,))]
+    return low.replace("\n", " . ").split() + [t for m in SPACED.finditer(low) for t in (".", cleaned(m[0]))]
 
 
 def starts_of(ends: np.ndarray) -> np.ndarray:
@@ -125,12 +145,12 @@ def starts_of(ends: np.ndarray) -> np.ndarray:
 
 
 def sentences(text: str) -> list[list[str]]:
-    """The words of each sentence."""
+    """The tokens of each sentence that hold a letter or digit."""
     tokens = tokens_of(text)
     if not tokens:
         return []
     starts = [*starts_of(np.array([t.endswith(ENDS) for t in tokens])).tolist(), len(tokens)]
-    out = [[w for t in tokens[a:b] if (w := cleaned(t))] for a, b in zip(starts, starts[1:])]
+    out = [[t for t in tokens[a:b] if cleaned(t)] for a, b in zip(starts, starts[1:])]
     return [s for s in out if s]
 
 
@@ -149,10 +169,9 @@ class Model:
         """A token's share of its sentence's score, BIG more if it ends one."""
         if len(self.memo) + len(tokens) > most:
             self.memo.clear()
-        words = [cleaned(t) for t in tokens]
-        share = self.kernel.rows(words) @ self.weights
-        for t, w, s in zip(tokens, words, share.tolist()):
-            self.memo[t] = (s if w else 0.0) + (BIG if t.endswith(ENDS) else 0)
+        share = self.kernel.rows(tokens) @ self.weights
+        for t, s in zip(tokens, share.tolist()):
+            self.memo[t] = (s if cleaned(t) else 0.0) + (BIG if t.endswith(ENDS) else 0)
 
     def margins(self, text: str) -> np.ndarray:
         """The TOP highest sentences' scores, from the highest on; a sentence without words for each that lacks."""
@@ -185,7 +204,7 @@ def _landmarks(toxic: list[list[list[str]]], clean: list[list[list[str]]], n: in
     Beginnings, whole words among them, are ranked by the log-likelihood ratio of their documents' classes, so that a stem
     counts over all words that it begins. As so many are tried, the ratio must exceed what chance gives the best of them.
     Of those that begin alike the first stands, and gives the words that most toxic documents hold."""
-    sets = [[{w for s in d for w in s} for d in docs] for docs in (toxic, clean)]
+    sets = [[{w for s in d for w in s if len(w) <= LONGEST} for d in docs] for docs in (toxic, clean)]
     t, c = (Counter(w for ws in docs for w in ws) for docs in sets)
     heads = lambda w: {f"{w}$"[:k] for k in range(3, min(len(w) + 1, 9) + 1)}
     held = [Counter(g for ws in docs for g in {g for w in ws for g in heads(w)}) for docs in sets]
@@ -242,11 +261,11 @@ def train(toxic: list[str], clean: list[str], landmarks: int = 128, rounds: int
     if not toxic or not clean:
         return Model(None)
     split = [[sentences(t) for t in docs] for docs in (toxic, clean)]
-    marks, n_telling = _landmarks(*split, landmarks)
+    marks, n_telling = _landmarks(*([[[cleaned(t) for t in s] for s in d] for d in docs] for docs in split), landmarks)
     if not n_telling:
         return Model(None)
     kernel = Kernel(marks)
-    among = kernel.rows(marks).astype(float)
+    among = kernel.plain(marks).astype(float)
     values, vectors = np.linalg.eigh((among + among.T) / 2)
     keep = values > 1e-4 * values[-1]
     root = vectors[:, keep] / np.sqrt(values[keep])
@@ -304,11 +323,14 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 1_500, longest: int = 20
     """Trained on `each` toxic documents and twice as many clean ones at most, in the order of a hash of the id, of `longest` characters
     at most, and on `sentences_most` sentences of the clean ones at most.
 
-    docs: doc_id, text; labels: doc_id, toxic. Both hold what may be learned from only."""
-    known = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    docs: doc_id, text; labels: doc_id, toxic. Both hold what may be learned from only. An id with both labels is toxic; rows that repeat
+    an id and its text count once, and of an id's different texts the MOST_TEXTS least by hash."""
+    known = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, each), (0, 2 * each))]
     ids = F.broadcast(drawn[0].unionByName(drawn[1]))  # 3 * `each` rows
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= longest).join(ids, "doc_id").orderBy("toxic", "doc_id", "text").collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= longest).join(ids, "doc_id").distinct()
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    rows = rows.withColumn("nth", nth).where(F.col("nth") <= MOST_TEXTS).orderBy("toxic", "doc_id", "text").collect()  # 3 * `each` * MOST_TEXTS
     return train([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0], sentences_most=sentences_most)
 
 

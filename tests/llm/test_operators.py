@@ -174,11 +174,17 @@ def slow_entropy(text, base):
     """Entropy spans, window by window."""
     bits = lambda w: -sum(c / 20 * math.log2(c / 20) for c in Counter(w).values())
     out = []
+    stops = set("""\"'`,;|<>()[]{}""")
     for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
-        head = re.split(r"""[\s"'`,;|<>()\[\]{}]""", text[max(0, m.start() - 200) : m.start()])[-1]
+        start = m.start()
+        while start and not (text[start - 1] in stops or re.match(r"\s", text[start - 1])):
+            start -= 1
         for p in re.finditer("[^=]{20,}", m[0]):
-            before = (head + m[0][max(0, p.start() - 200) : p.start()]).lower()
-            if m[0].startswith("//") or secrets.ALLOWED.fullmatch(p[0]) or any(x in before for x in secrets.ALLOWED_BEFORE):
+            to = m.start() + p.start()
+            signs = ("@", "www.", "urn:uuid:", "sha1:", "sha256:", "md5:")
+            lead = len(p[0]) - len(p[0].lstrip("/"))
+            p = re.compile("[^=]{20,}").search(m[0], p.start() + (lead if lead > 1 else 0), p.end())
+            if not p or secrets.ALLOWED.fullmatch(p[0]) or any(text[i:to].lower().startswith(x) for i in range(start, to) for x in signs) or any(text[i : i + 3] == "://" for i in range(start, to)):
                 continue
             held = {i for x in secrets.PLACEHOLDER.finditer(p[0]) for i in range(*x.span())}
             good = [i for i in range(len(p[0]) - 19) if not held & set(range(i, i + 20)) and (k := secrets.char_class(p[0][i : i + 20])) and bits(p[0][i : i + 20]) >= secrets.LEAST_BITS[k] - 1e-12]
@@ -194,7 +200,7 @@ def test_secrets_by_brute_force(spark):
     rng = random.Random(14)
     key = lambda signs, n: "".join(rng.choices(signs, k=n))
     signs = ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefXYZ0123456789/_-", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]
-    part = lambda: rng.choice([" ", "\n", "password: ", "TOKEN = ", "ſecret=", "api_Key:'", '"', "AKIA", "https://x.org/", "a@b.c,", "=", "example", "é", "😀", "sha256:", key(rng.choice(signs), rng.randint(4, 60)), key(rng.choice(signs), rng.randint(16, 40))])
+    part = lambda: rng.choice([" ", "\n", " //", "://", "/", "//", "password: ", "TOKEN = ", "ſecret=", "api_Key:'", '"', "AKIA", "https://x.org/", "a@b.c,", "=", "example", "é", "😀", "sha256:", key(rng.choice(signs), rng.randint(4, 60)), key(rng.choice(signs), rng.randint(16, 40))])
     rows = [(i, "".join(part() for _ in range(rng.randint(1, 14)))) for i in range(400)]
     more = 0
     for r in secrets.scan(docs(spark, rows)).collect():
@@ -227,7 +233,11 @@ def test_entropy_allow_list_looks_at_the_token_only():
     found = lambda t: [t[a:b] for _, a, b in secrets.entropy_spans(t, [])]
     for t in (f"see https://x.com/docs\n{key}", f"a@b.org,{key}", f'{{"m":"a@b.org","k":"{key}"}}', f"a@b.org,{'x,' * 50_000}{key}", f"http://x.com\t{key}"):
         assert found(t) == [key], t[:60]
-    for t in (f"https://x.com/{key}", f"see https://x.com/?q=1&k.{key}", f"sha256:{key}", f"a@{key}"):
+    for t in (f"x = 1 //{key}", f"x = 1 // {key}", f"//////{key}"):
+        assert found(t) == [key], t
+    deep = "https://x.org/" + "a/b.c/" * 50
+    assert len(deep) > 300 and found("a/b.c/" * 50 + key)[0].endswith(key)
+    for t in (deep + key, f"https:{key[:0]}//{key}", f"https://x.com/{key}", f"see https://x.com/?q=1&k.{key}", f"sha256:{key}", f"a@{key}"):
         assert not found(t)
 
 
@@ -462,17 +472,46 @@ def test_toxicity_counts_all_of_a_long_token():
     toxic = [f"{c} you {rng.choice(['zorkhead', 'zorkish', 'blemface'])} go." for c in clean[:80]]
     model = toxicity.train(toxic, [f"{c} you {rng.choice(words)} go." for c in clean[80:]])
     long = rng.choices(words, k=20)
-    at = len("_".join(long[:16])) + 1
-    assert at >= 80
     for sep in ("_", ".", "/", ""):
         rude = sep.join([*long[:16], "zorkhead", *long[16:]])
-        assert model.margins(rude)[0] > model.margins(sep.join(long))[0], sep
-        assert not sep or np.allclose(model.margins(rude), model.margins(rude.replace(sep, " ")))
-    for n in (40, 41, 42, 43, 100):
+        assert rude.index("zorkhead") > 80 and model.margins(rude)[0] > model.margins(sep.join(long))[0], sep
+    kernel = toxicity.Kernel(["zorkhead"])
+    assert kernel.rows(["stone_zorkhead_river"])[0, 0] == pytest.approx(1)  # a part between separators
+
+
+def test_a_word_inside_a_token_counts_alike_at_every_length():
+    rng = random.Random(6)
+    kernel = toxicity.Kernel(["zorkhead"])
+    pad = lambda n: "".join(rng.choice("aeilmnstu") for _ in range(n))
+
+    def mean(n):
+        tokens = []
+        for _ in range(400):
+            i = rng.randint(0, n - 8)
+            tokens.append(pad(i) + "zorkhead" + pad(n - 8 - i))
+        return kernel.rows(tokens)[:, 0].mean()
+
+    means = [mean(n) for n in (12, 13, 16, 24, 32, 39, 40, 41, 42, 60, 100)]
+    assert max(means) <= 1.2 * min(means), means
+
+
+def test_forms_of_a_token():
+    rng = random.Random(7)
+    for n in (1, 11, 12, 13, 40, 41, 57, 300):
         t = "".join(rng.choices("abcdefgh", k=n))
-        p = toxicity.pieces(t + "!")
-        assert p[-1].endswith("!") and all(any(t[i : i + 10] in x for x in p) for i in range(n - 9)) and all(len(x) <= toxicity.LONGEST + 1 for x in p)
-    assert sum(len(s) for s in toxicity.sentences("_".join(long))) == 20
+        got = toxicity.forms(t + "!")
+        assert all(any(t[i : i + 10] in x for x in got) for i in range(max(1, n - 9))) and all(len(x) <= toxicity.LONGEST for x in got)
+        assert (t in got) == (n <= 40) and got == toxicity.forms(t)
+    assert toxicity.forms("z.o_r-k") == ["zork", "z", "o", "r", "k"] and toxicity.forms("...") == [""]
+
+
+def test_labels_that_contradict_and_copies_of_a_labelled_text(spark):
+    rows = [(i, f"plain words {i} here and there.") for i in range(60)] + [(i, f"you zorkhead {i} go.") for i in range(60, 90)]
+    labels = [(i, int(i >= 60)) for i in range(90)]
+    a = toxicity.fit(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    more = labels + [(i, 0) for i in range(60, 90)]
+    b = toxicity.fit(docs(spark, rows + rows[-1:] * 500), spark.createDataFrame(more[::-1], "doc_id long, toxic int"))
+    assert all(a.score(t) == b.score(t) for _, t in rows)
 
 
 def slow_statistics(text):
@@ -766,3 +805,40 @@ def test_pipeline_keeps_texts_that_share_an_id(spark):
     got = Counter((r.doc_id, r.text) for r in P.near_duplicates(spark, docs(spark, rows), "").collect())
     assert set(got.values()) == {1} and {x for x in got if x[0] in (1, 5)} == {(1, a), (5, b)}
     assert len([x for x in got if x[0] == 7]) == 1 and {(None, a), (None, None), (9, None), (9, "")} <= set(got)
+
+
+@pytest.mark.parametrize("case", range(4))
+def test_near_duplicates_lose_no_unrelated_text_of_a_shared_id(spark, case):
+    import corpus_pipeline as P
+
+    rng = random.Random(16)
+    a, b, c = (" ".join(f"w{rng.randint(0, 900)}" for _ in range(60)) for _ in range(3))
+    rows, want = [
+        ([(1, a), (1, b), (2, c)], {(1, a), (1, b), (2, c)}),
+        ([(9, None), (9, "")], {(9, None), (9, "")}),
+        ([(1, a), (1, None)], {(1, a), (1, None)}),
+        ([(1, a), (2, a + " x"), (1, b), (3, b + " y")], {(1, a), (1, b)}),
+    ][case]
+    got = [(r.doc_id, r.text) for r in P.near_duplicates(spark, docs(spark, rows), "").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_near_duplicates_with_shared_ids_by_brute_force(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(17)
+    base = [" ".join(f"w{rng.randint(0, 900)}" for _ in range(60)) for _ in range(12)]
+    rows = [(rng.randint(0, 15), rng.choice([rng.choice(base), rng.choice(base) + f" z{rng.randint(0, 3)}", None, "", "four words are few"])) for _ in range(150)]
+    words = lambda t: (t or "").lower().split()
+    grams = {t: {tuple(words(t)[i : i + 5]) for i in range(max(1, len(words(t)) - 4))} if words(t) else set() for t in {t for _, t in rows}}
+    texts = [t for t in grams if grams[t]]
+    links = [(x, y) for x in texts for y in texts if len(grams[x] & grams[y]) >= 0.8 * len(grams[x] | grams[y])]
+    group = {t: t for t in texts}
+    for _ in texts:
+        for x, y in links:
+            group[x] = group[y] = min(group[x], group[y])
+    got = Counter((r.doc_id, r.text) for r in P.near_duplicates(spark, docs(spark, rows), "").collect())
+    assert {x: n for x, n in got.items() if not grams[x[1]]} == {x: n for x, n in Counter(rows).items() if not grams[x[1]]}
+    kept = [x for x in got if grams[x[1]]]
+    assert sorted(group[t] for _, t in kept) == sorted(set(group.values())) and all(got[x] == 1 for x in kept)
+    assert all(i == min(j for j, u in rows if grams[u] and group[u] == group[t]) for i, t in kept)
