@@ -12,19 +12,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder of spark.checkpoint.dir, so that a lost executor costs no recomputation.
-
-    Where no folder is set, a temporary one on a single machine, and an error on a cluster. The table goes when the application
-    ends, or earlier by discard()."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where none is set, a temporary one on a single machine, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="samewise-"))
         base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/samewise-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, so that a lost executor costs no recomputation.
+
+    The table goes when the application ends, or earlier by discard()."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/samewise-{uuid.uuid4().hex}"
     df.write.parquet(path)
     files, at = _place(spark, path)
     files.deleteOnExit(at)
