@@ -33,6 +33,7 @@ LONG, LONG_DOCS, TINY_SHARE = 20, 2, 0.05
 WILD = "<*>"
 DIGIT = re.compile(r"[0-9]")
 SPACE = " \t\x0b\x0c\r"
+MOST_MARKS = 10_000_000  # lines that go, of all documents, whose places are broadcast at most: some 40 MB
 
 
 def tokens(line: str) -> list[str]:
@@ -131,7 +132,8 @@ def clean(docs: DataFrame, least_docs: int = 3, most: int = 500_000) -> DataFram
     gone = lines.join(_small(going, most), ["leaf", "shape"]).where(F.col("doc_id") != F.col("keeper"))
     counted, key, row, marks = (free_name(docs, n) for n in ("n_lines_dropped", "key", "row", "marks"))
     by_row = cut(gone.groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_set("line")).alias(marks)), "dropped")  # at most a document's own lines
-    joined = docs.withColumn(key, _row()).join(_small(by_row, most), F.col(key) == F.col(row), "left")
+    n, n_marks = by_row.agg(F.count("*"), F.coalesce(F.sum(F.size(marks)), F.lit(0))).first()
+    joined = docs.withColumn(key, _row()).join(F.broadcast(by_row) if n <= most and n_marks <= MOST_MARKS else by_row, F.col(key) == F.col(row), "left")
     # a mark for each line up to the last that goes, from the distances between those that go: one pass over the text's lines
     at = F.col(marks)
     before = F.concat(F.array(F.lit(-1)), F.slice(at, F.lit(1), F.size(at) - 1))

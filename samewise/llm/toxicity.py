@@ -31,8 +31,10 @@ LONGEST = WINDOWS[-1][0]  # of a landmark
 SHAPES = [((0, *c, s), DECAY**s) for s in range(LENGTH - 1, SPAN) for c in combinations(range(1, s), LENGTH - 2)]
 SPACED = re.compile(r"(?<!\S)\w(?:[ _.*-]\w){3,}(?!\S)")
 NOISE = re.compile(r"[\W_]+")
+AROUND = re.compile(r"^[\W_]+|[\W_]+$")
 ENDS = (".", "!", "?")
 BIG = 1 << 20
+TOGETHER = 1_000_000  # characters of texts that are scored together
 TOP = 4
 MOST_TEXTS = 3  # of a labelled id that rows share, to learn from
 WORDS = 24  # tokens of a sentence at most: what is longer is several
@@ -42,6 +44,11 @@ def cleaned(token: str) -> str:
     return NOISE.sub("", token)
 
 
+def bare(token: str) -> str:
+    """A token without what isn't a letter or digit at its ends; its forms are the token's."""
+    return token if token.isalnum() else AROUND.sub("", token)
+
+
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, code, value): the weighted distinct subsequences of each of at most 4,096 words, of length 1 together, sorted by word."""
     n = len(words)
@@ -86,19 +93,20 @@ class Kernel:
     def rows(self, tokens: list[str]) -> np.ndarray:
         """By token and landmark: the kernel of the nearest of the token's forms."""
         out = np.zeros((len(tokens), self.n), np.float32)
-        own: list[list[str]] = []
-        a = 0
-        for b, t in enumerate(tokens, 1):
-            own.append(forms(t))
-            if sum(map(len, own)) < 4096 and b % 1024 and b < len(tokens):
-                continue
-            flat = list(dict.fromkeys(w for x in own for w in x))
-            at = {w: i for i, w in enumerate(flat)}
-            found = self.plain(flat)
-            place = np.array([at[w] for x in own for w in x], np.int64)
+        for a in range(0, len(tokens), 4096):
+            own = [forms(t) for t in tokens[a : a + 4096]]
+            at: dict[str, int] = {}
+            place = np.array([at.setdefault(w, len(at)) for x in own for w in x], np.int64)
             size = np.array([len(x) for x in own], np.int64)
-            out[a:b] = np.maximum.reduceat(found[place], np.cumsum(size) - size, axis=0)
-            own, a = [], b
+            start = np.cumsum(size) - size
+            found = self.plain(list(at))
+            if len(place) == len(own):
+                out[a : a + len(own)] = found[place]
+                continue
+            for lo in range(0, len(own), 512):  # what a few tokens' forms give, so that a long token's many don't lie beside all others
+                hi = min(len(own), lo + 512)
+                end = start[hi] if hi < len(own) else len(place)
+                out[a + lo : a + hi] = np.maximum.reduceat(found[place[start[lo] : end]], start[lo:hi] - start[lo], axis=0)
         return out
 
     def plain(self, words: list[str]) -> np.ndarray:
@@ -124,6 +132,8 @@ def forms(token: str) -> list[str]:
     Of its letters without separators, and of each part between separators, all windows of 12 characters (every second one) and of 40
     (every tenth), the last one up to the end; what is shorter is a window as a whole. So a word inside a longer token is met alike
     whatever the token's length."""
+    if len(token) <= WINDOWS[0][0] and token.isalnum():
+        return [token]
     out = {}
     for w in dict.fromkeys([cleaned(token), *filter(None, NOISE.split(token))]):
         for size, step in WINDOWS:
@@ -145,12 +155,12 @@ def starts_of(ends: np.ndarray) -> np.ndarray:
 
 
 def sentences(text: str) -> list[list[str]]:
-    """The tokens of each sentence that hold a letter or digit."""
+    """The tokens of each sentence that hold a letter or digit, without what stands around them."""
     tokens = tokens_of(text)
     if not tokens:
         return []
     starts = [*starts_of(np.array([t.endswith(ENDS) for t in tokens])).tolist(), len(tokens)]
-    out = [[t for t in tokens[a:b] if cleaned(t)] for a, b in zip(starts, starts[1:])]
+    out = [[w for t in tokens[a:b] if (w := bare(t))] for a, b in zip(starts, starts[1:])]
     return [s for s in out if s]
 
 
@@ -165,37 +175,55 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"memo": {}}
 
-    def learn(self, tokens: list[str], most: int = 400_000) -> None:
+    def learn(self, tokens: list[str]) -> None:
         """A token's share of its sentence's score, BIG more if it ends one."""
-        if len(self.memo) + len(tokens) > most:
+        own = [bare(t) for t in tokens]
+        words = list(dict.fromkeys(own))
+        share = dict(zip(words, (self.kernel.rows(words) @ self.weights).tolist()))
+        for t, w in zip(tokens, own):
+            self.memo[t] = (share[w] if w else 0.0) + (BIG if t.endswith(ENDS) else 0)
+
+    def margins_all(self, texts: list[str], most: int = 400_000) -> np.ndarray:
+        """By text: the TOP highest sentences' scores, from the highest on; a sentence without words for each that lacks.
+
+        What the texts' tokens lack in the memo is learned together; the memo holds `most` tokens, or those of these texts."""
+        split = [tokens_of(t) for t in texts]
+        new = dict.fromkeys(t for x in split for t in x if t not in self.memo)
+        if len(self.memo) + len(new) > most:
             self.memo.clear()
-        share = self.kernel.rows(tokens) @ self.weights
-        for t, s in zip(tokens, share.tolist()):
-            self.memo[t] = (s if cleaned(t) else 0.0) + (BIG if t.endswith(ENDS) else 0)
+            new = dict.fromkeys(t for x in split for t in x)
+        new = list(new)
+        for i in range(0, len(new), 100_000):
+            self.learn(new[i : i + 100_000])
+        out = np.full((len(texts), TOP), self.bias)
+        for row, tokens in zip(out, split):
+            if tokens:
+                v = np.array([self.memo[t] for t in tokens])
+                ends = v > BIG / 2
+                v = v - BIG * ends
+                best = np.sort(np.add.reduceat(v, starts_of(ends)))[::-1][:TOP] + self.bias
+                row[: len(best)] = best
+        return out
 
     def margins(self, text: str) -> np.ndarray:
-        """The TOP highest sentences' scores, from the highest on; a sentence without words for each that lacks."""
-        out = np.full(TOP, self.bias)
-        tokens = tokens_of(text)
-        if not tokens:
-            return out
-        if new := [t for t in dict.fromkeys(tokens) if t not in self.memo]:
-            for i in range(0, len(new), 100_000):
-                self.learn(new[i : i + 100_000])
-            gone = [t for t in dict.fromkeys(tokens) if t not in self.memo]  # the memo was emptied meanwhile
-            for i in range(0, len(gone), 100_000):
-                self.learn(gone[i : i + 100_000], 1 << 62)
-        v = np.array([self.memo[t] for t in tokens])
-        ends = v > BIG / 2
-        v = v - BIG * ends
-        best = np.sort(np.add.reduceat(v, starts_of(ends)))[::-1][:TOP] + self.bias
-        out[: len(best)] = best
+        return self.margins_all([text])[0]
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        """The score of each text; about TOGETHER characters of them are worked on at once."""
+        if self.kernel is None:
+            return [0.0] * len(texts)
+        out: list[float] = []
+        held, size = [], 0
+        for i, t in enumerate(texts, 1):
+            held.append(t or "")
+            size += len(held[-1])
+            if size > TOGETHER or i == len(texts):
+                out += (1 / (1 + np.exp(-np.clip(self.margins_all(held) @ self.slopes + self.shift, -30, 30)))).tolist()
+                held, size = [], 0
         return out
 
     def score(self, text: str | None) -> float:
-        if self.kernel is None:
-            return 0.0
-        return float(1 / (1 + np.exp(-np.clip(self.margins(text or "") @ self.slopes + self.shift, -30, 30))))
+        return self.scores([text])[0]
 
 
 def _landmarks(toxic: list[list[list[str]]], clean: list[list[list[str]]], n: int) -> tuple[list[str], int]:
@@ -274,9 +302,10 @@ def train(toxic: list[str], clean: list[str], landmarks: int = 128, rounds: int
     split[1] = [[clean_sentences[i]] for i in rng.permutation(len(clean_sentences))[:sentences_most]]
     words = sorted({w for docs in split for d in docs for s in d for w in s})
     place = {w: i for i, w in enumerate(words)}
-    rows = kernel.rows(words)
-    mapped, near = (rows @ root).astype(np.float32), rows[:, :n_telling].max(1)
-    del rows
+    mapped, near = np.zeros((len(words), root.shape[1]), np.float32), np.zeros(len(words), np.float32)
+    for i in range(0, len(words), 20_000):
+        rows = kernel.rows(words[i : i + 20_000])
+        mapped[i : i + 20_000], near[i : i + 20_000] = rows @ root, rows[:, :n_telling].max(1)
 
     def matrix(docs):
         flat = [s for d in docs for s in d]
@@ -298,7 +327,7 @@ def train(toxic: list[str], clean: list[str], landmarks: int = 128, rounds: int
         w, bias = _svm(x, y, cost)
         score = xt @ w
     model = Model(kernel, (root @ w).astype(np.float32), bias)
-    x = np.array([model.margins(t) for t in toxic + clean])
+    x = np.vstack([model.margins_all((toxic + clean)[i : i + 100]) for i in range(0, len(toxic) + len(clean), 100)])
     label = np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))])
     model.slopes, model.shift = _logistic(x, label, np.where(label == 1, max(1.0, len(clean) / len(toxic) / 3), 1.0))
     return model
@@ -343,7 +372,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([sent.value.score(t.as_py()) for t in b.column(b.num_columns - 1)], pa.float64())], names=[*b.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sent.value.scores(b.column(b.num_columns - 1).to_pylist()), pa.float64())], names=[*b.schema.names[:-1], "score"])
 
     return own.mapInArrow(run, (schema + ", " if keep else "") + "score double")
 
