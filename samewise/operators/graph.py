@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,26 +83,28 @@ def cold_start(scores: DataFrame, least: float = 0.40) -> DataFrame:
         F.avg("score").alias("confidence"))
 
 
-#: Queries that meet a task's vectors at once, and queries that are broadcast together.
-QUERIES, TOGETHER = 512, 32_768
+#: Queries that meet a task's vectors at once, and bytes of queries that are broadcast together.
+QUERIES, BYTES = 512, 64 << 20
 
 
-def cosine_top(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
+def cosine_top(queries: DataFrame, vectors: DataFrame, k: int = 5, most_bytes: int = BYTES) -> DataFrame:
     """query_id, vec_id, cosine, position: the k nearest vectors of each query, itself left out; a flat scan.
 
-    queries: query_id, embedding. They are broadcast in parts of about TOGETHER, a scan of the vectors each, so that neither a task nor the
-    driver holds more. Each task keeps the k best of its own vectors for each query, and only these leave it. Zero vectors, nulls and
-    those that hold nulls have no neighbour; vectors of other lengths are no neighbours."""
+    queries: query_id, embedding. They are broadcast in parts of about `most_bytes`, a scan of the vectors each, so that neither a task nor
+    the driver holds more. Each task keeps the k best of its own vectors for each query, and only these leave it. Cosines are compared
+    with twelve places, ties by vec_id. Zero vectors, nulls and those that hold nulls have no neighbour; vectors of other lengths are
+    no neighbours."""
     spark = vectors.sparkSession
-    asked = queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("q"))
+    asked = written(queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("q")))
     held = vectors.where("embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, vec_id {held.schema['vec_id'].dataType.simpleString()}, cosine double"
-    parts = max(1, -(-asked.count() // TOGETHER))
+    size = asked.agg(F.coalesce(F.sum(F.size("q") * 8 + 64), F.lit(0))).first()[0]
+    parts = max(1, -(-size // most_bytes))
     scored = None
     for part in range(parts):
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect()
-        block = spark.sparkContext.broadcast(_Block([(r["query_id"], r["q"]) for r in rows]))
-        own = held.mapInPandas(lambda batches, block=block: _nearest(batches, block.value, k), schema)
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toArrow()
+        block = spark.sparkContext.broadcast(_Block(rows))
+        own = held.mapInArrow(lambda batches, block=block: _nearest(batches, block.value, k), schema)
         scored = own if scored is None else scored.unionByName(own)
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
     return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
@@ -112,35 +116,51 @@ def embedding_signals(nearest: DataFrame) -> DataFrame:
         F.concat(F.lit("embed:"), F.col("position").cast("string")).alias("signal"), "cosine")
 
 
+def _by_size(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """length, ids and unit vectors of what has a direction: no null and not all zero."""
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == size)
+        some = vectors.take(pa.array(at))
+        flat = some.flatten()
+        x = pc.fill_null(flat, float("nan")).to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
+        length = np.sqrt((x * x).sum(1))
+        good = length > 0  # false for NaN
+        if good.any():
+            yield size, ids.take(pa.array(at[good])), x[good] / length[good, None]
+
+
 class _Block:
     """Queries by length of their vectors: ids and unit vectors."""
 
-    def __init__(self, rows: list):
-        self.by_size: dict[int, tuple[list, np.ndarray]] = {}
-        for size in {len(q) for _, q in rows}:
-            own = [(i, q) for i, q in rows if len(q) == size and all(x is not None for x in q) and any(q)]
-            if own:
-                x = np.array([q for _, q in own], float)
-                self.by_size[size] = [i for i, _ in own], x / np.sqrt((x * x).sum(1))[:, None]
+    def __init__(self, rows: pa.Table):
+        rows = rows.combine_chunks()
+        ids, vectors = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in rows.columns)
+        self.kind = ids.type
+        self.by_size = {size: (own, x) for size, own, x in _by_size(ids, vectors)}
 
 
-def _nearest(batches: Iterator[pd.DataFrame], block: _Block, k: int) -> Iterator[pd.DataFrame]:
-    """The k best of all the batches' vectors for each query, ties by vec_id."""
-    best: dict = {}
+def _nearest(batches: Iterator[pa.RecordBatch], block: _Block, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of all the batches' vectors for each query."""
+    best: dict[int, pd.DataFrame] = {}
+    kind = None
     for rows in batches:
-        for size, (ids, queries) in block.by_size.items():
-            own = [(i, v) for i, v in zip(rows["vec_id"], rows["v"]) if len(v) == size and not any(x is None for x in v) and any(v)]
-            if not own:
+        kind = rows.column(0).type
+        for size, ids, x in _by_size(rows.column(0), rows.column(1)):
+            if size not in block.by_size:
                 continue
-            x = np.array([list(v) for _, v in own], float)
-            x /= np.sqrt((x * x).sum(1))[:, None]
-            for at in range(0, len(ids), QUERIES):
-                cosine = queries[at : at + QUERIES] @ x.T
-                least = np.sort(cosine, 1)[:, -min(k + 1, cosine.shape[1])]
-                for j, i in enumerate(ids[at : at + QUERIES]):
-                    some = np.flatnonzero(cosine[j] >= least[j])
-                    found = [(-cosine[j, c], own[c][0]) for c in some if own[c][0] != i]
-                    best[i] = sorted(best.get(i, []) + found)[:k]
-    rows = [(i, v, -c) for i, found in best.items() for c, v in found]
-    if rows:
-        yield pd.DataFrame(rows, columns=["query_id", "vec_id", "cosine"])
+            names, queries = block.by_size[size]
+            found = [best[size]] if size in best else []
+            own, asked = np.array(ids.to_pylist(), object), np.array(names.to_pylist(), object)
+            for at in range(0, len(queries), QUERIES):
+                cosine = np.round(queries[at : at + QUERIES] @ x.T, 12)
+                kth = min(k + 1, cosine.shape[1])
+                least = np.partition(cosine, -kth, 1)[:, -kth]  # one more than k, as a query may be among the vectors
+                q, v = np.nonzero(cosine >= least[:, None])
+                other = asked[at + q] != own[v]
+                found.append(pd.DataFrame({"at": at + q[other], "query_id": asked[at + q[other]], "vec_id": own[v[other]], "cosine": cosine[q, v][other]}))
+            held = pd.concat(found).sort_values(["at", "cosine", "vec_id"], ascending=[True, False, True], kind="stable")
+            best[size] = held[held.groupby("at").cumcount() < k]
+    for held in best.values():
+        if len(held):
+            yield pa.RecordBatch.from_arrays([pa.array(held["query_id"].tolist(), block.kind), pa.array(held["vec_id"].tolist(), kind), pa.array(held["cosine"].to_numpy(float), pa.float64())], names=["query_id", "vec_id", "cosine"])
