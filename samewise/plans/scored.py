@@ -217,11 +217,11 @@ def full_pipeline(spark, sf):
 
 
 def _run(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """(anchored entities, dispositions of the others)."""
-    good = _good(spark, sf)
+    """(anchored entities, dispositions of the others). What several steps read is written once."""
+    good = graph.written(_good(spark, sf))
     canon, aliases, refs, edges = (frame(spark, sf, n) for n in ("canon", "aliases", "refs", "edges"))
-    anchored = matching.deterministic(good, canon, aliases, refs).where("canonical_id is not null")
-    left = good.join(anchored, "entity_id", "left_anti")
+    anchored = graph.written(matching.deterministic(good, canon, aliases, refs).where("canonical_id is not null"))
+    left = graph.written(good.join(anchored, "entity_id", "left_anti"))
     scores = scoring.score(matching.candidates(left, canon, aliases, refs), left, canon, aliases, edges)
     return anchored, disposition.dispose(left, scores, edges, canon)
 
