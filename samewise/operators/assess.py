@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,12 +27,28 @@ def offline(prompt: str) -> dict:
     return {"match": False, "confidence": 0.0, "reasoning": "offline", "signals": []}
 
 
+def text_of(value, keys: tuple[str, ...]) -> str | None:
+    """The first non-blank string under any of the keys of an object, or of the objects under them, at any depth."""
+    for k in keys if isinstance(value, dict) else ():
+        held = value.get(k)
+        found = held if isinstance(held, str) and held.strip() else text_of(held, keys)
+        if found is not None:
+            return found
+    return None
+
+
+@cache
+def _texts(keys: tuple[str, ...]):
+    @F.pandas_udf("string")
+    def found(payloads: pd.Series) -> pd.Series:
+        return payloads.map(lambda p: None if p is None else text_of(json.loads(p), keys))
+
+    return found
+
+
 def first_text(payload: Column, keys: tuple[str, ...]) -> Column:
-    """The first non-blank string under any of the keys of a parsed JSON object, or of an object under one of them."""
-    found = []
-    for k in keys:
-        found += [registry.text_under(payload, k), *(registry.text_under(payload, k, inner) for inner in keys)]
-    return F.get(F.filter(F.array(*found), lambda f: F.coalesce(F.trim(f) != "", F.lit(False))), F.lit(0))
+    """text_of() a parsed JSON object, in Arrow batches: no expression of Catalyst goes to any depth."""
+    return _texts(keys)(F.to_json(payload))
 
 
 def prompts(dispositions: DataFrame, entities: DataFrame, canon: DataFrame, aliases: DataFrame, refs: DataFrame,
