@@ -186,7 +186,9 @@ def load(path: str) -> ByteBpe:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model, before = spec["model"], spec.get("pre_tokenizer") or {}
-    if model.get("type") != "BPE" or spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or model.get("dropout") or model.get("byte_fallback") or model.get("ignore_merges"):
+    if model.get("type") != "BPE" or spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get(
+        "use_regex", True
+    ) or model.get("dropout") or model.get("byte_fallback") or model.get("ignore_merges"):
         raise ValueError(f"{path}: not a plain byte-level BPE")
     byte = printable_bytes()
     vocab = model["vocab"]
@@ -211,4 +213,7 @@ def as_tiktoken(bpe: ByteBpe):
     if merged != sorted(merged):
         raise ValueError("ids don't rise with ranks")
     special = set(bpe.specials.values())
-    return tiktoken.Encoding("own", pat_str=SPLIT.replace(r"\p{White_Space}", r"\s").replace(r"\P{White_Space}", r"\S"), mergeable_ranks={t: i for i, t in enumerate(bpe.tokens) if i not in special}, special_tokens=bpe.specials)
+    return tiktoken.Encoding(
+        "own", pat_str=SPLIT.replace(r"\p{White_Space}", r"\s").replace(r"\P{White_Space}", r"\S"),
+        mergeable_ranks={t: i for i, t in enumerate(bpe.tokens) if i not in special}, special_tokens=bpe.specials
+    )

@@ -123,7 +123,10 @@ def _signed(docs: DataFrame, bands: Bands, keep: tuple[str, ...]) -> DataFrame:
                 size.append(len(g))
                 keys.append(xxhash.xxh3_64_intdigest(g.tobytes()) - (1 << 63) if len(g) else None)
                 hashes.append(bands.of(g) if len(g) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(size, pa.int64()), *b.columns[2:]], names=["doc_id", "key", "bands", "size", *b.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(keys, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(size, pa.int64()), *b.columns[2:]],
+                names=["doc_id", "key", "bands", "size", *b.schema.names[2:]]
+            )
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep)))
     more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in own.schema.fields[2:])
@@ -143,7 +146,10 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
     def run(batches):
         for b in batches:
             sets = [shingles(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(g.tobytes()) - (1 << 63) if len(g) else None for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())], names=["key", "grams"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([xxhash.xxh3_64_intdigest(g.tobytes()) - (1 << 63) if len(g) else None for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())],
+                names=["key", "grams"]
+            )
 
     # a text may come again under its id, in any number of rows
     return picked.mapInArrow(_tidied(run), "key long, grams binary").groupBy("key").agg(F.first("grams").alias("grams"))
@@ -215,14 +221,20 @@ def _to_blocks(kind: int, group: Column, band: Column) -> Column:
     """The pairs of blocks, of `blocks` in all, that a class of block `own` is in."""
 
     def pair(k):
-        return F.struct(F.lit(kind).alias("kind"), group.alias("group"), band.alias("band"), F.least("own", k).alias("low"), F.greatest("own", k).alias("high"), F.when(F.col("own") <= k, 0).otherwise(1).alias("side"))
+        return F.struct(
+            F.lit(kind).alias("kind"), group.alias("group"), band.alias("band"), F.least("own", k).alias("low"), F.greatest("own", k).alias("high"),
+            F.when(F.col("own") <= k, 0).otherwise(1).alias("side")
+        )
 
     return F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)
 
 
 def _together(kind: int, part: Column, of: Column, band: Column) -> Column:
     """One of `of` groups that hold many chains or bands each."""
-    return F.struct(F.lit(kind).alias("kind"), F.pmod(F.xxhash64(part), of).alias("group"), band.alias("band"), F.lit(-1).alias("low"), F.lit(-1).alias("high"), F.lit(0).alias("side"))
+    return F.struct(
+        F.lit(kind).alias("kind"), F.pmod(F.xxhash64(part), of).alias("group"), band.alias("band"), F.lit(-1).alias("low"), F.lit(-1).alias("high"),
+        F.lit(0).alias("side")
+    )
 
 
 def _groups(rows: DataFrame) -> int:
@@ -246,7 +258,12 @@ def _dealt(grouped: DataFrame, crowded: DataFrame, most: int) -> DataFrame:
     giant = placed.where(F.col("m") > GIANT)
     if giant.limit(1).count():
         by_band = cut(giant.select("key", "copies", "bands", "size", F.explode("bands").alias("band")).join(_small(crowded.select("band"), most), "band", "left_semi"), "by-band")
-        hot = cut(by_band.groupBy("band").agg(F.count("*").alias("m"), F.sum("size").alias("grams")).withColumn("blocks", _blocks(F.col("m"), F.col("grams"))).where("blocks > 1").select("band", "blocks"), "hot-bands")
+        hot = cut(
+            by_band.groupBy("band").agg(
+                F.count("*").alias("m"), F.sum("size").alias("grams")
+            ).withColumn("blocks", _blocks(F.col("m"), F.col("grams"))).where("blocks > 1").select("band", "blocks"),
+            "hot-bands"
+        )
         by_band = by_band.join(_small(hot, most), "band", "left")
         cool = by_band.where("blocks is null")
         out = out.unionByName(cool.select("key", "copies", "bands", _together(BANDED, F.col("band"), F.lit(_groups(cool)), F.col("band")).alias("to")))
@@ -274,12 +291,17 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9995, most_b
     rows = sets.join(_dealt(grouped, crowded, most_broadcast), "key").select("key", "copies", "bands", "grams", "kind", "group", "band", "low", "high", "side")
     links = cut(rows.groupBy("kind", "group", "low", "high").applyInPandas(_verify(threshold), "key long, n long, root long"), "links")
     linked = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
-    by_class = classes.select("key", "rep", "copies").join(links.groupBy("key").agg(F.sum("n").alias("n")), "key", "left").join(linked.withColumnRenamed("id", "key"), "key", "left")
+    by_class = classes.select("key", "rep", "copies").join(
+        links.groupBy("key").agg(F.sum("n").alias("n")), "key", "left"
+    ).join(linked.withColumnRenamed("id", "key"), "key", "left")
     by_class = cut(by_class.select("key", "rep", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "key").alias("component")), "classes")
     least = by_class.groupBy("component").agg(F.min("rep").alias("class_id"))
     named = cut(by_class.join(least, "component").select("key", "rep", "n_links", "class_id", F.col("component").alias("class_key")), "classes")
     passed = [F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)]
     compared = known.join(named, "key").select("doc_id", "class_id", F.col("rep").alias("copy_of"), "n_links", "class_key", *passed)
-    alone = signed.where("key is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("class_key"), *passed)
+    alone = signed.where("key is null or doc_id is null").select(
+        "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"),
+        F.lit(None).cast("long").alias("class_key"), *passed
+    )
     out = compared.unionByName(alone)
     return out.select("doc_id", "class_id", "copy_of", "n_links", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"), "class_key", *keep)

@@ -56,7 +56,10 @@ def count_grams(docs: DataFrame, most: int = 500_000) -> DataFrame:
         held: dict = defaultdict(int)
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.int64()), pa.array(held.values(), pa.int64())], names=["lang", "gram", "n"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.int64()), pa.array(held.values(), pa.int64())],
+                names=["lang", "gram", "n"]
+            )
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -123,7 +126,10 @@ def classify(docs: DataFrame, profiles: Profiles, keep: list[str]) -> DataFrame:
     def run(batches):
         for b in batches:
             found = [sent.value.predict(t.as_py()) for t in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
+                names=[*b.schema.names[:-1], "lang_pred", "score"]
+            )
 
     return own.mapInArrow(tidy(run), (schema + ", " if keep else "") + "lang_pred string, score double")
 

@@ -138,7 +138,10 @@ def _counted(batches: Iterator[pa.RecordBatch], tokenizer: str, size: int) -> It
     for b in batches:
         texts = b.column(0)
         found = [n for part in balanced(texts, size) for n in own.count([t or "" for t in part.to_pylist()])]
-        yield pa.RecordBatch.from_arrays([*b.columns[1:], pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64()), pa.array(found, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+        yield pa.RecordBatch.from_arrays(
+            [*b.columns[1:], pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64()), pa.array(found, pa.int64())],
+            names=["doc_id", "n_bytes", "n_tokens"]
+        )
 
 
 def count(docs: DataFrame, tokenizer: str, limit: int = 512, size: int = 4_000_000) -> DataFrame:

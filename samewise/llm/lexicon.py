@@ -74,7 +74,10 @@ def build(words: list[bytes], outputs: list[list[int]]) -> dict[str, np.ndarray]
         first[s + 1] = len(keys)
     at = np.zeros(len(words) + 1, np.int64)
     at[1:] = np.cumsum([len(x) for x in outputs])
-    return {"first_arc": np.array([root], np.int64), "final": np.array([f for f, _ in frozen], np.uint8), "key": np.array(keys, np.int64), "target": np.array(targets, np.int64), "skip": np.array(skips, np.int64), "at": at, "ids": np.array([i for x in outputs for i in x], "<u4")}
+    return {
+        "first_arc": np.array([root], np.int64), "final": np.array([f for f, _ in frozen], np.uint8), "key": np.array(keys, np.int64),
+        "target": np.array(targets, np.int64), "skip": np.array(skips, np.int64), "at": at, "ids": np.array([i for x in outputs for i in x], "<u4")
+    }
 
 
 def saved(parts: dict[str, np.ndarray]) -> bytes:
@@ -287,10 +290,15 @@ def _encoded(docs: DataFrame, tokenizer: str, lexicon: str, digests: bool) -> Da
             texts = [t or "" for t in b.column(1).to_pylist()]
             for ids in enc.encode_all(texts):
                 text = enc.decode(ids)
-                out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) if digests else (np.frombuffer(ids, "<u4").astype(np.int32), text))
+                out.append((
+                    len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+                ) if digests else (np.frombuffer(ids, "<u4").astype(np.int32), text))
             kinds = ((pa.int64(), pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.string()))
             columns = list(zip(*out)) if out else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", *(("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))],
+                names=["doc_id", *(("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
+            )
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

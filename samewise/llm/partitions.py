@@ -66,7 +66,9 @@ def layout(hours: DataFrame, n: str, most: int) -> list[dict]:
 
     A level below the years is asked for under nodes above `most` alone, of which there are fewer than the table's rows / `most`."""
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("hour") / 24).cast("int"))
-    dated = hours.where(F.col(n) > 0).select("hour", F.col(n).alias("n"), F.year(day).alias("y"), F.month(day).alias("m"), F.day(day).alias("d"), F.pmod("hour", F.lit(24)).alias("h"))
+    dated = hours.where(F.col(n) > 0).select(
+        "hour", F.col(n).alias("n"), F.year(day).alias("y"), F.month(day).alias("m"), F.day(day).alias("d"), F.pmod("hour", F.lit(24)).alias("h")
+    )
     keys, found, parents = ("y", "m", "d", "h"), {}, None
     for depth in range(4):
         rows = dated.where("hour is not null")
@@ -265,7 +267,10 @@ def merged(runs: list[_Run], slices: list[tuple[int, int]]) -> Iterator[pa.Table
         take(j, end)
 
 
-def _written(jobs: Iterator[pa.RecordBatch], spill: str, folder: str, keys: list[str], names: list[str], own: list[str], schema: pa.Schema, id_at: int, most: int) -> Iterator[pa.RecordBatch]:
+def _written(
+    jobs: Iterator[pa.RecordBatch], spill: str, folder: str, keys: list[str], names: list[str], own: list[str], schema: pa.Schema, id_at: int,
+    most: int
+) -> Iterator[pa.RecordBatch]:
     """A row for each output file; what is written lies in the folder under its name."""
     runs = _Runs(spill, keys)
     files, base = _filesystem(folder)
@@ -307,14 +312,20 @@ def _written(jobs: Iterator[pa.RecordBatch], spill: str, folder: str, keys: list
                         raise
                     files.delete_file(name)
                 to = to if folder.startswith("/") else f"{folder}/{to.rpartition('/')[2]}"
-            out.append({"leaf": job["name"], "part": job["part"], "columns": ",".join(names), "n_rows": n, "n_new": fresh, "ids_sha256": ids.hexdigest(), "rows_sha256": rows.hexdigest(), "path": to, "rewritten": not stays})
+            out.append({
+                "leaf": job["name"], "part": job["part"], "columns": ",".join(names), "n_rows": n, "n_new": fresh, "ids_sha256": ids.hexdigest(),
+                "rows_sha256": rows.hexdigest(), "path": to, "rewritten": not stays
+            })
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=FILES_ARROW)
             out = []
 
 
 FILES = "leaf string, part int, columns string, n_rows long, n_new long, ids_sha256 string, rows_sha256 string, path string, rewritten boolean"
-FILES_ARROW = pa.schema([("leaf", pa.string()), ("part", pa.int32()), ("columns", pa.string()), ("n_rows", pa.int64()), ("n_new", pa.int64()), ("ids_sha256", pa.string()), ("rows_sha256", pa.string()), ("path", pa.string()), ("rewritten", pa.bool_())])
+FILES_ARROW = pa.schema([
+    ("leaf", pa.string()), ("part", pa.int32()), ("columns", pa.string()), ("n_rows", pa.int64()), ("n_new", pa.int64()), ("ids_sha256", pa.string()),
+    ("rows_sha256", pa.string()), ("path", pa.string()), ("rewritten", pa.bool_())
+])
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -366,18 +377,25 @@ def write(rows: DataFrame, moment: Column, order: tuple[str, ...], fresh: Column
     found = [] if before is None else [before.where(F.col("leaf").isin(sorted(still))).withColumns({"n_new": F.lit(0).cast("long"), "rewritten": F.lit(False)})]
     if len(still) < len(leaves):
         names = spark.createDataFrame([(i, x["name"], x["rows"]) for i, x in enumerate(leaves) if x["name"] not in still], "leaf int, name string, rows long")
-        placed = _placed(keyed.withColumn("hour", F.floor(F.col("moment") / HOUR)), leaves, max(8, shuffle_partitions(spark))).select(*own, *(k for k in keys if k not in own), "fresh", "place.leaf", "place.bucket")
+        placed = _placed(
+            keyed.withColumn("hour", F.floor(F.col("moment") / HOUR)), leaves, max(8, shuffle_partitions(spark))
+        ).select(*own, *(k for k in keys if k not in own), "fresh", "place.leaf", "place.bucket")
         if still:
             placed = placed.join(F.broadcast(names.select("leaf")), "leaf", "left_semi")
         spill = new_folder(spark, "samewise-runs")
         # no shuffle: each task sorts what it read, and writes the buckets one after another
-        placed.coalesce(RUNS).sortWithinPartitions("bucket", "leaf", *keys).write.mode("overwrite").partitionBy("bucket").option("parquet.block.size", GROUP).option("maxRecordsPerFile", 0).parquet(_uri(spill))
+        placed.coalesce(RUNS).sortWithinPartitions("bucket", "leaf", *keys).write.mode("overwrite").partitionBy("bucket").option(
+            "parquet.block.size", GROUP
+        ).option("maxRecordsPerFile", 0).parquet(_uri(spill))
         file = F.concat(F.lit("bucket="), F.col("bucket"), F.lit("/"), F.col("_metadata.file_name"))
         counts = spark.read.parquet(_uri(spill)).select(file.alias("file"), "leaf").groupBy("file", "leaf").agg(F.count("*").alias("n"))
         start = F.sum("n").over(Window.partitionBy("file").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1))
         slices = counts.withColumn("start", F.coalesce(start, F.lit(0))).groupBy("leaf").agg(F.collect_list(F.struct("file", "start", "n")).alias("slices"))  # RUNS at most
         jobs = slices.join(F.broadcast(names), "leaf").withColumn("part", F.explode(F.sequence(F.lit(1), F.ceil(F.col("rows") / most).cast("int"))))
-        was = (before if before is not None else spark.createDataFrame([], FILES)).select(F.col("leaf").alias("name"), "part", F.col("n_rows").alias("was_rows"), F.col("rows_sha256").alias("was_digest"), F.col("path").alias("was_path"))
+        was = (before if before is not None else spark.createDataFrame([], FILES)).select(
+            F.col("leaf").alias("name"), "part", F.col("n_rows").alias("was_rows"), F.col("rows_sha256").alias("was_digest"),
+            F.col("path").alias("was_path")
+        )
         jobs = jobs.join(F.broadcast(was), ["name", "part"], "left").repartitionByRange(shuffle_partitions(spark), "leaf", "part")
         run = partial(_written, spill=spill, folder=folder, keys=keys, names=rows.columns, own=own, schema=schema, id_at=rows.columns.index(order[-1]), most=most)
         found.append(cut(jobs.mapInArrow(run, FILES), "files"))
@@ -415,7 +433,10 @@ def rewritten(clicks: DataFrame, cutoff: str = "2024-03-01 00:00:00", share: int
     moment = click_moment(F.col("ts"), F.col("click_id"))
     fresh = ~F.coalesce(F.col("arrived_at").cast("timestamp_ntz") < F.lit(cutoff).cast("timestamp_ntz"), F.lit(False))
     # hours are bounded by the time the moments span, and never leave the tasks whole
-    hours = cut(clicks.select(F.floor(moment / HOUR).alias("hour"), fresh.alias("fresh")).groupBy("hour").agg(F.count("*").alias("n"), F.count_if(~F.col("fresh")).alias("n_start")), "hours")
+    hours = cut(
+        clicks.select(F.floor(moment / HOUR).alias("hour"), fresh.alias("fresh")).groupBy("hour").agg(F.count("*").alias("n"), F.count_if(~F.col("fresh")).alias("n_start")),
+        "hours"
+    )
     folder = new_folder(spark, "clicks")
     order = ("arrived_at", "click_id")
     first = write(clicks.where(~fresh), moment, order, F.lit(False), hours, "n_start", most, folder)

@@ -55,7 +55,10 @@ AGAINST = ("document", "money")
 #: Gazetteers: top-level domains, card issuers' leading digits, area codes' first digit, given names.
 DOMAINS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info", "co")
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)"
-GIVEN = ("james", "mary", "john", "anna", "maria", "peter", "paul", "jean", "marie", "jose", "carmen", "hans", "klaus", "sofia", "luis", "michael", "david", "sarah", "laura", "thomas")
+GIVEN = (
+    "james", "mary", "john", "anna", "maria", "peter", "paul", "jean", "marie", "jose", "carmen", "hans", "klaus", "sofia", "luis", "michael",
+    "david", "sarah", "laura", "thomas"
+)
 SPAN = "struct<s:int,e:int,m:string,before:string,after:string>"
 #: Numbers that are summed in one go. An aggregate copies its state at each step, so that of a long list must not be one list.
 CHUNK = 128
@@ -88,12 +91,21 @@ def located(text: Column, pattern: str, matches: Column) -> Column:
     n = F.size(matches)
 
     def of(gaps: Column) -> Column:
-        around = F.zip_with(F.slice(gaps, F.lit(1), n), F.slice(gaps, F.lit(2), n), lambda g, h: F.struct(F.length(g).alias("g"), F.right(g, F.lit(CONTEXT)).alias("before"), F.left(h, F.lit(1)).alias("after")))
+        around = F.zip_with(
+            F.slice(gaps, F.lit(1), n), F.slice(gaps, F.lit(2), n), lambda g,
+            h: F.struct(F.length(g).alias("g"), F.right(g, F.lit(CONTEXT)).alias("before"), F.left(h, F.lit(1)).alias("after"))
+        )
         return F.zip_with(matches, around, lambda m, g: F.struct(m.alias("m"), F.length(m).alias("n"), g.alias("of")))
 
     def placed(steps: Column) -> Column:
         before = running(F.transform(steps, lambda x: x["n"] + x["of"]["g"]))
-        return F.zip_with(steps, before, lambda x, at: F.struct((at + x["of"]["g"]).alias("s"), (at + x["of"]["g"] + x["n"]).alias("e"), x["m"].alias("m"), x["of"]["before"].alias("before"), x["of"]["after"].alias("after")))
+        return F.zip_with(
+            steps, before, lambda x,
+            at: F.struct(
+                (at + x["of"]["g"]).alias("s"), (at + x["of"]["g"] + x["n"]).alias("e"), x["m"].alias("m"), x["of"]["before"].alias("before"),
+                x["of"]["after"].alias("after")
+            )
+        )
 
     return F.when(n > 0, _let(_let(F.split(text, pattern, -1), of), placed)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
@@ -114,7 +126,10 @@ def checked(kind: str, m: Column) -> Column:
     """Whether a match of the kind's pattern passes its check."""
     n = F.length(_digits(m))
     if kind == "ip":
-        return F.forall(F.split(m, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.substring(F.ltrim(p, F.lit("0")), 1, 3).try_cast("int"), F.lit(0)) <= 255))
+        return F.forall(
+            F.split(m, r"\."),
+            lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.substring(F.ltrim(p, F.lit("0")), 1, 3).try_cast("int"), F.lit(0)) <= 255)
+        )
     if kind == "card":
         return n.between(14, 19) & F.when(n.between(14, 19), luhn(m)).otherwise(False)
     if kind == "phone":
@@ -140,7 +155,10 @@ def _gazetteer(kind: str, m: Column) -> Column:
 def candidates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns `keep`, spans: array of (s, k, e, base, and FEATURES) of all candidates, by start and kind."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, *(F.col(c).alias(f"keep_{c}") for c in keep if c != "text"), *([F.col("text").isNull().alias("keep_no_text")] if "text" in keep else []))
+    out = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), text, *(F.col(c).alias(f"keep_{c}") for c in keep if c != "text"),
+        *([F.col("text").isNull().alias("keep_no_text")] if "text" in keep else [])
+    )
     for kind in KINDS:
         some = F.when(F.col("text").rlike(HOLDS[kind]), F.regexp_extract_all("text", F.lit(PATTERNS[kind]), F.lit(0))).otherwise(F.array().cast("array<string>"))
         out = out.withColumn(f"m_{kind}", some)
@@ -153,7 +171,10 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             said = F.coalesce(*[F.when(before.rlike(p), i + 1) for i, p in enumerate(WORDS.values())], F.lit(0))
             led = F.when(before.rlike(r"[:=]\x20*$"), 1).when(before.rlike(r"(?:^|\n)\x20*$"), 2).otherwise(0)
             glued = before.rlike(r"[\p{L}\p{N}_#/.-]$") | x["after"].rlike(r"^[\p{L}\p{N}_/]")
-            own = {"base": ok if kind in BASE else F.lit(False), "shape": F.when(ok, 1).otherwise(-1), "list": _gazetteer(kind, x["m"]), "said": said, "led": led, "glued": glued.cast("int"), "flat": _digits(x["m"]).rlike(r"^(.)\1*$|([0-9])\2{5}").cast("int")}
+            own = {
+                "base": ok if kind in BASE else F.lit(False), "shape": F.when(ok, 1).otherwise(-1), "list": _gazetteer(kind, x["m"]), "said": said,
+                "led": led, "glued": glued.cast("int"), "flat": _digits(x["m"]).rlike(r"^(.)\1*$|([0-9])\2{5}").cast("int")
+            }
             return F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), *(v.alias(c) for c, v in own.items()))
 
         return F.transform(f"s_{kind}", one)
@@ -265,7 +286,10 @@ def digests(docs: DataFrame) -> DataFrame:
         return F.size(F.filter("spans", lambda x: x["base"] & (x["k"] == k))).cast("long")
 
     counts = [of_kind(k).alias(f"n_{kind}") for k, kind in enumerate(BASE)]
-    return detect(docs).select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda x: ~x["base"])).cast("long").alias("n_added"))
+    return detect(docs).select(
+        "doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda x: ~x["base"])).cast("long").alias("n_added")
+    )
 
 
 def redacted(text: Column, spans: Column) -> Column:

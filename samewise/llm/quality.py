@@ -59,7 +59,10 @@ def measure(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             found = [(*statistics(s := t.as_py() or ""), sum(1 for line in s.split("\n") if line.strip(SPACES))) for t in b.column(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c, pa.int64()) for c in (zip(*found) if found else [()] * 6))], names=["doc_id", "lang", "source", *STATS, "n_lines"])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:3], *(pa.array(c, pa.int64()) for c in (zip(*found) if found else [()] * 6))],
+                names=["doc_id", "lang", "source", *STATS, "n_lines"]
+            )
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("lang", "source", "text")))
     return own.mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{s} long" for s in (*STATS, "n_lines")))
@@ -106,10 +109,16 @@ def _inverted(moments: DataFrame, x: list[str]) -> DataFrame:
             for r in b.to_pylist():
                 c = np.array([[r[f"c_{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(len(x))] for i in range(len(x))])
                 p = np.linalg.inv(c + floor)
-                out.append({**{k: r[k] for k in (*GROUP, "start", "n", *(f"m_{a}" for a in x))}, "log_det": float(np.linalg.slogdet(c + floor)[1]), **{f"p_{i}_{j}": float(p[i, j]) for i, j in pairs}})
+                out.append({
+                    **{k: r[k] for k in (*GROUP, "start", "n", *(f"m_{a}" for a in x))}, "log_det": float(np.linalg.slogdet(c + floor)[1]),
+                    **{f"p_{i}_{j}": float(p[i, j]) for i, j in pairs}
+                })
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    schema = pa.schema([*((k, pa.string()) for k in GROUP), ("start", pa.int32()), ("n", pa.int64()), ("log_det", pa.float64()), *((f"m_{a}", pa.float64()) for a in x), *((f"p_{i}_{j}", pa.float64()) for i, j in pairs)])
+    schema = pa.schema([
+        *((k, pa.string()) for k in GROUP), ("start", pa.int32()), ("n", pa.int64()), ("log_det", pa.float64()),
+        *((f"m_{a}", pa.float64()) for a in x), *((f"p_{i}_{j}", pa.float64()) for i, j in pairs)
+    ])
     return moments.mapInArrow(run, "lang string, source string, start int, n long, " + ", ".join(f"{f.name} double" for f in list(schema)[4:]))
 
 
@@ -132,7 +141,10 @@ def robust_estimates(rows: DataFrame, share: float = 0.75, steps: int = 10, sett
     `share` of a group's rows nearest to the last estimate, until no log determinant falls by more than `settled`, or `steps` times.
     Of a group's starts the estimate of least determinant counts, of equal ones the first. rows: with GROUP and the vector."""
     x = list(VECTOR)
-    start = rows.groupBy(*GROUP).agg(F.count("*").alias("n"), *(F.percentile_approx(a, 0.5).alias(f"m_{a}") for a in x), *(F.percentile_approx(a, [0.25, 0.75]).alias(f"q_{a}") for a in x))
+    start = rows.groupBy(*GROUP).agg(
+        F.count("*").alias("n"), *(F.percentile_approx(a, 0.5).alias(f"m_{a}") for a in x),
+        *(F.percentile_approx(a, [0.25, 0.75]).alias(f"q_{a}") for a in x)
+    )
     spread = [((F.col(f"q_{a}")[1] - F.col(f"q_{a}")[0]) / 1.349) for a in x]
     diagonal = [(1 / (s * s + FLOOR[a])).alias(f"p_{i}_{i}") for i, (a, s) in enumerate(zip(x, spread))]
     zero = [F.lit(0.0).alias(f"p_{i}_{j}") for i in range(len(x)) for j in range(i + 1, len(x))]
@@ -154,7 +166,10 @@ def robust_estimates(rows: DataFrame, share: float = 0.75, steps: int = 10, sett
     now = cut(best.select(*GROUP, "b.*").drop("start", "log_det"), "mcd")
     far = _beside(rows, now, most).select(*GROUP, _distance(x).alias("d2"))
     scale = far.groupBy(*GROUP).agg(F.count("*").alias("n_all"), F.greatest(F.lit(1.0), F.percentile_approx("d2", 0.5) / MEDIAN_4).alias("scale"))
-    return now.join(scale.select(F.col("lang").alias("l_"), F.col("source").alias("s_"), "n_all", "scale"), F.col("lang").eqNullSafe(F.col("l_")) & F.col("source").eqNullSafe(F.col("s_"))).drop("l_", "s_", "n").withColumnRenamed("n_all", "n")
+    return now.join(
+        scale.select(F.col("lang").alias("l_"), F.col("source").alias("s_"), "n_all", "scale"),
+        F.col("lang").eqNullSafe(F.col("l_")) & F.col("source").eqNullSafe(F.col("s_"))
+    ).drop("l_", "s_", "n").withColumnRenamed("n_all", "n")
 
 
 def _own() -> Column:
@@ -179,12 +194,22 @@ def judge(docs: DataFrame, least_words: int = 50, most_repeated: int = 50, least
     rows = measured.where(~F.col("base_failed")).select(*GROUP, *(F.expr(e).alias(a) for a, e in VECTOR.items()))
     pools = _pools(rows, least)
     # all rows by lang and source, and again where a small group needs them, by its language or all together
-    wide = [rows.select(lang.alias("lang"), source.alias("source"), *VECTOR) for lang, source in ((F.col("lang"), _own()), (F.col("lang"), F.lit("l")), (F.lit(None).cast("string"), F.lit("a")))]
-    needed = F.broadcast(pools.select(F.col("pool_lang").alias("__l"), F.col("pool_source").alias("__s")).distinct()) if pools.limit(most + 1).count() <= most else pools.select(F.col("pool_lang").alias("__l"), F.col("pool_source").alias("__s")).distinct()
+    wide = [
+        rows.select(lang.alias("lang"), source.alias("source"), *VECTOR) for lang,
+        source in ((F.col("lang"), _own()), (F.col("lang"), F.lit("l")), (F.lit(None).cast("string"), F.lit("a")))
+    ]
+    needed = F.broadcast(pools.select(
+        F.col("pool_lang").alias("__l"), F.col("pool_source").alias("__s")
+    ).distinct()) if pools.limit(most + 1).count() <= most else pools.select(F.col("pool_lang").alias("__l"), F.col("pool_source").alias("__s")).distinct()
     with_vector = reduce(DataFrame.unionByName, wide).join(needed, F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s")), "left_semi")
     estimates = cut(robust_estimates(with_vector, most=most), "mcd").where(F.col("n") >= least)
-    of_group = pools.join(estimates.withColumnsRenamed({"lang": "__l", "source": "__s"}), F.col("pool_lang").eqNullSafe(F.col("__l")) & F.col("pool_source").eqNullSafe(F.col("__s"))).drop("__l", "__s", "pool_lang", "pool_source")
+    of_group = pools.join(
+        estimates.withColumnsRenamed({"lang": "__l", "source": "__s"}),
+        F.col("pool_lang").eqNullSafe(F.col("__l")) & F.col("pool_source").eqNullSafe(F.col("__s"))
+    ).drop("__l", "__s", "pool_lang", "pool_source")
     vector = [F.when(~F.col("base_failed"), F.expr(e)).alias(a) for a, e in VECTOR.items()]
     far = _beside(measured.select("*", *vector), cut(of_group, "mcd"), most)
     distance = F.when(~F.col("base_failed"), _distance(list(VECTOR)) / F.col("scale"))
-    return far.select("doc_id", *GROUP, *STATS, "base_failed", distance.alias("distance")).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
+    return far.select("doc_id", *GROUP, *STATS, "base_failed", distance.alias("distance")).withColumn(
+        "kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
+    )

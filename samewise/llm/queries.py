@@ -64,7 +64,10 @@ def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.count(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_lines, op4_jaccard, op5_bpe, op6_embeddings, op7_langid, op8_pii, op9_quality, op10_packing, op11_search, op12_partitions, op13_tokens)} | {"pipeline": corpus_pipeline.run}
+QUERIES = {f.__name__: f for f in (
+    op1_toxicity, op2_secrets, op3_lines, op4_jaccard, op5_bpe, op6_embeddings, op7_langid, op8_pii, op9_quality, op10_packing, op11_search,
+    op12_partitions, op13_tokens
+)} | {"pipeline": corpus_pipeline.run}
 
 _TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 #: Scores of all pairs of an item and a document that share a term, by the formula alone.

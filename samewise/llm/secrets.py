@@ -154,6 +154,11 @@ def scan(docs: DataFrame) -> DataFrame:
                 more = entropy_spans(text, base)
                 kinds = [s[0] for s in base]
                 out.append((*(kinds.count(k) for k in KINDS[:3]), len(more), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, [pa.int64()] * 4 + [pa.string()] * 2))], names=["doc_id", "n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string")
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *(pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, [pa.int64()] * 4 + [pa.string()] * 2))],
+                names=["doc_id", "n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans"]
+            )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+        run, "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string"
+    )

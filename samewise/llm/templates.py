@@ -108,18 +108,28 @@ def recurring(docs: DataFrame, least_docs: int = 3, most: int = 500_000) -> tupl
     kept = kept.agg(F.count("*").alias("fixed"), F.bit_xor(F.xxhash64("at", "token")).alias("a"), F.sum(F.xxhash64("token", "at").cast("decimal(38,0)")).alias("b"))
     # the tokens of a level and of those above it
     above = Window.partitionBy("leaf", "shape").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)
-    kept = kept.select("leaf", "shape", "level", F.sum("fixed").over(above).alias("fixed"), F.bit_xor("a").over(above).alias("a"), F.sum("b").over(above).cast("decimal(38,0)").alias("b"))
+    kept = kept.select(
+        "leaf", "shape", "level", F.sum("fixed").over(above).alias("fixed"), F.bit_xor("a").over(above).alias("a"),
+        F.sum("b").over(above).cast("decimal(38,0)").alias("b")
+    )
     general = own.select("leaf", "shape", "n_tokens").join(kept, ["leaf", "shape"]).where(F.col("fixed") >= LEAST_FIXED * F.col("n_tokens"))
     general = shapes.join(general.select("leaf", "shape", "level", F.xxhash64("level", "fixed", "a", "b").alias("template")), ["leaf", "shape"])
     columns = ["leaf", "shape", "n_tokens", "docs", "keeper", "level", "template"]
     of_shape = cut(shapes.select("*", F.lit(-1).alias("level"), F.col("shape").alias("template")).select(columns).unionByName(general.select(columns)), "templates")
     # a document may have several shapes of one template, so documents are counted anew where there are several shapes
-    several = of_shape.groupBy("leaf", "template").agg(F.count("*").alias("n"), F.sum("docs").alias("docs"), F.min("keeper").alias("keeper"), F.max("n_tokens").alias("n_tokens"), F.max("level").alias("level"))
+    several = of_shape.groupBy("leaf", "template").agg(
+        F.count("*").alias("n"), F.sum("docs").alias("docs"), F.min("keeper").alias("keeper"), F.max("n_tokens").alias("n_tokens"),
+        F.max("level").alias("level")
+    )
     tiny = max(SHORT_DOCS, math.ceil(TINY_SHARE * docs.where("text is not null").count()))
-    enough = F.when(F.col("n_tokens") < LEAST_TOKENS, tiny).when(F.col("n_tokens") < SHORT, SHORT_DOCS).when(F.col("n_tokens") >= LONG, min(LONG_DOCS, least_docs)).otherwise(least_docs)
+    enough = F.when(F.col("n_tokens") < LEAST_TOKENS, tiny).when(F.col("n_tokens") < SHORT, SHORT_DOCS).when(
+        F.col("n_tokens") >= LONG, min(LONG_DOCS, least_docs)
+    ).otherwise(least_docs)
     hopeful = cut(several.where((F.col("docs") >= enough) & ((F.col("level") < 0) | (F.col("docs") >= least_docs * F.pow(F.lit(2), F.col("level"))))), "templates")
     again = of_shape.join(hopeful.where("n > 1").select("leaf", "template"), ["leaf", "template"]).select("leaf", "shape", "template")
-    exact = lines.select("leaf", "shape", "body").join(again, ["leaf", "shape"]).select("leaf", "template", "body").distinct().groupBy("leaf", "template").agg(F.count("*").alias("exact"))
+    exact = lines.select("leaf", "shape", "body").join(again, ["leaf", "shape"]).select(
+        "leaf", "template", "body"
+    ).distinct().groupBy("leaf", "template").agg(F.count("*").alias("exact"))
     sure = hopeful.join(exact, ["leaf", "template"], "left").where(F.coalesce("exact", "docs") >= enough).select("leaf", "template", "keeper")
     # what agrees at a level agrees at those above it, so all lines of a template have the same most general one
     best = of_shape.select("leaf", "shape", "level", "template").join(sure, ["leaf", "template"]).groupBy("leaf", "shape").agg(F.max_by("keeper", "level").alias("keeper"))

@@ -354,7 +354,9 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 1_500, longest: int = 20
 
     docs: doc_id, text; labels: doc_id, toxic. Both hold what may be learned from only. An id with both labels is toxic; rows that repeat
     an id and its text count once, and of an id's different texts the MOST_TEXTS least by hash."""
-    known = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.where("toxic in (0, 1) and doc_id is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")
+    ).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, each), (0, 2 * each))]
     ids = F.broadcast(drawn[0].unionByName(drawn[1]))  # 3 * `each` rows
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= longest).join(ids, "doc_id").distinct()
@@ -372,7 +374,10 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sent.value.scores(b.column(b.num_columns - 1).to_pylist()), pa.float64())], names=[*b.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:-1], pa.array(sent.value.scores(b.column(b.num_columns - 1).to_pylist()), pa.float64())],
+                names=[*b.schema.names[:-1], "score"]
+            )
 
     return own.mapInArrow(run, (schema + ", " if keep else "") + "score double")
 

@@ -158,7 +158,13 @@ def _filed(classes: DataFrame, index, threshold: float) -> DataFrame:
                 at, lists = np.nonzero(asks)
                 probes += np.split(lists, np.cumsum(np.bincount(at, minlength=len(near)))[:-1])
             codes, error = ix.code(x, own)
-            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("embedding"), b.column("copies"), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(probes, pa.list_(pa.int32()))], names=["rep", "embedding", "copies", "cell", "code", "error", "probes"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("rep"), b.column("embedding"), b.column("copies"), pa.array(own.astype(np.int32)),
+                    pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(probes, pa.list_(pa.int32()))
+                ],
+                names=["rep", "embedding", "copies", "cell", "code", "error", "probes"]
+            )
 
     own = classes.select("rep", "embedding", "copies")
     return own.mapInArrow(run, f"rep long, embedding {own.schema['embedding'].dataType.simpleString()}, copies long, cell int, code binary, error double, probes array<int>")
@@ -205,7 +211,14 @@ class Tasks:
                     rows += [(g, block, turn, rep, i, cells[i], copies[i], own) for block in range(self.blocks[g])]
                 if len(rows) >= 4096 or i == len(reps) - 1:
                     g, block, turn, rep_, at, cell, times, own = zip(*rows) if rows else [()] * 8
-                    yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(block, pa.int32()), pa.array(turn, pa.int32()), pa.array(rep_, pa.int64()), b.column("embedding").take(pa.array(at, pa.int32())), pa.array(cell, pa.int32()), pa.array(times, pa.int64()), pa.array(own, pa.list_(pa.int32()))], names=["grp", "block", "turn", "asker", "asked", "own", "times", "lists"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(g, pa.int32()), pa.array(block, pa.int32()), pa.array(turn, pa.int32()), pa.array(rep_, pa.int64()),
+                            b.column("embedding").take(pa.array(at, pa.int32())), pa.array(cell, pa.int32()), pa.array(times, pa.int64()),
+                            pa.array(own, pa.list_(pa.int32()))
+                        ],
+                        names=["grp", "block", "turn", "asker", "asked", "own", "times", "lists"]
+                    )
                     rows = []
 
 
@@ -265,11 +278,16 @@ def _linked(classes: DataFrame, index, threshold: float) -> DataFrame:
     tasks = Tasks(members, lists)
     asked = filed.select("probes").mapInArrow(tasks.asked, "grp int, n long").groupBy("grp").agg(F.sum("n").alias("n"))
     tasks.take_turns({r["grp"]: r["n"] for r in asked.collect()})  # a row for each group of lists
-    queries = filed.select("rep", "embedding", "probes", "cell", "copies").mapInArrow(tasks.queries, f"grp int, block int, turn int, asker long, asked {filed.schema['embedding'].dataType.simpleString()}, own int, times long, lists array<int>")
+    queries = filed.select("rep", "embedding", "probes", "cell", "copies").mapInArrow(
+        tasks.queries,
+        f"grp int, block int, turn int, asker long, asked {filed.schema['embedding'].dataType.simpleString()}, own int, times long, lists array<int>"
+    )
     of = lambda values: F.element_at(F.lit([int(v) for v in values]), F.col("grp") + 1)
     group = F.element_at(F.lit([int(g) for g in tasks.group]), F.col("cell") + 1)
     dealt = filed.select("rep", "embedding", "copies", "cell", "code", "error", group.alias("grp"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), of(tasks.blocks)).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), (of(tasks.turns) - 1).cast("int"))))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), of(tasks.blocks)).cast("int")).withColumn(
+        "turn", F.explode(F.sequence(F.lit(0), (of(tasks.turns) - 1).cast("int")))
+    )
     return queries.groupBy("grp", "block", "turn").cogroup(dealt.groupBy("grp", "block", "turn")).applyInPandas(_compare(index, threshold), "rep long, n long, root long")
 
 
@@ -307,6 +325,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, sample_rows: in
     common = F.col("copies") >= max(2, math.ceil(sum(rows for _, rows in sizes.values()) / 1_000))
     columns = ["vec_id", (F.col("n") + F.col("copies") - 1).cast("long").alias("n_links"), F.col("component").alias("component_id")]
     hot = F.broadcast(by_class.where(common))
-    of_row = ready.join(hot, "embedding").select(*columns).unionByName(ready.join(hot.select("embedding"), "embedding", "left_anti").join(by_class.where(~common), "embedding").select(*columns))
+    of_row = ready.join(hot, "embedding").select(*columns).unionByName(ready.join(
+        hot.select("embedding"), "embedding", "left_anti"
+    ).join(by_class.where(~common), "embedding").select(*columns))
     alone = own.where(~links).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return of_row.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
