@@ -163,4 +163,7 @@ def _nearest(batches: Iterator[pa.RecordBatch], block: _Block, k: int) -> Iterat
             best[size] = held[held.groupby("at").cumcount() < k]
     for held in best.values():
         if len(held):
-            yield pa.RecordBatch.from_arrays([pa.array(held["query_id"].tolist(), block.kind), pa.array(held["vec_id"].tolist(), kind), pa.array(held["cosine"].to_numpy(float), pa.float64())], names=["query_id", "vec_id", "cosine"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(held["query_id"].tolist(), block.kind), pa.array(held["vec_id"].tolist(), kind), pa.array(held["cosine"].to_numpy(float), pa.float64())],
+                names=["query_id", "vec_id", "cosine"]
+            )

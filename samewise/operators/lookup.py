@@ -29,7 +29,9 @@ def deletions(word: Column, most: Column) -> Column:
     word = F.substring(word, 1, HEAD)
     out = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
     once = F.when((most >= 1) & (F.length(word) > 0), out(word)).otherwise(F.array().cast("array<string>"))
-    twice = F.when(most >= 2, F.flatten(F.transform(once, lambda w: F.when(F.length(w) > 0, out(w)).otherwise(F.array().cast("array<string>"))))).otherwise(F.array().cast("array<string>"))
+    twice = F.when(
+        most >= 2, F.flatten(F.transform(once, lambda w: F.when(F.length(w) > 0, out(w)).otherwise(F.array().cast("array<string>"))))
+    ).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(F.array(word), once, twice))
 
 

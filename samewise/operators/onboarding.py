@@ -35,7 +35,9 @@ def centred(pairs: DataFrame, weights: DataFrame, rounds: int = 200) -> DataFram
         # the first pair at each free node
         ends = live.where("not ra").select(F.col("a").alias("node"), "place").unionByName(live.where("not rb").select(F.col("b").alias("node"), "place"))
         first = ends.groupBy("node").agg(F.min("place").alias("first"))
-        seen = live.join(first.select(F.col("node").alias("a"), F.col("first").alias("fa")), "a", "left").join(first.select(F.col("node").alias("b"), F.col("first").alias("fb")), "b", "left")
+        seen = live.join(
+            first.select(F.col("node").alias("a"), F.col("first").alias("fa")), "a", "left"
+        ).join(first.select(F.col("node").alias("b"), F.col("first").alias("fb")), "b", "left")
         now = seen.where((F.col("ra") | (F.col("fa") == F.col("place"))) & (F.col("rb") | (F.col("fb") == F.col("place"))))
         centre = F.when(F.col("ra"), F.col("a")).when(F.col("rb"), F.col("b")).when(F.col("wb") > F.col("wa"), F.col("b")).otherwise(F.col("a"))
         made = now.select(centre.alias("centre"), F.when(centre == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("node"), "score")
@@ -74,7 +76,10 @@ def proposals(pairs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataF
     top = by_name.withColumn("nth", own).where("nth = 1").select("centre", F.col("name").alias("proposed_name"))
     others = by_name.join(top, "centre").where("name <> proposed_name").select("centre", "category", "name").distinct()
     aliases = others.groupBy("centre").agg(F.sort_array(F.collect_set(F.concat_ws(": ", "category", "name"))).alias("aliases"))
-    sums = rows.groupBy("centre").agg(F.count("*").alias("n_members"), F.avg("score").alias("confidence"), F.count_if(F.col("score") < REVIEW).alias("n_assess"), F.sum("volume").alias("volume"))
+    sums = rows.groupBy("centre").agg(
+        F.count("*").alias("n_members"), F.avg("score").alias("confidence"), F.count_if(F.col("score") < REVIEW).alias("n_assess"),
+        F.sum("volume").alias("volume")
+    )
     action = F.when(F.col("confidence") >= CONFIRM, "confirm").when(F.col("confidence") >= REVIEW, "review").otherwise("assess")
     out = sums.join(top, "centre", "left").join(aliases, "centre", "left").withColumn("action", action)
     out = out.withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>"))).withColumnRenamed("centre", "cluster")

@@ -20,7 +20,9 @@ def normalized(stream: DataFrame) -> DataFrame:
 
 def counts(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
     """Events and their value by window and kind, for events at most `late` behind."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value")
+    return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(
+        F.col("w.start").alias("start"), "event_type", "n", "value"
+    )
 
 
 def append(stream: DataFrame, path: str, checkpoint: str):
