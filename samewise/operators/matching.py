@@ -57,7 +57,7 @@ def own_canonicals(entities: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def candidates(entities: DataFrame, canon: DataFrame, aliases: DataFrame, refs: DataFrame, tenant: str | None = None,
-    most: int = MOST_CANDIDATES, most_broadcast: int = 500_000) -> DataFrame:
+    most: int = MOST_CANDIDATES, most_bytes: int = 64 << 20) -> DataFrame:
     """entity_id, canonical_id, blocking_signals: the first `most` canonicals by id that share a signal, but for the entity's own.
 
     The first n of a union of lists are among the first n of each list. So each signal gives only its first canonicals before
@@ -75,7 +75,9 @@ def candidates(entities: DataFrame, canon: DataFrame, aliases: DataFrame, refs:
     left = index.join(kept.select("canonical_id").distinct(), "canonical_id",
         "left_semi").groupBy("canonical_id").agg(F.collect_set("signal").alias("held"))
     left = written(left)
-    left = F.broadcast(left) if left.limit(most_broadcast + 1).count() <= most_broadcast else left
+    # broadcast by the bytes of the signals, a string's own and its place in an array
+    size = left.agg(F.coalesce(F.sum(F.length(F.array_join("held", "")) + 24 * F.size("held") + 64), F.lit(0))).first()[0]
+    left = F.broadcast(left) if size <= most_bytes else left
     of_entity = asked.groupBy("entity_id").agg(F.collect_set("signal").alias("asked"))
     return kept.join(of_entity, "entity_id").join(left, "canonical_id").select("entity_id", "canonical_id",
         F.array_sort(F.array_intersect("asked", "held")).alias("blocking_signals"))
