@@ -33,19 +33,20 @@ def _applied(signal: str) -> tuple[Column, Column]:
     return F.col(raw), F.when(F.col(raw) <= DAYS[0], close).when(F.col(raw) <= DAYS[1], near).otherwise(0.0)
 
 
-def boosted(scores: DataFrame, held: DataFrame) -> DataFrame:
+def boosted(scores: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """scores (entity_id, canonical_id, score) with the score raised, `boost`, and `items`: signal, raw value and what it added, B1 to B6.
 
-    held: entity_id, canonical_id and the columns RAW; pairs without a row have no evidence."""
+    held: entity_id, canonical_id and the columns RAW; pairs without a row have no evidence. Without it the scores' own columns RAW count."""
     doubt = (F.col("score") >= DOUBT[0]) & (F.col("score") < DOUBT[1])
     items = []
     for signal in ("B1", "B2", "B3", "B4", "B5", "B6"):
         raw, adds = _applied(signal)
         items.append(F
             .struct(F.lit(signal).alias("signal"), raw.cast("double").alias("raw"), F.when(doubt, adds).otherwise(0.0).alias("applied")))
-    rows = scores.join(held.select("entity_id", "canonical_id", *RAW), ["entity_id", "canonical_id"], "left").withColumn("items",
-        F.array(*items))
-    boost = F.least(F.lit(MOST), F.aggregate("items", F.lit(0.0), lambda a, x: a + x["applied"]))
+    rows = scores if held is None else scores.join(held.select("entity_id", "canonical_id", *RAW), ["entity_id", "canonical_id"], "left")
+    rows = rows.withColumn("items", F.array(*items))
+    # the sum in the items' order, in one expression
+    boost = F.least(F.lit(MOST), sum((F.col("items")[i]["applied"] for i in range(len(items))), F.lit(0.0)))
     return rows.withColumn("boost", boost).withColumn("score", F.least(F.lit(1.0), F.col("score") + F.col("boost"))).drop(*RAW)
 
 
