@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from samewise.operators import disposition, kinds, matching
+from samewise.operators import disposition, evidence, kinds, matching, registry
 
 
 @pytest.fixture(scope="module")
@@ -61,3 +61,30 @@ def test_ranks_without_pairs(sides):
     assert _rows(best.where("position <= 2"), *columns) == [r for r in want if r[3] <= 2]
     # of each mark only the first: at most two of seven marks an entity
     assert met.first(right, 2).groupBy("entity_id").count().agg(F.max("count")).first()[0] <= 14
+
+
+def test_signals_by_kinds(sides):
+    entities, canon, aliases, met = sides
+    columns = ("entity_id", "canonical_id", "signal")
+    want = matching.signals(entities, canon, aliases).where("signal like 'token:%'")
+    assert _rows(met.signals(), *columns) == _rows(want, *columns)
+
+
+def test_evidence_in_the_scores_own_columns(spark):
+    own = spark.createDataFrame([("E1", "C1", 0.8, 1, 2, 0, 1, 20, 9), ("E2", "C1", 0.95, 1, 2, 0, 1, 20, 9)],
+        "entity_id string, canonical_id string, score double, " + ", ".join(f"{c} int" for c in evidence.RAW))
+    joined = evidence.boosted(own.select("entity_id", "canonical_id", "score"), own)
+    assert _rows(evidence.boosted(own), "entity_id", "score", "boost", "items") == _rows(joined, "entity_id", "score", "boost", "items")
+
+
+def test_orphans_are_looked_for_once(spark):
+    canon = spark.createDataFrame([("C1", "t1", "a", "client", "organization")], "canonical_id string, tenant_id string, canonical_name string, entity_type string, entity_category string")
+    aliases = spark.createDataFrame([("C1", "b", "x")], "canonical_id string, value string, source string")
+    refs = spark.createDataFrame([("C1", "x", "1")], "canonical_id string, source string, external_id string")
+    edges = spark.createDataFrame([("C1", "C9")] * 50, "source_node string, target_node string")
+    found = registry.violations(canon, aliases, refs, edges)
+    assert [tuple(r) for r in found.collect()] == [("edge_orphan", "C9")]
+    lines = [x.strip(" :+-|") for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    joins = [i for i, x in enumerate(lines) if x.startswith("Join LeftAnti")]
+    # a hub's rows become one before they are sorted and joined
+    assert len(joins) == 4 and all(lines[i + 1].startswith("Aggregate") for i in joins)
