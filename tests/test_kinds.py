@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from samewise.operators import disposition, evidence, kinds, matching, registry
+from samewise.operators import disposition, evidence, graph, kinds, matching, registry, scoring
 
 
 @pytest.fixture(scope="module")
@@ -88,3 +88,44 @@ def test_orphans_are_looked_for_once(spark):
     joins = [i for i, x in enumerate(lines) if x.startswith("Join LeftAnti")]
     # a hub's rows become one before they are sorted and joined
     assert len(joins) == 4 and all(lines[i + 1].startswith("Aggregate") for i in joins)
+
+
+@pytest.mark.parametrize("most_bytes", [64 << 20, 0])
+def test_candidates_by_kinds(spark, sides, most_bytes):
+    entities, canon, aliases, _ = sides
+    records = entities.withColumn("source", F.lit("x")).withColumn("source_id", F.col("entity_id"))
+    # own canonicals: two of E000, one of them its first candidate
+    refs = spark.createDataFrame([("C000", "x", "E000"), ("C001", "x", "E000"), ("C003", "x", "E001")], "canonical_id string, source string, external_id string")
+    shared = {}
+    for e, c, s in _rows(matching.signals(entities, canon, aliases), "entity_id", "canonical_id", "signal"):
+        shared.setdefault(e, {}).setdefault(c, []).append(s)
+    own = {("E000", "C000"), ("E000", "C001"), ("E001", "C003")}
+    want = [(e, c, sorted(of[c])) for e, of in shared.items() for c in sorted(c for c in of if (e, c) not in own)[:7]]
+    got = matching.candidates(records, canon, aliases, refs, most=7, most_bytes=most_bytes)
+    assert _rows(got, "entity_id", "canonical_id", "blocking_signals") == sorted(want)
+    # pairs of keys are not ranked against each other, an entity takes its kind's list
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_by_kinds(spark, sides):
+    entities, canon, aliases, met = sides
+    rows = entities.withColumn("category", F.when(F.col("entity_id") < "E030", "psa"))
+    edges = spark.createDataFrame([], "source_node string, target_node string, relationship string")
+    got = scoring.score(met.keys(), rows, canon, aliases, edges)
+    each = [r for e in ("E000", "E031", "E059") for r in _rows(scoring.score(met.keys(), rows.where(F.col("entity_id") == e), canon, aliases, edges), *got.columns)]
+    assert each and [r for r in _rows(got, *got.columns) if r[0] in ("E000", "E031", "E059")] == each
+    assert got.count() == met.keys().count()
+    # names are measured before pairs of keys come, and don't go with them
+    assert "category#" not in got.select("entity_id", "score")._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "kind" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_vectors_that_are_alike_are_scanned_once(spark, monkeypatch):
+    rows = [(i, [float(i % 4), 1.0, float(i % 3)]) for i in range(40)] + [(90, None), (91, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id int, v array<double>")
+    asked = df.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id")
+    want = _rows(graph.cosine_top(asked.withColumnRenamed("v", "embedding"), df.withColumnRenamed("v", "embedding"), 4), "query_id", "vec_id", "cosine", "position")
+    flat, seen = graph.cosine_top, []
+    monkeypatch.setattr(graph, "cosine_top", lambda q, v, k: seen.append((q.count(), v.count())) or flat(q, v, k))
+    assert want and _rows(graph.alike_top(asked, df, "v", lambda c: c, 4), "query_id", "vec_id", "cosine", "position") == want
+    assert seen[0][1] == 14 and seen[0][0] <= 9
