@@ -54,27 +54,36 @@ class Names:
 
         searches: search_id, text. Ties by canonical_id, among a canonical's names by value; a search without words finds nothing."""
         asked = written(searches.select("search_id", F.lower(F.trim("text")).alias("text")).where("text <> ''").distinct())
-        words = asked.select("search_id", "text", F.explode(F.array_distinct(tokens(F.col("text")))).alias("asked"))
+        # a text is looked up once, however many searches have it
+        words = written(asked.select("text").distinct().select("text", F.explode(F.array_distinct(tokens(F.col("text")))).alias("asked")))
         off = edits(F.length("asked"))
         distinct = written(words.select("asked").distinct().select("asked", off.alias("most")))
         left = distinct.select("asked", "most", F.explode(deletions(F.col("asked"), F.col("most"))).alias("left"))
         met = left.join(self.deletions, "left").select("asked", "most", "word", "n_names").distinct()
         near = written(met.where(F.levenshtein("asked", "word") <= F.col("most")).select("asked", "word", "n_names"))
-        # of each search the word that fewest names hold; a search of which a word is near to none has no row there and finds nothing
+        # of each text the word that fewest names hold; a text of which a word is near to none has no row there and finds nothing
         cost = near.groupBy("asked").agg(F.sum("n_names").alias("cost"))
         costs = words.join(cost, "asked", "left")
-        whole = Window.partitionBy("search_id", "text")
+        whole = Window.partitionBy("text")
         rarest = costs.withColumn("lacks", F.max(F.col("cost").isNull()).over(whole)).where(~F.col("lacks"))
-        rarest = rarest.withColumn("nth", F.row_number().over(whole.orderBy("cost", "asked"))).where("nth = 1").select("search_id", "text", "asked")
-        found = rarest.join(near.select("asked", "word"), "asked").join(self.postings, "word").select("search_id", "text", "value").distinct()
-        # the other words of the search, against the words of the names that are left
+        rarest = rarest.withColumn("nth", F.row_number().over(whole.orderBy("cost", "asked"))).where("nth = 1").select("text", "asked")
+        found = rarest.join(near.select("asked", "word"), "asked").join(self.postings, "word").select("text", "value").distinct()
+        # the other words of the text, against the words of the names that are left
         each = found.withColumn("own", F.explode(F.array_distinct(tokens(F.col("text")))))
         in_name = F.exists(F.split("value", r"(?U)\s+"), lambda w: F.levenshtein(F.col("own"), w) <= edits(F.length("own")))
-        all_in = each.groupBy("search_id", "text", "value").agg(F.min(in_name).alias("all_in")).where("all_in").select("search_id", "text", "value")
+        all_in = each.groupBy("text", "value").agg(F.min(in_name).alias("all_in")).where("all_in").select("text", "value")
         scored = all_in.withColumn("score", string_metrics("partial")("text", "value")["partial"]).where(F.col("score") >= least)
-        named = scored.join(self.names.select("canonical_id", "value"), "value")
-        even = F.round("score", 6)  # scores are compared with six places
-        own = F.row_number().over(Window.partitionBy("search_id", "canonical_id").orderBy(even.desc(), "value"))
-        rows = named.select("search_id", "canonical_id", "value", "score").withColumn("own", own).where("own = 1").drop("own")
-        place = F.row_number().over(Window.partitionBy("search_id").orderBy(even.desc(), "canonical_id"))
-        return rows.withColumn("position", place).where(F.col("position") <= k)
+        # the k best canonicals are among the first k of each value, as the first k of a value stand before its others
+        nth = F.row_number().over(Window.partitionBy("value").orderBy("canonical_id"))
+        held = written(self.names.select("canonical_id", "value").withColumn("nth", nth).where(F.col("nth") <= k).drop("nth"))
+        best = written(_best(scored.join(held, "value"), "text", k).drop("position"))
+        return _best(asked.join(best, "text"), "search_id", k).select("search_id", "canonical_id", "value", "score", "position")
+
+
+def _best(rows: DataFrame, by: str, k: int) -> DataFrame:
+    """Of each `by` the k best canonicals with their best value, and their position."""
+    even = F.round("score", 6)  # scores are compared with six places
+    own = F.row_number().over(Window.partitionBy(by, "canonical_id").orderBy(even.desc(), "value"))
+    rows = rows.select(by, "canonical_id", "value", "score").withColumn("own", own).where("own = 1").drop("own")
+    place = F.row_number().over(Window.partitionBy(by).orderBy(even.desc(), "canonical_id"))
+    return rows.withColumn("position", place).where(F.col("position") <= k)

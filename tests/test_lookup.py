@@ -74,3 +74,14 @@ def test_no_join_of_all_pairs(spark):
     rows = lookup.Names(names).search(spark.range(5).selectExpr("id as search_id", "concat('name ', id) as text"))
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Cross" not in plan and "Join Inner\n" not in plan
+
+
+def test_a_text_is_looked_up_once(spark):
+    names = [(f"C{i:03}", v) for i in range(60) for v in (["atlas group", "atlas media"][i % 2], "boreal")]
+    searches = [(f"S{i}", ["atlas", "boreal", "atlas group"][i % 3]) for i in range(30)] + [("S0", "boreal")]
+    index = lookup.Names(spark.createDataFrame(names, "canonical_id string, value string"))
+    got = index.search(spark.createDataFrame(searches, "search_id string, text string"), 7)
+    rows = sorted((r.search_id, r.canonical_id, r.value, round(r.score, 6), r.position) for r in got.collect())
+    assert rows == brute(names, searches, 7)
+    # what is measured is stored by text before searches come
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().optimizedPlan().toString()
