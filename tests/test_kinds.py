@@ -129,3 +129,25 @@ def test_vectors_that_are_alike_are_scanned_once(spark, monkeypatch):
     monkeypatch.setattr(graph, "cosine_top", lambda q, v, k: seen.append((q.count(), v.count())) or flat(q, v, k))
     assert want and _rows(graph.alike_top(asked, df, "v", lambda c: c, 4), "query_id", "vec_id", "cosine", "position") == want
     assert seen[0][1] == 14 and seen[0][0] <= 9
+
+
+def test_evidence_keeps_a_pair_one_row(spark):
+    pairs = spark.createDataFrame([(f"E{i % 5}", f"C{i % 7}") for i in range(70)], "entity_id string, canonical_id string")
+    codes = spark.createDataFrame([(f"E{i % 4}", f"CEN-AB{i % 6}-x") for i in range(20)], "entity_id string, code string")
+    memos = spark.createDataFrame([(f"C{i % 6}", f"for cen, ab{i % 5}1 ab{i % 4}") for i in range(30)], "canonical_id string, memo string")
+    at = lambda rows, key: spark.createDataFrame(rows, f"{key} string, period string, amount double, seen string").withColumn("seen", F.col("seen").cast("date"))
+    left = at([(f"E{i % 4}", f"p{i % 3}" if i % 7 else None, 100.0 * (i % 3), f"2024-01-{i % 9 + 1:02}") for i in range(24)], "entity_id")
+    right = at([(f"C{i % 6}", f"p{i % 4}", 100.0 * (i % 4), f"2024-02-{i % 9 + 1:02}") for i in range(24)], "canonical_id")
+    sums = lambda df, key: {(r[0], r[1]): r[2] for r in df.where("period is not null").groupBy(key, "period").agg(F.sum("amount")).collect()}
+    here, there = sums(left, "entity_id"), sums(right, "canonical_id")
+    words = lambda df: {k: {w for r in df.collect() if r[0] == k for w in r[1].upper().replace("-", " ").replace(",", " ").split() if len(w) >= 3} for k in {r[0] for r in df.collect()}}
+    of, held = words(codes), words(memos)
+    want = {(e, c): (len(of.get(e, set()) & held.get(c, set())), sum(abs(x - there[c, p]) <= min(500, 0.02 * there[c, p]) for (k, p), x in here.items() if k == e and (c, p) in there))
+        for e, c in {tuple(r) for r in pairs.collect()}}
+    got = evidence.raw_counts(pairs, codes, memos, left, right)
+    assert {(r[0], r[1]): (r[2], r[3]) for r in got.collect()} == want and got.count() == len(want)
+    days = {(r[0], r[1]): r[2] for r in evidence.days_apart(pairs, left, right).collect()}
+    assert {(r[0], r[1]): r[4] for r in got.collect()} == days and days["E4", "C0"] is None
+    # no row for each fragment or period of a pair: what follows the pairs are joins by one key
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Aggregate") == 1
