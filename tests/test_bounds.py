@@ -33,3 +33,26 @@ def test_repeated_ids_of_a_query_take_no_place():
     batch = _vectors([7] * 9 + [1, 2, 3], [[1.0, 0.0]] * 9 + [[1.0, 0.1], [1.0, 0.2], [1.0, 0.3]])
     block = graph._Block(pa.table({"query_id": pa.array([7]), "q": pa.array([[1.0, 0.0]], pa.list_(pa.float64()))}))
     assert pa.Table.from_batches(graph._nearest(iter([batch]), block, 3)).column("vec_id").to_pylist() == [1, 2, 3]
+
+
+def test_repeated_values_are_not_broadcast_by_their_file(spark):
+    wide = graph.written(spark.range(3000).select("id", F.lit("x" * 3000).alias("text")))  # 9 MB in a file of some kB
+    few = spark.range(5000)
+    plan = lambda df: few.join(df, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(wide) and "BroadcastHashJoin" in plan(kinds.beside(wide))
+    assert "SortMergeJoin" in plan(kinds.beside(wide, 1 << 20))
+
+
+def test_shared_neighbours_in_shares(spark):
+    edges = spark.createDataFrame([(f"C{i}", f"C{900 + j}", "X") for i in range(40) for j in range(3) if (i + j) % 4], "source_node string, target_node string, relationship string")
+    canon = spark.createDataFrame([(f"C{i}", "t1", "person" if i % 2 else "organization") for i in range(903)], "canonical_id string, tenant_id string, entity_category string")
+    pairs = spark.createDataFrame([(f"C{i}", f"C{i + 1}") for i in range(39)] + [("C1", "C902"), ("C1", "none")], "left_id string, right_id string")
+    near: dict = {}
+    for r in edges.collect():
+        near.setdefault(r[0], set()).add(r[1])
+        near.setdefault(r[1], set()).add(r[0])
+    both = {(a, b): near.get(a, set()) & near.get(b, set()) for a, b in ((r[0], r[1]) for r in pairs.collect())}
+    out = registry.shared_neighbours(pairs, edges, canon)
+    assert {(r[0], r[1]): (r[2], r[3]) for r in out.collect()} == {k: (len(v), sum(int(x[1:]) % 2 for x in v)) for k, v in both.items()}
+    # shares by a number of partitions that is asked for
+    assert out._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 4
