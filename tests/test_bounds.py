@@ -43,6 +43,18 @@ def test_repeated_values_are_not_broadcast_by_their_file(spark):
     assert "SortMergeJoin" in plan(kinds.beside(wide, 1 << 20))
 
 
+def test_the_best_candidate_alone_is_told_of(spark, monkeypatch):
+    placed = spark.createDataFrame([("E1", "C1", 0.95, "AUTO_APPROVE"), ("E2", None, None, "NO_MATCH")], "entity_id string, top_match string, top_score double, action string")
+    scores = spark.createDataFrame([(f"E{e}", f"C{c}", 0.1 * c) for e in (1, 2) for c in range(1, 9)], "entity_id string, canonical_id string, partial double")
+    entities = spark.createDataFrame([("E1", "x", "1"), ("E2", "x", "2")], "entity_id string, source string, source_id string")
+    anchored = spark.createDataFrame([], "entity_id string, canonical_id string, confidence double, match_key_type string")
+    asked = spark.createDataFrame([], "entity_id string, reasoning string")
+    told, keep = [], graph.written
+    monkeypatch.setattr(orchestrator, "written", lambda df: told.append(keep(df)) or told[-1])
+    rows = {r.entity_id: (r.match_type, r.signal_breakdown) for r in orchestrator._results(anchored, placed, asked, scores, entities).collect()}
+    assert rows == {"E1": ("scored", '{"partial":0.1}'), "E2": ("new", None)} and [t.count() for t in told] == [1, 1]
+
+
 def test_shared_neighbours_in_shares(spark):
     edges = spark.createDataFrame([(f"C{i}", f"C{900 + j}", "X") for i in range(40) for j in range(3) if (i + j) % 4], "source_node string, target_node string, relationship string")
     canon = spark.createDataFrame([(f"C{i}", "t1", "person" if i % 2 else "organization") for i in range(903)], "canonical_id string, tenant_id string, entity_category string")
