@@ -59,3 +59,30 @@ def test_columns(spark):
     assert got == [1.0, 0.0, 0.0, pytest.approx(2 / 6)]
     assert df.select(S.string_metrics()("a", "b").alias("m")).collect()[2].m.token_set == 0
     assert [r[0] for r in spark.sql("select 0.125d as x union all select 0.645d").select(S.two_places("x")).collect()] == ["0.12", "0.65"]
+
+
+def test_all_pairs_at_once():
+    rng = random.Random(2)
+    make = lambda: "".join(rng.choices("abcd  é😀", k=rng.choice((0, 1, 2, 5, 12, 12, 20, 63, 64, 65, 90))))
+    pairs = [(make(), make()) for _ in range(1500)] + [("", ""), ("", "a"), ("a", ""), ("a b", "b a"), ("\0a", "a\0"), ("ab", "ab" * 900), (" ", "  ")]
+    pairs += [(x, x[::-1]) for x, _ in pairs[:50]] + [(x, f"{x} d") for x, _ in pairs[:50]]
+    a, b = map(list, zip(*pairs))
+    assert S.lcs_all(a, b).tolist() == [S.lcs(x, y) for x, y in pairs]
+    # to the last bit
+    for all_, one in ((S.token_sort_all, S.token_sort), (S.token_set_all, S.token_set), (S.partial_all, S.partial)):
+        assert all_(a, b).tolist() == [one(x, y) for x, y in pairs]
+        assert all_([], []).tolist() == []
+
+
+def test_many_pairs_take_less_than_each():
+    import time
+
+    rng = random.Random(3)
+    a, b = ([" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(3)) for _ in range(4000)] for _ in range(2))
+    began = time.process_time()
+    S.partial_all(a, b)
+    once = time.process_time() - began
+    began = time.process_time()
+    for x, y in zip(a[:400], b[:400]):
+        S.partial(x, y)
+    assert once < 10 * (time.process_time() - began) / 4
