@@ -5,7 +5,10 @@ node of a pair with a centre joins it; a pair with a node that joined another ce
 its centre itself, and a chain of weak pairs isn't one cluster.
 
 That scan is run in rounds over all pairs at once. A pair may be taken when it is the first of those left at each of its free nodes,
-since nothing before it can then change them; pairs that can say nothing more are left out. The result is the scan's."""
+since nothing before it can then change them; pairs that can say nothing more are left out. The result is the scan's.
+
+Where pairs are blocks, each of whose nodes meets each of the other side with one score, the free nodes of a kind have the same first
+pair but for themselves. So rounds go over blocks, and the pairs themselves, which grow with the square, are never made."""
 
 from __future__ import annotations
 
@@ -59,16 +62,74 @@ def centred(pairs: DataFrame, weights: DataFrame, rounds: int = 200) -> DataFram
     return none.unionByName(none.select(F.col("centre").alias("node"), "centre", F.lit(None).cast("double").alias("score")).distinct())
 
 
+def centred_blocks(first: DataFrame, second: DataFrame, blocks: DataFrame, weights: DataFrame) -> DataFrame:
+    """centred() of all pairs of blocks (a, b, score), where a is a kind of `first` (node, kind) and b one of `second` (node, kind).
+
+    Each node is of one kind, and a pair of kinds has one score; nodes of `first` must sort before those of `second`. Each round takes the
+    first of all pairs that are left at least, so there is no bound on rounds."""
+    # kinds of both sides have numbers of their own, and a node's rank says its place among all
+    nodes = first.select("node", (F.col("kind") * 2).alias("kind"), F.lit(True).alias("ahead")).unionByName(second.select("node", (F.col("kind") * 2 + 1).alias("kind"), F.lit(False).alias("ahead")))
+    heavy = weights.groupBy("node").agg(F.max("weight").alias("weight"))
+    nodes = written(nodes.join(heavy, "node", "left").na.fill(0.0, ["weight"]).orderBy("node").withColumn("rank", F.monotonically_increasing_id()))
+    live = nodes.select("rank", "kind", "ahead", "weight", F.lit(False).alias("centre"))
+    left = blocks.select((F.col("a") * 2).alias("a"), (F.col("b") * 2 + 1).alias("b"), "score")
+    taken: list[DataFrame] = []
+    while True:
+        # the first node of each kind that is no member, and how many are free
+        heads = live.groupBy("kind").agg(F.min("rank").alias("rank"), F.count_if(~F.col("centre")).alias("free")).join(live.drop("kind", "ahead"), "rank")
+        heads = written(heads.join(live.select("kind", "ahead").distinct(), "kind"))
+        of = lambda end: heads.select(F.col("kind").alias(end), F.col("rank").alias(f"{end}_first"), (F.col("free") > 0).alias(f"{end}_free"))
+        before, left = left, written(left.select("a", "b", "score").join(of("a"), "a").join(of("b"), "b").where("a_free or b_free"))
+        discard(before)
+        if left.limit(1).count() == 0:
+            discard(heads)
+            break
+        # of each kind with free nodes the best score, then the first node that has it
+        ends = left.where("a_free").select(F.col("a").alias("kind"), "score", F.col("b_first").alias("other")).unionByName(left.where("b_free").select(F.col("b").alias("kind"), "score", F.col("a_first").alias("other")))
+        top = ends.groupBy("kind").agg(F.max("score").alias("top"))
+        best = ends.join(top, "kind").where("score = top").groupBy("kind").agg(F.min("other").alias("other"), F.max("score").alias("score"))
+        own = heads.select("kind", "ahead", F.col("rank").alias("head"), F.col("centre").alias("head_centre"), F.col("weight").alias("head_weight"))
+        other = heads.select(F.col("rank").alias("other"), F.col("kind").alias("other_kind"), F.col("centre").alias("other_centre"), F.col("weight").alias("other_weight"))
+        best = written(best.join(own, "kind").join(other, "other"))
+        # free nodes whose first pair is with a centre join it; two free nodes that are each other's first make a centre
+        joins = live.where("not centre").join(best.where("other_centre").select("kind", "score", F.col("other").alias("to")), "kind").select("rank", "to", "score")
+        back = best.where("not ahead").select(F.col("kind").alias("other_kind"), F.col("other_kind").alias("kind"))
+        both = best.where("ahead and not head_centre and not other_centre").join(back, ["kind", "other_kind"])
+        later = F.col("other_weight") > F.col("head_weight")
+        both = both.select(F.when(later, F.col("head")).otherwise(F.col("other")).alias("rank"), F.when(later, F.col("other")).otherwise(F.col("head")).alias("to"), "score")
+        made = written(joins.unionByName(both))
+        taken.append(made)
+        centres = made.select(F.col("to").alias("rank"), F.lit(True).alias("is")).distinct()
+        now = live.join(made.select("rank"), "rank", "left_anti").join(centres, "rank", "left").withColumn("centre", F.col("centre") | F.coalesce("is", F.lit(False))).drop("is")
+        before, live = live, written(now)
+        for gone in (before, heads, best):
+            discard(gone)
+    named = lambda c: nodes.select(F.col("rank").alias(c), F.col("node").alias(f"{c}_node"))
+    told = nodes.where("false").select("rank", F.col("rank").alias("to"), F.col("weight").alias("score"))
+    for made in taken:
+        told = told.unionByName(made.select("rank", "to", F.col("score").cast("double").alias("score")))
+    told = written(told.join(named("rank"), "rank").join(named("to"), "to").select(F.col("rank_node").alias("node"), F.col("to_node").alias("centre"), "score"))
+    return told.unionByName(told.select(F.col("centre").alias("node"), "centre", F.lit(None).cast("double").alias("score")).distinct())
+
+
 def proposals(pairs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame:
-    """A row for each cluster of pairs that score `least` or more, the most urgent first by `priority`.
+    """proposed() of the clusters of pairs that score `least` or more."""
+    return proposed(centred(pairs.where(F.col("score") >= least), weights(nodes)), nodes)
+
+
+def weights(nodes: DataFrame) -> DataFrame:
+    return nodes.select("node", F.col("volume").cast("double").alias("weight"))
+
+
+def proposed(placed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A row for each cluster of centred() or centred_blocks(), the most urgent first by `priority`.
 
     cluster (its centre), proposed_name (the name that most of its transactions go by), aliases (the other names, by category),
     n_members, confidence (mean score of its pairs), n_assess (pairs below REVIEW, which a model may be asked about), action (confirm,
     review or assess; nothing is ever approved here), volume, priority (by volume, then confidence, then cluster).
     nodes: node, name, category, volume; a node without a row has no name and no volume."""
     told = nodes.groupBy("node").agg(F.max(F.struct("volume", "name", "category")).alias("of"))
-    weights = nodes.select("node", F.col("volume").cast("double").alias("weight"))
-    placed = written(centred(pairs.where(F.col("score") >= least), weights))
+    placed = written(placed)
     rows = placed.join(told, "node", "left").select("centre", "node", "score", "of.name", "of.category", F.coalesce(F.col("of.volume"), F.lit(0.0)).cast("double").alias("volume"))
     # names are summed before a cluster gathers them: a name for each of its spellings, not for each of its members
     by_name = rows.where("name is not null").groupBy("centre", "name", "category").agg(F.sum("volume").alias("volume"))

@@ -1,9 +1,13 @@
 """Blocks of kinds hold every pair that shares a signal, with the pairs' own scores, and nothing is capped."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from samewise.operators import blocks, disposition, kinds, matching, orchestrator, scoring
+from samewise.operators import blocks, disposition, kinds, matching, onboarding, orchestrator, scoring
+
+from test_onboarding import scan
 
 
 @pytest.fixture(scope="module")
@@ -76,3 +80,40 @@ def test_match_counts_has_no_cap_in_its_sql():
     import __spark_entry__  # noqa: F401
 
     assert "<= 50" not in queries.ORACLES["match_counts"] and "<= 50" in queries.ORACLES["match_results"]
+
+
+def test_centres_of_blocks_equal_the_scan(spark):
+    rng = random.Random(7)
+    for n_a, n_b, n_blocks in ((4, 4, 9), (12, 9, 60), (6, 20, 50)):
+        first = {f"c:{rng.randint(0, 999):03}": rng.randrange(n_a) for _ in range(5 * n_a)}
+        second = {f"e:{rng.randint(0, 999):03}": rng.randrange(n_b) for _ in range(5 * n_b)}
+        met = {(rng.randrange(n_a), rng.randrange(n_b)): rng.choice([0.4, 0.5, 0.6, rng.random()]) for _ in range(n_blocks)}
+        weight = {k: float(rng.randint(0, 3)) for k in (*first, *second) if rng.random() < 0.7}
+        pairs = [(x, y, met[a, b]) for x, a in first.items() for y, b in second.items() if (a, b) in met]
+        of = lambda d: spark.createDataFrame(list(d.items()), "node string, kind long")
+        rows = onboarding.centred_blocks(of(first), of(second), spark.createDataFrame([(*k, s) for k, s in met.items()], "a long, b long, score double"),
+            spark.createDataFrame(list(weight.items()), "node string, weight double")).collect()
+        want = scan(pairs, weight)
+        assert {r.node: r.centre for r in rows} == want and len(rows) == len(want)
+        score = {(x, y): s for x, y, s in pairs} | {(y, x): s for x, y, s in pairs}
+        assert all(r.score == score.get((r.node, r.centre)) for r in rows)
+    assert onboarding.centred_blocks(of({"c:1": 1}), of({"e:1": 1}), spark.createDataFrame([], "a long, b long, score double"), spark.createDataFrame([], "node string, weight double")).count() == 0
+
+
+def test_onboarding_has_every_candidate(spark):
+    import __spark_entry__ as entry
+
+    from samewise.functions.names import normalize, split_rejects
+    from samewise.plans.derive import frame
+
+    sf = "/root/testdata/sf0.001"
+    entities = split_rejects(normalize(frame(spark, sf, "incoming")))[0]
+    canon, aliases, refs, edges = (frame(spark, sf, n) for n in ("canon", "aliases", "refs", "edges"))
+    pairs = matching.signals(entities, canon, aliases).select("entity_id", "canonical_id").distinct().join(matching.own_canonicals(entities, refs), ["entity_id", "canonical_id"], "left_anti")
+    scored = [(f"c:{r.canonical_id}", f"e:{r.entity_id}", r.score) for r in scoring.score(pairs, entities, canon, aliases, edges).collect() if r.score >= onboarding.LEAST]
+    volume = {f"c:C{r[0]:08}": r[1] for r in spark.read.parquet(f"{sf}/orders.parquet").groupBy("o_custkey").agg(F.sum("o_totalprice")).collect()}
+    volume |= {f"e:S{r[0]:08}": r[1] for r in spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_suppkey").agg(F.sum("l_extendedprice")).collect()}
+    want: dict = {}
+    for centre in scan(scored, volume).values():
+        want[centre] = want.get(centre, 0) + 1
+    assert {r.cluster: r.n_members for r in entry.queries()["onboarding_clusters"](spark, sf).collect()} == want
