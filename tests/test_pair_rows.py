@@ -13,7 +13,7 @@ from samewise.operators import kinds, matching
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["trigram_block", "token_block"])
+@pytest.mark.parametrize("name", ["graph_signals", "trigram_block", "token_block"])
 def test_rows_equal_the_sql(spark, name):
     db = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
